@@ -78,7 +78,7 @@ def read_kmers(reads: DataFrame, k: int, pad: int, keep: int) -> DataFrame:
 
 
 def seeded_sites(reads: DataFrame, panel: DataFrame, max_mm: int, exact_tail: int = 2,
-                 shortest: int = 18, longest: int = 25) -> DataFrame:
+                 shortest: int = 18, longest: int = 25, keep_positions: bool = False) -> DataFrame:
     """All sites with at most ``max_mm`` mismatches and an exact 3' tail.
 
     ``shortest`` and ``longest`` bound the primer lengths of the panel; primers outside
@@ -92,19 +92,32 @@ def seeded_sites(reads: DataFrame, panel: DataFrame, max_mm: int, exact_tail: in
     kmers = read_kmers(reads, k, pad=longest, keep=longest)
     hit = kmers.join(seeds, "kmer")
     start = F.col("pos") - F.col("off")
-    tmask = S.template_mask(F.substring("context", F.lit(longest + 1) - F.col("off"), F.col("site_len")))
+    template = F.substring("context", F.lit(longest + 1) - F.col("off"), F.col("site_len"))
     cand = (hit.withColumn("start", start)
             .where((F.col("start") >= 0) & (F.col("start") + F.col("site_len") <= F.col("seq_len")))
-            .withColumn("bad", S.mismatch_positions("pmask", tmask, "site_len"))
+            .withColumn("tmask", S.template_mask(template)))
+    for i in range(exact_tail):  # compared first: two byte reads instead of a full alignment
+        at = F.when(F.col("side") == "L", F.col("site_len") - i).otherwise(F.lit(i + 1))
+        cand = cand.where(F.ascii(F.substring("pmask", at, F.lit(1))).bitwiseAND(
+            F.ascii(F.substring("tmask", at, F.lit(1)))).bitwiseAND(15) != 0)
+    cand = (cand.withColumn("bad", S.mismatch_positions("pmask", "tmask", "site_len"))
             .where(F.size("bad") <= max_mm))
-    if exact_tail:
-        tail_ok = F.when(F.col("side") == "L", ~F.exists("bad", lambda i: i > F.col("site_len") - exact_tail)) \
-            .otherwise(~F.exists("bad", lambda i: i <= exact_tail))
-        cand = cand.where(tail_ok)
-    return (cand.select("read_id", "pair", "strand", "side", "start", "site_len", F.size("bad").alias("mm"))
+    if keep_positions:
+        extra = [F.when(F.col("side") == "L", F.transform("bad", lambda i: F.col("site_len") - i + 1))
+                 .otherwise(F.col("bad")).alias("from_3prime")]
+    else:
+        extra = []
+    return (cand.select("read_id", "pair", "strand", "side", "start", "site_len", F.size("bad").alias("mm"), *extra)
             .dropDuplicates(["read_id", "pair", "strand", "side", "start"]))
 
 
+def end_rule(from_3prime, last2: int = 0, last5: int = 1, total: int = 3):
+    """FLT-05: mismatch positions counted from the 3' end must respect three ceilings."""
+    bad = F.col(from_3prime) if isinstance(from_3prime, str) else from_3prime
+    return ((F.size(F.filter(bad, lambda i: i <= 2)) <= last2)
+            & (F.size(F.filter(bad, lambda i: i <= 5)) <= last5) & (F.size(bad) <= total))
+
+
 _CODE = np.zeros(256, dtype=np.uint8)
 for _c, _m in ab.MASK.items():
     _CODE[ord(_c)] = _m

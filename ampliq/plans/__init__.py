@@ -1,4 +1,4 @@
 """Registered queries, grouped by area."""
 
-from . import panel  # noqa: F401
+from . import panel, scalars  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
