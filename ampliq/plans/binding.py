@@ -97,8 +97,8 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = d.select("doc_id", F.posexplode(F.split("text", "[.\n]+")).alias("idx", "sentence"))
     w = F.regexp_extract_all("sentence", F.lit("([A-Za-z]{3,})"), F.lit(1))
     s = s.withColumn("w", w).where(F.size("w") >= 2)
-    g, e = _title(F.col("w")[0]), F.lower(F.col("w")[1])
-    o = _title(F.col("w")[F.size("w") - 1])
+    g, e = _title(F.get("w", F.lit(0))), F.lower(F.get("w", F.lit(1)))
+    o = _title(F.get("w", F.size("w") - 1))
     acc = F.lpad(F.col("doc_id").cast("string"), 6, "0")
     kind = F.pmod(F.col("doc_id") + F.col("idx"), F.lit(7))
     c = F.concat
