@@ -79,13 +79,19 @@ def read_kmers(reads: DataFrame, k: int, pad: int, keep: int) -> DataFrame:
 
 def seeded_sites(reads: DataFrame, panel: DataFrame, max_mm: int, exact_tail: int = 2,
                  shortest: int = 18, longest: int = 25, keep_positions: bool = False) -> DataFrame:
+    """Sites of both primers of every pair on both strands; see ``pattern_sites``."""
+    return pattern_sites(reads, patterns(panel), max_mm, exact_tail, shortest, longest, keep_positions)
+
+
+def pattern_sites(reads: DataFrame, pats: DataFrame, max_mm: int, exact_tail: int = 2,
+                  shortest: int = 18, longest: int = 25, keep_positions: bool = False) -> DataFrame:
     """All sites with at most ``max_mm`` mismatches and an exact 3' tail.
 
     ``shortest`` and ``longest`` bound the primer lengths of the panel; primers outside
     raise an error at run time rather than being searched incompletely.
     """
     k = seed_length(shortest, max_mm)
-    pats = patterns(panel).withColumn("site_len", F.length("pattern"))
+    pats = pats.withColumn("site_len", F.length("pattern"))
     pats = pats.withColumn("site_len", F.when(F.col("site_len").between(shortest, longest), F.col("site_len"))
                            .otherwise(F.raise_error(F.lit("primer length outside the declared bounds")).cast("int")))
     seeds = seeds_of(pats, max_mm, k).withColumn("pmask", S.primer_mask("pattern")).drop("pattern")
@@ -118,6 +124,52 @@ def end_rule(from_3prime, last2: int = 0, last5: int = 1, total: int = 3):
             & (F.size(F.filter(bad, lambda i: i <= 5)) <= last5) & (F.size(bad) <= total))
 
 
+def oligo_bindings(reads: DataFrame, oligos: DataFrame, total_mm: int = 3, tail: int = 5, tail_mm: int = 1,
+                   exact_last: int = 2, min_overlap: int = 12, shortest: int = 18, longest: int = 25) -> DataFrame:
+    """Binding sites whose 5' end may hang over the template (JOIN-10).
+
+    oligos: (oligo_id, oligo). The overhanging bases are free; the 3' end must lie inside
+    the read, its last bases exact, its tail within ``tail_mm``. Returns
+    (read_id, oligo_id, orient, end3, mm): 3' end position on the read ('+') or on its reverse
+    complement ('-').
+
+    Sites fully inside come from the seeded search. Overhanging ones can only start in the
+    first bases, so their tails are looked up among those few k-mers per read.
+    """
+    pats = oligos.select(
+        F.col("oligo_id").alias("pair"), F.lit("+").alias("strand"),
+        F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("oligo").alias("pattern")),
+                          F.struct(F.lit("R").alias("side"), S.revcomp("oligo").alias("pattern")))).alias("x")
+    ).select("pair", "strand", "x.*")
+    inside = pattern_sites(reads, pats, total_mm, exact_last, shortest, longest, keep_positions=True)
+    inside = inside.where(end_rule("from_3prime", 0, tail_mm, total_mm)) if tail == 5 else inside.where(
+        F.size(F.filter("from_3prime", lambda i: i <= tail)) <= tail_mm)
+    lens = reads.select("read_id", F.length("seq").alias("n"))
+    inside = inside.join(lens, "read_id").select(
+        "read_id", F.col("pair").alias("oligo_id"), F.when(F.col("side") == "L", "+").otherwise("-").alias("orient"),
+        F.when(F.col("side") == "L", F.col("start") + F.col("site_len") - 1)
+        .otherwise(F.col("n") - 1 - F.col("start")).alias("end3"), "mm")
+
+    # the first bases of both orientations; a full-length site needs start >= 0
+    ends = reads.select("read_id", F.explode(F.array(
+        F.struct(F.lit("+").alias("orient"), F.substring("seq", 1, longest).alias("head")),
+        F.struct(F.lit("-").alias("orient"), S.revcomp(F.right("seq", F.lit(longest))).alias("head")))).alias("x")
+    ).select("read_id", "x.*")
+    tails = ends.select("read_id", "orient", "head", F.explode_outer(F.when(
+        F.length("head") >= tail, F.sequence(F.lit(0), F.length("head") - tail))).alias("p")).where("p IS NOT NULL")
+    tails = tails.withColumn("last", F.substring(F.col("head"), F.col("p") + (tail - exact_last + 1), F.lit(exact_last)))
+    key = oligos.withColumn("last", F.explode(S.expand_codes(F.right("oligo", F.lit(exact_last)), 4 ** exact_last)))
+    n = F.length("oligo")
+    cut = F.col("p") + tail  # template bases available up to and including the 3' end
+    over = tails.join(key, "last").where((cut < n) & (cut >= min_overlap))
+    bad = S.mismatch_positions(S.primer_mask(F.right("oligo", cut)), S.template_mask(F.substring(F.col("head"), F.lit(1), cut)), cut)
+    over = over.withColumn("bad", bad).where(
+        (F.size("bad") <= total_mm) & (F.size(F.filter("bad", lambda i: i > cut - tail)) <= tail_mm)
+        & ~F.exists("bad", lambda i: i > cut - exact_last))
+    over = over.select("read_id", "oligo_id", "orient", (cut - 1).cast("int").alias("end3"), F.size("bad").alias("mm"))
+    return inside.unionByName(over).distinct()
+
+
 _CODE = np.zeros(256, dtype=np.uint8)
 for _c, _m in ab.MASK.items():
     _CODE[ord(_c)] = _m

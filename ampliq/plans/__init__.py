@@ -1,4 +1,4 @@
 """Registered queries, grouped by area."""
 
-from . import binning, panel, scalars, taxonomy  # noqa: F401
+from . import binning, identity, panel, scalars, similarity, taxonomy  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
