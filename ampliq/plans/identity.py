@@ -84,7 +84,7 @@ msp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 ns AS (SELECT doc_id, count(DISTINCT species) AS n FROM m WHERE genus = win AND level = 'species' AND locus IN ('ITS','28S','16S','23S') GROUP BY 1),
 mcf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY power DESC, aligned DESC, locus DESC) AS k FROM m WHERE genus = win AND contains(name, ' cf. ') AND locus IN ('ITS','28S','16S','23S')) WHERE k = 1)
 SELECT d.doc_id, CASE WHEN w.win IS NULL THEN 'cannot be named' WHEN msp.species IS NOT NULL AND n > 1 THEN w.win || ' cf. ' || string_split(msp.species, ' ')[-1]
-  WHEN msp.species IS NOT NULL THEN msp.species WHEN mcf.name IS NOT NULL THEN mcf.name ELSE w.win || ' sp.' END AS name, coalesce(genera > 1, false) AS loci_diverge
+  WHEN msp.species IS NOT NULL THEN msp.species WHEN mcf.name IS NOT NULL THEN mcf.name ELSE w.win || ' sp.' END AS name, coalesce(w.genera > 1, false) AS loci_diverge
 FROM (SELECT DISTINCT doc_id FROM named) d LEFT JOIN (SELECT DISTINCT doc_id, win, genera FROM m) w USING (doc_id) LEFT JOIN msp USING (doc_id) LEFT JOIN ns USING (doc_id) LEFT JOIN mcf USING (doc_id)"""
 
 
