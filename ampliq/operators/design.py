@@ -41,20 +41,32 @@ def candidates(backbones: DataFrame, structures: bool = False) -> DataFrame:
     (Arrow) only on what is left.
     """
     w = K.windows(backbones, *P.OLIGO_LENGTH, keep=["target"]).where(X.invariant_oligo_ok("oligo"))
-    w = w.withColumn("gc", F.round(S.gc_percent("oligo"), 1)).withColumn("tm", F.round(T.melting_temperature("oligo"), 2))
+    w = w.withColumn("m", measures("oligo")).select("target", "pos", "len", "dir", "oligo", "m.gc", "m.tm", "m.pm")
     if structures:
         w = w.withColumn("hairpin", T.hairpin_dg("oligo")).withColumn("homodimer", T.dimer_dg("oligo", "oligo"))
         w = w.where((F.col("hairpin") >= P.STRUCTURE_DG_MIN) & (F.col("homodimer") >= P.STRUCTURE_DG_MIN))
     return w
 
 
-def primer_mask(oligo="oligo", gc="gc", tm="tm") -> Column:
-    """36-bit mask of the grid cells an oligo passes."""
-    mask = F.lit(0).cast("long")
-    for i, (g, t, e, s) in enumerate(PRIMER_CELLS):
-        bit = F.when(X.grid_cell_ok(oligo, gc, tm, g, t, e, s), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        mask = mask.bitwiseOR(bit)
-    return mask
+def measures(oligo: str) -> Column:
+    """struct(gc, tm, pm) of an oligo; pm is the 36-bit mask of the grid cells it passes.
+
+    Built as one expression, so a filter on the mask does not repeat the temperature model
+    for every cell.
+    """
+    base = F.struct(F.round(S.gc_percent(oligo), 1).alias("gc"), F.round(T.melting_temperature(oligo), 2).alias("tm"),
+                    S.last_base(oligo).isin("G", "C").alias("e"), (S.gc_in_last5(oligo) <= 3).alias("l"))
+
+    def build(m):
+        mask = F.lit(0).cast("long")
+        for i, (g, t, end_gc, last5) in enumerate(PRIMER_CELLS):
+            ok = m["gc"].between(*g) & m["tm"].between(*t)
+            ok = ok & m["e"] if end_gc else ok
+            ok = ok & m["l"] if last5 else ok
+            mask = mask.bitwiseOR(F.when(ok, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        return F.struct(m["gc"].alias("gc"), m["tm"].alias("tm"), mask.alias("pm"))
+
+    return S.let(base, build)
 
 
 def product_mask(bp) -> Column:
@@ -68,16 +80,21 @@ def product_mask(bp) -> Column:
 def pair_band(cand: DataFrame, lo: int = P.PRODUCT_IDEAL[0], hi: int = P.PRODUCT_MAX) -> DataFrame:
     """Forward x reverse pairs with the reverse end inside the band (JOIN-12).
 
-    A band join on (target, bucket): both sides are cut into ``hi``-wide buckets and a
-    forward oligo meets two of them. Pairs sharing no grid cell are dropped in the join.
+    A band join on (target, bucket): a reverse oligo sits in one ``width``-wide bucket by its
+    end, a forward oligo meets the few buckets its band covers. Pairs sharing no grid cell are
+    dropped in the join. The few input rows expand to millions of pairs, so both sides are
+    given a fixed number of partitions: by input size alone they would end up in one task.
     """
-    c = cand.withColumn("pm", primer_mask()).where("pm <> 0")
+    width = max((hi - lo) // 4, 1)
+    n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = cand.where("pm <> 0")
     f = c.where("dir = 'F'").select("target", F.col("pos").alias("f_pos"), F.col("len").alias("f_len"), F.col("oligo").alias("fwd"),
                                     F.col("tm").alias("f_tm"), F.col("pm").alias("f_pm"),
-                                    F.explode(F.array(F.floor(F.col("pos") / hi), F.floor(F.col("pos") / hi) + 1)).alias("cell"))
+                                    F.explode(F.sequence(F.floor((F.col("pos") + lo) / width), F.floor((F.col("pos") + hi) / width))).alias("cell"))
     r = c.where("dir = 'R'").select("target", F.col("pos").alias("r_pos"), (F.col("pos") + F.col("len")).alias("r_end"),
                                     F.col("oligo").alias("rev"), F.col("tm").alias("r_tm"), F.col("pm").alias("r_pm"),
-                                    F.floor((F.col("pos") + F.col("len")) / hi).alias("cell"))
+                                    F.floor((F.col("pos") + F.col("len")) / width).alias("cell"))
+    f, r = f.repartition(n, "target", "cell"), r.repartition(n, "target", "cell")
     bp = F.col("r_end") - F.col("f_pos")
     j = f.join(r, ["target", "cell"]).where(bp.between(lo, hi) & (F.col("r_pos") >= F.col("f_pos") + F.col("f_len"))
                                            & (F.col("f_pm").bitwiseAND(F.col("r_pm")) != 0))
@@ -97,21 +114,34 @@ def grid_counts(pairs: DataFrame) -> DataFrame:
     return m.join(cells, hit).groupBy("target", "primer_bit", "product_bit", "strictness").agg(F.sum("n").alias("survivors"))
 
 
-_CELL_ORDER = sorted(((strictness(c, ui), pi, ui) for pi, c in enumerate(PRIMER_CELLS) for ui in range(len(P.GRID_PRODUCT))))
+_PRIMER_STRICTNESS = [strictness(c, 0) for c in PRIMER_CELLS]
+
 
+def with_strictest_cell(pairs: DataFrame) -> DataFrame:
+    """Adds strictness, pi, ui of the strictest cell a pair survives in; NULL when none.
 
-def strictest_cell(pm="pm", um="um") -> Column:
-    """Index of the strictest cell a pair survives in: first passing entry of the ordered cells."""
-    cells = F.array(*[F.struct(F.lit(s).alias("strictness"), F.lit(pi).alias("pi"), F.lit(ui).alias("ui")) for s, pi, ui in _CELL_ORDER])
-    ok = F.filter(cells, lambda c: (F.call_function("shiftright", F.col(pm), c["pi"]).bitwiseAND(1) == 1)
-                  & (F.call_function("shiftright", F.col(um), c["ui"]).bitwiseAND(1) == 1))
-    return F.get(ok, F.lit(0))
+    Strictness is the primer part plus the product index, so at each level the candidate
+    primer bits are one mask, the first of them is its lowest set bit, and the product index
+    is the difference. Plain integer arithmetic: it stays inside generated code.
+    """
+    p, u = F.col("pm"), F.col("um")
+    allowed = []
+    for level in range(max(_PRIMER_STRICTNESS) + len(P.GRID_PRODUCT)):
+        mask = F.lit(0).cast("long")
+        for ui in range(len(P.GRID_PRODUCT)):
+            bits = sum(1 << i for i, s in enumerate(_PRIMER_STRICTNESS) if s + ui == level)
+            mask = mask.bitwiseOR(F.when(u.bitwiseAND(1 << ui) != 0, F.lit(bits).cast("long")).otherwise(F.lit(0).cast("long")))
+        allowed.append(p.bitwiseAND(mask))
+    level = F.coalesce(*[F.when(x != 0, level) for level, x in enumerate(allowed)])
+    bits = F.coalesce(*[F.when(F.col("strictness") == level, x) for level, x in enumerate(allowed)])
+    d = pairs.withColumn("strictness", level).withColumn("_x", bits)
+    d = d.withColumn("pi", F.bit_count(F.col("_x").bitwiseAND(-F.col("_x")) - 1).cast("int")).drop("_x")
+    return d.withColumn("ui", F.col("strictness") - F.element_at(F.array(*map(F.lit, _PRIMER_STRICTNESS)), F.col("pi") + 1))
 
 
 def cell_representatives(pairs: DataFrame, per_cell: int = 6) -> DataFrame:
     """Pairs closest to the reference length in their strictest cell (AGG-10)."""
-    p = pairs.withColumn("c", strictest_cell()).where("c IS NOT NULL")
-    p = p.withColumn("cell", F.col("c.pi") * 10 + F.col("c.ui")).withColumn("strictness", F.col("c.strictness")).drop("c")
+    p = with_strictest_cell(pairs).where("strictness IS NOT NULL").withColumn("cell", F.col("pi") * 10 + F.col("ui")).drop("pi", "ui")
     order = [F.abs(F.col("bp") - P.REPRESENTATIVE_BP), F.col("f_pos"), F.col("r_end"), F.col("fwd"), F.col("rev")]
     return top_n(p, ["target", "cell"], order, per_cell)
 

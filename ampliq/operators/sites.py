@@ -170,6 +170,15 @@ def oligo_bindings(reads: DataFrame, oligos: DataFrame, total_mm: int = 3, tail:
     return inside.unionByName(over).distinct()
 
 
+def collect_patterns(panel: DataFrame, bound: int = 20_000) -> list[tuple[str, str, str, str]]:
+    """Patterns of a panel small enough to travel with every task; larger panels are refused
+    and belong to the seeded plan."""
+    rows = patterns(panel).take(bound + 1)
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} patterns: use seeded_sites")
+    return [(x["pair"], x["strand"], x["side"], x["pattern"]) for x in rows]
+
+
 _CODE = np.zeros(256, dtype=np.uint8)
 for _c, _m in ab.MASK.items():
     _CODE[ord(_c)] = _m

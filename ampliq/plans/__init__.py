@@ -1,4 +1,4 @@
 """Registered queries, grouped by area."""
 
-from . import binning, community, design, identity, panel, scalars, similarity, taxonomy  # noqa: F401
+from . import audit, binning, community, design, files, identity, panel, scalars, similarity, taxonomy  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

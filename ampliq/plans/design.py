@@ -100,7 +100,8 @@ def grid_144(spark, sf):
     return D.grid_counts(_pairs(spark, sf)).drop("strictness")
 
 
-_ORDER = ", ".join(f"({s}, {pi}, {ui}, {i})" for i, (s, pi, ui) in enumerate(D._CELL_ORDER))
+_ORDER = ", ".join(f"({s}, {pi}, {ui}, {i})" for i, (s, pi, ui) in enumerate(sorted(
+    (D.strictness(c, ui), pi, ui) for pi, c in enumerate(D.PRIMER_CELLS) for ui in range(len(P.GRID_PRODUCT)))))
 
 
 @query("cell_representatives", "AGG-10",
