@@ -22,12 +22,12 @@ def rank_consensus(df: DataFrame, key: str, ranks: str, threshold: float) -> Dat
 
     The denominator is the number of rank lists of the key, not the lists that reach the rank.
     """
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    c = df.select(key, F.posexplode(ranks).alias("pos", "name")).groupBy(key, "pos", "name").agg(
-        F.count(F.lit(1)).alias("k"))
-    best = c.groupBy(key, "pos").agg(F.min(F.struct((-F.col("k")).alias("neg"), F.col("name"))).alias("m"))
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    c = df.select(key, F.posexplode(ranks).alias("_pos", "_name")).groupBy(key, "_pos", "_name").agg(
+        F.count(F.lit(1)).alias("_k"))
+    best = c.groupBy(key, "_pos").agg(F.min(F.struct((-F.col("_k")).alias("neg"), F.col("_name").alias("name"))).alias("_m"))
     g = best.join(n, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.col("m.name").alias("name"), (-F.col("m.neg") / F.col("n")).alias("share")))).alias("steps"))
+        F.col("_pos").alias("pos"), F.col("_m.name").alias("name"), (-F.col("_m.neg") / F.col("_n")).alias("share")))).alias("steps"))
     stop = F.array_position(F.transform("steps", lambda s: s["share"] < threshold), True)
     kept = F.when(stop == 0, F.col("steps")).otherwise(F.slice("steps", F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0))))
     return g.select(key, F.concat_ws(";", F.transform(kept, lambda s: s["name"])).alias("lineage"))
@@ -35,10 +35,10 @@ def rank_consensus(df: DataFrame, key: str, ranks: str, threshold: float) -> Dat
 
 def dominant_lineage(df: DataFrame, key: str, lineage: str) -> DataFrame:
     """Most frequent full lineage per key, ties by text (GRF-09); never a common prefix."""
-    c = df.where(F.size(lineage) > 0).groupBy(key, lineage).agg(F.count(F.lit(1)).alias("k"))
-    best = c.groupBy(key).agg(F.min(F.struct((-F.col("k")).alias("neg"), F.concat_ws(";", lineage).alias("t"),
-                                             F.col(lineage).alias("l"))).alias("m"))
-    return best.select(key, F.col("m.l").alias("dominant"))
+    c = df.where(F.size(lineage) > 0).groupBy(key, lineage).agg(F.count(F.lit(1)).alias("_k"))
+    best = c.groupBy(key).agg(F.min(F.struct((-F.col("_k")).alias("neg"), F.concat_ws(";", lineage).alias("t"),
+                                             F.col(lineage).alias("l"))).alias("_m"))
+    return best.select(key, F.col("_m.l").alias("dominant"))
 
 
 def path_nodes(df: DataFrame, ranks: str) -> DataFrame:
