@@ -130,7 +130,7 @@ def anchored_diagonals(read_kmers: DataFrame, template_index: DataFrame, keys: l
 
     read_kmers: (keys, bin, kmer, pos); template_index: unique (bin, kmer, tpos).
     """
-    hits = read_kmers.join(template_index, ["bin", "kmer"]).withColumn("diag", F.col("tpos") - F.col("pos"))
+    hits = read_kmers.join(template_index.hint("merge"), ["bin", "kmer"]).withColumn("diag", F.col("tpos") - F.col("pos"))
     d = hits.groupBy(*keys, "diag").agg(F.count(F.lit(1)).alias("hits"), F.min("tpos").alias("t_start"),
                                         F.max("tpos").alias("t_end")).where(F.col("hits") >= min_hits)
     w = Window.partitionBy(*keys).orderBy(F.desc("hits"), "diag")

@@ -139,7 +139,7 @@ def sample_similarity(sample: DataFrame, k: int = 15) -> DataFrame:
     strands = a.withColumn("s", F.lit("+")).unionByName(r.withColumn("s", F.lit("-")))
     left = a.select("bin", "kmer", F.col("read_id").alias("a"))
     right = strands.select("bin", "kmer", "s", F.col("read_id").alias("b"))
-    sh = left.join(right, ["bin", "kmer"]).where("a <> b").groupBy("bin", "a", "b", "s").agg(F.count(F.lit(1)).alias("c"))
+    sh = left.join(right.hint("merge"), ["bin", "kmer"]).where("a <> b").groupBy("bin", "a", "b", "s").agg(F.count(F.lit(1)).alias("c"))
     j = (sh.join(size.select("bin", F.col("read_id").alias("a"), F.col("n").alias("na")), ["bin", "a"])
          .join(size.select("bin", F.col("read_id").alias("b"), F.col("n").alias("nb")), ["bin", "b"]))
     return j.groupBy("bin", "a", "b").agg(F.max(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
