@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def class_counters(hits: DataFrame, keys: list[str], cls: str) -> DataFrame:
     """Side-by-side counts per hit class; only known outside hits count as off clade (AGG-12)."""
@@ -63,7 +65,7 @@ def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
         jump = reach.select(F.col("node").alias("mid"), F.col("ancestor").alias("top"), F.col("dist").alias("d2"))
         longer = (reach.where(F.col("dist") == d).join(jump, reach["ancestor"] == jump["mid"])
                   .select("node", F.col("top").alias("ancestor"), (F.col("dist") + F.col("d2")).alias("dist")))
-        longer = longer.persist()
+        longer = cut_lineage(longer)
         if longer.isEmpty():
             break
         reach = reach.unionByName(longer)

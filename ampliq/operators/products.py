@@ -63,3 +63,18 @@ def coverage(prods: DataFrame, records: DataFrame, min_len: int, pairs: DataFram
     total = eligible.agg(F.count(F.lit(1)).alias("records"))
     return (pairs.select("pair").join(hist, "pair", "left").join(F.broadcast(total))
             .select("pair", F.coalesce("with_product", F.lit(0)).alias("with_product"), "records", "lengths"))
+
+
+def global_scan(sites: DataFrame, records: DataFrame, lo: int, hi: int, total_mm: int, evidence: int = 300):
+    """Off-target scan without a 3' rule (JOIN-09): (class counters per pair, evidence rows).
+
+    sites: all sites with at most ``total_mm`` mismatches, no exact tail; records: (read_id,
+    class). The best product of a record counts once. Evidence keeps the best rows of every
+    pair as a report; the counters are over everything.
+    """
+    from .lineage import class_counters
+    from .ranking import top_n
+    p = products(sites, lo, hi).where(F.col("l_mm") + F.col("r_mm") <= total_mm)
+    best = best_products(p).join(records.select("read_id", "class"), "read_id")
+    rows = top_n(best, ["pair"], [F.col("mm"), F.col("read_id")], evidence)
+    return class_counters(best, ["pair"], "class"), rows

@@ -219,3 +219,13 @@ SELECT read_id, pair, CASE strand WHEN '-' THEN {sql_rc('substr(seq, l_start + 1
   ELSE substr(seq, l_start + 1, bp) END AS product FROM best JOIN reads USING (read_id)""")
 def product_excision(spark, sf):
     return products.excise(_best(spark, sf), reads(spark, sf)).select("read_id", "pair", "product")
+
+
+@query("global_scan", "JOIN-09 AGG-12")
+def global_scan(spark, sf):
+    """Seedless: at five mismatches a block seed is too short to select."""
+    r = reads(spark, sf)
+    s = sites.scan_sites(r, sites.collect_patterns(panel(spark, sf)), P.GLOBAL_MAX_MM, exact_tail=0)
+    cls = r.select("read_id", F.when(F.col("library") == "en", "in").when(F.col("library") == "es", "unknown")
+                   .when(F.col("library") == "fr", "same_domain").otherwise("other_domain").alias("class"))
+    return products.global_scan(s, cls, LO, HI, P.GLOBAL_MAX_MM)[0]

@@ -152,3 +152,25 @@ def test_set_match_against_brute_force(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     got = {(r["a"], r["b"]) for r in G.set_match(d, d.withColumnRenamed("a", "b"), same=True).collect()}
     assert got == want and want
+
+
+def test_global_scan_counts_each_record_once(spark):
+    f, r = "ACGTTGCATGGATCCATGCA", "GGCATTACGATTACGATCAG"
+    amp = f + "ACCA" * 20 + rc(r)
+    bad = amp[:19] + ("A" if amp[19] != "A" else "C") + amp[20:]  # terminal 3' mismatch still counts here
+    reads = [(1, amp), (2, bad), (3, amp + "TTTTT" + amp), (4, "ACGT" * 40)]
+    rd = spark.createDataFrame(reads, "read_id long, seq string")
+    p = spark.createDataFrame([("x", f, r)], "pair string, fwd string, rev string")
+    cls = spark.createDataFrame([(1, "in"), (2, "same_domain"), (3, "unknown"), (4, "in")], "read_id long, class string")
+    s = sites.scan_sites(rd, sites.collect_patterns(p), 5, exact_tail=0)
+    counts, rows = products.global_scan(s, cls, 60, 400, 5)
+    got = counts.first()
+    assert (got["n_in"], got["n_same"], got["n_unknown"], got["off_clade"]) == (1, 1, 1, 1)
+    assert sorted(x["read_id"] for x in rows.collect()) == [1, 2, 3]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ampliq.__main__ import main
+    assert main(["list"]) == 0 and "primer_sites_mm1" in capsys.readouterr().out
+    assert main(["run", "length_class", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() > 0
