@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..operators import measure as ME
 from ..operators import membership as MB
-from ..operators import products, sites
-from .binding import MEMBERSHIP, READS, REFS, PANEL, documents, headers, HEADERS, membership, panel, reads, table
-from .panel import BASE, BEST, PRODUCTS, RATES, _best, _rates, wilson_sql
+from ..operators import sites
+from .binding import MEMBERSHIP, documents, headers, HEADERS, membership, panel, reads, table
+from .panel import BASE, BEST, PRODUCTS, RATES, _rates, wilson_sql
 from .registry import query
 
 

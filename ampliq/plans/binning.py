@@ -9,7 +9,7 @@ from ..operators import consensus as C
 from ..operators import graph as G
 from ..operators import kmers as K
 from ..operators import ranking as R
-from .binding import READS, headers, HEADERS, reads, sql_kmers, table
+from .binding import READS, reads, sql_kmers, table
 from .registry import query
 
 HITS = """hits AS (SELECT l_orderkey AS q, 50 AS qlen, l_linenumber AS qs, l_linenumber + l_quantity::INTEGER AS qe, l_suppkey % 10 AS t,

@@ -11,7 +11,7 @@ from ..functions import predicates as X
 from ..functions import thermo as T
 from ..operators import design as D
 from ..operators import sites
-from .binding import PANEL, READS, REFS, panel, reads, references, table
+from .binding import PANEL, REFS, panel, reads, references, table
 from .panel import BASE
 from .registry import query
 from .scalars import WIN_SQL

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import seq as S
 from ..functions import stats as M
 from ..operators import measure, products, sites
 from .binding import MEMBERSHIP, PANEL, READS, REFS, membership, panel, reads, sql_rc

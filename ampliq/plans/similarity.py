@@ -9,8 +9,8 @@ from ..operators import kmers as K
 from ..operators import ranking as R
 from ..operators import similarity as A
 from ..operators import sites
-from .binding import PANEL, READS, REFS, documents, panel, reads, references, sql_kmers, sql_rc, table
-from .panel import BASE, PATTERNS, PRODUCTS, BEST, _best, _sites
+from .binding import PANEL, READS, REFS, panel, reads, references, sql_kmers, sql_rc, table
+from .panel import BASE, PRODUCTS, BEST, _best, _sites
 from .registry import query
 from .scalars import CIGAR, _ambiguous_words, _cigars, WORDS_SQL, IUPAC_SQL
 
