@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import dedup
+from .quality import classify
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .token_counts import count_tokens
+from .topk_search import top_k
+from .warc import page_records, read_archives, write_archives
 
 
 @query("op10_token_counts")
@@ -28,3 +32,39 @@ FROM d""")
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op2_topk_search", """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         list_sum([z[1] * z[2] for z in list_zip(a.q, b.q)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose vec_id is divisible by 20 with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op5_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a WARC record, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    path = write_archives(page_records(table(spark, sf_dir, "pages")))
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
