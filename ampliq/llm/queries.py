@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import dedup
+from .mixing import mix
 from .quality import classify
 from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .sentence_pieces import encode
 from .token_counts import count_tokens
 from .topk_search import top_k
 from .warc import page_records, read_archives, write_archives
@@ -68,3 +70,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document of the temperature mixture in which no source is passed over more than twice."""
+    return mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
+@query("op8_sentence_pieces")
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip of every document."""
+    return encode(table(spark, sf_dir, "documents"))
