@@ -78,30 +78,25 @@ def attach(rows: DataFrame, info: DataFrame, key: str, size: str, total: int) ->
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) of the components of undirected links; root is the smallest node. A node in no link is absent.
 
-    Rounds of large-star and small-star: each node's neighbours are pointed at the smallest one. A hub's rows are only
-    ever reduced with min(), a partial aggregate; the join back splits hot hubs. Each round is written. Rounds grow with
-    the logarithm of the longest path; more than ``max_rounds`` raises.
+    Rounds of large-star and small-star. A hub's rows are only ever reduced with min(), a partial aggregate, and the join
+    back leaves a hot hub's rows where they are. Each round is written. Rounds grow with the logarithm of the longest
+    path; more than ``max_rounds`` raises.
     """
-    link = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    link = written(link, "links")
-    seen = None
+    link = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
+    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    seen = link.agg(mark).first()
     for _ in range(max_rounds):
+        # large star: of the neighbours of u, those above u go to the smallest
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-                      .select("u", F.least("u", "m").alias("m"), "n"), "low")
-        n, total, mark = low.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.xxhash64("u", "m").cast("decimal(38,0)"))).first()
-        if not n:
-            break
-        # large star: neighbours above u go to u's smallest; every node also keeps its own link to it
-        wide = attach(both, low, "u", "n", int(total))
-        link = written(wide.where("v > u and v <> m").select(F.col("m").alias("u"), "v")
-                       .unionByName(low.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-        # small star: of the smaller neighbours of v, all go to the smallest one
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        wide = attach(both, low, "u", "n", 2 * seen[0][0]).where("v > u")
+        link = written(wide.select(F.col("m").alias("u"), "v").distinct(), "links")
+        # small star: of the smaller neighbours of v, all go to the smallest
         down = written(link.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), "down")
-        link = written(link.join(down.hint("merge"), "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-                       .unionByName(down.select(F.col("m").alias("u"), "v")).distinct(), "links")
-        now = (n, mark)
-        if now == seen and not down.where("n > 1").limit(1).count():
+        rest = link.join(down.where("n > 1").hint("merge"), "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+        link = written(rest.unionByName(down.select(F.col("m").alias("u"), "v")).distinct(), "links")
+        now = link.agg(mark).first()
+        if now == seen:
             break
         seen = now
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import dedup
 from .mixing import mix
+from .ngram_join import join
 from .quality import classify
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .sentence_pieces import encode
@@ -82,3 +83,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip of every document."""
     return encode(table(spark, sf_dir, "documents"))
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document, at Jaccard 0.8 of five-word shingles."""
+    return join(table(spark, sf_dir, "documents"))

@@ -87,15 +87,15 @@ class Pieces:
     def stream(self, chars: Iterator[str]) -> Iterator[tuple[int, ...]]:
         """Ids of a stream of characters, committed as soon as every surviving path agrees on them."""
         longest, unigram = self.longest, self.unigram
-        window: list[str] = []  # characters after the last committed boundary
+        window = ""  # characters after the last committed boundary
         back, best, last = [0], [0.0], [""]  # by position within the window: start of its last piece, score of its path, the piece
         wait = 2 * longest
         for c in chars:
-            window.append(c)
+            window += c
             end = len(window)
             found = None
             for start in range(max(0, end - longest), end):
-                piece = "".join(window[start:end])
+                piece = window[start:end]
                 k = self.id.get(piece)
                 if k is None and start < end - 1:
                     continue
