@@ -48,6 +48,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """The components in the narrowest integers that hold them all."""
+    peak = int(np.abs(x).max(initial=0))
+    return x.astype(np.int8 if peak < 2**7 else np.int16 if peak < 2**15 else np.int32).tobytes()
+
+
+def _unpack(data: bytes, dim: int, rows: int) -> np.ndarray:
+    width = len(data) // max(1, dim * rows)
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 4: np.int32}.get(width, np.int8)).reshape(rows, dim).astype(np.int64)
+
+
 def _products(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products; through doubles while these are exact, as matrix products of doubles are fast."""
     peak = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
@@ -125,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             near = _distances(fq, np.zeros(len(fq)), p, up)  # a query is lifted by 0, which keeps the order of its scores
             return pa.RecordBatch.from_arrays([
                 pa.array([dim], pa.int32()), pa.array([rows.column("pivot")[0].as_py()], pa.int32()), pa.array([d.min()]), pa.array([d.max()]), pa.array([ids.tolist()], pa.list_(pa.int64())),
-                pa.array([x.tobytes()]), pa.array([q_ids.tolist()], pa.list_(pa.int64())), pa.array([q.tobytes()]), pa.array([floors], pa.list_(pa.int64())), pa.array([reach], pa.list_(pa.float64())),
+                pa.array([_pack(x)]), pa.array([q_ids.tolist()], pa.list_(pa.int64())), pa.array([_pack(q)]), pa.array([floors], pa.list_(pa.int64())), pa.array([reach], pa.list_(pa.float64())),
                 pa.array([near.tolist()], pa.list_(pa.list_(pa.float64())))], names=[c.split()[0] for c in shape.split(", ")])
 
         for batch in part:
@@ -154,18 +165,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     pairs = (asks.join(rings.select("dim", "pivot", "low", "high", "ring"), ["dim", "pivot"])
              .where((F.col("low") <= F.col("d") + F.col("reach") + slack) & (F.col("high") >= F.col("d") - F.col("reach") - slack))
              .select("asker", "ring").distinct())
-    left = rings.select(F.col("ring").alias("asker"), "dim", "askers", "ask_mat", "floors")
-    right = rings.select("ring", "ids", "mat")
-    work = pairs.join(left, "asker").join(right, "ring").repartition(partitions(spark), "asker", "ring")
+    # an annulus travels once; the queries that expand it, twenty times fewer than vectors, follow it in the stream
+    asking = pairs.join(rings.select(F.col("ring").alias("asker"), "dim", "askers", "ask_mat", "floors"), "asker")
+    work = (rings.select("ring", F.lit(0).alias("kind"), "dim", "ids", "mat", F.lit(None).cast("array<long>").alias("floors"))
+            .unionByName(asking.select("ring", F.lit(1).alias("kind"), "dim", F.col("askers").alias("ids"), F.col("ask_mat").alias("mat"), "floors"))
+            .repartition(partitions(spark), "ring").sortWithinPartitions("ring", "kind"))
 
     def expand(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = x = None
         for batch in part:
-            for r in range(len(batch)):
-                dim, get = batch.column("dim")[r].as_py(), lambda c: batch.column(c)[r].as_py()  # noqa: B023
-                q_ids, floors, ids = get("askers"), get("floors"), np.array(get("ids"), np.int64)
-                scores = _products(np.frombuffer(get("ask_mat"), np.int64).reshape(-1, dim), np.frombuffer(get("mat"), np.int64).reshape(-1, dim))
+            for row in batch.to_pylist():
+                mat = _unpack(row["mat"], row["dim"], len(row["ids"]))
+                if row["kind"] == 0:
+                    ids, x = np.array(row["ids"], np.int64), mat
+                    continue
                 out: tuple[list, list, list] = ([], [], [])
-                for s, i, f in zip(scores, q_ids, floors, strict=True):
+                for s, i, f in zip(_products(mat, x), row["ids"], row["floors"], strict=True):
                     at = np.flatnonzero((ids != i) & (s >= (np.iinfo(np.int64).min if f is None else f)))
                     at = at[_best(s[at], ids[at], k)]
                     for o, v in zip(out, ([i] * len(at), ids[at].tolist(), s[at].tolist()), strict=True):
