@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import dedup
+from .html_text import extract
+from .licenses import scan
 from .mixing import mix
 from .ngram_join import join
 from .quality import classify
@@ -89,3 +91,15 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document, at Jaccard 0.8 of five-word shingles."""
     return join(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_licenses")
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document that is a licence template, at a Dice coefficient of 0.9."""
+    return scan(table(spark, sf_dir, "documents"), least=0.9)
