@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +108,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         link.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()
 
 
+def groups(part: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys of a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in part:
+        if not len(batch):
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            key = tuple(c[lo] for c in cols)
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

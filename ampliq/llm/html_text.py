@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, short_batches, written
-from .ngram_join import _groups
+from .common import groups, partitions, short_batches, written
 
 #: Shortest repeat, in tokens; a power of two.
 MIN_RUN = 16
@@ -194,7 +193,7 @@ def extract(pages: DataFrame) -> DataFrame:
                .repartition(partitions(spark), "host", "array").sortWithinPartitions("host", "array"))
 
     def judge(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(part, ["host", "array"]):
+        for t in groups(part, ["host", "array"]):
             zones, loose, open_ = t.column("zones").to_pylist(), t.column("loose").to_pylist(), t.column("open").to_pylist()
             words = [[b.split(" ") for b in page] for page in loose]
             text = []

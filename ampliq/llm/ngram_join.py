@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bounded, components, partitions, short_batches, text_or_empty, written
+from .common import attach, bounded, components, groups, partitions, short_batches, text_or_empty, written
 
 #: Coordinates of the embedding, bucket size up to which a bucket is compared as a whole, and the last level of splitting.
 COORDS, BUCKET, LEVELS = 128, 512, 3
@@ -114,26 +114,6 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
-def _groups(part: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted stream."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in part:
-        if not len(batch):
-            continue
-        cols = [batch.column(k).to_numpy() for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-            key = tuple(c[lo] for c in cols)
-            if held and key != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric adjacency matrix."""
     out, open_ = [], np.ones(len(ids), bool)
@@ -218,7 +198,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n: int
 
     def brute(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, out = (threshold - MARGIN) * COORDS, []
-        for t in _groups(part, ["bucket", "lo", "hi"]):
+        for t in groups(part, ["bucket", "lo", "hi"]):
             ids, sig = t.column("rep").to_numpy(), _sigs(t.column("sig"))
             if len(ids) > 1:
                 near = np.array([(sig == s).sum(axis=1) >= least for s in sig])
@@ -240,7 +220,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n: int
     texts = texts.select("root", "node", "key", "text", "p.lo", "p.hi", "p.mine").repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
     def verify(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(part, ["root", "lo", "hi"]):
+        for t in groups(part, ["root", "lo", "hi"]):
             found: dict[int, tuple[int, np.ndarray]] = {}
             keys, ids, text = t.column("key").to_pylist(), t.column("node").to_pylist(), t.column("text").to_pylist()
             for i, k in enumerate(ids):
