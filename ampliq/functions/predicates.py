@@ -80,8 +80,3 @@ def composition_reason(oligo, gc_min=40.0, gc_max=60.0, max_run=4, max_last5_gc=
 def same_size(bp, expected, tolerance: int = 10) -> Column:
     """Product of the expected length within tolerance; without an expectation never (FLT-15)."""
     return F.coalesce(F.abs(col(bp) - col(expected)) <= tolerance, F.lit(False))
-
-
-def core_gate(patterns: list[str]) -> str:
-    """Alternation of 3' cores: a read without any of them cannot bind (FLT-06)."""
-    return "|".join(sorted(set(patterns)))

@@ -38,11 +38,6 @@ def revcomp(seq) -> Column:
     return F.reverse(F.translate(col(seq), ab.COMPLEMENT_FROM, ab.COMPLEMENT_TO))
 
 
-def revcomp_plain(seq) -> Column:
-    """Reverse complement where every letter outside ACGT becomes N."""
-    return revcomp(F.regexp_replace(col(seq), "[^ACGT]", "N"))
-
-
 def digits(seq) -> Column:
     """A,C,G,T -> 0,1,2,3 and anything else 4 (a code that never matches)."""
     return F.translate(F.regexp_replace(col(seq), "[^ACGT]", "4"), "ACGT", "0123")

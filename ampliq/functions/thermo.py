@@ -8,11 +8,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .. import params as P
 from .seq import col
@@ -105,53 +102,6 @@ def melting_temperature_divalent(oligo, r: P.Reaction = P.Reaction()) -> Column:
     return F.get(F.transform(F.array(_sums(o)), finish), F.lit(0))
 
 
-def _stem_energy(a: str, b: str, kelvin: float) -> float:
-    """Lowest free energy of one ungapped antiparallel stem between a and b."""
-    best, rb = 0.0, b[::-1]
-    pairs = [[x.translate(_PAIR) == y for y in rb] for x in a]
-    for shift in range(-(len(rb) - 2), len(a) - 1):
-        run = 0.0
-        for i in range(max(shift, 0), min(len(a), len(rb) + shift) - 1):
-            j = i - shift
-            if pairs[i][j] and pairs[i + 1][j + 1]:
-                h, s = ALL_STACKS.get(a[i:i + 2], (0.0, 0.0))
-                run = min(run, 0.0) + h - kelvin * s / 1000.0
-                best = min(best, run)
-            else:
-                run = 0.0
-    return best
-
-
-def _hairpin_energy(a: str, kelvin: float, loop: int = 3) -> float:
-    best = 0.0
-    for i in range(2, len(a) - loop - 1):
-        run, k = 0.0, 1
-        while i - k >= 0 and i + loop + k - 1 < len(a):
-            x, y = a[i - k], a[i + loop + k - 1]
-            if x.translate(_PAIR) != y:
-                break
-            if k > 1:
-                h, s = ALL_STACKS.get(a[i - k:i - k + 2], (0.0, 0.0))
-                run += h - kelvin * s / 1000.0
-                best = min(best, run)
-            k += 1
-    return best
-
-
-@F.pandas_udf(DoubleType())
-def dimer_dg(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Approximate duplex free energy at 60 C of two oligos (THR-04)."""
-    t = P.TA_TARGET + 273.15
-    return pd.Series([round(_stem_energy(x, y, t), 2) for x, y in zip(a, b)], dtype=np.float64)
-
-
-@F.pandas_udf(DoubleType())
-def hairpin_dg(a: pd.Series) -> pd.Series:
-    """Approximate hairpin free energy at 60 C (THR-04)."""
-    t = P.TA_TARGET + 273.15
-    return pd.Series([round(_hairpin_energy(x, t), 2) for x in a], dtype=np.float64)
-
-
 def product_class(bp) -> Column:
     b = col(bp)
     return (F.when(b.between(*P.PRODUCT_IDEAL), "ideal").when(b <= P.PRODUCT_NOT_ADVISED, "acceptable")

@@ -3,9 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,7 +209,7 @@ TWO_BASE = {"AG": "R", "CT": "Y", "CG": "S", "AT": "W", "GT": "K", "AC": "M"}
 def degenerate_primer(sites: DataFrame, key: str, tail: int = 3, max_variants: int = 4) -> DataFrame:
     """Two-base codes at the positions that gain the most member sites, 3' end fixed (DEC-19).
 
-    sites: (key, oligo, site). Counts per position and base are aggregated; the greedy step
+    sites: (key, oligo, site as the oligo reads it, on either strand). Counts per position and base are aggregated; the greedy step
     folds over the few positions of one oligo.
     """
     p = sites.select(key, "oligo", F.posexplode(F.split("site", "")).alias("k", "base")).where(F.col("base").isin(*"ACGT"))
@@ -223,7 +221,10 @@ def degenerate_primer(sites: DataFrame, key: str, tail: int = 3, max_variants: i
         F.col("m.neg").alias("neg"), (-F.col("k")).alias("nk"), F.col("m.base").alias("base")))).alias("c"))
     table = F.create_map(*[F.lit(x) for kv in TWO_BASE.items() for x in kv])
     steps = max_variants.bit_length() - 1
-    out = F.aggregate(F.slice("c", 1, steps), F.col("oligo"), lambda o, x: F.overlay(
+    # the walk ends at the first position whose own base is a code already; changes before it stand
+    bad = F.array_position(F.transform("c", lambda x: ~F.substring(F.col("oligo"), 1 - x["nk"], F.lit(1)).isin(*"ACGT")), True)
+    count = F.when(bad > 0, F.least(bad - 1, F.lit(steps))).otherwise(F.lit(steps)).cast("int")
+    out = F.aggregate(F.slice("c", F.lit(1), count), F.col("oligo"), lambda o, x: F.overlay(
         o, F.element_at(table, F.concat_ws("", F.array_sort(F.array(F.substring(o, 1 - x["nk"], F.lit(1)), x["base"])))),
         (1 - x["nk"]).cast("int"), F.lit(1)))
     every = sites.select(key, "oligo").distinct()
@@ -241,30 +242,3 @@ def gel_clashes(plate: DataFrame, key: str, min_gap: int = 10) -> DataFrame:
     b = plate.select(key, F.col("target").alias("b"), F.col("bp").alias("bp_b"), F.floor(F.col("bp") / min_gap).alias("cell"))
     return a.join(b, [key, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("bp_a") - F.col("bp_b")) < min_gap)).select(
         key, "a", "b", "bp_a", "bp_b")
-
-
-def plate_search(products: list[int], plates: int, capacity: int, trials: DataFrame, min_gap: int = 10) -> DataFrame:
-    """Random plate assignments scored in parallel (OPT-05). trials: (seed long).
-
-    ``products`` are the panel's own product lengths, one per pair of the order.
-    """
-    bp = np.array(products)
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for seed in pdf["seed"]:
-                order = np.random.default_rng(int(seed)).permutation(bp.size)
-                clashes = 0
-                for p in range(plates):
-                    x = np.sort(bp[order[p * capacity:(p + 1) * capacity]])
-                    for gap in range(1, x.size):
-                        close = x[gap:] - x[:-gap] < min_gap
-                        if not close.any():
-                            break
-                        clashes += int(close.sum())
-                rows.append((int(seed), clashes))
-            yield pd.DataFrame(rows, columns=["seed", "clashes"])
-
-    scored = trials.select("seed").mapInPandas(kernel, "seed long, clashes long")
-    return scored.orderBy("clashes", "seed").limit(1)

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -102,12 +102,13 @@ def merge_loci(decisions: DataFrame, key: list[str]) -> DataFrame:
     j = use.join(win.select(*key, F.col("w.g").alias("win"), "genera"), key)
     mine = F.col("genus") == F.col("win")
     gives = F.col("locus").isin(*SPECIES_LOCI)
-    best = F.struct(F.col("power"), F.col("aligned"), F.col("locus"), F.col("name"), F.col("species"), F.col("identity"))
+    # strongest locus, longest alignment, then the locus and name that sort first
+    best = F.struct((-F.col("power")).alias("np"), (-F.col("aligned")).alias("na"), F.col("locus"), F.col("name"), F.col("species"), F.col("identity"))
     sp = mine & gives & (F.col("level") == "species")
     cf = mine & gives & F.col("name").contains(" cf. ")
     g = j.groupBy(*key, "win", "genera").agg(
-        F.max(F.when(sp, best)).alias("sp"), F.countDistinct(F.when(sp, F.col("species"))).alias("n_species"),
-        F.max(F.when(cf, best)).alias("cf"), F.max(F.struct("aligned", "identity")).alias("longest"))
+        F.min(F.when(sp, best)).alias("sp"), F.countDistinct(F.when(sp, F.col("species"))).alias("n_species"),
+        F.min(F.when(cf, best)).alias("cf"), F.max(F.struct("aligned", "identity")).alias("longest"))
     name = (F.when(F.col("sp").isNotNull() & (F.col("n_species") > 1),
                    F.concat(F.col("win"), F.lit(" cf. "), F.element_at(F.split("sp.species", " "), -1)))
             .when(F.col("sp").isNotNull(), F.col("sp.species")).when(F.col("cf").isNotNull(), F.col("cf.name"))
@@ -206,16 +207,26 @@ def populations(best: DataFrame, bin_col: str, genus_floor: float) -> DataFrame:
 
 
 def sub_populations(pop: DataFrame, bin_col: str, min_reads: int = 10, min_share: float = 0.15) -> DataFrame:
-    """Genera large enough to be polished apart, ranked within the bin (DEC-20)."""
-    from .ranking import top_n
-    g = pop.where("species IS NULL")
-    total = g.groupBy(bin_col).agg(F.sum("n").alias("total"))
-    ok = g.join(total, bin_col).where((F.col("n") >= min_reads) & (F.col("n") / F.col("total") >= min_share))
-    return top_n(ok, [bin_col], [F.desc("n"), F.col("genus")], 1_000_000).select(bin_col, "genus", "n", "rank")
+    """Populations to be polished apart (DEC-20): bin, genus, species, n, origin.
+
+    The species groups of the dominant genus that hold enough reads and share of that genus, if
+    they are two at least; and the second genus, if it has enough reads and share of the bin.
+    pop: as from ``populations``. Equal counts are ordered by name.
+    """
+    g = pop.where("species IS NULL").select(bin_col, "genus", "n")
+    w = Window.partitionBy(bin_col).orderBy(F.desc("n"), "genus")
+    ranked = g.withColumn("rank", F.row_number().over(w)).where("rank <= 2").join(g.groupBy(bin_col).agg(F.sum("n").alias("total")), bin_col)
+    first = ranked.where("rank = 1").select(bin_col, "genus", F.col("n").alias("of"))
+    large = pop.where("species IS NOT NULL").join(first, [bin_col, "genus"]).where((F.col("n") >= min_reads) & (F.col("n") / F.col("of") >= min_share))
+    several = large.groupBy(bin_col).agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select(bin_col)
+    groups = large.join(several, bin_col, "left_semi").select(bin_col, "genus", "species", "n", F.lit("species group").alias("origin"))
+    second = ranked.where((F.col("rank") == 2) & (F.col("n") >= min_reads) & (F.col("n") / F.col("total") >= min_share))
+    return groups.unionByName(second.select(bin_col, "genus", F.lit(None).cast("string").alias("species"), "n", F.lit("second genus").alias("origin")))
 
 
 def name_level(name) -> Column:
-    """Level a reported name claims (DEC-12)."""
-    n = F.col(name) if isinstance(name, str) else name
-    return (F.when(n.startswith("cannot be named"), "none").when(n.contains(" cf. "), "candidate species")
-            .when(n.rlike(" sp\\.$"), "genus").when(n.rlike("^(Candidatus )?[A-Z][a-z]+ [a-z]"), "species").otherwise("genus"))
+    """Level a reported name claims (DEC-12): an open name is a candidate, one ending in sp. a genus,
+    two words a species, anything else and a missing name nothing."""
+    n = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+    return (F.when(n.contains("cf."), "cf.").when(n.endswith("sp."), "genus")
+            .when(n.contains(" ") & ~n.isin("cannot be named", "no match"), "species").otherwise("unnamed"))

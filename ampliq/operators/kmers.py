@@ -103,10 +103,12 @@ def read_support(candidates: DataFrame, sample: DataFrame, k: int = 21) -> DataF
         "support", F.when(F.col("total") > 0, 100.0 * F.col("found") / F.col("total")))
 
 
-def choose_supported(support: DataFrame) -> DataFrame:
-    """Within one point of the best support: fewest N, then longest, then set name."""
-    top = support.groupBy("bin").agg(F.max("support").alias("top"))
-    near = support.join(top, "bin").where(F.col("support") >= F.col("top") - 1.0)
-    best = near.groupBy("bin").agg(F.min(F.struct(
-        F.col("n_count"), (-F.col("len")).alias("neg"), F.col("set"), F.col("support"))).alias("m"))
-    return best.select("bin", "m.set", "m.support", "m.n_count", (-F.col("m.neg")).alias("len"))
+def choose_supported(support: DataFrame, max_n_percent: float = 50.0, band: float = 1.0) -> DataFrame:
+    """Best consensus per bin (AGG-14): of those with few enough N, within a band of the best support,
+    least N per cent, then longest, then best supported, then set name. support: as from ``read_support``."""
+    s = (support.withColumn("n_percent", 100.0 * F.col("n_count") / F.col("len")).where(F.col("n_percent") <= max_n_percent)
+         .withColumn("support", F.coalesce("support", F.lit(0.0))))
+    top = s.groupBy("bin").agg(F.max("support").alias("top"))
+    near = s.join(top, "bin").where(F.col("support") >= F.col("top") - band)
+    best = near.groupBy("bin").agg(F.min(F.struct("n_percent", (-F.col("len")).alias("neg"), (-F.col("support")).alias("ns"), "set")).alias("m"))
+    return best.select("bin", "m.set", (-F.col("m.ns")).alias("support"), "m.n_percent", (-F.col("m.neg")).alias("len"))

@@ -52,22 +52,25 @@ def path_nodes(df: DataFrame, ranks: str) -> DataFrame:
             .withColumn("name", F.regexp_extract("path", "[^;]*$", 0)))
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, dist) including the node itself, by repeated squaring.
 
-    ``edges`` is (child, parent) of a forest. Each round joins paths of length d with paths
-    of length d, so depth D needs log2(D) joins; a cycle stops at ``max_depth``.
+    ``edges`` is (child, parent) of a forest; a root may name itself. Each round joins paths of
+    length d with all paths, so depth D needs log2(D) joins. A node that reaches itself raises.
     """
+    edges = edges.where("child <> parent")
     nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
     step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("dist"))
     reach, d = step, 1
-    while d < max_depth:
+    while True:
         jump = reach.select(F.col("node").alias("mid"), F.col("ancestor").alias("top"), F.col("dist").alias("d2"))
         longer = (reach.where(F.col("dist") == d).join(jump, reach["ancestor"] == jump["mid"])
                   .select("node", F.col("top").alias("ancestor"), (F.col("dist") + F.col("d2")).alias("dist")))
         longer = cut_lineage(longer)
         if longer.isEmpty():
             break
+        if not longer.where("node = ancestor").isEmpty():
+            raise ValueError("the edges hold a cycle")
         reach = reach.unionByName(longer)
         d *= 2
     return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")).unionByName(reach)
@@ -84,16 +87,14 @@ def clade_rollup(counts: DataFrame, close: DataFrame) -> DataFrame:
         F.sum("n").alias("clade"), F.sum(F.when(F.col("dist") == 0, F.col("n")).otherwise(0)).alias("direct"))
 
 
-def parents_from_order(rows: DataFrame, file: str, pos: str, depth: str, node: str, max_depth: int = 64) -> DataFrame:
+def parents_from_order(rows: DataFrame, file: str, pos: str, depth: str, node: str) -> DataFrame:
     """Parent of each indented row: the last earlier row that is one level up (SRC-07).
 
-    One running aggregate per level keeps the latest row of that level; no earlier rows are
-    collected and no pairs are formed. Reports are separate files, so each window is one report.
+    Each row stands in the window of its own level as a possible parent and in that of the
+    level above as a child that looks back, so any depth takes two rows and one window.
     """
-    w = Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    levels = []
-    for d in range(max_depth):
-        levels.append(F.max(F.when(F.col(depth) == d, F.struct(F.col(pos).alias("p"), F.col(node).alias("v")))).over(w))
-    above = F.array(*levels)
-    return rows.withColumn("_l", above).withColumn("parent", F.when(
-        F.col(depth) > 0, F.get(F.col("_l"), F.col(depth) - 1)["v"])).drop("_l")
+    stood = rows.withColumn("_level", F.col(depth)).withColumn("_v", F.col(node)).withColumn("_asks", F.lit(False))
+    asks = rows.withColumn("_level", F.col(depth) - 1).withColumn("_v", F.lit(None).cast(rows.schema[node].dataType)).withColumn("_asks", F.lit(True))
+    w = Window.partitionBy(file, "_level").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    seen = stood.unionByName(asks).withColumn("parent", F.last("_v", ignorenulls=True).over(w))
+    return seen.where("_asks").drop("_level", "_v", "_asks")

@@ -55,10 +55,6 @@ def separation(rates: DataFrame, membership: DataFrame, min_reads: int = P.MIN_C
             .withColumn("fold_worst_covered", M.ratio("covered_low", "worst_high")))
 
 
-def is_universal(target: Column, level: Column) -> Column:
-    return F.lower(target).contains("universal") | (F.lower(F.trim(F.coalesce(level, F.lit("")))) == "domain")
-
-
 def panel_decision(sep: DataFrame, universal: Column | None = None,
                    threshold: float = P.FOLD_THRESHOLD) -> DataFrame:
     """Verdict on the worst competitor bin, falling back to the pool, else not measurable (DEC-09)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as M
@@ -15,12 +15,15 @@ MEMBER_SHARE, MIXED_SHARE = 0.50, 0.15
 def keyword_pool(records: DataFrame, keys: DataFrame, min_len: int) -> DataFrame:
     """Records whose header contains any key of a class (JOIN-17).
 
-    keys: (class, key). Keys are single words, so they meet the distinct words of a header
-    in an equi-join; a record matching several keys of a class counts once.
+    keys: (class, key), a control table of a few hundred rows at most, so it travels as one row.
+    A key is found anywhere in a header, also within a word; a record matching several keys of a
+    class counts once.
     """
-    words = records.where(F.length("seq") >= min_len).select("rec_id", F.explode(F.array_distinct(
-        F.split(F.lower("header"), "[^a-z0-9]+"))).alias("key"))
-    return words.join(keys.withColumn("key", F.lower("key")).distinct(), "key").select("class", "rec_id").distinct()
+    k = keys.select("class", F.lower("key").alias("key")).where("key <> ''").distinct()
+    one = F.broadcast(k.agg(F.collect_list(F.struct("class", "key")).alias("keys")))
+    h = records.where(F.length("seq") >= min_len).select("rec_id", F.lower("header").alias("h")).crossJoin(one)
+    found = F.array_distinct(F.transform(F.filter("keys", lambda x: F.contains(F.col("h"), x["key"])), lambda x: x["class"]))
+    return h.select(F.explode(found).alias("class"), "rec_id").distinct()
 
 
 def resolve_context(targets: DataFrame, explicit: DataFrame, alias: DataFrame, bins: DataFrame) -> DataFrame:
@@ -42,21 +45,31 @@ def resolve_context(targets: DataFrame, explicit: DataFrame, alias: DataFrame, b
 
 
 def related_classes(pairs: DataFrame) -> DataFrame:
-    """Symmetric class relation including the class itself (JOIN-20). pairs: (a, b)."""
+    """Classes whose bins compete with a class: itself and its relatives (JOIN-20). pairs: (a, b)."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = both.select("a", F.col("a").alias("b"))
     return both.union(own).distinct()
 
 
-def order_mapping(left: DataFrame, right: DataFrame, cls: str, a: str, b: str) -> DataFrame:
-    """i-th of one sorted list with i-th of the other, only where the counts agree (JOIN-21).
+def competitor_bins(targets: DataFrame, bins: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Bins of a target's class and of its related classes, per target (JOIN-20).
 
-    Lists are directory listings: a class has a handful of entries.
+    targets: (target, class); bins: (bin, class); pairs: (a, b) related classes.
     """
-    la = left.groupBy(cls).agg(F.sort_array(F.collect_set(a)).alias("la"))
-    lb = right.groupBy(cls).agg(F.sort_array(F.collect_set(b)).alias("lb"))
-    j = la.join(lb, cls).where(F.size("la") == F.size("lb"))
-    return j.select(cls, F.explode(F.arrays_zip("la", "lb")).alias("z")).select(cls, F.col("z.la").alias(a), F.col("z.lb").alias(b))
+    own = targets.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
+    near = related_classes(pairs).union(own).distinct()
+    return (targets.join(near, targets["class"] == near["a"]).select("target", F.col("b").alias("class")).distinct()
+            .join(bins, "class").select("target", "bin").distinct())
+
+
+def order_mapping(left: DataFrame, right: DataFrame, cls: str, a: str, b: str) -> DataFrame:
+    """i-th of one sorted list with i-th of the other, only where the counts agree (JOIN-21)."""
+    def numbered(df, value):
+        d = df.select(cls, value).distinct()
+        n = d.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
+        return d.withColumn("_i", F.row_number().over(Window.partitionBy(cls).orderBy(value))).join(n, cls)
+
+    return numbered(left, a).join(numbered(right, b), [cls, "_i", "_n"]).select(cls, a, b)
 
 
 def resolve_names(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -76,10 +89,13 @@ def resolve_names(refs: DataFrame, targets: DataFrame) -> DataFrame:
 def expand_wildcards(rules: DataFrame, bins: DataFrame) -> DataFrame:
     """Membership cells resolved to bins (JOIN-26).
 
-    rules: (target, pattern, excluded ARRAY): '*A' is every bin of class A, anything else one
-    bin. bins: (bin, class).
+    rules: (target, pattern, excluded ARRAY): '*A' is every bin of a class that begins with A,
+    anything else one bin. bins: (bin, class). Beginnings of class names meet the patterns in an
+    equi-join.
     """
-    w = rules.where(F.col("pattern").startswith("*")).withColumn("class", F.substring("pattern", 2, 100)).join(bins, "class")
+    starts = bins.select("class").distinct().select("class", F.explode(F.transform(
+        F.sequence(F.lit(0), F.length("class")), lambda i: F.concat(F.lit("*"), F.substring(F.col("class"), F.lit(1), i)))).alias("pattern"))
+    w = rules.where(F.col("pattern").startswith("*")).join(starts, "pattern").join(bins, "class")
     e = rules.where(~F.col("pattern").startswith("*")).withColumn("bin", F.col("pattern")).join(bins, "bin", "left_semi")
     allr = w.select("target", "bin", "excluded").unionByName(e.select("target", "bin", "excluded"))
     return allr.where(~F.array_contains("excluded", F.col("bin"))).select("target", "bin").distinct()
@@ -154,12 +170,16 @@ def source_precedence(sources: DataFrame, order: list[str]) -> DataFrame:
 
 
 def fill_codes(core, reference) -> Column:
-    """Ambiguous bases from a reference of the same length, else the first base of the code (WIN-16)."""
+    """Ambiguous bases from a reference of the same length, else the first base of the code (WIN-16).
+
+    With such a reference every letter that is no base, N too, takes the reference's base or the first base of its code;
+    without one an N stays N. A letter that is no code gives N.
+    """
     from ..functions import alphabet as ab
     c, r = F.col(core), F.col(reference)
-    first = F.create_map(*[F.lit(x) for k, v in ab.IUPAC.items() for x in (k, v[0])])
-    return F.concat_ws("", F.zip_with(F.split(c, ""), F.split(F.when(F.length(r) == F.length(c), r).otherwise(F.repeat(F.lit("-"), F.length(c))), ""),
-                                      lambda x, y: F.when(x.isin(*"ACGT"), x).when(y.isin(*"ACGT"), y).otherwise(F.coalesce(F.element_at(first, x), F.lit("N")))))
+    first = F.create_map(*[F.lit(x) for k, v in ab.IUPAC.items() if k != "N" for x in (k, v[0])])
+    return F.concat_ws("", F.zip_with(F.split(c, ""), F.split(F.when(F.length(r) == F.length(c), r).otherwise(c), ""),
+                                      lambda x, y: F.when(x.isin(*"ACGT"), x).otherwise(F.coalesce(F.element_at(first, y), F.lit("N")))))
 
 
 def capped_species(records: DataFrame, max_species: int, max_records: int) -> DataFrame:

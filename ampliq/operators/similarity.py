@@ -3,9 +3,8 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -17,6 +16,8 @@ from . import ranking as R
 SEED_LENGTH, SEED_STEP = 16, 25
 LENGTH_WEIGHT = 0.75
 SHORTLIST = 500
+# Fixed value: reads below it have no orientation.
+ORIENTATION_MIN = 200
 
 
 def query_seeds(queries: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def shortlist(queries: DataFrame, records: DataFrame, top: int = SHORTLIST, guar
     sides, which adaptive execution splits when the seed table is too large to broadcast.
     """
     rec = records.where(F.length("seq") >= 100)
-    stats = rec.agg(F.count(F.lit(1)).alias("N"), F.avg(F.length("seq")).alias("mean_len"))
+    stats = records.agg(F.count(F.when(F.length("seq") >= 100, 1)).alias("N"), F.avg(F.length("seq")).alias("mean_len"))
     hits = (K.positions(rec, SEED_LENGTH, keep=["rec_id"]).drop("pos").join(query_seeds(queries), "kmer")
             .select("query_id", "rec_id", "kmer").distinct())
     df = hits.groupBy("query_id", "kmer").agg(F.count(F.lit(1)).alias("df"))
@@ -53,32 +54,48 @@ def shortlist(queries: DataFrame, records: DataFrame, top: int = SHORTLIST, guar
     order = [F.desc("score"), F.col("header"), F.col("rec_id")]
     if guaranteed is None:
         return R.top_n(scored, ["query_id"], order, top)
-    # guaranteed records do not take a place: their rank is 1 + the others that score higher
+    # guaranteed records do not take a place: their rank is 1 + the others that score higher, over all scored records.
+    # Distinct scores are counted first, so the running count orders a few values of a query and not its records
     plain = R.top_n(scored.where(~guaranteed), ["query_id"], order, top).withColumn("source", F.lit("seed"))
-    extra = scored.where(guaranteed)
-    higher = (extra.select("query_id", "rec_id", F.col("score").alias("gs"))
-              .join(plain.select("query_id", F.col("score").alias("ps")), "query_id", "left")
-              .groupBy("query_id", "rec_id").agg((F.count(F.when(F.col("ps") > F.col("gs"), 1)) + 1).cast("int").alias("rank")))
-    extra = extra.join(higher, ["query_id", "rec_id"])
+    scores = scored.groupBy("query_id", "score").agg(F.count(F.when(~guaranteed, 1)).alias("n"))
+    above = Window.partitionBy("query_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = scores.select("query_id", "score", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    extra = scored.where(guaranteed).join(ranks, ["query_id", "score"])
     extra = extra.withColumn("source", F.when(F.col("rank") <= top, "seed").otherwise("guaranteed"))
     return plain.unionByName(extra.select(plain.columns))
 
 
 def infix_distance(query: str, target: str) -> int:
-    """Edits to place the whole query somewhere inside the target; N never matches."""
-    q = np.frombuffer(query.encode(), dtype=np.uint8)
-    t = np.frombuffer(target.encode(), dtype=np.uint8)
-    if t.size == 0:
-        return int(q.size)
-    idx = np.arange(t.size + 1, dtype=np.int32)
-    row = np.zeros(t.size + 1, dtype=np.int32)
-    for i, c in enumerate(q, start=1):
-        differs = (t != c) | (c == ord("N"))
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + differs, row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - idx) + idx
-    return int(row.min())
+    """Edits to place the whole query somewhere inside the target; N never matches.
+
+    The column of the edit matrix is held as two bit vectors of its vertical steps, one bit per
+    query base in one Python integer, so a target base costs a few whole-vector operations.
+    Once the rest of the target cannot better the best end found, the walk stops.
+    """
+    size, left = len(query), len(target)
+    if not size or not left:
+        return size
+    where: dict[str, int] = {}
+    for i, base in enumerate(query):
+        if base != "N":
+            where[base] = where.get(base, 0) | 1 << i
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, score, best = full, 0, size, size
+    for base in target:
+        match = where.get(base, 0)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        rises, falls = down | (full & ~(diagonal | up)), up & diagonal
+        if rises & top:
+            score += 1
+        elif falls & top:
+            score -= 1
+            best = min(best, score)
+        left -= 1
+        if score - left >= best:
+            break
+        rises, falls = rises << 1 & full, falls << 1 & full
+        up, down = falls | (full & ~(diagonal | rises)), rises & diagonal
+    return best
 
 
 @F.pandas_udf(IntegerType())
@@ -191,12 +208,14 @@ def unique_best(hits: DataFrame, key: str, target: str, score: str) -> DataFrame
 
 
 def orientation_call(votes: DataFrame) -> DataFrame:
-    """Orientation from two independent criteria (ALN-14). votes: (id, f1, r1, f2, r2).
+    """Orientation from two independent criteria (ALN-14). votes: (id, length, f1, r1, f2, r2).
 
-    Both silent or disagreeing stays undecided and is never flipped.
+    Both silent or disagreeing stays undecided and is never flipped; so does a read too short to
+    hold all motifs, whatever its counts.
     """
+    long = F.col("length") >= ORIENTATION_MIN
     def side(f, r):
-        return F.when(F.col(f) > F.col(r), "forward").when(F.col(r) > F.col(f), "reverse")
+        return F.when(long & (F.col(f) > F.col(r)), "forward").when(long & (F.col(r) > F.col(f)), "reverse")
 
     a, b = side("f1", "r1"), side("f2", "r2")
     return votes.select("*", F.when(a.isNotNull() & b.isNotNull() & (a == b), a).when(a.isNotNull() & b.isNotNull(), "undecided")

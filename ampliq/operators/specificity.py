@@ -65,7 +65,7 @@ def leak_aware(counts: DataFrame, cap: float, leak_cap: float, min_reads: int) -
 
 
 def _cross_level(target_low: Column, rival_low: Column) -> Column:
-    return F.when(rival_low <= 0.01, 0).when((rival_low <= 0.10) & (target_low >= 10 * rival_low), 1).otherwise(2)
+    return F.when(rival_low <= 0.02, 0).when((rival_low <= 0.10) & (target_low >= 10 * rival_low), 1).otherwise(2)
 
 
 def two_denominators(counts: DataFrame) -> DataFrame:

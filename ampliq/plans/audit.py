@@ -13,11 +13,11 @@ from .registry import query
 
 
 @query("keyword_pool", "JOIN-17",
-       f"""WITH {HEADERS}, k(class, key) AS (VALUES ('A', 'bacteria'), ('A', 'archaea'), ('B', 'fungi'), ('B', 'eukaryota'))
-SELECT DISTINCT class, database, doc_id, idx FROM headers JOIN k ON list_contains(string_split_regex(lower(header), '[^a-z0-9]+'), key) WHERE length(header) >= 50""")
+       f"""WITH {HEADERS}, k(class, key) AS (VALUES ('A', 'bacteria'), ('A', 'archaea'), ('B', 'fungi'), ('B', 'mycota'), ('B', 'us b'))
+SELECT DISTINCT class, database, doc_id, idx FROM headers JOIN k ON contains(lower(header), lower(key)) WHERE length(header) >= 50""")
 def keyword_pool(spark, sf):
     h = headers(spark, sf).select(F.struct("database", "doc_id", "idx").alias("rec_id"), "header", F.col("header").alias("seq"))
-    k = spark.createDataFrame([("A", "bacteria"), ("A", "archaea"), ("B", "fungi"), ("B", "eukaryota")], "class string, key string")
+    k = spark.createDataFrame([("A", "bacteria"), ("A", "archaea"), ("B", "fungi"), ("B", "mycota"), ("B", "us b")], "class string, key string")
     return MB.keyword_pool(h, k, 50).select("class", "rec_id.database", "rec_id.doc_id", "rec_id.idx")
 
 
@@ -42,11 +42,11 @@ def target_context(spark, sf):
 
 @query("order_mapping", "JOIN-21",
        """WITH l AS (SELECT s_nationkey AS class, s_name AS a, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS rn, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
-r AS (SELECT class, b, row_number() OVER (PARTITION BY class ORDER BY b) AS rn, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT p_size % 25 AS class, p_brand AS b FROM part WHERE p_retailprice < 905))
+r AS (SELECT class, b, row_number() OVER (PARTITION BY class ORDER BY b) AS rn, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT o_custkey % 25 AS class, o_orderpriority AS b FROM orders))
 SELECT l.class, a, b FROM l JOIN r ON l.class = r.class AND l.rn = r.rn AND l.n = r.n""")
 def order_mapping(spark, sf):
     left = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("class"), F.col("s_name").alias("a"))
-    right = table(spark, sf, "part").where("p_retailprice < 905").select((F.col("p_size") % 25).alias("class"), F.col("p_brand").alias("b"))
+    right = table(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("class"), F.col("o_orderpriority").alias("b"))
     return MB.order_mapping(left, right, "class", "a", "b")
 
 
@@ -104,12 +104,12 @@ def membership_scenarios(spark, sf):
 
 
 @query("level_test", "DEC-16",
-       """WITH p AS (SELECT c_nationkey AS target, o_orderpriority AS species, left(o_orderpriority, 1) < '3' AS g, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 499000 GROUP BY ALL),
+       """WITH p AS (SELECT c_nationkey AS target, o_orderpriority AS species, left(o_orderpriority, 1) < '3' AS g, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 t AS (SELECT n_nationkey AS target, '1-URGENT' AS species, true AS g FROM nation),
 s AS (SELECT p.target, sum(n) AS records, coalesce(sum(n) FILTER (p.species = t.species), 0) AS own_species, coalesce(sum(n) FILTER (p.g = t.g), 0) AS own_genus FROM p JOIN t USING (target) GROUP BY 1)
 SELECT t.target, CASE WHEN records IS NULL THEN 'NO PANEL' WHEN own_species = records THEN 'SPECIES SPECIFIC' WHEN own_genus = records THEN 'GENUS SPECIFIC' ELSE 'NOT SPECIFIC' END AS level FROM t LEFT JOIN s USING (target)""")
 def level_test(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 499000").withColumnRenamed("o_custkey", "c_custkey").join(table(spark, sf, "customer"), "c_custkey")
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey").join(table(spark, sf, "customer"), "c_custkey")
     p = o.groupBy(F.col("c_nationkey").alias("target"), F.col("o_orderpriority").alias("species"), (F.left("o_orderpriority", F.lit(1)) < "3").alias("genus")).agg(
         F.count(F.lit(1)).alias("n"))
     t = table(spark, sf, "nation").select(F.col("n_nationkey").alias("target"), F.lit("1-URGENT").alias("species"), F.lit(True).alias("genus"))
@@ -128,15 +128,15 @@ def source_precedence(spark, sf):
 
 
 @query("template_fill", "WIN-16",
-       """WITH p AS (SELECT conv_id, turn, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTRYSWKMBDHVN]', '', 'g') AS core, lead(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+       """WITH p AS (SELECT conv_id, turn, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTRYSWKMBDHVN]', '', 'g') AS core, lead(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTRYSWKMBDHVN]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
 c AS (SELECT conv_id, turn, core, coalesce(ref, '') AS ref FROM p WHERE core <> ''),
-x AS (SELECT conv_id, turn, i, substr(core, i, 1) AS a, CASE WHEN length(ref) = length(core) THEN substr(ref, i, 1) ELSE '-' END AS b FROM (SELECT *, unnest(range(1, length(core) + 1)) AS i FROM c))
-SELECT conv_id, turn, md5(string_agg(CASE WHEN a IN ('A','C','G','T') THEN a WHEN b IN ('A','C','G','T') THEN b WHEN a IN ('R','W','M','D','H','V','N') THEN 'A' WHEN a IN ('Y','S','B') THEN 'C' WHEN a = 'K' THEN 'G' END, '' ORDER BY i)) AS filled_md5 FROM x GROUP BY ALL""")
+x AS (SELECT conv_id, turn, i, substr(core, i, 1) AS a, CASE WHEN length(ref) = length(core) THEN substr(ref, i, 1) ELSE substr(core, i, 1) END AS b FROM (SELECT *, unnest(range(1, length(core) + 1)) AS i FROM c))
+SELECT conv_id, turn, md5(string_agg(CASE WHEN a IN ('A','C','G','T') THEN a WHEN b IN ('A','R','W','M','D','H','V') THEN 'A' WHEN b IN ('C','Y','S','B') THEN 'C' WHEN b IN ('G','K') THEN 'G' WHEN b = 'T' THEN 'T' ELSE 'N' END, '' ORDER BY i)) AS filled_md5 FROM x GROUP BY ALL""")
 def template_fill(spark, sf):
     from pyspark.sql import Window
     c = table(spark, sf, "conversations")
     up = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    ref = F.lead(F.regexp_replace(up, "[^ACGT]", "")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    ref = F.lead(F.regexp_replace(up, "[^ACGTRYSWKMBDHVN]", "")).over(Window.partitionBy("conv_id").orderBy("turn"))
     c = c.select("conv_id", "turn", F.regexp_replace(up, "[^ACGTRYSWKMBDHVN]", "").alias("core"), F.coalesce(ref, F.lit("")).alias("ref"))
     return c.where("core <> ''").select("conv_id", "turn", F.md5(MB.fill_codes("core", "ref")).alias("filled_md5"))
 
@@ -174,11 +174,11 @@ def class_representatives(spark, sf):
 # ---- audits -------------------------------------------------------------------------------
 
 @query("audit_key_gaps", "AUD-01 AUD-12",
-       """SELECT k, 'right' AS missing_in FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 350000) UNION ALL
-SELECT k, 'left' FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 350000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+       """SELECT k, 'right' AS missing_in FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT user_id FROM events) UNION ALL
+SELECT k, 'left' FROM (SELECT user_id AS k FROM events EXCEPT SELECT c_custkey FROM customer)""")
 def audit_key_gaps(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
-    o = table(spark, sf, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("k"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(spark, sf, "events").select(F.col("user_id").alias("k"))
     return A.missing_keys(c, o, ["k"])
 
 

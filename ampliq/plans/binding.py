@@ -17,12 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores before per-row work multiplies its rows.
-
-    A large input has more splits than cores and is left where it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """The scan as it is; where the session sets ampliq.spread (bench and tests, whose files are one row group), over so many tasks."""
+    tasks = int(df.sparkSession.conf.get("ampliq.spread", "0"))
+    return df.repartition(tasks, key) if tasks else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +82,7 @@ MEMBERSHIP = """membership AS (SELECT bin, CASE WHEN share >= 0.6 THEN 'member'
 
 
 def _title(w):
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,11 +145,11 @@ def collapse_threshold(spark, sf):
     return C.collapse_threshold(s, "l_suppkey")
 
 
-AB = """ab AS (SELECT year(o_orderdate)::VARCHAR AS sample, 'N' || c_nationkey AS taxon, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000 GROUP BY ALL)"""
+AB = """ab AS (SELECT year(o_orderdate)::VARCHAR AS sample, 'N' || c_nationkey AS taxon, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"""
 
 
 def _abundance(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.year("o_orderdate").cast("string").alias("sample"), F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").cast("string").alias("sample"), F.col("o_custkey").alias("c_custkey"))
     return o.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey").groupBy(
         "sample", F.concat(F.lit("N"), "c_nationkey").alias("taxon")).agg(F.count(F.lit(1)).alias("n"))
 

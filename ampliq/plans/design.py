@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import predicates as X
+from ..functions import seq as S
 from ..functions import thermo as T
 from ..operators import design as D
 from ..operators import sites
-from .binding import PANEL, REFS, panel, reads, references, table
+from .binding import PANEL, REFS, panel, reads, references, sql_rc, table
 from .panel import BASE
 from .registry import query
 from .scalars import WIN_SQL
@@ -54,13 +55,6 @@ def tm_agreement(spark, sf):
     return k.groupBy("target").agg(F.count(F.lit(1)).alias("kept"), F.max(F.round("offset", 3)).alias("offset"))
 
 
-@query("structure_energies", "THR-04")
-def structure_energies(spark, sf):
-    p = panel(spark, sf)
-    return p.select("pair", T.hairpin_dg("fwd").alias("hairpin_f"), T.dimer_dg("fwd", "fwd").alias("homodimer_f"),
-                    T.dimer_dg("fwd", "rev").alias("heterodimer"))
-
-
 @query("oligo_violations", "FLT-01",
        f"""WITH {REFS}, {WIN_SQL}, {TM_SQL} SELECT ref_id AS target, dir, array_to_string(list_filter([CASE WHEN gc NOT BETWEEN 40 AND 60 THEN 'gc' END,
   CASE WHEN tm NOT BETWEEN 58 AND 62 THEN 'tm' END, CASE WHEN right(oligo, 1) NOT IN ('G', 'C') THEN 'end_not_gc' END,
@@ -116,13 +110,14 @@ def cell_representatives(spark, sf):
 
 @query("round_robin_pick", "WIN-02 OPT-01",
        f"""WITH {REFS}, {WIN_SQL}, {TM_SQL}, {MASK_SQL}, co(st, pi, ui, ord) AS (VALUES {_ORDER}),
-s AS (SELECT p.target, f_pos, r_end, fwd, rev, bp, min(ord) AS ord FROM pairs p JOIN co ON (pm >> co.pi) & 1 = 1 JOIN uc ON uc.ui = co.ui AND bp BETWEEN b1 AND b2 GROUP BY ALL),
-r AS (SELECT target, pi * 10 + ui AS cell, st AS strictness, fwd, rev, bp, row_number() OVER (PARTITION BY target, pi * 10 + ui ORDER BY abs(bp - 105), f_pos, r_end, fwd, rev) AS turn FROM s JOIN co USING (ord)),
-k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, strictness, cell) AS pick FROM r WHERE turn <= 6)
+s AS (SELECT p.target, f_pos, r_end, fwd, rev, bp, f_tm, r_tm, min(ord) AS ord FROM pairs p JOIN co ON (pm >> co.pi) & 1 = 1 JOIN uc ON uc.ui = co.ui AND bp BETWEEN b1 AND b2 GROUP BY ALL),
+r AS (SELECT target, pi * 10 + ui AS cell, st AS strictness, fwd, rev, bp, row_number() OVER (PARTITION BY target, pi * 10 + ui ORDER BY abs(bp - 105), round(abs(f_tm - r_tm), 6), f_pos, r_end, fwd, rev) AS turn FROM s JOIN co USING (ord)),
+k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, strictness, cell) AS pick FROM r)
 SELECT target, cell, fwd, rev, pick FROM k WHERE pick <= 12""")
 def round_robin_pick(spark, sf):
-    r = D.cell_representatives(_pairs(spark, sf)).drop("rank")
-    order = [F.abs(F.col("bp") - P.REPRESENTATIVE_BP), F.col("f_pos"), F.col("r_end"), F.col("fwd"), F.col("rev")]
+    # every pair of every cell takes part: the representatives of a report would leave some out
+    r = D.with_strictest_cell(_pairs(spark, sf)).where("strictness IS NOT NULL").withColumn("cell", F.col("pi") * 10 + F.col("ui"))
+    order = [F.abs(F.col("bp") - P.REPRESENTATIVE_BP), F.round(F.abs(F.col("f_tm") - F.col("r_tm")), 6), F.col("f_pos"), F.col("r_end"), F.col("fwd"), F.col("rev")]
     return D.round_robin(r, "target", "cell", "strictness", order, 12).select("target", "cell", "fwd", "rev", "pick")
 
 
@@ -158,19 +153,26 @@ def arms_variants(spark, sf):
 
 
 @query("discriminating_base", "DEC-17",
-       f"""{BASE}, fs AS (SELECT pair, read_id, mm, lang FROM sites JOIN documents ON doc_id = read_id WHERE side = 'L' AND strand = '+')
-SELECT pair, min(mm) FILTER (lang = 'en') AS member, min(mm) FILTER (lang <> 'en') AS rival_exact, min(mm) FILTER (lang <> 'en') AS rival_any,
-  coalesce(min(mm) FILTER (lang = 'en') <= 1 AND min(mm) FILTER (lang <> 'en') IS NOT NULL AND false, false) AS discriminating FROM fs GROUP BY 1""")
+       f"""WITH {REFS}, {PANEL}, o AS (SELECT ref_id, seq FROM refs UNION ALL SELECT ref_id, {sql_rc('seq')} FROM refs),
+h AS (SELECT pair, CASE WHEN ref_id % 2 = 0 THEN 'member' ELSE 'competitor' END AS role, hamming(substr(seq, i, 20), fwd) AS mm, substr(seq, i + 19, 1) = right(fwd, 1) AS exact
+  FROM (SELECT *, unnest(range(1, length(seq) - 18)) AS i FROM o) CROSS JOIN panel WHERE hamming(substr(seq, i, 20), fwd) <= 4),
+g AS (SELECT pair, min(mm) FILTER (role = 'member' AND exact) AS member, min(mm) FILTER (role = 'competitor' AND exact) AS rival_exact, min(mm) FILTER (role = 'competitor') AS rival_any FROM h GROUP BY 1)
+SELECT *, coalesce(member <= 1 AND rival_any IS NOT NULL AND (rival_exact IS NULL OR rival_exact > rival_any), false) AS discriminating FROM g""")
 def discriminating_base(spark, sf):
-    s = sites.seeded_sites(reads(spark, sf), panel(spark, sf), 1, shortest=20, longest=20).where("side = 'L' AND strand = '+'")
-    lang = reads(spark, sf).select("read_id", "library")
-    b = s.join(lang, "read_id").select("pair", F.when(F.col("library") == "en", "member").otherwise("competitor").alias("role"),
-                                       F.lit(True).alias("exact"), F.col("mm").cast("long").alias("mm"))
+    refs = references(spark, sf).select(F.col("ref_id").alias("read_id"), "seq")
+    p = panel(spark, sf).select("pair", "fwd", F.col("fwd").alias("rev"))
+    s = sites.scan_sites(refs, [x for x in sites.collect_patterns(p) if x[1] == "+"], 4, exact_tail=0)
+    # the 3' base of the oligo: the last base of a forward site, the first of a reverse one
+    end = F.when(F.col("side") == "L", F.substring(F.col("seq"), F.col("start") + F.col("site_len"), F.lit(1))).otherwise(
+        S.revcomp(F.substring(F.col("seq"), F.col("start") + 1, F.lit(1))))
+    b = s.join(refs, "read_id").join(p.select("pair", "fwd"), "pair").select(
+        "pair", F.when(F.col("read_id") % 2 == 0, "member").otherwise("competitor").alias("role"), (end == F.right("fwd", F.lit(1))).alias("exact"), F.col("mm").cast("long").alias("mm"))
     return D.discriminating_base(b, "pair")
 
 
-@query("degenerate_primers", "DEC-19 AGG-16",
-       f"""{BASE}, m AS (SELECT pair, fwd, substr(seq, start + 1, 20) AS site FROM sites JOIN reads USING (read_id) JOIN panel USING (pair) WHERE side = 'L' AND strand = '+'),
+@query("degenerate_primers", "DEC-19",
+       f"""{BASE}, m AS (SELECT pair, fwd, CASE strand WHEN '+' THEN substr(seq, start + 1, 20) ELSE {sql_rc('substr(seq, start + 1, 20)')} END AS site FROM sites JOIN reads USING (read_id) JOIN panel USING (pair)
+  WHERE (side = 'L' AND strand = '+') OR (side = 'R' AND strand = '-')),
 c AS (SELECT pair, fwd, k, substr(site, k + 1, 1) AS base, count(*) AS n FROM (SELECT *, unnest(range(0, 17)) AS k FROM m) GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair, k ORDER BY n DESC, base) AS rn FROM c WHERE base <> substr(fwd, k + 1, 1)) WHERE rn = 1),
 u AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY n DESC, k DESC) AS o FROM t),
@@ -182,8 +184,9 @@ ch AS (SELECT p.pair, i, coalesce(CASE WHEN w.base IS NULL THEN NULL WHEN least(
 SELECT pair, string_agg(ch, '' ORDER BY i) AS degenerate FROM ch GROUP BY 1""")
 def degenerate_primers(spark, sf):
     r, p = reads(spark, sf), panel(spark, sf)
-    s = sites.seeded_sites(r, p, 1, shortest=20, longest=20).where("side = 'L' AND strand = '+'")
+    s = sites.seeded_sites(r, p, 1, shortest=20, longest=20).where("(side = 'L' AND strand = '+') OR (side = 'R' AND strand = '-')")
     site = F.substring(F.col("seq").cast("binary"), F.col("start") + 1, F.lit(20)).cast("string")
+    site = F.when(F.col("strand") == "+", site).otherwise(S.revcomp(site))
     m = s.join(r, "read_id").join(p, "pair").select("pair", F.col("fwd").alias("oligo"), site.alias("site"))
     return D.degenerate_primer(m, "pair").select("pair", "degenerate")
 

@@ -45,7 +45,7 @@ def kraken_report_tree(spark, sf):
             .union(n.select("r_name", "n_regionkey", F.col("n_nationkey").cast("long"), F.lit(-1).cast("long"), line("G", F.col("n_nationkey") + 2000000, 2, F.col("n_name"))))
             .union(c.select("r_name", "n_regionkey", F.col("c_nationkey").cast("long"), "c_custkey", line("S", F.col("c_custkey"), 4, F.col("c_name")))))
     lines = rows.select(F.col("r_name").alias("file"), (F.col("a") * 10_000_000_000 + F.col("b")).alias("line_no"), "value")
-    t = parents_from_order(R.parse_kraken_report(lines), "file", "line_no", "depth", "taxid", max_depth=4)
+    t = parents_from_order(R.parse_kraken_report(lines), "file", "line_no", "depth", "taxid")
     return t.select("file", "taxid", "parent", "rank", "depth")
 
 
@@ -61,13 +61,13 @@ def kraken_output_tokens(spark, sf):
 
 
 @query("bed_mask", "SRC-12",
-       """WITH w AS (SELECT DISTINCT l_suppkey AS contig, l_partkey AS start, l_partkey + l_quantity::INTEGER AS "end" FROM lineitem), m AS (SELECT s_suppkey AS contig, (s_acctbal / 10)::INTEGER AS start, (s_acctbal / 10)::INTEGER + 50 AS "end" FROM supplier WHERE s_acctbal > 0)
+       """WITH w AS (SELECT DISTINCT l_suppkey AS contig, l_partkey AS start, l_partkey + l_quantity::INTEGER AS "end" FROM lineitem), m AS (SELECT s_suppkey AS contig, (s_acctbal / 10)::INTEGER AS start, (s_acctbal / 10)::INTEGER + 50 AS "end" FROM supplier)
 SELECT contig, start, "end" FROM w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.contig = w.contig AND w.start < m."end" AND w."end" > m.start)""")
 def bed_mask(spark, sf):
     w = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"),
                                             (F.col("l_partkey") + F.col("l_quantity").cast("int")).alias("end")).distinct()
     at = F.bround(F.col("s_acctbal") / 10).cast("int")
-    m = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("contig"), at.alias("start"), (at + 50).alias("end"))
+    m = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("contig"), at.alias("start"), (at + 50).alias("end"))
     return R.masked_windows(w, m)
 
 

@@ -164,9 +164,11 @@ def population_split(spark, sf):
 
 
 @query("sub_populations", "DEC-20",
-       f"""WITH {HIT_SQL}, s AS (SELECT source AS bin, genus, count(*) AS n FROM hits JOIN documents USING (doc_id) WHERE identity >= 94.3 AND genus IS NOT NULL GROUP BY ALL),
-t AS (SELECT *, sum(n) OVER (PARTITION BY bin) AS total FROM s)
-SELECT bin, genus, n, row_number() OVER (PARTITION BY bin ORDER BY n DESC, genus) AS rank FROM t WHERE n >= 2 AND n / total >= 0.02""")
+       f"""WITH {HIT_SQL}, h AS (SELECT source AS bin, genus, CASE WHEN epithet IS NOT NULL THEN genus || ' ' || epithet END AS species FROM hits JOIN documents USING (doc_id) WHERE identity >= 94.3 AND genus IS NOT NULL),
+g AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY n DESC, genus) AS rank, sum(n) OVER (PARTITION BY bin) AS total FROM (SELECT bin, genus, count(*) AS n FROM h GROUP BY ALL)),
+s AS (SELECT h.bin, h.genus, species, count(*) AS n FROM h JOIN g ON g.bin = h.bin AND g.genus = h.genus AND rank = 1 WHERE species IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 AND count(*) / any_value(g.n) >= 0.02)
+SELECT bin, genus, species, n, 'species group' AS origin FROM s WHERE bin IN (SELECT bin FROM s GROUP BY bin HAVING count(*) >= 2)
+UNION ALL SELECT bin, genus, NULL, n, 'second genus' FROM g WHERE rank = 2 AND n >= 2 AND n / total >= 0.02""")
 def sub_populations(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("bin"))
     return I.sub_populations(I.populations(I.named_hits(hits(spark, sf)).join(d, "doc_id"), "bin", 94.3), "bin", 2, 0.02)
@@ -229,10 +231,10 @@ def leak_aware_verdict(spark, sf):
 
 
 @query("coverage_of_database", "DEC-21",
-       """WITH m AS (SELECT c_mktsegment AS class, max(o_totalprice) AS longest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1)
+       """WITH m AS (SELECT c_mktsegment AS class, max(o_totalprice) AS longest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
 SELECT class, longest, CASE WHEN longest IS NULL THEN 'NOT MEASURED' WHEN longest < 499000 THEN 'NOT COVERED' ELSE 'COVERED' END AS coverage FROM m""")
 def coverage_of_database(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
     j = table(spark, sf, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_mktsegment").alias("class")).agg(F.max("o_totalprice").alias("longest"))
     return j.withColumn("coverage", P.database_coverage("longest", 499000))
 
@@ -241,8 +243,8 @@ def coverage_of_database(spark, sf):
        """WITH c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS raw_n, count(*) FILTER (l_quantity > 5) AS cov_n,
   count(*) FILTER (l_linestatus = 'O' AND l_tax > 0.07) AS ck FROM lineitem GROUP BY 1),
 w AS (SELECT l_suppkey, {t1} AS t_raw, {t2} AS t_cov, {r1} AS r_raw, {r2} AS r_cov FROM (SELECT *, greatest(cov_n, k) AS kn, greatest(cov_n, ck) AS cn FROM c)),
-l AS (SELECT l_suppkey, CASE WHEN r_raw <= 0.01 THEN 0 WHEN r_raw <= 0.10 AND t_raw >= 10 * r_raw THEN 1 ELSE 2 END AS raw,
-  CASE WHEN r_cov <= 0.01 THEN 0 WHEN r_cov <= 0.10 AND t_cov >= 10 * r_cov THEN 1 ELSE 2 END AS cov FROM w)
+l AS (SELECT l_suppkey, CASE WHEN r_raw <= 0.02 THEN 0 WHEN r_raw <= 0.10 AND t_raw >= 10 * r_raw THEN 1 ELSE 2 END AS raw,
+  CASE WHEN r_cov <= 0.02 THEN 0 WHEN r_cov <= 0.10 AND t_cov >= 10 * r_cov THEN 1 ELSE 2 END AS cov FROM w)
 SELECT l_suppkey, ['NONE', 'BORDERLINE', 'PRESENT'][greatest(raw, cov) + 1] AS cross_reaction, raw <> cov AS denominators_diverge FROM l""".replace(
            "{t1}", wilson_sql("k", "raw_n", False)).replace(
            "{t2}", wilson_sql("k", "kn", False)).replace(

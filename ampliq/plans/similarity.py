@@ -28,7 +28,7 @@ seeds AS (SELECT DISTINCT query_id, substr(seq, p + 1, 16) AS kmer FROM (SELECT
 rec AS (SELECT * FROM reads WHERE length(seq) >= 100), {sql_kmers(16, 'rec')},
 hits AS (SELECT DISTINCT query_id, read_id, kmer FROM kmers JOIN seeds USING (kmer)),
 df AS (SELECT query_id, kmer, count(*) AS df FROM hits GROUP BY ALL),
-st AS (SELECT count(*) AS n_all, avg(length(seq)) AS mean_len FROM rec),
+st AS (SELECT (SELECT count(*) FROM rec) AS n_all, (SELECT avg(length(seq)) FROM reads) AS mean_len),
 sc AS (SELECT h.query_id, h.read_id AS rec_id, bin || ':' || library AS header, count(*) AS seeds,
   round(sum(ln(greatest(n_all, 2) / (1.0 + df))) / (0.25 + 0.75 * any_value(length(seq)) / any_value(mean_len)), 9) AS score
   FROM hits h JOIN df USING (query_id, kmer) JOIN rec USING (read_id) CROSS JOIN st GROUP BY h.query_id, h.read_id, bin, library)"""
@@ -45,8 +45,8 @@ def seed_shortlist_topk(spark, sf):
        f"""WITH {READS}, {REFS}, {SHORT_SQL}, pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, header, rec_id) AS rank
   FROM sc WHERE header NOT LIKE 'src1:%') WHERE rank <= 5)
 SELECT query_id, rec_id, seeds, rank, 'seed' AS source FROM pl UNION ALL
-SELECT g.query_id, g.rec_id, g.seeds, 1 + (SELECT count(*) FROM pl WHERE pl.query_id = g.query_id AND pl.score > g.score) AS rank,
-  CASE WHEN 1 + (SELECT count(*) FROM pl WHERE pl.query_id = g.query_id AND pl.score > g.score) <= 5 THEN 'seed' ELSE 'guaranteed' END
+SELECT g.query_id, g.rec_id, g.seeds, 1 + (SELECT count(*) FROM sc o WHERE o.header NOT LIKE 'src1:%' AND o.query_id = g.query_id AND o.score > g.score) AS rank,
+  CASE WHEN 1 + (SELECT count(*) FROM sc o WHERE o.header NOT LIKE 'src1:%' AND o.query_id = g.query_id AND o.score > g.score) <= 5 THEN 'seed' ELSE 'guaranteed' END
 FROM sc g WHERE header LIKE 'src1:%'""")
 def seed_shortlist_guaranteed(spark, sf):
     s = A.shortlist(_queries(spark, sf), _records(spark, sf), top=5, guaranteed=F.col("header").startswith("src1:"))
@@ -59,6 +59,19 @@ def infix_alignment(spark, sf):
     return A.align_shortlist(A.shortlist(q, r, top=4), q, r)
 
 
+@query("infix_words", "ALN-01",
+       """WITH p AS (SELECT p_partkey AS k, upper(replace(p_name, ' ', '')) AS t, upper(split_part(p_name, ' ', -1)) AS w FROM part),
+j AS (SELECT a.k, a.w AS q, b.t FROM p a JOIN p b ON b.k = a.k + 1),
+s AS (SELECT k, any_value(length(q)) AS n, min(levenshtein(replace(q, 'N', '#'), substr(t, i, l))) AS d FROM (
+  SELECT k, q, t, i, unnest(range(0, length(t) - i + 2)) AS l FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM j)) GROUP BY k)
+SELECT k, d::INTEGER AS edits, round(100.0 * (1.0 - d / n), 6) AS identity FROM s""")
+def infix_words(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", " ", "")).alias("t"), F.upper(F.element_at(F.split("p_name", " "), -1)).alias("q"))
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("t").alias("next"))
+    j = p.join(nxt, "p_partkey")
+    return j.select(F.col("p_partkey").alias("k"), A.infix_distance_udf("q", "next").alias("edits"), F.round(A.infix_identity("q", "next"), 6).alias("identity"))
+
+
 @query("discriminating_window", "ALN-02")
 def discriminating_window(spark, sf):
     q, r = _queries(spark, sf), _records(spark, sf)
@@ -213,15 +226,15 @@ def bin_identity_calls(spark, sf):
 
 @query("orientation_calls", "ALN-14 AUD-09",
        f"""{BASE}, v AS (SELECT read_id, count(*) FILTER (strand = '+') AS f1, count(*) FILTER (strand = '-') AS r1 FROM sites GROUP BY 1),
-m AS (SELECT read_id, len(regexp_extract_all(seq, 'ACGTA')) AS f2, len(regexp_extract_all(seq, 'TACGT')) AS r2 FROM reads),
-s AS (SELECT read_id, f1, r1, f2, r2, CASE WHEN f1 > r1 THEN 'forward' WHEN r1 > f1 THEN 'reverse' END AS a, CASE WHEN f2 > r2 THEN 'forward' WHEN r2 > f2 THEN 'reverse' END AS b
-  FROM (SELECT read_id, coalesce(f1, 0) AS f1, coalesce(r1, 0) AS r1, f2, r2 FROM m LEFT JOIN v USING (read_id)))
+m AS (SELECT read_id, length(seq) AS n, len(regexp_extract_all(seq, 'ACGTA')) AS f2, len(regexp_extract_all(seq, 'TACGT')) AS r2 FROM reads),
+s AS (SELECT read_id, f1, r1, f2, r2, CASE WHEN n < 200 THEN NULL WHEN f1 > r1 THEN 'forward' WHEN r1 > f1 THEN 'reverse' END AS a, CASE WHEN n < 200 THEN NULL WHEN f2 > r2 THEN 'forward' WHEN r2 > f2 THEN 'reverse' END AS b
+  FROM (SELECT read_id, n, coalesce(f1, 0) AS f1, coalesce(r1, 0) AS r1, f2, r2 FROM m LEFT JOIN v USING (read_id)))
 SELECT read_id, CASE WHEN a = b THEN a WHEN a IS NOT NULL AND b IS NOT NULL THEN 'undecided' ELSE coalesce(a, b, 'undecided') END AS orientation,
   CASE WHEN a = b THEN 'agree' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'diverge' WHEN a IS NOT NULL OR b IS NOT NULL THEN 'single' ELSE 'none' END AS basis FROM s""")
 def orientation_calls(spark, sf):
     v = _sites(spark, sf).groupBy("read_id").agg(F.count(F.when(F.col("strand") == "+", 1)).alias("f1"),
                                                  F.count(F.when(F.col("strand") == "-", 1)).alias("r1"))
-    m = reads(spark, sf).select("read_id", F.regexp_count("seq", F.lit("ACGTA")).alias("f2"), F.regexp_count("seq", F.lit("TACGT")).alias("r2"))
+    m = reads(spark, sf).select("read_id", F.length("seq").alias("length"), F.regexp_count("seq", F.lit("ACGTA")).alias("f2"), F.regexp_count("seq", F.lit("TACGT")).alias("r2"))
     return A.orientation_call(m.join(v, "read_id", "left").na.fill(0, ["f1", "r1"])).select("read_id", "orientation", "basis")
 
 

@@ -67,18 +67,22 @@ def header_parse(spark, sf):
 
 
 @query("hit_class_counts", "TAX-02 AGG-12 AGG-13",
-       f"""WITH {HEADERS}, c AS (SELECT database, CASE WHEN regexp_matches(lower(header), '\\bthe|[^a-z]the')
-   AND 1 = 0 THEN '' WHEN contains(header, 'Chloroplast') AND contains(header, 'Cyanobacteriota') THEN 'organelle'
-  WHEN database = 'SILVA_SSU.fasta' THEN 'same_domain' WHEN database IN ('UNITE_ITS.fasta', 'PR2_SSU.fasta', 'ROD.fasta') THEN 'other_domain'
-  ELSE 'unknown' END AS class FROM headers)
-SELECT database, count(*) FILTER (class = 'in') AS n_in, count(*) FILTER (class = 'organelle') AS n_organelle,
+       f"""WITH {HEADERS}, d AS (SELECT *, CASE WHEN contains(header, 'Eukaryota') OR contains(header, 'k__Fungi') THEN 'Eukaryota' WHEN contains(header, 'Bacteria;') OR database = 'bacteria.16S.fna' THEN 'Bacteria' ELSE '?' END AS domain,
+  contains(header, 'Chloroplast') AS organelle, database NOT IN ('bacteria.16S.fna', 'GTDB_ssu.fna') AS taxonomy FROM headers),
+t(target, own) AS (VALUES ('cyano', 'Bacteria'), ('fungi', 'Eukaryota')),
+c AS (SELECT target, database, CASE WHEN (target = 'cyano' AND regexp_matches(header, '\\bCyanobacteriota')) OR (target = 'fungi' AND (regexp_matches(header, '\\b(k__)?Fungi') OR contains(header, '[Eubacterium]')))
+    THEN CASE WHEN organelle THEN 'organelle' ELSE 'in' END
+  WHEN domain = '?' THEN 'unknown' WHEN domain <> own THEN 'other_domain' WHEN taxonomy THEN 'same_domain' ELSE 'unknown' END AS class FROM d CROSS JOIN t)
+SELECT target, database, count(*) FILTER (class = 'in') AS n_in, count(*) FILTER (class = 'organelle') AS n_organelle,
   count(*) FILTER (class = 'same_domain') AS n_same, count(*) FILTER (class = 'other_domain') AS n_other,
   count(*) FILTER (class = 'unknown') AS n_unknown, count(*) FILTER (class IN ('same_domain', 'other_domain')) AS off_clade
-FROM c GROUP BY 1""")
+FROM c GROUP BY ALL""")
 def hit_class_counts(spark, sf):
-    h = headers(spark, sf).withColumn("p", N.parse_header("header", "database"))
-    c = h.withColumn("class", N.hit_class("p", F.array(F.lit("Cyanobacteriota")), F.lit("Bacteria")))
-    return L.class_counters(c, ["database"], "class")
+    targets = F.array(F.struct(F.lit("cyano").alias("target"), F.array(F.lit("Cyanobacteriota")).alias("clade"), F.lit("Bacteria").alias("own")),
+                      F.struct(F.lit("fungi").alias("target"), F.array(F.lit("[Eubacterium]"), F.lit("Fungi")).alias("clade"), F.lit("Eukaryota").alias("own")))
+    h = headers(spark, sf).withColumn("p", N.parse_header("header", "database")).select("database", "p", F.explode(targets).alias("t"))
+    c = h.select("database", "t.target", N.hit_class("p", F.col("t.clade"), F.col("t.own")).alias("class"))
+    return L.class_counters(c, ["target", "database"], "class")
 
 
 @query("binomial_identity", "TAX-03",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ampliq-checkpoint"))
+    own = tempfile.mkdtemp(prefix="ampliq-checkpoint-")  # a local session alone: goes with the process
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

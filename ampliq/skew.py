@@ -27,9 +27,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
            .withColumn("_salt", F.col("_salt").cast("long")).drop("_n"))
     return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
-
-
-def grouped_rank_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values per key with their counts: the compact form every exact
-    percentile, mode and histogram below starts from."""
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ def read_fasta(spark: SparkSession, path, clean: bool = False) -> DataFrame:
     rows = lines.join(offset, ["file", "block"]).withColumn(
         "record", F.col("_before") + F.count(F.when(is_head, 1)).over(inside)).where("record > 0")
     g = rows.groupBy("file", "record").agg(
-        F.max(F.when(is_head, F.substring("value", 2, 1_000_000))).alias("header"),
+        F.max(F.when(is_head, F.substring(F.col("value"), F.lit(2), F.length("value")))).alias("header"),
         F.array_sort(F.collect_list(F.when(~is_head, F.struct("line_no", F.trim("value").alias("s"))))).alias("parts"))
     seq = F.concat_ws("", F.transform("parts", lambda p: p["s"]))
     return g.select("file", "record", "header", (S.clean(seq) if clean else seq).alias("seq"))

@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-
-
 def write_tsv(df: DataFrame, path: str, decimal_comma: bool = False) -> None:
     """Tab-separated export with a header (SNK-01); decimals may be shown with a comma."""
     out = df

@@ -14,12 +14,13 @@ from ampliq.plans import REGISTRY  # noqa: E402
 LIBRARY = {
     "SRC-01": "sources.readers.read_fasta", "SRC-02": "sources.readers.require_single_record", "SRC-05": "sources.readers.read_sam",
     "SRC-09": "sources.readers.read_bracken", "SRC-13": "sources.readers.read_control", "SRC-16": "sources.readers.read_layer_table",
-    "SNK-01": "sources.sinks.write_tsv", "SNK-02": "sources.sinks.write_fastq", "ORC-01": "manifest.run_stages",
+    "SNK-01": "sources.sinks.write_tsv", "SNK-02": "sources.sinks.write_fastq",
     "ORC-03": "python -m ampliq", "SNK-04": "sources.sinks.write_long (long tables only)", "AUD-02": "tests/test_engines.py (second implementations)",
 }
 OUT_OF_SCOPE = {
     "SRC-15": "network sources", "SRC-17": "external specificity tools", "ALN-04": "external aligner; PAF and SAM tables are accepted",
-    "ALN-17": "external polishing tools; AGG-06 is the in-engine substitute",
+    "ALN-17": "external polishing tools; AGG-06 is the in-engine substitute", "THR-04": "folding energies are accepted as columns, not simulated",
+    "ORC-01": "stage runners belong to a scheduler; ORC-02 decides what is stale", "OPT-05": "gel clashes are found; the random plate search is left out",
 }
 
 

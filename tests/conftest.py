@@ -11,5 +11,6 @@ def spark():
     from ampliq.session import local_session
     s = local_session(4, app="ampliq-tests", memory="6g")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("ampliq.spread", "4")  # the test files are one row group each
     yield s
     s.stop()

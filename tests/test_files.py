@@ -1,4 +1,4 @@
-"""Readers, writers, manifest and stream on small files."""
+"""Readers, writers and stream on small files."""
 
 import gzip
 import random
@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.manifest import Stage, run_stages
 from ampliq.sources import readers as R
 from ampliq.sources import sinks
 from ampliq.streaming import presence
@@ -97,19 +96,6 @@ def test_fastq_sink_keeps_everything(spark, tmp_path):
     assert {(r["read_id"], r["file"].split("bin=")[1].split("/")[0]) for r in back} == {("r1", "b1"), ("r2", "_unassigned"), ("r3", "_fragments")}
 
 
-def test_manifest_skips_only_what_is_unchanged(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.range(5).write.parquet(src)
-    s = Stage("a", (src,), str(tmp_path / "out"), lambda sp: sp.read.parquet(src))
-    m = str(tmp_path / "manifest")
-    assert run_stages(spark, [s], m) == [("a", "done")]
-    assert run_stages(spark, [s], m) == [("a", "skip")]
-    spark.range(6).write.mode("overwrite").parquet(src)
-    assert run_stages(spark, [s], m) == [("a", "done")]
-    empty = Stage("b", (src,), str(tmp_path / "o2"), lambda sp: sp.read.parquet(src).where("id < 0"))
-    assert run_stages(spark, [empty], m) == [("b", "rejected")]
-
-
 def test_stream_counts_like_batch(spark, tmp_path):
     f, r = "ACGTTGCATGGATCCATGCA", "GGCATTACGATTACGATCAG"
     amp = f + "ACCA" * 20 + r[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -121,3 +107,16 @@ def test_stream_counts_like_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["pair"], r["bin"]): r["k"] for r in presence.totals(spark, str(tmp_path / "out")).collect()}
     assert got == {("x", "b0"): 4, ("x", "b1"): 4}
+
+
+def test_tables_written_are_read_back(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1.5, 2), ("b", None, 3)], "name string, share double, n int")
+    sinks.write_tsv(d, str(tmp_path / "plain"))
+    back = spark.read.csv(str(tmp_path / "plain"), sep="\t", header=True, schema="name string, share double, n int")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, d.collect()))
+    sinks.write_tsv(d, str(tmp_path / "comma"), decimal_comma=True)
+    assert {r["share"] for r in spark.read.csv(str(tmp_path / "comma"), sep="\t", header=True).collect()} == {"1,5", None}
+    (tmp_path / "layers.tsv").write_text("# by hand\ntarget\thits\torganelle\nA\t3\t\nB\t\t1\n")
+    assert sorted(map(tuple, R.read_layer_table(spark, str(tmp_path / "layers.tsv")).collect())) == [("A", 3, None), ("B", None, 1)]
+    (tmp_path / "hits.b6").write_text("q1\t99.1\t120\t200.5\t130\t1400\tSome title\n")
+    assert tuple(R.read_blast(spark, str(tmp_path / "hits.b6")).first()) == ("q1", 99.1, 120, 200.5, 130, 1400, "Some title")

@@ -209,3 +209,38 @@ def test_end_penalty(spark):
         return one(spark, SP.end_penalty(F.array(*map(F.lit, pos)), F.lit(pair).cast("string")))
     assert p([1]) == 6.6 and p([1], "AA") == 4.3 and p([1], "TG") == 0.0
     assert p([2]) == 10.0 and p([3]) == pytest.approx(3.3) and p([12]) == 0.0 and p([1, 2, 3]) == 15.0
+
+
+def test_lineage_has_no_depth_limit(spark):
+    from ampliq.operators import lineage as L
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(200, 200)], "child long, parent long")
+    close = L.closure(chain)
+    assert close.where("node = 0").agg({"dist": "max"}).first()[0] == 200 and close.count() == 201 * 202 // 2
+    with pytest.raises(ValueError):
+        L.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long"))
+    rows = spark.createDataFrame([("f", k, k % 80, k) for k in range(160)], "file string, pos long, depth int, node long")
+    got = {r["node"]: r["parent"] for r in L.parents_from_order(rows, "file", "pos", "depth", "node").collect()}
+    assert got == {k: (k - 1 if k % 80 else None) for k in range(160)}
+
+
+def test_template_letters(spark):
+    from ampliq.operators import membership as MB
+    d = spark.createDataFrame([("NNRA", ""), ("RNA", "YCA"), ("ANT", "ANT"), ("RYK", "R-N")], "core string, ref string")
+    assert [r[0] for r in d.select(MB.fill_codes("core", "ref")).collect()] == ["NNAA", "CCA", "ANT", "ANN"]
+
+
+def test_keys_are_found_within_words_and_wildcards_are_whole(spark):
+    from ampliq.operators import membership as MB
+    rec = spark.createDataFrame([(1, "k__Fungi;p__Ascomycota", "A" * 9), (2, "a Candidatus foo", "A" * 9), (3, "short", "A")], "rec_id long, header string, seq string")
+    keys = spark.createDataFrame([("X", "mycota"), ("X", "candidatus foo"), ("Y", "short")], "class string, key string")
+    assert sorted(map(tuple, MB.keyword_pool(rec, keys, 5).collect())) == [("X", 1), ("X", 2)]
+    name = "c" * 150
+    rules = spark.createDataFrame([("t", "*" + name, ["b2"])], "target string, pattern string, excluded array<string>")
+    bins = spark.createDataFrame([("b1", name), ("b2", name), ("b3", "d")], "bin string, class string")
+    assert [tuple(r) for r in MB.expand_wildcards(rules, bins).collect()] == [("t", "b1")]
+
+
+def test_clade_tokens_are_no_patterns(spark):
+    from ampliq.functions import names as N
+    h = spark.createDataFrame([("AB123456.1.1500 Bacteria;Bacillota;Bacillus", "SILVA_SSU.fasta")], "h string, d string").withColumn("p", N.parse_header("h", "d"))
+    assert h.select(N.hit_class("p", F.array(F.lit("[Eubacterium]")), F.lit("Bacteria"))).first()[0] == "same_domain"
