@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from ..skew import salted_join
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30, hot_rows: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60, task_rows: int | None = None) -> DataFrame:
     """(node, component): smallest node id reachable over (a, b) edges.
 
     Alternating large-star and small-star steps: rounds grow with the logarithm of the
@@ -22,10 +22,10 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30, hot_row
     def both_ways(e: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def star(e: DataFrame, large: bool, hub: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, hub: int | None) -> DataFrame:
         both = both_ways(e)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        j = salted_join(both, low, ["u"], hot_rows=hot_rows) if hub else both.join(low, "u")
+        j = salted_join(both, low, ["u"], task_rows=hub) if hub else both.join(low, "u")
         if large:
             out = j.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -42,7 +42,8 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30, hot_row
                           .alias("h")).first()
         if seen == mark:
             break
-        seen, hub = mark, (mark["d"] or 0) >= hot_rows
+        share = task_rows or max(10_000, (mark["n"] or 0) // (2 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        seen, hub = mark, share if (mark["d"] or 0) > share else None
         e = cut_lineage(star(star(e, True, hub), False, hub))
     else:
         raise RuntimeError("components did not converge")
@@ -52,10 +53,11 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30, hot_row
 
 
 def set_match(left: DataFrame, right: DataFrame, min_jaccard: float = 0.80, same: bool = False) -> DataFrame:
-    """Pairs of sets with Jaccard at or above the floor (GRF-05).
+    """Pairs of sets with Jaccard at or above the floor (GRF-05), between class representatives.
 
     left: distinct (a, member); right: distinct (b, member); ``same`` compares one family of
-    sets with itself and returns a < b. Two exact reductions come first: equal sets are
+    sets with itself and returns a < b. Equal sets are one class, told by its smallest key, and
+    are not expanded: ``set_classes`` gives the membership. Two exact reductions come first: equal sets are
     folded into one, and with members ordered from rare to common, a pair that reaches the
     floor must share one of the first n - ceil(t n) + 1 members of both, so a member held by
     a third of all sets is (almost) never joined on.
@@ -82,10 +84,23 @@ def set_match(left: DataFrame, right: DataFrame, min_jaccard: float = 0.80, same
             .withColumn("shared", F.size(F.array_intersect("ma", "mb")).cast("long"))
             .withColumn("jaccard", F.col("shared") / (F.size("ma") + F.size("mb") - F.col("shared")))
             .where(F.col("jaccard") >= min_jaccard).select("sa", "sb", "shared", "jaccard"))
-    out = full.join(ids_l, "sa").join(ids_r, "sb").select("a", "b", "shared", "jaccard")
+    first_l, first_r = ids_l.groupBy("sa").agg(F.min("a").alias("a")), ids_r.groupBy("sb").agg(F.min("b").alias("b"))
+    out = full.join(first_l, "sa").join(first_r, "sb").select("a", "b", "shared", "jaccard")
     return out.where("a < b") if same else out
 
 
+def set_classes(sets: DataFrame, key: str) -> DataFrame:
+    """(key, representative): the smallest key with an equal set. sets: distinct (key, member).
+
+    A set is told by the sum, the exclusive or and the number of its members' hashes, which are
+    partial aggregates; classes are counted before their rows are joined back.
+    """
+    h = F.xxhash64(F.col("member"))
+    marks = sets.groupBy(key).agg(F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.col("member"), F.lit(1))).alias("x"), F.count(F.lit(1)).alias("n"))
+    first = marks.groupBy("s", "x", "n").agg(F.min(key).alias("representative"))
+    return salted_join(marks, first, ["s", "x", "n"]).select(key, "representative")
+
+
 def reconcile(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows lost or invented between two sets (GRF-06): an empty result is conservation."""
     b = before.select(*keys).distinct().withColumn("in_before", F.lit(True))

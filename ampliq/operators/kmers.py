@@ -34,15 +34,20 @@ def unique_positions(df: DataFrame, k: int, keep) -> DataFrame:
 
 
 def windows(df: DataFrame, lo: int, hi: int, keep) -> DataFrame:
-    """Every start and length lo..hi without N, as forward and reverse oligos (SEQ-13)."""
-    out = None
-    for k in range(lo, hi + 1):
-        p = positions(df, k, keep=keep).withColumn("len", F.lit(k))
-        out = p if out is None else out.unionByName(p)
-    out = out.where(~F.col("kmer").contains("N"))
+    """Every start and length lo..hi without N, as forward and reverse oligos (SEQ-13).
+
+    One scan: starts are exploded with the ``hi`` bases that follow, lengths from those.
+    """
+    cols = list(keep)
+    n = F.length(seq := F.col("seq"))
+    starts = df.select(*cols, n.alias("_n"), seq.cast("binary").alias("_b")).select(
+        *cols, "_n", "_b", F.explode(F.when(F.col("_n") >= lo, F.sequence(F.lit(0), F.col("_n") - lo))).alias("pos"))
+    starts = starts.select(*cols, "pos", (F.col("_n") - F.col("pos")).alias("_left"), F.substring("_b", F.col("pos") + 1, F.lit(hi)).cast("string").alias("_w"))
+    out = starts.select(*cols, "pos", "_w", F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("_left")))).alias("len"))
+    out = out.select(*cols, "pos", "len", F.substring(F.col("_w"), F.lit(1), F.col("len")).alias("kmer")).where(~F.col("kmer").contains("N"))
     both = F.explode(F.array(F.struct(F.lit("F").alias("dir"), F.col("kmer").alias("oligo")),
                              F.struct(F.lit("R").alias("dir"), S.revcomp("kmer").alias("oligo"))))
-    return out.select(*keep, "pos", "len", both.alias("o")).select(*keep, "pos", "len", "o.dir", "o.oligo")
+    return out.select(*cols, "pos", "len", both.alias("o")).select(*cols, "pos", "len", "o.dir", "o.oligo")
 
 
 def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -59,18 +59,17 @@ def hash_sample(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int =
 def systematic_sample(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """Every (N // n)-th row of each key in the given order (WIN-10).
 
-    Positions come from a range-partitioned count rather than one window per key: rows are
-    bucketed by order value, buckets are counted, and only buckets are numbered together.
+    Positions come from a range count rather than one window per key: rows are bucketed between
+    approximate quantiles of the order value, so outliers leave the buckets even; buckets are
+    counted, and only they are numbered together. The bounds decide the split, not the result.
     """
-    buckets = 256
-    bounds = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    b = df.join(bounds, keys)
-    width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / buckets, F.lit(1.0))
-    b = b.withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width))
+    cuts = F.percentile_approx(order, [i / 256 for i in range(1, 256)], 4096)
+    bounds = df.groupBy(*keys).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    b = df.join(bounds, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
     per = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     off = per.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     pos = b.join(off, [*keys, "_b"]).withColumn("_p", F.col("_off") + F.row_number().over(
         Window.partitionBy(*keys, "_b").orderBy(order)) - 1)
     step = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
-    return pos.where(F.col("_p") % step == 0).drop("_lo", "_hi", "_n", "_b", "_off", "_p")
+    return pos.where(F.col("_p") % step == 0).drop("_cuts", "_n", "_b", "_off", "_p")

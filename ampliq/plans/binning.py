@@ -277,8 +277,9 @@ def connected_components(spark, sf):
 
 @query("set_match", "GRF-05",
        """WITH s AS (SELECT DISTINCT doc_id AS k, unnest(string_split(text, chr(10))) AS m FROM documents),
-n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
-j AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.m = b.m AND a.k < b.k GROUP BY ALL)
+g AS (SELECT min(k) AS k FROM (SELECT k, list_sort(list(m)) AS ms FROM s GROUP BY 1) GROUP BY ms),
+n AS (SELECT k, count(*) AS n FROM s SEMI JOIN g USING (k) GROUP BY 1),
+j AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.m = b.m AND a.k < b.k WHERE a.k IN (SELECT k FROM g) AND b.k IN (SELECT k FROM g) GROUP BY ALL)
 SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM j JOIN n na ON na.k = a JOIN n nb ON nb.k = b
 WHERE shared / (na.n + nb.n - shared) >= 0.8""")
 def set_match(spark, sf):
@@ -287,6 +288,13 @@ def set_match(spark, sf):
     return m.withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("set_classes", "GRF-05",
+       """WITH s AS (SELECT DISTINCT doc_id AS k, unnest(string_split(text, chr(10))) AS m FROM documents), g AS (SELECT k, list_sort(list(m)) AS ms FROM s GROUP BY 1)
+SELECT k AS doc_id, min(k) OVER (PARTITION BY ms) AS representative FROM g""")
+def set_classes(spark, sf):
+    return G.set_classes(table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("member")).distinct(), "doc_id")
+
+
 @query("membership_reconcile", "GRF-06 JOIN-26",
        """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT user_id AS k FROM events)
 SELECT k, CASE WHEN k NOT IN (SELECT k FROM a) THEN 'lost' ELSE 'invented' END AS change FROM (

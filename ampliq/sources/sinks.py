@@ -16,18 +16,20 @@ def write_tsv(df: DataFrame, path: str, decimal_comma: bool = False) -> None:
     out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_fastq(reads: DataFrame, path: str, hot_rows_per_file: int = 1_000_000) -> None:
+def write_fastq(reads: DataFrame, path: str, task_rows: int = 250_000) -> None:
     """One folder of FASTQ text per library and bin; unassigned reads go to '_unassigned',
     fragments to '_fragments', nothing is dropped (SNK-02).
 
-    Rows are spread over files by read hash inside each bin, so a bin holding a third of all
-    reads is written by many tasks.
+    Rows are spread by read hash inside each bin over as many tasks as its count asks for, so a
+    bin holding a third of all reads is written by many.
     """
     bin_ = F.when(F.coalesce("fragment", F.lit(False)), "_fragments").otherwise(F.coalesce("bin", F.lit("_unassigned")))
     text = F.concat(F.lit("@"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
     out = reads.select("library", bin_.alias("bin"), text.alias("value"), F.col("read_id"))
-    out = out.repartition(F.col("library"), F.col("bin"), F.pmod(F.xxhash64("read_id"), F.lit(16))).drop("read_id")
-    out.write.mode("overwrite").partitionBy("library", "bin").option("maxRecordsPerFile", hot_rows_per_file).text(path)
+    tasks = out.groupBy("library", "bin").agg(F.ceil(F.count(F.lit(1)) / task_rows).alias("_tasks"))  # one row per bin
+    out = out.join(F.broadcast(tasks), ["library", "bin"])
+    out = out.repartition(F.col("library"), F.col("bin"), F.pmod(F.xxhash64("read_id"), F.col("_tasks"))).drop("read_id", "_tasks")
+    out.write.mode("overwrite").partitionBy("library", "bin").text(path)
 
 
 def write_long(tables: dict[str, DataFrame], path: str) -> None:
