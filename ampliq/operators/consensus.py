@@ -58,7 +58,7 @@ def two_method_consensus(counts: DataFrame, keys: list[str], min_depth: int = 5,
     counts: (keys, col, base, n, w).
     """
     g = counts.groupBy(*keys, "col").agg(
-        F.sum("n").alias("depth"), F.sum("w").alias("tw"),
+        F.sum("n").alias("depth"), F.sum(F.col("w").cast("decimal(18,6)")).cast("double").alias("tw"),
         F.min(F.struct((-F.col("w")).alias("neg"), F.col("base").alias("b"))).alias("mw"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("base").alias("b"))).alias("mn"))
     deep = F.col("depth") >= min_depth

@@ -242,3 +242,39 @@ def gel_clashes(plate: DataFrame, key: str, min_gap: int = 10) -> DataFrame:
     b = plate.select(key, F.col("target").alias("b"), F.col("bp").alias("bp_b"), F.floor(F.col("bp") / min_gap).alias("cell"))
     return a.join(b, [key, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("bp_a") - F.col("bp_b")) < min_gap)).select(
         key, "a", "b", "bp_a", "bp_b")
+
+
+def locus_windows(seqs: DataFrame, key: str, width: int = 700, step: int = 300, shortest: int = 120) -> DataFrame:
+    """Overlapping windows of a backbone in which primers are sought apart (OPT-02): key, window, start, end, seq.
+
+    The last window ends with the sequence; one shorter than ``width`` is a window of its own.
+    """
+    n = F.length("seq")
+    last = F.greatest(F.lit(0), n - width)
+    count = F.greatest(F.lit(1), F.floor((n - width) / step).cast("int") + 2)
+    w = seqs.select(key, "seq", last.alias("_last"), F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
+    w = w.withColumn("start", F.least(F.col("window") * step, F.col("_last"))).withColumn("end", F.least(n, F.col("start") + width))
+    return w.where(F.col("end") - F.col("start") >= shortest).select(
+        key, "window", "start", "end", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))
+
+
+# Bases of the 3' end that must match, share of a site that must be filled, mismatches a product allows.
+SITE_TAIL, SITE_FILLED, SITE_MISMATCHES = 3, 0.8, 1
+
+
+def site_mismatch(site, primer) -> Column:
+    """Mismatches of a primer on the bases a record has in its alignment columns (ALN-13). NULL where the site is too
+    gappy to be tested or one of the last bases differs."""
+    s, p = (F.col(c) if isinstance(c, str) else c for c in (site, primer))
+    n = F.length(p)
+    bad = S.mismatch_positions(S.primer_mask(p), S.template_mask(F.regexp_replace(s, "[^ACGT]", "N")), n)
+    filled = F.length(F.regexp_replace(s, "[^ACGT]", "")) >= SITE_FILLED * n
+    return F.when(filled & ~F.exists(bad, lambda i: i > n - SITE_TAIL), F.size(bad))
+
+
+def coverage_by_genus(records: DataFrame, genus: str = "genus") -> DataFrame:
+    """Records that could be tested and those that give a product, per genus (AGG-16). records: (genus, forward, reverse)
+    mismatches as from ``site_mismatch``; a record silent on both sides isn't tested."""
+    tested = F.col("forward").isNotNull() | F.col("reverse").isNotNull()
+    amplified = (F.col("forward") <= SITE_MISMATCHES) & (F.col("reverse") <= SITE_MISMATCHES)
+    return records.where(tested).groupBy(genus).agg(F.count(F.when(amplified, 1)).alias("amplified"), F.count(F.lit(1)).alias("tested"))

@@ -98,3 +98,16 @@ def parents_from_order(rows: DataFrame, file: str, pos: str, depth: str, node: s
     w = Window.partitionBy(file, "_level").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     seen = stood.unionByName(asks).withColumn("parent", F.last("_v", ignorenulls=True).over(w))
     return seen.where("_asks").drop("_level", "_v", "_asks")
+
+
+def one_reference_hits(hits: DataFrame, key: str, band: float = 1.0) -> DataFrame:
+    """Hits a lineage is agreed on (GRF-08): those of the reference that gave the best identity, ties by
+    the longer alignment and then the reference that sorts first, within ``band`` points of its best.
+
+    hits: (key, reference, identity, aligned, target); rank orders them by identity, alignment, target.
+    """
+    first = hits.groupBy(key).agg(F.min(F.struct((-F.col("identity")).alias("i"), (-F.col("aligned")).alias("a"), "reference")).alias("m")).select(
+        key, F.col("m.reference").alias("reference"), (-F.col("m.i")).alias("_top"))
+    kept = hits.join(first, [key, "reference"]).where(F.col("identity") >= F.col("_top") - band)
+    w = Window.partitionBy(key).orderBy(F.desc("identity"), F.desc("aligned"), "target")
+    return kept.withColumn("rank", F.row_number().over(w)).drop("_top")

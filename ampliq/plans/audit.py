@@ -21,7 +21,7 @@ def keyword_pool(spark, sf):
     return MB.keyword_pool(h, k, 50).select("class", "rec_id.database", "rec_id.doc_id", "rec_id.idx")
 
 
-@query("target_context", "JOIN-19 JOIN-20 JOIN-26",
+@query("target_context", "JOIN-19",
        """WITH t AS (SELECT c_custkey AS target, c_mktsegment AS class FROM customer), b AS (SELECT DISTINCT o_orderpriority || ':' || c_mktsegment AS bin, c_mktsegment AS class FROM orders JOIN customer ON c_custkey = o_custkey),
 x AS (SELECT DISTINCT o_custkey AS target, o_orderpriority || ':' || c_mktsegment AS bin, CASE WHEN o_orderpriority = '1-URGENT' THEN 'mixed' ELSE 'member' END AS role FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000),
 a AS (SELECT DISTINCT o_custkey AS target, o_orderpriority || ':' || c_mktsegment AS bin, 'member' AS role FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'),

@@ -197,16 +197,22 @@ def dominant_allele_consensus(spark, sf):
 
 
 @query("two_method_consensus", "AGG-05 SEQ-15",
-       f"""{VOTES}, g AS (SELECT bin, col, sum(n)::BIGINT AS depth, sum(w) AS tw, max(w) AS mw, max(n) AS mn FROM t GROUP BY ALL),
-j AS (SELECT g.*, (SELECT min(base) FROM t WHERE t.bin = g.bin AND t.col = g.col AND t.n = g.mn) AS b FROM g)
-SELECT bin, count(*) AS n_columns, count(*) FILTER (depth >= 5 AND mn / depth >= 0.3) AS called, sum(depth)::BIGINT AS votes FROM j GROUP BY 1""")
+       f"""WITH {READS}, kp AS (SELECT bin, read_id, c, substr(seq, c * 256 + 1, 256) AS s FROM (SELECT bin, read_id, seq, unnest(range(0, length(seq) // 256 + 1)) AS c FROM reads)),
+v AS (SELECT bin, read_id, c * 256 + i AS col, substr(s, i + 1, 1) AS base FROM (SELECT *, unnest(range(0, length(s))) AS i FROM kp)),
+t AS (SELECT bin, col, base, count(*) AS n, sum((1.0::DOUBLE - pow(10.0, -(1 + (read_id * 7 + col) % 12) / 10.0))::DECIMAL(12, 6))::DOUBLE AS w FROM v GROUP BY ALL),
+g AS (SELECT bin, col, sum(n)::BIGINT AS depth, sum(w::DECIMAL(18, 6))::DOUBLE AS tw FROM t GROUP BY ALL),
+a AS (SELECT bin, col, base, w FROM (SELECT *, row_number() OVER (PARTITION BY bin, col ORDER BY w DESC, base) AS rn FROM t) WHERE rn = 1),
+b AS (SELECT bin, col, base, n FROM (SELECT *, row_number() OVER (PARTITION BY bin, col ORDER BY n DESC, base) AS rn FROM t) WHERE rn = 1),
+c AS (SELECT bin, col, depth, CASE WHEN depth >= 5 AND a.w / tw >= 0.3 THEN a.base ELSE 'N' END AS weighted, CASE WHEN depth >= 5 AND b.n / depth >= 0.3 THEN b.base ELSE 'N' END AS plain FROM g JOIN a USING (bin, col) JOIN b USING (bin, col))
+SELECT bin, col, depth, weighted, plain, CASE WHEN weighted = plain THEN plain ELSE 'N' END AS base FROM c""")
 def two_method_consensus(spark, sf):
-    v = C.column_votes(reads(spark, sf), "bin")
-    # the weight depends on the column alone here, so both methods must agree wherever one calls
-    v = v.withColumn("w", 1.0 - F.pow(F.lit(10.0), -(10 + F.col("col") % 30) / 10.0))
-    c = C.two_method_consensus(C.tally(v, ["bin"], "w"), ["bin"], 5, 0.3 - 1e-9, 0.3)
-    return c.groupBy("bin").agg(F.count(F.lit(1)).alias("n_columns"), F.count(F.when(F.col("plain") != "N", 1)).alias("called"),
-                                F.sum("depth").alias("votes"))
+    r = reads(spark, sf).select(F.struct("bin", "read_id").alias("k"), "seq")
+    v = C.column_votes(r, "k").select("k.bin", "k.read_id", "col", "base")
+    # quality differs from read to read and column to column; sums of decimals don't depend on their order
+    q = 1 + (F.col("read_id") * 7 + F.col("col")) % 12
+    v = v.withColumn("w", (1.0 - F.pow(F.lit(10.0), -q / 10.0)).cast("decimal(12,6)"))
+    t = C.tally(v, ["bin"], "w").withColumn("w", F.col("w").cast("double"))
+    return C.two_method_consensus(t, ["bin"], 5, 0.3, 0.3).withColumn("col", F.col("col").cast("long"))
 
 
 @query("modal_length_products", "AGG-07",
@@ -231,7 +237,7 @@ def modal_length_products(spark, sf):
                     F.concat_ws("", F.transform("c", lambda x: x["b"])).alias("consensus"))
 
 
-@query("msa_columns", "SEQ-17 ALN-13",
+@query("msa_columns", "SEQ-17",
        """WITH r AS (SELECT conv_id, turn, regexp_replace(role || text, '[^a-z]', '-', 'g') AS s FROM conversations),
 v AS (SELECT conv_id, turn, unnest(range(0, length(s))) AS i, s FROM r),
 n AS (SELECT conv_id, count(*) AS rows FROM r GROUP BY 1),
@@ -295,7 +301,7 @@ def set_classes(spark, sf):
     return G.set_classes(table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("member")).distinct(), "doc_id")
 
 
-@query("membership_reconcile", "GRF-06 JOIN-26",
+@query("membership_reconcile", "GRF-06",
        """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT user_id AS k FROM events)
 SELECT k, CASE WHEN k NOT IN (SELECT k FROM a) THEN 'lost' ELSE 'invented' END AS change FROM (
   (SELECT k FROM b EXCEPT SELECT k FROM a) UNION ALL (SELECT k FROM a EXCEPT SELECT k FROM b))""")

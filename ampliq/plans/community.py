@@ -210,7 +210,7 @@ def top_species(spark, sf):
     return C.top_species(s, 3).withColumn("share", F.round(F.col("share") / 100.0, 2))
 
 
-@query("clade_bins_calibration", "COM-05 AUD-07",
+@query("clade_bins_calibration", "COM-05",
        f"""WITH {TREE}, {PLACED}, f AS (SELECT DISTINCT ancestor AS bin, read_id FROM placed JOIN clo USING (node) WHERE left(ancestor, 1) = 'N'),
 e AS (SELECT DISTINCT 'N' || c_nationkey AS bin, o_orderkey AS read_id FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT bin, count(*) FILTER (a AND b) AS common, count(*) FILTER (b IS NULL) AS only_found, count(*) FILTER (a IS NULL) AS only_expected

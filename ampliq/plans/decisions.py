@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import audit as A
 from ..operators import consensus as C
+from ..operators import design as D
 from ..operators import identity as I
 from ..operators import kmers as K
+from ..operators import lineage as L
 from ..operators import membership as MB
 from .binding import READS, reads, sql_kmers, table
 from .registry import query
@@ -126,3 +128,37 @@ def name_claims(spark, sf):
     name = (F.when(k == 0, F.concat("name", F.lit(" sp."))).when(k == 1, F.regexp_replace("name", "^(\\S+) ", "$1 cf. ")).when(k == 2, "cannot be named")
             .when(k == 3, F.concat(F.lit("Candidatus "), "name")).otherwise(F.col("name")))
     return h.select("doc_id", "idx", name.alias("name")).select("doc_id", "idx", I.name_level("name").alias("level"), N.genus_skipping_candidatus("name").alias("genus"))
+
+
+@query("best_reference_hits", "GRF-08",
+       """WITH h AS (SELECT DISTINCT l_orderkey AS doc, l_returnflag AS reference, 90 + (l_discount * 50)::DOUBLE AS identity, l_quantity::BIGINT AS aligned, l_partkey AS target FROM lineitem),
+r AS (SELECT doc, reference, identity AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY identity DESC, aligned DESC, reference) AS rn FROM h) WHERE rn = 1)
+SELECT doc, reference, round(identity, 6) AS identity, aligned, target, row_number() OVER (PARTITION BY doc ORDER BY identity DESC, aligned DESC, target) AS rank
+FROM h JOIN r USING (doc, reference) WHERE identity >= top - 1.0""")
+def best_reference_hits(spark, sf):
+    h = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("reference"), (90 + (F.col("l_discount") * 50).cast("double")).alias("identity"),
+                                            F.col("l_quantity").cast("long").alias("aligned"), F.col("l_partkey").alias("target")).distinct()
+    return L.one_reference_hits(h, "doc").withColumn("identity", F.round("identity", 6))
+
+
+@query("locus_windows", "OPT-02",
+       f"""WITH {READS}, w AS (SELECT read_id, seq, length(seq) AS n, unnest(range(0, greatest(1, floor((length(seq) - 700) / 300)::INT + 2))) AS i FROM reads),
+x AS (SELECT read_id, i, least(i * 300, greatest(0, n - 700)) AS s, seq, n FROM w)
+SELECT read_id, i::INTEGER AS "window", s::INTEGER AS start, least(n, s + 700)::INTEGER AS "end", md5(substr(seq, s::INT + 1, (least(n, s + 700) - s)::INT)) AS digest FROM x WHERE least(n, s + 700) - s >= 120""")
+def locus_windows(spark, sf):
+    w = D.locus_windows(reads(spark, sf).select("read_id", "seq"), "read_id")
+    return w.select("read_id", "window", "start", "end", F.md5("seq").alias("digest"))
+
+
+@query("genus_coverage", "ALN-13 AGG-16",
+       f"""WITH {READS}, s AS (SELECT library AS genus, read_id AS doc_id, substr(replace(seq, 'GTA', '---'), 1, 9) AS f, substr(replace(seq, 'GTA', '---'), 21, 9) AS r FROM reads),
+b AS (SELECT genus, doc_id, k, substr(f, k, 1) AS fb, substr(r, k, 1) AS rb, ['ACGT', 'AG', 'ACGT', 'ACGT', 'CT', 'ACGT', 'ACG', 'ACGT', 'AGT'][k] AS ok FROM s, (SELECT unnest(range(1, 10)) AS k) WHERE length(f) = 9 AND length(r) = 9),
+m AS (SELECT genus, doc_id,
+  CASE WHEN count(*) FILTER (fb <> '-') >= 0.8 * 9 AND count(*) FILTER (k > 6 AND NOT contains(ok, fb)) = 0 THEN count(*) FILTER (NOT contains(ok, fb)) END AS fm,
+  CASE WHEN count(*) FILTER (rb <> '-') >= 0.8 * 9 AND count(*) FILTER (k > 6 AND NOT contains(ok, rb)) = 0 THEN count(*) FILTER (NOT contains(ok, rb)) END AS rm FROM b GROUP BY ALL)
+SELECT genus, count(*) FILTER (fm <= 1 AND rm <= 1) AS amplified, count(*) AS tested FROM m WHERE fm IS NOT NULL OR rm IS NOT NULL GROUP BY 1""")
+def genus_coverage(spark, sf):
+    seq = F.replace("seq", F.lit("GTA"), F.lit("---"))
+    s = reads(spark, sf).select(F.col("library").alias("genus"), F.substring(seq, 1, 9).alias("f"), F.substring(seq, 21, 9).alias("r")).where("length(f) = 9 and length(r) = 9")
+    p = F.lit("NRNNYNVND")
+    return D.coverage_by_genus(s.select("genus", D.site_mismatch("f", p).alias("forward"), D.site_mismatch("r", p).alias("reverse")))

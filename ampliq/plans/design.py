@@ -121,7 +121,7 @@ def round_robin_pick(spark, sf):
     return D.round_robin(r, "target", "cell", "strictness", order, 12).select("target", "cell", "fwd", "rev", "pick")
 
 
-@query("stratified_pick", "WIN-03 OPT-02",
+@query("stratified_pick", "WIN-03",
        f"""WITH {REFS}, {WIN_SQL}, {TM_SQL}, x AS (SELECT *, min(pos) OVER (PARTITION BY ref_id) AS lo, max(pos) OVER (PARTITION BY ref_id) AS hi FROM cand WHERE dir = 'F'),
 s AS (SELECT *, floor((pos - lo) * 8 / (hi - lo + 1))::BIGINT AS slice FROM x)
 SELECT ref_id AS target, slice, pos, oligo FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, slice ORDER BY abs(tm - 60), pos, oligo) AS rn FROM s) WHERE rn = 1""")

@@ -138,7 +138,7 @@ def binomial_strict(spark, sf):
     return headers(spark, sf).select("doc_id", "idx", N.strict_binomial("header").alias("species"))
 
 
-@query("accession_tokens", "TAX-06 TAX-07 JOIN-27",
+@query("accession_tokens", "TAX-06 TAX-07",
        f"""WITH {HEADERS} SELECT doc_id, idx, nullif(regexp_extract(header, '^([A-Z]{{1,2}}_?[0-9]{{5,8}})', 1), '') AS accession,
   len(list_distinct(list_filter(string_split_regex(lower(header), '[^a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ('strain', 'uncultured')))) AS n_tokens
 FROM headers""")
@@ -266,7 +266,7 @@ FIELDS_SQL = """fl AS (SELECT doc_id, idx, list_filter(list_transform(CASE
   lambda x: x <> '' AND x NOT IN ('incertae sedis', 'unclassified')) AS f FROM headers)"""
 
 
-@query("dominant_lineage_depth", "GRF-09 TAX-17",
+@query("dominant_lineage_depth", "GRF-09",
        f"""WITH {HEADERS}, {FIELDS_SQL}, c AS (SELECT doc_id, f, count(*) AS k FROM fl WHERE len(f) > 0 GROUP BY ALL),
 d AS (SELECT doc_id, f AS dom FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, array_to_string(f, ';')) AS rn FROM c) WHERE rn = 1),
 m AS (SELECT doc_id, idx, dom, f, list_position([f[i] <> dom[i] FOR i IN range(1, least(len(f), len(dom)) + 1)], true) AS p FROM fl JOIN d USING (doc_id))
