@@ -43,12 +43,27 @@ def oligo_temperatures(spark, sf):
     return _cands(spark, sf).select("target", "pos", "len", "dir", "tm", "gc")
 
 
-@query("oligo_temperatures_divalent", "THR-02")
+# the divalent correction written out from the reaction's concentrations
+TM2_SQL = f"""c0 AS (SELECT {_R.monovalent_mm / 1000.0!r}::DOUBLE AS mon, {_R.dntp_mm / 1000.0!r}::DOUBLE AS dntp, {_R.divalent_mm / 1000.0!r}::DOUBLE AS mg0),
+c1 AS (SELECT mon, CASE WHEN dntp > 0 THEN (-(30000.0 * dntp - 30000.0 * mg0 + 1.0) + sqrt(pow(30000.0 * dntp - 30000.0 * mg0 + 1.0, 2) + 120000.0 * mg0)) / 60000.0 ELSE mg0 END AS mg FROM c0),
+c2 AS (SELECT mon, mg, sqrt(mg) / mon AS ratio, ln(mon) AS lm, ln(mg) AS lg FROM c1),
+c3 AS (SELECT ratio, lm, lg, CASE WHEN ratio >= 0.22 AND ratio < 6 THEN 0.843 - 0.352 * sqrt(mon) * lm ELSE 1 END AS ka, CASE WHEN ratio >= 0.22 AND ratio < 6 THEN 1.279 - 0.00403 * lm - 0.00803 * lm * lm ELSE 1 END AS kd,
+  CASE WHEN ratio >= 0.22 AND ratio < 6 THEN 0.486 - 0.258 * lm + 0.00525 * pow(lm, 3) ELSE 1 END AS kg FROM c2),
+e0 AS (SELECT oligo, h, s, length(oligo) AS n, length(regexp_replace(oligo, '[^GC]', '', 'g')) / length(oligo) AS g, CASE WHEN left(oligo, 1) IN ('G', 'C') THEN 0.1 ELSE 2.3 END + CASE WHEN right(oligo, 1) IN ('G', 'C') THEN 0.1 ELSE 2.3 END AS eh,
+  CASE WHEN left(oligo, 1) IN ('G', 'C') THEN -2.8 ELSE 4.1 END + CASE WHEN right(oligo, 1) IN ('G', 'C') THEN -2.8 ELSE 4.1 END + CASE WHEN reverse(translate(oligo, 'ACGT', 'TGCA')) = oligo THEN -1.4 ELSE 0 END AS es FROM st),
+tm2 AS (SELECT oligo, round(1.0 / ((s + es + 1.987 * ln({_R.oligo_nm!r} * 1e-9)) / (1000.0 * (h + eh)) + CASE WHEN ratio < 0.22 THEN (4.29 * g - 3.95) * 1e-5 * lm + 9.40e-6 * lm * lm
+  ELSE (3.92 * ka - 0.911 * lg + g * (6.26 + 1.42 * kd * lg) + (-48.2 + 52.5 * lg + 8.31 * kg * lg * lg) / (2.0 * (n - 1))) * 1e-5 END) - 273.15, 2) AS tm2 FROM e0, c3)"""
+
+
+@query("oligo_temperatures_divalent", "THR-02", f"WITH {REFS}, {WIN_SQL}, {TM_SQL}, {TM2_SQL} SELECT ref_id AS target, pos, len, dir, tm2 FROM cand JOIN tm2 USING (oligo)")
 def oligo_temperatures_divalent(spark, sf):
     return _cands(spark, sf).select("target", "pos", "len", "dir", F.round(T.melting_temperature_divalent("oligo"), 2).alias("tm2"))
 
 
-@query("tm_agreement", "THR-03")
+@query("tm_agreement", "THR-03",
+       f"""WITH {REFS}, {WIN_SQL}, {TM_SQL}, {TM2_SQL}, d AS (SELECT ref_id AS target, round(tm - tm2, 6) AS diff FROM cand JOIN tm2 USING (oligo)),
+m AS (SELECT target, median(diff) AS o, stddev_pop(diff) AS sd FROM d GROUP BY 1)
+SELECT target, count(*) AS kept, max(round(o, 3)) AS "offset" FROM d JOIN m USING (target) WHERE abs(diff - o) <= round(greatest(0.1, 2.0 * sd), 9) GROUP BY 1""")
 def tm_agreement(spark, sf):
     c = _cands(spark, sf).withColumn("tm2", F.round(T.melting_temperature_divalent("oligo"), 2))
     k = D.tm_agreement(c, ["target"])
