@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import stats as M
 from .ranking import top_n
 
@@ -212,3 +213,19 @@ def representatives(consensus: DataFrame, keys: list[str], min_covered: int = 20
     c = consensus.withColumn("covered", F.length(F.regexp_replace("seq", "N", ""))).where(F.col("covered") >= min_covered)
     m = c.groupBy(*keys).agg(F.min(F.struct((-F.col("covered")).alias("neg"), F.col("bin"))).alias("m"))
     return m.select(*keys, "m.bin", (-F.col("m.neg")).alias("covered"))
+
+
+def target_genera(declared: DataFrame, measured: DataFrame) -> DataFrame:
+    """Genera a target declares and those measured for it (TAX-17): target, genus, declared, measured.
+
+    declared: (target, name); measured: (target, identity), names separated by ';' or ',', remarks
+    in brackets. A name without a genus gives none.
+    """
+    def genus(name):  # the first word of four letters that isn't a description
+        return F.get(N.token_set(name, N.TITLE_NOISE), F.lit(0))
+
+    own = declared.select("target", genus("name").alias("genus")).where("genus IS NOT NULL").distinct()
+    seen = measured.select("target", F.explode(F.split("identity", "[;,]")).alias("part")).select(
+        "target", genus(F.regexp_replace("part", "\\(.*?\\)", " ")).alias("genus")).where("genus IS NOT NULL").distinct()
+    j = own.withColumn("d", F.lit(True)).join(seen.withColumn("m", F.lit(True)), ["target", "genus"], "full_outer")
+    return j.select("target", "genus", F.coalesce("d", F.lit(False)).alias("declared"), F.coalesce("m", F.lit(False)).alias("measured"))

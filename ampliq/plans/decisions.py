@@ -162,3 +162,16 @@ def genus_coverage(spark, sf):
     s = reads(spark, sf).select(F.col("library").alias("genus"), F.substring(seq, 1, 9).alias("f"), F.substring(seq, 21, 9).alias("r")).where("length(f) = 9 and length(r) = 9")
     p = F.lit("NRNNYNVND")
     return D.coverage_by_genus(s.select("genus", D.site_mismatch("f", p).alias("forward"), D.site_mismatch("r", p).alias("reverse")))
+
+
+@query("target_genera", "TAX-17",
+       """WITH d AS (SELECT c_custkey AS target, ['urgent', 'high', 'medium', 'known'][c_nationkey % 5 + 1] AS genus FROM customer WHERE c_nationkey % 5 < 4),
+m AS (SELECT DISTINCT o_custkey AS target, lower(split_part(substr(o_orderpriority, 3), ' ', -1)) AS genus FROM orders WHERE o_orderpriority NOT LIKE '%LOW')
+SELECT coalesce(d.target, m.target) AS target, coalesce(d.genus, m.genus) AS genus, d.target IS NOT NULL AS declared, m.target IS NOT NULL AS measured FROM d FULL JOIN m ON d.target = m.target AND d.genus = m.genus""")
+def target_genera(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("uncultured Urgent alba", "High sp.", "Medium", "Ca. Not known", "Low (type)")])
+    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("target"), F.get(names, (F.col("c_nationkey") % 5).cast("int")).alias("name"))
+    part = F.concat(F.initcap(F.lower(F.substring("o_orderpriority", 3, 99))), F.lit(" sp. (measured, twice)"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("target"), F.regexp_replace(part, ",", "").alias("part")).distinct()
+    m = o.groupBy("target").agg(F.concat_ws("; ", F.sort_array(F.collect_list("part"))).alias("identity"))
+    return MB.target_genera(d, m)
