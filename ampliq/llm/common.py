@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
+        own = tempfile.mkdtemp(prefix="llm-shared-")  # a local session alone: goes with the process
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

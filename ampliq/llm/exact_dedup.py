@@ -164,11 +164,11 @@ def look_up(rows: DataFrame, index: DataFrame) -> DataFrame:
     asked = written(keyed.groupBy("shard").count(), "asked")
     total = asked.agg(F.sum("count")).first()[0] or 0
     each = max(1, -(-total // (8 * partitions(spark))))
-    copies = bounded_copies = F.broadcast(asked.select("shard", F.ceil(F.col("count") / each).cast("int").alias("copies")))  # one row per shard
+    copies = F.broadcast(asked.select("shard", F.ceil(F.col("count") / each).cast("int").alias("copies")))  # one row per shard
     left = keyed.join(copies, "shard").select(
-        "shard", F.pmod(F.xxhash64("doc_id", "digest", F.rand(7)), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("is_row"), "doc_id", "digest", "n_points",
+        "shard", F.pmod(F.xxhash64("doc_id", "digest"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("is_row"), "doc_id", "digest", "n_points",
         *[F.lit(None).cast(t).alias(c) for c, t in (("sizes", "binary"), ("bits", "binary"), ("digests", "binary"), ("i_keep_id", "array<long>"), ("i_keep_points", "array<long>"), ("i_group_size", "array<long>"))])
-    right = index.join(bounded_copies, "shard").select(
+    right = index.join(copies, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("is_row"),
         F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("n_points"),
         "sizes", "bits", "digests", F.col("keep_id").alias("i_keep_id"), F.col("keep_points").alias("i_keep_points"), F.col("group_size").alias("i_group_size"))
