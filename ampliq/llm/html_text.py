@@ -1,9 +1,10 @@
 """Main text of web pages, with host-wide repeats found by suffix arrays.
 
-A page is cut into blocks. Blocks inside an article or main element, outside of menus and the like, are the main text.
-Where a page marks none, its loose blocks are judged by what the host repeats: the token streams of a host's pages are
-concatenated, their suffixes sorted, and neighbours in that order that share at least MIN_RUN tokens on distinct
-pages show boilerplate; covered tokens go and the unique runs stay.
+A page is cut into blocks: article blocks (inside an article or main element), menus and the like, and loose ones. The
+token streams of a host's pages are concatenated and their suffixes sorted; neighbours in that order that share at
+least MIN_RUN tokens on distinct pages are repeats. In a page that marks an article, tokens of article blocks go if
+they lie in a repeat that other pages have outside of articles: passages that only articles share are no boilerplate.
+In a page that marks none, tokens of loose blocks go if they lie in any repeat. The unique runs stay.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, partitions, short_batches, written
+from .common import bounded, groups, partitions, short_batches, written
 
 #: Shortest repeat, in tokens; a power of two.
 MIN_RUN = 16
 #: Tokens of a suffix array, about: a host with more is dealt over several by page.
-ARRAY_TOKENS = 1_000_000
+ARRAY_TOKENS = 250_000
 #: Fixed values of HTML: elements that start a block, whose content is no text, and that are never main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -104,31 +105,32 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
     return marked, out
 
 
-def host_of(url: str | None) -> str:
-    """The host of a URL in lower case, without user, port and leading www."""
-    rest = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").lstrip("/")
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower().removeprefix("www.")
-
-
-def repeated(streams: list[list[list[str]]], least: int = MIN_RUN) -> list[list[np.ndarray]]:
-    """For the blocks of each page, which tokens lie in a run of at least ``least`` tokens that another page has too.
+def repeated(streams: list[list[list[str]]], zones: list[list[int]], least: int = MIN_RUN) -> list[list[np.ndarray]]:
+    """For the blocks of each page, which tokens lie in a run of at least ``least`` tokens that another page has too; for
+    tokens of article blocks (zone 2) it counts only if another page has it in a block of another zone.
 
     Suffixes are sorted by prefix doubling as far as ``least`` tokens, which is as much of the suffix array as decides
     this; blocks end in separators that equal nothing. Pages with one and the same stream are one page.
     """
     ids: dict[str, int] = {}
-    flat, page, shape = [], [], []
-    same: dict[tuple, int] = {}
-    for blocks in streams:
-        key = same.setdefault(tuple(map(tuple, blocks)), len(same))
-        for b in blocks:
-            shape.append(len(b))
-            flat += [ids.setdefault(t, len(ids)) for t in b]
+    flat: list[int] = []
+    sizes, pages, kinds = [], [], []
+    same: dict[int, int] = {}
+    number = lambda t: ids.setdefault(t, len(ids))
+    for blocks, zone in zip(streams, zones, strict=True):
+        begin = len(flat)
+        for b, z in zip(blocks, zone, strict=True):
+            flat += map(number, b)
             flat.append(-1)
-            page += [key] * (len(b) + 1)
+            sizes.append(len(b))
+            kinds.append(z)
+        key = same.setdefault(hash(tuple(flat[begin:])), len(same))
+        pages += [key] * len(blocks)
     n = len(flat)
-    covered = np.zeros(n + 1, np.int64)
+    mask = np.zeros(n, bool)
     if n:
+        lengths = np.array(sizes) + 1
+        page, kind = np.repeat(pages, lengths), np.repeat(kinds, lengths)
         rank = np.array(flat, np.int64)
         stops = rank < 0
         rank[stops] = len(ids) + np.arange(int(stops.sum()))
@@ -136,76 +138,65 @@ def repeated(streams: list[list[list[str]]], least: int = MIN_RUN) -> list[list[
         while reach < least:
             after = np.full(n, -1, np.int64)
             after[:-reach] = rank[reach:]
-            order = np.lexsort((after, rank))
-            new = np.r_[True, (rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]])]
+            both = rank * (n + 2) + after + 1  # ranks are below n, so a pair is one number
+            order = np.argsort(both, kind="stable")
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
+            rank[order] = np.cumsum(np.r_[False, both[order[1:]] != both[order[:-1]]])
             reach *= 2
         order = np.argsort(rank, kind="stable")
-        owner, starts = np.array(page)[order], np.flatnonzero(np.r_[True, np.diff(rank[order]) > 0])
-        wide = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
-        hits = order[np.repeat(wide, np.diff(np.r_[starts, n]))]
-        np.add.at(covered, hits, 1)
-        np.add.at(covered, np.minimum(hits + reach, n), -1)
-    mask = np.cumsum(covered)[:n] > 0
-    out, at, k = [], 0, 0
-    for blocks in streams:
-        mine = []
-        for _ in blocks:
-            mine.append(mask[at:at + shape[k]])
-            at += shape[k] + 1
-            k += 1
-        out.append(mine)
-    return out
+        starts = np.flatnonzero(np.r_[True, np.diff(rank[order]) > 0])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        owner, other = page[order], kind[order] != 2
+        least_page, most_page = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+        # of the occurrences outside of articles: the smallest and largest page
+        low = np.minimum.reduceat(np.where(other, owner, n), starts)[group]
+        high = np.maximum.reduceat(np.where(other, owner, -1), starts)[group]
+        wide = np.where(other, (least_page != most_page)[group], (high >= 0) & ((low != owner) | (high != owner)))
+        hits = order[wide]
+        covered = np.bincount(hits, minlength=n + 1)[:n + 1] - np.bincount(np.minimum(hits + reach, n), minlength=n + 1)[:n + 1]
+        mask = np.cumsum(covered)[:n] > 0
+    ends = np.cumsum(np.array(sizes, np.int64) + 1)
+    cut_up = iter([mask[e - size - 1:e - 1] for e, size in zip(ends.tolist(), sizes, strict=True)])
+    return [[next(cut_up) for _ in blocks] for blocks in streams]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html (null: empty).
 
-    Blocks are joined by two line ends. A page that marks an article keeps all of it, whatever other pages repeat: copied
-    passages of articles are no boilerplate. A page that marks none keeps its loose blocks' runs that no other page of the
-    host has; copies of a page count once, and a repeat is sought within stretches of about ARRAY_TOKENS tokens of a
-    host, dealt by page, so a huge host is many tasks. Repeated rows each give a row; a null url is a host of its own.
+    Blocks are joined by two line ends. Copies of a page count once, and a repeat is sought within stretches of about
+    ARRAY_TOKENS tokens of a host, dealt by page, so a huge host is many tasks; what stands on many pages of a host stands
+    in each stretch. Repeated rows each give a row; a null url is a host of its own, and a page without text gives an empty one.
     """
     spark = pages.sparkSession
     short_batches(spark)
+    host = F.regexp_replace(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, r"^/*([^/?#]*)", 1), "^.*@", ""), r"^www\.|:[^:]*$", "")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # sizes of hosts decide over how many arrays a host is dealt; five bytes a token is few, so arrays stay small
+    sizes = rows.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("html")) / (5 * ARRAY_TOKENS))).cast("int").alias("arrays"))
+    sizes = bounded(written(sizes, "hosts"))
+    shape = "page_id long, url string, host string, nonce long, marked boolean, zones array<int>, blocks array<string>"
 
     def parse(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in part:
-            rows = []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                marked, blocks = cut(html)
-                main = "\n\n".join(t for z, t in blocks if z == 2) if marked else None
-                loose = [(z, t) for z, t in blocks if z < 2]
-                rows.append((host_of(url), main, [z for z, _ in loose], [t for _, t in loose], sum(t.count(" ") + 2 for _, t in loose)))
-            host, main, zones, loose, tokens = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(host, pa.string()), pa.array(main, pa.string()), pa.array(zones, pa.list_(pa.int32())),
-                                              pa.array(loose, pa.list_(pa.string())), pa.array(tokens, pa.int64())], names=["page_id", "url", "host", "main", "zones", "loose", "tokens"])
-
-    html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html)
-    parsed = written(parsed.mapInArrow(parse, "page_id long, url string, host string, main string, zones array<int>, loose array<string>, tokens long"), "parsed")
-    # only hosts that hold an unmarked page need their streams; the counts decide how many arrays a host is dealt over
-    hosts = parsed.groupBy("host").agg(F.sum("tokens").alias("t"), F.sum(F.col("main").isNull().cast("int")).alias("open")).where("open > 0")
-    hosts = written(hosts.select("host", F.greatest(F.lit(1), F.ceil(F.col("t") / ARRAY_TOKENS)).cast("int").alias("arrays")), "hosts")
-    streams = parsed.select("page_id", "url", "host", "zones", "loose", F.col("main").isNull().alias("open")).join(hosts, "host")
-    streams = (streams.withColumn("array", F.pmod(F.xxhash64("page_id", "loose"), F.col("arrays")).cast("int")).select("host", "array", "page_id", "url", "zones", "loose", "open")
+            found = [cut(html) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(c) for c in ("page_id", "url", "host", "nonce")), pa.array([m for m, _ in found], pa.bool_()), pa.array([[z for z, _ in b] for _, b in found], pa.list_(pa.int32())),
+                pa.array([[t for _, t in b] for _, b in found], pa.list_(pa.string()))], names=[c.split()[0] for c in shape.split(", ")])
+
+    streams = rows.withColumn("nonce", F.xxhash64("page_id", "html")).mapInArrow(parse, shape).join(sizes, "host")
+    streams = (streams.withColumn("array", F.pmod("nonce", "arrays").cast("int")).drop("nonce", "arrays")
                .repartition(partitions(spark), "host", "array").sortWithinPartitions("host", "array"))
 
     def judge(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(part, ["host", "array"]):
-            zones, loose, open_ = t.column("zones").to_pylist(), t.column("loose").to_pylist(), t.column("open").to_pylist()
-            words = [[b.split(" ") for b in page] for page in loose]
+            zones, blocks = t.column("zones").to_pylist(), t.column("blocks").to_pylist()
+            words = [[b.split(" ") for b in page] for page in blocks]
             text = []
-            for zone, page, masks, judged in zip(zones, words, repeated(words), open_, strict=True):
-                if judged:
-                    kept = (" ".join(w for w, m in zip(b, mask, strict=True) if not m) for z, b, mask in zip(zone, page, masks, strict=True) if z == 0)
-                    text.append("\n\n".join(k for k in kept if k))
-                else:
-                    text.append(None)
-            out = pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(text, pa.string())})
-            yield from out.filter(pa.array(open_)).to_batches()
-
-    judged = streams.mapInArrow(judge, "page_id long, url string, text string")
-    marked = parsed.where("main is not null").select("page_id", "url", F.col("main").alias("text"))
-    return marked.unionByName(judged).withColumn("n_chars", F.char_length("text").cast("long"))
+            for marked, zone, page, tokens, masks in zip(t.column("marked").to_pylist(), zones, blocks, words, repeated(words, zones), strict=True):
+                kept = [(" ".join(w for w, m in zip(ws, mask, strict=True) if not m) if mask.any() else b)
+                        for z, b, ws, mask in zip(zone, page, tokens, masks, strict=True) if z == (2 if marked else 0)]
+                text.append("\n\n".join(k for k in kept if k))
+            yield from pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(text, pa.string())}).to_batches()
+
+    return streams.mapInArrow(judge, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
