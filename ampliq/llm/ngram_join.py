@@ -27,7 +27,7 @@ BLOCK = 128
 #: Estimates this far below the threshold still count as met: four deviations of 128 coordinates.
 MARGIN = 0.14
 SEED = 0x5EED
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 _U = np.uint64
 _rng = np.random.default_rng(SEED)
 _MULT = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * _U(2) + _U(1)
