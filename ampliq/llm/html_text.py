@@ -1,8 +1,8 @@
-"""Main text of web pages, with host-wide repeats found by suffix arrays.
+"""Main text of web pages, with repeats sought over all pages of a host.
 
-A page is cut into blocks: article blocks (inside an article or main element), menus and the like, and loose ones. The
-token streams of a host's pages are concatenated and their suffixes sorted; neighbours in that order that share at
-least MIN_RUN tokens on distinct pages are repeats. In a page that marks an article, tokens of article blocks go if
+A page is cut into blocks: article blocks (inside an article or main element), menus and the like, and loose ones. Every
+stretch of MIN_RUN tokens of a block is hashed together with its host; equal hashes meet in one shard whatever the size
+of the host, and those that distinct pages have are repeats. In a page that marks an article, tokens of article blocks go if
 they lie in a repeat that other pages have outside of articles: passages that only articles share are no boilerplate.
 In a page that marks none, tokens of loose blocks go if they lie in any repeat. The unique runs stay.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, groups, partitions, short_batches, written
+from .common import groups, partitions, short_batches
+from .ngram_join import mix64, word_hashes
 
 #: Shortest repeat, in tokens; a power of two.
 MIN_RUN = 16
-#: Tokens of a suffix array, about: a host with more is dealt over several by page.
-ARRAY_TOKENS = 250_000
+#: Bytes of html per shard of hashes, about, and hashes that are dealt over the shards at once; neither decides over results.
+SHARD_BYTES, HELD = 8_000_000, 1_000_000
 #: Fixed values of HTML: elements that start a block, whose content is no text, and that are never main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -109,7 +111,7 @@ def repeated(streams: list[list[list[str]]], zones: list[list[int]], least: int
     """For the blocks of each page, which tokens lie in a run of at least ``least`` tokens that another page has too; for
     tokens of article blocks (zone 2) it counts only if another page has it in a block of another zone.
 
-    Suffixes are sorted by prefix doubling as far as ``least`` tokens, which is as much of the suffix array as decides
+    This holds all pages at once, and is what extract() is held against. Suffixes are sorted by prefix doubling as far as ``least`` tokens, which is as much of the suffix array as decides
     this; blocks end in separators that equal nothing. Pages with one and the same stream are one page.
     """
     ids: dict[str, int] = {}
@@ -160,43 +162,143 @@ def repeated(streams: list[list[list[str]]], zones: list[list[int]], least: int
     return [[next(cut_up) for _ in blocks] for blocks in streams]
 
 
+def runs(blocks: list[list[str]], host: str, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all stretches of ``least`` tokens (a power of two) within a block: their hashes together with the host, where they
+    begin among the tokens of all blocks, and their blocks."""
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    tokens = word_hashes([t for b in blocks for t in b]) if len(blocks) else np.zeros(0, np.uint64)
+    at = np.arange(len(tokens))
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    whole = at + least <= np.cumsum(sizes)[block]
+    reach = 1
+    while reach < least and len(tokens):
+        after = np.zeros_like(tokens)
+        after[:-reach] = tokens[reach:]
+        tokens = mix64(tokens * np.uint64(0x9E3779B97F4A7C15) + after)
+        reach *= 2
+    seed = np.uint64(int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    return mix64(tokens[whole] ^ seed), at[whole], block[whole]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html (null: empty).
 
-    Blocks are joined by two line ends. Copies of a page count once, and a repeat is sought within stretches of about
-    ARRAY_TOKENS tokens of a host, dealt by page, so a huge host is many tasks; what stands on many pages of a host stands
-    in each stretch. Repeated rows each give a row; a null url is a host of its own, and a page without text gives an empty one.
+    Blocks are joined by two line ends. Copies of a page count once, and a repeat is found wherever two pages of a host have
+    it: hashes of MIN_RUN tokens are dealt over shards, and the repeated ones go back to their pages. Repeated rows each give
+    a row; a null url is a host of its own, and a page without text gives an empty one.
     """
     spark = pages.sparkSession
     short_batches(spark)
     host = F.regexp_replace(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, r"^/*([^/?#]*)", 1), "^.*@", ""), r"^www\.|:[^:]*$", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    # sizes of hosts decide over how many arrays a host is dealt; five bytes a token is few, so arrays stay small
-    sizes = rows.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("html")) / (5 * ARRAY_TOKENS))).cast("int").alias("arrays"))
-    sizes = bounded(written(sizes, "hosts"))
-    shape = "page_id long, url string, host string, nonce long, marked boolean, zones array<int>, blocks array<string>"
+    rows = rows.withColumn("nonce", F.xxhash64("page_id", "url", "html"))
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    shards = max(2 * partitions(spark), -(-size // SHARD_BYTES))
+
+    def deal(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of all pages as (shard, hashes, pages and kinds of them): bit 1 outside of articles, bit 2 main text."""
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def shipped() -> pa.RecordBatch:
+            keys, nonces, copies, kinds = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            shard = (keys % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            keys, nonces, copies, kinds, shard = keys[order], nonces[order], copies[order], kinds[order], shard[order]
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            tables, places = [], []
+            for a, b in ends:  # a page is named once per row
+                page, place = np.unique(np.stack([nonces[a:b], copies[a:b]]), axis=1, return_inverse=True)
+                tables.append(page.tobytes())
+                places.append(place.ravel().astype(np.uint32 if page.shape[1] > 2**16 else np.uint16).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in ends], pa.binary()), pa.array(tables, pa.binary()), pa.array(places, pa.binary()),
+                                               pa.array([kinds[a:b].tobytes() for a, b in ends], pa.binary())], names=["shard", "keys", "pages", "places", "kinds"])
+
+        for batch in part:
+            for h, nonce, html in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "html")), strict=True):
+                marked, found = cut(html)
+                words, zone = [t.split(" ") for _, t in found], np.array([z for z, _ in found], np.int64)
+                keys, _, block = runs(words, h)
+                if not len(keys):
+                    continue
+                kind = (zone[block] != 2) + 2 * (zone[block] == (2 if marked else 0))
+                first = np.unique(np.stack([keys, kind.astype(np.uint64)]), axis=1)
+                copy = int.from_bytes(blake2b("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                n = first.shape[1]
+                held.append((first[0], np.full(n, nonce, np.int64), np.full(n, copy, np.int64), first[1].astype(np.uint8)))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield shipped()
+        if held:
+            yield shipped()
+
+    dealt = (rows.select("host", "nonce", "html").mapInArrow(deal, "shard long, keys binary, pages binary, places binary, kinds binary")
+             .repartition(partitions(spark), "shard").sortWithinPartitions("shard"))
+
+    def repeats(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(nonce, hashes) of main text that a page has to give up."""
+        for t in groups(part, ["shard"]):
+            keys, kinds, nonces, copies = [], [], [], []
+            for k, p, a, z in zip(*(t.column(c).to_pylist() for c in ("keys", "pages", "places", "kinds")), strict=True):
+                page = np.frombuffer(p, np.int64).reshape(2, -1)
+                place = np.frombuffer(a, np.uint16 if 2 * (len(k) // 8) == len(a) else np.uint32)
+                keys.append(np.frombuffer(k, np.uint64))
+                kinds.append(np.frombuffer(z, np.uint8))
+                nonces.append(page[0][place])
+                copies.append(page[1][place])
+            key, kind, nonce, copy = map(np.concatenate, (keys, kinds, nonces, copies))
+            order = np.argsort(key, kind="stable")
+            key, kind, nonce, copy = key[order], kind[order], nonce[order], copy[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+            other, ends = (kind & 1) > 0, np.iinfo(np.int64)
+            several = np.minimum.reduceat(copy, starts) != np.maximum.reduceat(copy, starts)
+            # of the occurrences outside of articles: the smallest and largest page
+            low = np.minimum.reduceat(np.where(other, copy, ends.max), starts)[group]
+            high = np.maximum.reduceat(np.where(other, copy, ends.min), starts)[group]
+            wide = np.where(other, several[group], np.logical_or.reduceat(other, starts)[group] & ((low != copy) | (high != copy)))
+            at = np.flatnonzero(wide & ((kind & 2) > 0))
+            if not len(at):
+                continue
+            at = at[np.argsort(nonce[at], kind="stable")]
+            key, nonce = key[at], nonce[at]
+            cuts = np.flatnonzero(np.r_[True, nonce[1:] != nonce[:-1], True])
+            yield pa.RecordBatch.from_arrays([pa.array(nonce[cuts[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["nonce", "keys"])
 
     def parse(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in part:
-            found = [cut(html) for html in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in ("page_id", "url", "host", "nonce")), pa.array([m for m, _ in found], pa.bool_()), pa.array([[z for z, _ in b] for _, b in found], pa.list_(pa.int32())),
-                pa.array([[t for _, t in b] for _, b in found], pa.list_(pa.string()))], names=[c.split()[0] for c in shape.split(", ")])
+            main = [[t for z, t in found if z == (2 if marked else 0)] for marked, found in map(cut, batch.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("nonce", "page_id", "url", "host")), pa.array(main, pa.list_(pa.string()))], names=["nonce", "page_id", "url", "host", "blocks"])
 
-    streams = rows.withColumn("nonce", F.xxhash64("page_id", "html")).mapInArrow(parse, shape).join(sizes, "host")
-    streams = (streams.withColumn("array", F.pmod("nonce", "arrays").cast("int")).drop("nonce", "arrays")
-               .repartition(partitions(spark), "host", "array").sortWithinPartitions("host", "array"))
+    shape = "nonce long, page_id long, url string, host string, blocks array<string>"
+    # what a page gives up comes before its rows
+    back = dealt.mapInArrow(repeats, "nonce long, keys binary").select("nonce", F.lit(0).alias("kind"), "keys", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in shape.split(", ")[1:]))
+    main = rows.select("nonce", "page_id", "url", "host", "html").mapInArrow(parse, shape)
+    main = main.select("nonce", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "page_id", "url", "host", "blocks")
+    both = back.unionByName(main).repartition(partitions(spark), "nonce").sortWithinPartitions("nonce", "kind")
 
     def judge(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(part, ["host", "array"]):
-            zones, blocks = t.column("zones").to_pylist(), t.column("blocks").to_pylist()
-            words = [[b.split(" ") for b in page] for page in blocks]
-            text = []
-            for marked, zone, page, tokens, masks in zip(t.column("marked").to_pylist(), zones, blocks, words, repeated(words, zones), strict=True):
-                kept = [(" ".join(w for w, m in zip(ws, mask, strict=True) if not m) if mask.any() else b)
-                        for z, b, ws, mask in zip(zone, page, tokens, masks, strict=True) if z == (2 if marked else 0)]
-                text.append("\n\n".join(k for k in kept if k))
-            yield from pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(text, pa.string())}).to_batches()
-
-    return streams.mapInArrow(judge, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+        now, gone = None, []
+        for batch in part:
+            out: tuple[list, list, list] = ([], [], [])
+            for r in batch.to_pylist():
+                if r["nonce"] != now:
+                    now, gone = r["nonce"], []
+                if r["kind"] == 0:
+                    gone.append(np.frombuffer(r["keys"], np.uint64))
+                    continue
+                kept = r["blocks"]
+                if gone:
+                    words = [b.split(" ") for b in kept]
+                    keys, at, _ = runs(words, r["host"])
+                    hits = at[np.isin(keys, np.concatenate(gone))]
+                    n = sum(map(len, words))
+                    mask = np.cumsum(np.bincount(hits, minlength=n + 1) - np.bincount(hits + MIN_RUN, minlength=n + 1)) > 0
+                    stays = iter((~mask[:n]).tolist())
+                    kept = [" ".join([w for w in ws if next(stays)]) for ws in words]
+                for o, v in zip(out, (r["page_id"], r["url"], "\n\n".join(k for k in kept if k)), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["page_id", "url", "text"])
+
+    return both.mapInArrow(judge, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

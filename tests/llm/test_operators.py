@@ -331,6 +331,14 @@ def test_repeats_equal_brute_force():
                 assert (m == want).all()
 
 
+def test_repeats_of_two_pages_of_a_large_host(spark):
+    filler = [" ".join(f"p{k}w{i}" for i in range(400)) for k in range(900)]
+    notice = [" ".join(f"notice{k % 450}n{i}" for i in range(20)) if k % 450 < 12 else "" for k in range(900)]  # each on two pages
+    pages = [(k, f"http://big.net/{k}", f"<div>{filler[k]} {notice[k]}</div>") for k in range(900)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(filler))
+
+
 def test_license_scan(spark, odd, none):
     full = licenses.TEMPLATES["MIT"]
     half = full.split(". ")
