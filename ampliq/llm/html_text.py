@@ -32,21 +32,37 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video".split())
 CHROME = frozenset("nav header footer aside form menu dialog button select search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id and role that mark what isn't the article.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|"
-                    r"footer|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|promotion|related|"
-                    r"replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Whole class names, ids and roles that mark what isn't the article ("_" counts as "-").
+MARKED = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus "
+                   "footer header login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related "
+                   "replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
+                   "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper ads-container comment-list comments-area comments-section cookie-banner cookie-bar cookie-consent cookie-notice "
+                   "main-menu main-nav main-navigation nav-bar nav-menu newsletter-signup page-footer page-header related-articles related-links related-posts search-form share-buttons "
+                   "share-links side-bar site-footer site-header site-nav site-navigation social-buttons social-icons social-links social-share top-menu top-nav widget-area".split())
+#: Elements without a needed end tag: which open siblings a start tag ends, and the elements this doesn't reach beyond.
+SIBLINGS = {name: (frozenset(ends.split()), frozenset(bounds.split())) for names, ends, bounds in (
+    ("li", "li", "ul ol menu dir"), ("dt dd", "dt dd", "dl"), ("td th", "td th", "tr table"), ("tr", "tr", "table"), ("thead tbody tfoot", "caption thead tbody tfoot", "table"),
+    ("option", "option", "select optgroup"), ("optgroup", "optgroup", "select")) for name in names.split()}
+#: Elements that an end tag inside of them doesn't close beyond, unless it is one of the table's own.
+CELLS = frozenset("td th caption table".split())
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: What an element's text is: loose, of an article, menus and the like, the same with an article still to be found in it, hidden.
+LOOSE, ARTICLE, CHROME_ONLY, MAY_HOLD, UNSEEN = range(5)
 
 
 def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
-    """Whether the page marks an article, and its blocks in page order as (zone, text): 2 article, 1 menus and the like, 0 loose."""
+    """Whether the page marks an article, and its blocks in page order as (zone, text): 2 article, 1 menus and the like, 0 loose.
+
+    An element whose class, id or role marks it is no menu where it holds an article or main element that isn't inside
+    another one. Elements end with their end tag, that of an element around them, or a sibling that ends them.
+    """
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    inside = 0  # depth of article and main elements
-    skip, depth = "", 0  # the element that holds menus and the like, and how deep its name is nested
+    opened: list[tuple[str, int]] = []  # elements around, outermost first, and what their text is
+    names: dict[str, int] = {}  # how many of a name are open
     marked = False
     at, end = 0, len(html)
 
@@ -54,7 +70,23 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((1 if skip else 2 if inside else 0, text))
+            out.append(((0, 2, 1, 1, 1)[opened[-1][1] if opened else LOOSE], text))
+
+    def leave(size: int) -> None:
+        if opened[size:] and opened[-1][1] != (opened[size - 1][1] if size else LOOSE):
+            close()  # also where an inline element was no main text
+        for name, _ in opened[size:]:
+            names[name] -= 1
+        del opened[size:]
+
+    def end_open(ends: frozenset[str], bounds: frozenset[str]) -> None:
+        if not any(names.get(n) for n in ends):
+            return
+        for k in range(len(opened) - 1, -1, -1):
+            if opened[k][0] in ends:
+                return leave(k)
+            if opened[k][0] in bounds:
+                return
 
     while at < end:
         m = TAG.search(html, at)
@@ -73,36 +105,43 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
             stop = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        if name in BLOCKS or name in CHROME:
+        block = name in BLOCKS or name in CHROME
+        if block:
             close()
         elif name == "br":
             held.append(" ")
-        if closing:
-            if skip:
-                if name == skip:
-                    depth -= 1
-                    if not depth:
-                        skip = ""
-                elif skip == "p" and name in BLOCKS:
-                    skip = ""
-            elif name in ("article", "main"):
-                inside = max(0, inside - 1)
+        if name in ("html", "body"):
             continue
-        if skip == "p" and name in BLOCKS:
-            skip = ""
-        if skip:
-            depth += name == skip
+        if closing:
+            if names.get(name):
+                end_open(frozenset((name,)), (frozenset() if name in TABLE else CELLS) if block else BLOCKS)
             continue
+        if name in SIBLINGS:
+            end_open(*SIBLINGS[name])
+        if block and names.get("p"):
+            end_open(frozenset("p"), BLOCKS)
         if name in VOID:
             continue
+        around = opened[-1][1] if opened else LOOSE
+        state = around
         attributes = m[3]
-        role = " ".join(v for a in ATTRIBUTE.finditer(attributes) for v in a.groups()[1:] if v) if "=" in attributes else ""
-        if name in CHROME or (role and name not in ("html", "body") and MARKED.search(role)) or (attributes and name not in ("html", "body") and HIDDEN.search(attributes)):
+        if around != UNSEEN and attributes:
+            of = {}
+            for x in ATTRIBUTE.finditer(attributes):
+                of.setdefault(x[1].lower(), next((v for v in x.groups()[1:] if v is not None), ""))
+            if "hidden" in of or of.get("aria-hidden", "").lower() == "true" or UNSHOWN.search(unescape(of.get("style", ""))):
+                state = UNSEEN
+            elif around != CHROME_ONLY and not MARKED.isdisjoint(" ".join(of.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-").split()):
+                state = CHROME_ONLY if around == ARTICLE or name in CHROME or name in ("article", "main") else MAY_HOLD
+        if state == around and state != UNSEEN:
+            if name in CHROME and state != CHROME_ONLY:  # a form can be around a whole page
+                state = MAY_HOLD if name == "form" and state != ARTICLE else CHROME_ONLY
+            elif name in ("article", "main") and state in (LOOSE, MAY_HOLD):
+                state, marked = ARTICLE, True
+        if state != around:
             close()
-            skip, depth = name, 1
-        elif name in ("article", "main"):
-            inside += 1
-            marked = True
+        opened.append((name, state))
+        names[name] = names.get(name, 0) + 1
     close()
     return marked, out
 

@@ -300,6 +300,24 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<div class="site no-sidebar"><article>whole</article></div>', "whole"),
+    ('<div class="content-with-sidebar"><p>one</div><div id=job-search>two</div><div class="social-science">three</div>', "one|two|three"),
+    ('<div class="sidebar"><p>side<article>whole</article>side</div>', "whole"),
+    ('<form action="/"><nav>menu</nav><main>whole</main></form>', "whole"),
+    ('<article>a<div class="comments"><article>reader</article></div>b</article>', "a|b"),
+    ('<p><a title="the hidden valley" href=x>here</a> and <b class="a hidden b">there</b>', "here and there"),
+    ('<p hidden>no<p aria-hidden="true">no<div style="color:red; display: none">no</div><p data-x="display:none">yes', "yes"),
+    ('<ul><li>a<li class="share">no<li>b</ul>c', "a|b|c"),
+    ('<dl><dt>a<dd class=ad>no<dt>b</dl><table><tr><td class="ad">no<td>c<tr><td>d</table>e', "a|b|c|d|e"),
+    ('<div><p>a <span class="ad">no</div>b', "a|b"),
+    ('<div class="ad"><div>no</div>no<ul><li>no</ul></div>a', "a"),
+    ('<aside>no<article>no</article></aside><p>a', "a")])
+def test_cut_keeps_articles(html, text):
+    marked, blocks = html_text.cut(html)
+    assert "|".join(t for z, t in blocks if z == (2 if marked else 0)) == text
+
+
 def test_host_repeats_leave_unique_runs(spark):
     base = " ".join(f"boiler{i}" for i in range(20))
     own = ["alpha one two three", "beta four five", "gamma six"]
