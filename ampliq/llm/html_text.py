@@ -4,7 +4,8 @@ A page is cut into blocks: article blocks (inside an article or main element), m
 stretch of MIN_RUN tokens of a block is hashed together with its host; equal hashes meet in one shard whatever the size
 of the host, and those that distinct pages have are repeats. In a page that marks an article, tokens of article blocks go if
 they lie in a repeat that other pages have outside of articles: passages that only articles share are no boilerplate.
-In a page that marks none, tokens of loose blocks go if they lie in any repeat. The unique runs stay.
+In a page that marks none, tokens of loose blocks go if they lie in any repeat. Pages whose main texts mostly coincide
+are one page, so what only copies share stays, and so do the unique runs.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, partitions, short_batches
-from .ngram_join import mix64, word_hashes
+from .common import bounded, groups, partitions, short_batches, written
+from .ngram_join import join, mix64, word_hashes
 
 #: Shortest repeat, in tokens; a power of two.
 MIN_RUN = 16
+#: Pages whose main texts are linked at this Jaccard similarity of five-word shingles are copies of one page.
+NEAR = 0.8
 #: Bytes of html per shard of hashes, about, and hashes that are dealt over the shards at once; neither decides over results.
 SHARD_BYTES, HELD = 8_000_000, 1_000_000
 #: Fixed values of HTML: elements that start a block, whose content is no text, and that are never main text.
@@ -222,8 +225,8 @@ def runs(blocks: list[list[str]], host: str, least: int = MIN_RUN) -> tuple[np.n
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html (null: empty).
 
-    Blocks are joined by two line ends. Copies of a page count once, and a repeat is found wherever two pages of a host have
-    it: hashes of MIN_RUN tokens are dealt over shards, and the repeated ones go back to their pages. Repeated rows each give
+    Blocks are joined by two line ends. Pages with near copies of one main text count as one page (classes of the n-gram
+    join, before anything is taken away), and a repeat is found wherever two other pages of a host have it: hashes of MIN_RUN tokens are dealt over shards, and the repeated ones go back to their pages. Repeated rows each give
     a row; a null url is a host of its own, and a page without text gives an empty one.
     """
     spark = pages.sparkSession
@@ -235,6 +238,15 @@ def extract(pages: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = max(2 * partitions(spark), -(-size // SHARD_BYTES))
 
+    def texts(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            main = [" ".join(t for z, t in found if z == (2 if marked else 0)) for marked, found in map(cut, batch.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("nonce"), pa.array(main, pa.string())], names=["nonce", "text"])
+
+    alike = join(rows.select("nonce", "html").mapInArrow(texts, "nonce long, text string"), threshold=NEAR, id_col="nonce")
+    alike = written(alike.where("class_id <> doc_id").select(F.col("doc_id").alias("nonce"), "class_id").distinct(), "copies")
+    named = rows.join(bounded(alike), "nonce", "left").select("host", "nonce", F.coalesce("class_id", "nonce").alias("copy"), "html")
+
     def deal(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of all pages as (shard, hashes, pages and kinds of them): bit 1 outside of articles, bit 2 main text."""
         held: list[tuple[np.ndarray, ...]] = []
@@ -256,7 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
                                                pa.array([kinds[a:b].tobytes() for a, b in ends], pa.binary())], names=["shard", "keys", "pages", "places", "kinds"])
 
         for batch in part:
-            for h, nonce, html in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "html")), strict=True):
+            for h, nonce, copy, html in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "copy", "html")), strict=True):
                 marked, found = cut(html)
                 words, zone = [t.split(" ") for _, t in found], np.array([z for z, _ in found], np.int64)
                 keys, _, block = runs(words, h)
@@ -264,7 +276,6 @@ def extract(pages: DataFrame) -> DataFrame:
                     continue
                 kind = (zone[block] != 2) + 2 * (zone[block] == (2 if marked else 0))
                 first = np.unique(np.stack([keys, kind.astype(np.uint64)]), axis=1)
-                copy = int.from_bytes(blake2b("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                 n = first.shape[1]
                 held.append((first[0], np.full(n, nonce, np.int64), np.full(n, copy, np.int64), first[1].astype(np.uint8)))
             if sum(len(x[0]) for x in held) >= HELD:
@@ -272,7 +283,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield shipped()
 
-    dealt = (rows.select("host", "nonce", "html").mapInArrow(deal, "shard long, keys binary, pages binary, places binary, kinds binary")
+    dealt = (named.mapInArrow(deal, "shard long, keys binary, pages binary, places binary, kinds binary")
              .repartition(partitions(spark), "shard").sortWithinPartitions("shard"))
 
     def repeats(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

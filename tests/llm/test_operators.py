@@ -357,6 +357,15 @@ def test_repeats_of_two_pages_of_a_large_host(spark):
     assert got == dict(enumerate(filler))
 
 
+def test_near_copies_keep_their_article(spark):
+    article, other = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    notice = " ".join(f"notice{i}" for i in range(20))
+    pages = [(1, "http://c.net/1", f"<div>Monday menu one</div><div>{article}</div><p>{notice}"), (2, "http://c.net/2", f"<div>Friday other links</div><div>{article}</div><p>{notice}"),
+             (3, "http://c.net/3", f"<nav>menu</nav><article>{article}</article>"), (4, "http://c.net/4", f"<div>{other}</div><p>{notice}")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"Monday menu one\n\n{article}", 2: f"Friday other links\n\n{article}", 3: article, 4: other}
+
+
 def test_license_scan(spark, odd, none):
     full = licenses.TEMPLATES["MIT"]
     half = full.split(". ")
