@@ -56,7 +56,7 @@ def seed_shortlist_guaranteed(spark, sf):
 @query("infix_alignment", "ALN-01 ALN-15")
 def infix_alignment(spark, sf):
     q, r = _queries(spark, sf), _records(spark, sf)
-    return A.align_shortlist(A.shortlist(q, r, top=4), q, r)
+    return A.align_shortlist(A.shortlist(q, r), q, r)
 
 
 @query("infix_words", "ALN-01",
@@ -75,7 +75,7 @@ def infix_words(spark, sf):
 @query("discriminating_window", "ALN-02")
 def discriminating_window(spark, sf):
     q, r = _queries(spark, sf), _records(spark, sf)
-    best = A.shortlist(q, r, top=3)
+    best = A.align_shortlist(A.shortlist(q, r), q, r, keep=8)
     return A.discriminating_window(best, q, r)
 
 

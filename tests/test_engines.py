@@ -183,3 +183,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "primer_sites_mm1" in capsys.readouterr().out
     assert main(["run", "length_class", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
+
+
+def test_alignment_goes_through_the_whole_short_list(spark, monkeypatch):
+    from ampliq.plans import similarity as P
+    rng = random.Random(12)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    query = base(200)
+    recs = [(k, "decoy", query[:60] + base(45)) for k in range(220)] + [(1000 + k, "other", base(150)) for k in range(400)] + [(999, "winner", base(10000) + query + base(10000))]
+    monkeypatch.setattr(P, "_queries", lambda s, sf: s.createDataFrame([(1, query)], "query_id long, seq string"))
+    monkeypatch.setattr(P, "_records", lambda s, sf: s.createDataFrame(recs, "rec_id long, header string, seq string"))
+    got = {r["rank"]: r for r in P.infix_alignment(spark, "").collect()}
+    assert sorted(got) == list(range(1, 11))
+    assert got[1].rec_id == 999 and got[1].identity == 100 and got[1].seed_rank > 200 and got[1].late_winner
+    seen = []
+    monkeypatch.setattr(P.A, "discriminating_window", lambda best, q, r: seen.extend(x.rec_id for x in best.collect()))
+    P.discriminating_window(spark, "")
+    assert len(seen) == 8 and 999 in seen
