@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,9 +65,57 @@ class Templates:
                 out = (name, score)
         return out
 
+    def windows(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, licence, score) of the best stretches of words for each template, whatever the lines; of
+        stretches that overlap, the one that shares more pairs stays, then the more similar one.
+
+        A best stretch begins and ends with a pair of its template, and its first pair doesn't come again in it. Templates
+        of whose pairs a text has too few for the bound are pruned.
+        """
+        pairs = list(zip(words, words[1:]))
+        have, found = self.pairs.intersection(pairs), []
+        if not have:
+            return []
+        for size, name, template in self.all:
+            least = size * self.least / (2 - self.least) - 1e-9
+            if len(have) < least or len(template & have) < least:
+                continue
+            most = size * (2 - self.least) / self.least + 1e-9
+            for i, first in enumerate(pairs):
+                if first not in template:
+                    continue
+                seen, shared = {first}, 1
+                best = (2 / (1 + size), i)
+                for j in range(i + 1, len(pairs)):
+                    pair = pairs[j]
+                    if pair in seen:
+                        if pair == first:
+                            break
+                        continue
+                    seen.add(pair)
+                    if len(seen) > most:
+                        break
+                    if pair in template:
+                        shared += 1
+                        score = 2 * shared / (len(seen) + size)
+                        if score > best[0]:
+                            best = (score, j)
+                        if shared == size:
+                            break
+                if best[0] >= self.least:
+                    found.append((-round(best[0] * size), -best[0], name, i, best[1] + 1))
+        taken, out = [], []
+        for _, score, name, a, b in sorted(found):
+            k = bisect(taken, (a, b))
+            if (k and taken[k - 1][1] >= a) or (k < len(taken) and taken[k][0] <= b):
+                continue
+            taken.insert(k, (a, b))
+            out.append((a, b, name, -score))
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, last line, licence, score) of a text's passages: single lines, runs of neighbouring lines at least
-        half of whose pairs are template pairs, and the whole text."""
+        half of whose pairs are template pairs, the whole text, and stretches of words where no such passage has the licence."""
         lines = [WORD.findall(line) for line in text.lower().split("\n")]
         out, run, filled = {}, [], 0
         whole: set | None = set()
@@ -104,13 +153,19 @@ class Templates:
         end_run()
         if whole and filled > 1:
             look(0, len(lines) - 1, whole)
-        return [(a, b, *hit) for (a, b), hit in sorted(out.items())]
+        rows = [(a, b, *hit) for (a, b), hit in out.items()]
+        line = [i for i, words in enumerate(lines) for _ in words]
+        for a, b, name, score in self.windows([w for words in lines for w in words]):
+            if not any(hit[0] == name and first <= line[b] and last >= line[a] for (first, last), hit in out.items()):
+                rows.append((line[a], line[b], name, score))
+        return sorted(rows)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first_line, last_line (from 0), license, dice of every passage whose best template reaches ``least``.
 
-    Passages are the lines, runs of neighbouring lines made of template pairs, and the whole text. Null and empty texts, and texts of one word, give no
+    Passages are the lines, runs of neighbouring lines made of template pairs, the whole text, and stretches of words inside
+    of lines or runs, given by the lines they begin and end in. Null and empty texts, and texts of one word, give no
     row; repeated rows each give theirs. The templates are a parameter of bounded size that travels with the code. No shuffle.
     """
     short_batches(docs.sparkSession)

@@ -386,3 +386,15 @@ def test_license_scan(spark, odd, none):
                     want[k, i, j] = (best[1], -best[0])
     assert got == want and (1, 1, len(half)) in got and (2, 1, 1) in got
     assert licenses.scan(none).count() == 0 and licenses.scan(odd).count() == 0
+
+
+def test_licenses_inside_lines_and_next_to_each_other():
+    table = licenses.Templates(licenses.TEMPLATES, 0.9)
+    mit, isc = (re.sub(r"(.{50}\S*) ", r"\1\n", licenses.TEMPLATES[n]) for n in ("MIT", "ISC"))
+    n, m = len(mit.split("\n")), len(isc.split("\n"))
+    assert table.scan("Foo is a tool. Released under the MIT License. See the docs.") == [(0, 0, "MIT notice", 1.0)]
+    assert table.scan("Foo. Released under the MIT License. Data: Licensed under CC BY-NC 4.0. Bye") == [(0, 0, "CC-BY-NC-4.0 notice", 1.0), (0, 0, "MIT notice", 1.0)]
+    assert table.scan(" ".join(f"before{i}" for i in range(90)) + " " + licenses.TEMPLATES["MIT"] + " " + " ".join(f"after{i}" for i in range(90)) + "\nend") == [(0, 0, "MIT", 1.0)]
+    for between in ("\n\n", "\n---\nand\n\n"):
+        k = n + between.count("\n") - 1
+        assert table.scan(mit + between + isc) == [(0, n - 1, "MIT", 1.0), (k, k + m - 1, "ISC", 1.0)]
