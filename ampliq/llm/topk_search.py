@@ -21,18 +21,19 @@ from .common import partitions, written
 ANNULUS = 2048
 #: Pivots, taken in hash order; the result doesn't depend on them.
 PIVOTS = 32
-#: Components beyond this magnitude could overflow a long score.
-MOST = 2**28
 #: Relative slack of distances computed in floating point.
 SLACK = 1e-7
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, q array<long>): floor(scale * x). Vectors null, empty, or with a null, non-finite or overflowing component take no part."""
+    """(vec_id, q array<long>): floor(scale * x). Vectors null, empty, or with a null or non-finite component take no part;
+    a component that no long holds raises."""
     v = F.transform(vec_col, lambda x: x.cast("double"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < MOST / scale))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = lambda x: (x * scale >= -(2.0**63)) & (x * scale < 2.0**63)
+    whole = F.transform("v", lambda x: F.when(fits(x), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component doesn't fit a long")).cast("long")))
     return (vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0").where(fine)
-            .select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("q")))
+            .select("vec_id", whole.alias("q")))
 
 
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -50,21 +51,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _pack(x: np.ndarray) -> bytes:
     """The components in the narrowest integers that hold them all."""
-    peak = int(np.abs(x).max(initial=0))
-    return x.astype(np.int8 if peak < 2**7 else np.int16 if peak < 2**15 else np.int32).tobytes()
+    peak = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    return x.astype(np.int8 if peak < 2**7 else np.int16 if peak < 2**15 else np.int32 if peak < 2**31 else np.int64).tobytes()
 
 
 def _unpack(data: bytes, dim: int, rows: int) -> np.ndarray:
     width = len(data) // max(1, dim * rows)
-    return np.frombuffer(data, {1: np.int8, 2: np.int16, 4: np.int32}.get(width, np.int8)).reshape(rows, dim).astype(np.int64)
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}.get(width, np.int8)).reshape(rows, dim).astype(np.int64)
 
 
 def _products(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; through doubles while these are exact, as matrix products of doubles are fast."""
-    peak = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
+    """Integer inner products; through doubles while these are exact, as matrix products of doubles are fast, and
+    through Python's integers where a sum could outgrow a long; a score that does raises."""
+    peak = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * x.shape[1]
     if peak < 2**53:
         return np.rint(queries.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return queries @ x.T
+    if peak < 2**62:
+        return queries @ x.T
+    return (queries.astype(object) @ x.T.astype(object)).astype(np.int64)  # raises OverflowError
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

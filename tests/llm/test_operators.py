@@ -398,3 +398,19 @@ def test_licenses_inside_lines_and_next_to_each_other():
     for between in ("\n\n", "\n---\nand\n\n"):
         k = n + between.count("\n") - 1
         assert table.scan(mit + between + isc) == [(0, n - 1, "MIT", 1.0), (k, k + m - 1, "ISC", 1.0)]
+
+
+def test_top_k_keeps_large_finite_vectors(spark):
+    rng = random.Random(9)
+    vec = [[rng.choice([-1, 1]) * rng.uniform(4.5e6, 1e7) for _ in range(6)] for _ in range(30)] + [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(30)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(spark.createDataFrame(list(enumerate(vec)), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()}
+    fine = [[math.floor(64 * c) for c in v] for v in vec]
+    want = {}
+    for q in (0, 20, 40):
+        s = sorted((-sum(a * b for a, b in zip(fine[q], fine[v], strict=True)), v) for v in range(60) if v != q)
+        want |= {(q, k + 1): (v, -score) for k, (score, v) in enumerate(s[:5])}
+    assert got == want
+    wide, minus = np.full((1, 128), 2**28), np.full((1, 128), -(2**28))
+    assert topk_search._products(np.c_[wide, minus] * 2, np.c_[wide, wide] * 2).tolist() == [[0]]
+    with pytest.raises(OverflowError):
+        topk_search._products(wide * 2, wide * 2)
