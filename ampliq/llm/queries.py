@@ -12,6 +12,7 @@ from .licenses import scan
 from .mixing import mix
 from .ngram_join import join
 from .quality import classify
+from .quality_rules import judge
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .sentence_pieces import encode
 from .token_counts import count_tokens
@@ -103,3 +104,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of every document that is a licence template, at a Dice coefficient of 0.9."""
     return scan(table(spark, sf_dir, "documents"), least=0.9)
+
+
+@query("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, five counts, base_failed and the learned list's verdict of every document."""
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
