@@ -107,7 +107,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", text_or_empty().alias("t"))
     d = d.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).withColumn("n", F.size("w"))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
+    d = d.withColumn("signs", F.regexp_replace("t", "[^A-Z0-9.,;:!?#*$%&|<>]+", ""))  # all that is counted below, a small part of the text
+    count = lambda pattern: F.regexp_count("signs", F.lit(pattern)).cast("long")
     d = d.select("doc_id", "n", "w", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
                  F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  count("[A-Z]").alias("n_capitals"), count("[.,;:!?]").alias("n_marks"), count("!").alias("n_shouts"), count("[0-9]").alias("n_digits"),
