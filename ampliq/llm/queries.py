@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import damaged, edits, summary
 from .exact_dedup import dedup
 from .html_text import extract
 from .licenses import scan
@@ -20,6 +21,11 @@ from .topk_search import top_k
 from .warc import page_records, read_archives, write_archives
 
 
+#: The unsigned CRC-32 of a short ASCII text, bit by bit.
+CRC32_SQL = """xor(list_reduce([unicode(x) for x in string_split({0}, '')],
+  lambda c, b: xor(c >> 8, list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b) & 255)), 4294967295), 4294967295)"""
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
@@ -111,3 +117,58 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, five counts, base_failed and the learned list's verdict of every document."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _step(state: str, keep: str | None, role: str) -> str:
+    """SQL of what a row makes of one state: (cost, audit, text) of the way that deletes, keeps or renames it."""
+    asked = f"{{'c': {state}.c + 3 + late, 'a': {state}.a || 'R', 't': list_append({state}.t, '{role}:' || text)}}"
+    kept = f"{{'c': {state}.c + late, 'a': {state}.a || 'K', 't': list_append({state}.t, role || ':' || text)}}"
+    return f"CASE WHEN must_go THEN [] ELSE [{asked}] || CASE WHEN substr(role, 1, 1) = '{keep}' THEN [{kept}] ELSE [] END END"
+
+
+_GONE = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+_DEL = "[{{'c': {0}.c + 4, 'a': {0}.a || 'D', 't': {0}.t}}]"
+_NEW = "[{{'c': {0}.c + 3, 'a': {0}.a || 'I', 't': list_append({0}.t, '{1}:')}}]"
+_SYSTEM = ("CASE WHEN NOT must_go AND substr(role, 1, 1) = 's' THEN [{'c': s0.c + late, 'a': s0.a || 'K', 't': list_append(s0.t, role || ':' || text)}] ELSE [] END")
+
+#: Every state's best (cost, audit, turns) after each row, row by row.
+REPAIR_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM o, (VALUES (1), (2)) c(copy) WHERE harm <> 0 AND (copy = 1 OR harm = 3)),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || substr(role, 1, 1) AS pair FROM d),
+r AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM f)),
+w AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, {_GONE} AS s1,
+         {{'c': 3, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, list_sort([s3] || {_NEW.format("s2", "assistant")})[1] AS s3 FROM (
+    SELECT conv_id, i, s0, s1, s3, list_sort([s2] || {_NEW.format("s0", "user")} || {_NEW.format("s1", "user")} || {_NEW.format("s3", "user")})[1] AS s2 FROM (
+      SELECT w.conv_id, r.i, {_DEL.format("s0")}[1] AS s0, list_sort({_DEL.format("s1")} || {_SYSTEM})[1] AS s1,
+             list_sort({_DEL.format("s2")} || {_step("s0", "u", "user")} || {_step("s1", "u", "user")} || {_step("s3", "u", "user")})[1] AS s2,
+             list_sort({_DEL.format("s3")} || {_step("s2", "a", "assistant")})[1] AS s3
+      FROM w JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1))),
+b AS (SELECT conv_id, list_sort([s0, s3])[1] AS s FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, s.c::BIGINT AS cost, s.a AS audit, sha256(array_to_string(s.t, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost and edits of every damaged conversation, and the digest of the repaired one."""
+    return summary(edits(damaged(table(spark, sf_dir, "conversations"))))
