@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .conversation_repair import damaged, edits, summary
+from .conversation_trie import prefix_trie, rebuilt
 from .exact_dedup import dedup
 from .html_text import extract
 from .licenses import scan
@@ -172,3 +173,34 @@ FROM b LEFT JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id"""
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cost and edits of every damaged conversation, and the digest of the repaired one."""
     return summary(edits(damaged(table(spark, sf_dir, "conversations"))))
+
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS points,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) - 1 AS p FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS head, {CRC32_SQL.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, p, digest, points FROM c JOIN own ON own.conv_id = c.head WHERE p < h
+  UNION ALL SELECT c.conv_id, p, digest, points FROM c JOIN own ON own.conv_id = c.conv_id WHERE p >= h),
+m AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, points FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(points) AS points FROM m GROUP BY path, depth),
+e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (
+        SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path),
+k AS (SELECT left(path, 32 * (depth - 1)::INT) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+b AS (
+  SELECT top, sum((n.n_convs - 1) * n.points)::BIGINT AS saved_tokens, count(*) FILTER (k.path IS NULL) AS n_leaves
+  FROM (SELECT DISTINCT a.path AS top, z.path AS path FROM m a JOIN m z ON a.conv_id = z.conv_id AND z.depth >= a.depth) s
+  JOIN n ON n.path = s.path LEFT JOIN k ON k.path = s.path GROUP BY top)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN b ON b.top = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN e ON e.path = n.path
+LEFT JOIN n u ON n.depth > 0 AND u.path = left(n.path, 32 * (n.depth - 1)::INT)"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that share their heads by hundreds."""
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
