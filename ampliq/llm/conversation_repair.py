@@ -186,14 +186,14 @@ def _plain(conversations: DataFrame) -> DataFrame:
                                 F.lit(False).alias("gone"), F.lit(1).alias("copy"))
 
 
-def edits(rows: DataFrame) -> DataFrame:
-    """Every edit of every conversation of ``rows`` (conv_id, turn, role, text; or as ``damaged`` gives them): ``SCHEMA``.
+def edits(rows: DataFrame, marked: bool = False) -> DataFrame:
+    """Every edit of every conversation of ``rows`` (conv_id, turn, role, text; if ``marked``, also gone and copy as ``damaged`` gives them): ``SCHEMA``.
 
     edit is K, R, D or I; was and role are a turn's role before and after, text stays. ``fault`` and ``turn`` tell about the row that was
     there. A conversation whose rows are all gone has one row with a null edit. A conversation's edits lie together and in order.
     """
     short_batches(rows.sparkSession)
-    if "gone" not in rows.columns:
+    if not marked:
         rows = _plain(rows)
     order = [F.col("turn").asc_nulls_first(), F.col("copy")]
     same = Window.partitionBy("conv_id", "gone", "role", F.xxhash64("text"), "text").orderBy(*order)

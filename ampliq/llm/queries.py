@@ -172,7 +172,7 @@ FROM b LEFT JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id"""
 @query("op11_conversation_repair", REPAIR_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cost and edits of every damaged conversation, and the digest of the repaired one."""
-    return summary(edits(damaged(table(spark, sf_dir, "conversations"))))
+    return summary(edits(damaged(table(spark, sf_dir, "conversations")), marked=True))
 
 
 TRIE_SQL = f"""

@@ -11,7 +11,7 @@ from scripts.verify import TABLES, norm
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_topk_search", "op5_warc", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_topk_search", "op5_warc", "op7_exact_dedup", "op11_conversation_repair", "op12_conversation_trie"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
 
 
 def test_pipeline_keeps_one_of_each_group(spark):
