@@ -32,18 +32,13 @@ def grid_cells(spark) -> DataFrame:
                                        "bp_lo int, bp_hi int, end_gc boolean, last5 boolean, strictness int")
 
 
-def candidates(backbones: DataFrame, structures: bool = False) -> DataFrame:
+def candidates(backbones: DataFrame, lengths: tuple[int, int] = P.OLIGO_LENGTH) -> DataFrame:
     """Oligo windows with their measurements (SEQ-13, THR-05), invariant rules applied (FLT-02).
 
-    backbones: (target, seq). Cheap string rules run before temperatures, structure energies
-    (Arrow) only on what is left.
+    backbones: (target, seq). Cheap string rules run before temperatures.
     """
-    w = K.windows(backbones, *P.OLIGO_LENGTH, keep=["target"]).where(X.invariant_oligo_ok("oligo"))
-    w = w.withColumn("m", measures("oligo")).select("target", "pos", "len", "dir", "oligo", "m.gc", "m.tm", "m.pm")
-    if structures:
-        w = w.withColumn("hairpin", T.hairpin_dg("oligo")).withColumn("homodimer", T.dimer_dg("oligo", "oligo"))
-        w = w.where((F.col("hairpin") >= P.STRUCTURE_DG_MIN) & (F.col("homodimer") >= P.STRUCTURE_DG_MIN))
-    return w
+    w = K.windows(backbones, *lengths, keep=["target"]).where(X.invariant_oligo_ok("oligo"))
+    return w.withColumn("m", measures("oligo")).select("target", "pos", "len", "dir", "oligo", "m.gc", "m.tm", "m.pm")
 
 
 def measures(oligo: str) -> Column:

@@ -60,6 +60,13 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .when(F.col("share") <= 0.4, "competitor").otherwise("mixed").alias("role"))
 
 
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, grp, seq: reads that begin with the same 40 bases are the members of a group, told by its smallest read; the rest have no group."""
+    r = reads(spark, sf_dir).select(F.col("read_id").alias("seq_id"), "seq", F.substring("seq", 1, 40).alias("head"))
+    n = r.where("length(head) = 40").groupBy("head").agg(F.min("seq_id").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return r.join(n, "head", "left").select("seq_id", "grp", "seq")
+
+
 _L = "abcdefghijklmnopqrstuvwxyz"
 _B = "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -73,6 +80,8 @@ def sql_rc(expr: str) -> str:
 
 
 READS = f"reads AS (SELECT doc_id AS read_id, source AS bin, lang AS library, {sql_bases('text')} AS seq FROM documents)"
+FAMILIES = """fam AS (SELECT read_id, seq, grp FROM reads LEFT JOIN (SELECT substr(seq, 1, 40) AS head, min(read_id) AS grp FROM reads
+  WHERE length(seq) >= 40 GROUP BY 1 HAVING count(*) > 1) ON head = substr(seq, 1, 40))"""
 REFS = f"refs AS (SELECT item_id AS ref_id, {sql_bases('text')} AS seq FROM benchmark)"
 PANEL = f"""panel AS (SELECT 'P' || ref_id AS pair, substr(seq, 1, 20) AS fwd,
   {sql_rc('substr(seq, 101, 20)')} AS rev FROM refs WHERE length(seq) >= 120)"""

@@ -11,8 +11,9 @@ from ..functions import predicates as X
 from ..functions import seq as S
 from ..functions import thermo as T
 from ..operators import design as D
+from ..operators import group_design as G
 from ..operators import sites
-from .binding import PANEL, REFS, panel, reads, references, sql_rc, table
+from .binding import FAMILIES, PANEL, READS, REFS, families, panel, reads, references, sql_kmers, sql_rc, table
 from .panel import BASE
 from .registry import query
 from .scalars import WIN_SQL
@@ -213,3 +214,38 @@ def gel_clashes(spark, sf):
     p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("plate"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("target"),
                                             (F.col("l_quantity") * 3).cast("int").alias("bp"))
     return D.gel_clashes(p, "plate")
+
+
+_RULES = G.Rules(lengths=(20, 20), max_mm=0)
+_GROUP_SQL = f"""WITH {READS}, {FAMILIES},
+fa AS (SELECT grp AS ref_id, seq FROM (SELECT grp, seq, row_number() OVER (PARTITION BY grp ORDER BY length(seq) DESC, read_id) AS rn FROM fam WHERE grp IS NOT NULL) WHERE rn = 1),
+wins AS (SELECT ref_id, pos, 20 AS len, dir, CASE dir WHEN 'F' THEN w ELSE {sql_rc('w')} END AS oligo FROM (
+  SELECT ref_id, pos, substr(seq, pos + 1, 20) AS w FROM (SELECT ref_id, seq, unnest(range(0, length(seq) - 19)) AS pos FROM fa WHERE length(seq) >= 20)), (VALUES ('F'), ('R')) d(dir)),
+{TM_SQL},
+cc AS (SELECT ref_id AS grp, pos, dir, oligo, tm FROM cand WHERE gc BETWEEN 35 AND 65 AND tm BETWEEN 56 AND 64),
+{sql_kmers(20)},
+o AS (SELECT DISTINCT oligo FROM cc),
+site AS (SELECT oligo, read_id, '+' AS strand, pos AS start FROM kmers JOIN o ON kmer = oligo
+  UNION ALL SELECT oligo, read_id, '-', pos FROM kmers JOIN (SELECT oligo, {sql_rc('oligo')} AS back FROM o) ON kmer = back),
+size AS (SELECT grp, count(*) AS n FROM fam WHERE grp IS NOT NULL GROUP BY 1),
+bnd AS (SELECT DISTINCT cc.grp, cc.oligo, fam.read_id, fam.grp AS home FROM (SELECT DISTINCT grp, oligo FROM cc) cc JOIN site USING (oligo) JOIN fam USING (read_id)),
+uni AS (SELECT grp, oligo, CASE WHEN count(*) FILTER (home IS DISTINCT FROM grp) = 0 THEN 99 ELSE 0 END AS rival FROM bnd JOIN size USING (grp)
+  GROUP BY grp, oligo, n HAVING count(*) FILTER (home = grp) = n),
+uc AS (SELECT cc.*, rival, min(pos) OVER (PARTITION BY grp, dir) AS lo, max(pos) OVER (PARTITION BY grp, dir) AS hi FROM cc JOIN uni USING (grp, oligo)),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, dir, (pos - lo) * 40 // (hi - lo + 1) ORDER BY rival DESC, abs(tm - 60), pos, oligo) AS rn FROM uc) WHERE rn = 1),
+pp AS (SELECT f.grp, f.pos AS f_pos, r.pos AS r_pos, r.pos + 20 AS r_end, f.oligo AS fwd, r.oligo AS rev, f.tm AS f_tm, r.tm AS r_tm, f.rival AS f_rival, r.rival AS r_rival
+  FROM pk f JOIN pk r ON f.grp = r.grp AND f.dir = 'F' AND r.dir = 'R' WHERE r.pos + 20 - f.pos BETWEEN 60 AND 400 AND r.pos >= f.pos + 20 AND round(abs(f.tm - r.tm), 2) <= 1.5),
+mk AS (SELECT grp, f_pos, r_pos, read_id, min(bp) AS bp FROM (
+  SELECT pp.grp, f_pos, r_pos, s.read_id, CASE WHEN s.strand = '+' THEN t.start + 20 - s.start ELSE s.start + 20 - t.start END AS bp
+  FROM pp JOIN site s ON s.oligo = fwd JOIN site t ON t.oligo = rev AND t.read_id = s.read_id AND t.strand <> s.strand) WHERE bp BETWEEN 40 AND 600 GROUP BY ALL),
+ev AS (SELECT mk.grp, f_pos, r_pos, min(bp) FILTER (own) AS bp_min, max(bp) FILTER (own) AS bp_max, avg(bp) FILTER (own) AS bp_avg, count(*) FILTER (own) AS members, count(*) FILTER (NOT own AND home) AS rivals
+  FROM (SELECT mk.*, fam.grp = mk.grp AND bp BETWEEN 60 AND 400 IS TRUE AS own, fam.grp IS DISTINCT FROM mk.grp AS home FROM mk JOIN fam USING (read_id)) mk GROUP BY ALL),
+pn AS (SELECT pp.*, bp_min, bp_max, members, round(abs(f_tm - r_tm) + 0.02 * (bp_max - bp_min) + 2.0 * (greatest(58 - f_tm, f_tm - 62, 0.0) + greatest(58 - r_tm, r_tm - 62, 0.0))
+  + 0.05 * greatest(60 - bp_avg, bp_avg - 150, 0.0), 3) AS penalty FROM pp JOIN ev USING (grp, f_pos, r_pos) JOIN size USING (grp) WHERE members = n AND rivals = 0 AND greatest(f_rival, r_rival) = 99)
+SELECT grp, fwd, rev, f_pos, r_end, members, bp_min, bp_max, penalty, CASE WHEN least(f_rival, r_rival) = 99 THEN 'both' WHEN f_rival = 99 THEN 'forward' ELSE 'reverse' END AS orphan, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY penalty, f_pos, r_pos, fwd, rev) AS rank FROM pn) WHERE rank <= 5"""
+
+
+@query("group_primers", "OPT-04", _GROUP_SQL)
+def group_primers(spark, sf):
+    return G.group_pairs(families(spark, sf), _RULES).select("grp", "fwd", "rev", "f_pos", "r_end", "members", "bp_min", "bp_max", "penalty", "orphan", "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +26,26 @@ def local_session(cpus: int | str = 8, app: str = "ampliq", memory: str = "8g")
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster shares (spark.checkpoint.dir); a local session without one gets a fresh folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-        return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="ampliq-checkpoint-")  # a local session alone: goes with the process
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        own = tempfile.mkdtemp(prefix="ampliq-shared-")  # a local session alone: goes with the process
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return the re-read frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    The plan runs once, where an eager checkpoint() runs it for its count and again for its rows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
