@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import cut_lineage
 
 
 def tiered_assignment(hits: DataFrame, identity: float = P.ASSIGN_IDENTITY, coverage: float = P.ASSIGN_COVERAGE,
@@ -73,23 +74,66 @@ def satellite_parent(hits: DataFrame, sample_sizes: DataFrame, identity: float =
             .join(sample_sizes, "bin").where(F.col("hits") >= share * F.col("sampled")))
 
 
-def select_bins(bins: DataFrame, min_reads: int = 500, top_per_window: int = 5, max_per_barcode: int = 40) -> DataFrame:
-    """Bin choice with its reason (WIN-07). bins: (barcode, bin, window, reads, satellite).
+def settle_satellites(bins: DataFrame, hits: DataFrame, sampled: DataFrame, share: float = P.SATELLITE_SHARE, max_rounds: int = 10_000) -> DataFrame:
+    """(barcode, bin, satellite) of the wanted bins, taken in order of (barcode, place) (GRF-04).
 
-    A bin table has one row per bin of a barcode; satellites do not use up the ceiling.
+    A bin is the satellite of a centre chosen before it if, its reads being given to their best such centre, one holds ``share``
+    of the bin's sample; else it is chosen itself. That is one bin after the other, yet only along the hits: a round settles every bin whose
+    earlier hit centres are settled, so rounds follow the longest chain of bins that hit one another, not the number of bins.
+
+    bins: (barcode, bin, place), wanted bins only; hits: (barcode, bin, q, centre, identity), those good enough to count, at most one per
+    read and centre; sampled: (barcode, bin, sampled).
     """
+    before = bins.select("barcode", F.col("bin").alias("centre"), F.col("place").alias("at"))
+    hits = cut_lineage(hits.join(bins, ["barcode", "bin"]).join(before, ["barcode", "centre"]).where("at < place").select("barcode", "bin", "q", "centre", "identity"))
+    edges = cut_lineage(hits.select("barcode", "bin", "centre").distinct())
+    open_bins, done = bins.select("barcode", "bin"), None
+    for _ in range(max_rounds):
+        waiting = edges.join(open_bins.withColumnRenamed("bin", "centre"), ["barcode", "centre"], "left_semi").select("barcode", "bin").distinct()
+        ready = open_bins.join(waiting, ["barcode", "bin"], "left_anti")
+        if done is None:
+            found = ready.withColumn("satellite", F.lit(False))
+        else:
+            chosen = done.where("not satellite").select("barcode", F.col("bin").alias("centre"))
+            h = hits.join(ready, ["barcode", "bin"], "left_semi").join(chosen, ["barcode", "centre"], "left_semi")
+            best = h.groupBy("barcode", "bin", "q").agg(F.min(F.struct((-F.col("identity")).alias("neg"), F.col("centre"))).alias("b"))
+            n = best.groupBy("barcode", "bin", F.col("b.centre").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
+            top = n.groupBy("barcode", "bin").agg(F.max("n").alias("n")).join(sampled, ["barcode", "bin"])
+            found = ready.join(top, ["barcode", "bin"], "left").select("barcode", "bin", F.coalesce(F.col("n") >= share * F.col("sampled"), F.lit(False)).alias("satellite"))
+        found = cut_lineage(found)
+        done = found if done is None else cut_lineage(done.unionByName(found))
+        open_bins = cut_lineage(open_bins.join(found, ["barcode", "bin"], "left_anti"))
+        edges = cut_lineage(edges.join(found, ["barcode", "bin"], "left_anti"))
+        if open_bins.isEmpty():
+            return done
+    raise RuntimeError("satellites did not settle")
+
+
+def wanted_bins(bins: DataFrame, min_reads: int, top_per_window: int) -> DataFrame:
+    """``bins`` (barcode, bin, window, reads) with pos (rank in its window), place (rank in its barcode) and wanted."""
     order = [F.desc("reads"), F.col("bin")]
-    pos = F.row_number().over(Window.partitionBy("barcode", "window").orderBy(*order))
-    r = bins.withColumn("pos", pos)
-    wanted = (F.col("reads") >= min_reads) | (F.col("pos") <= top_per_window)
-    taken = F.when(wanted & ~F.col("satellite"), 1).otherwise(0)
-    before = Window.partitionBy("barcode").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    r = bins.withColumn("pos", F.row_number().over(Window.partitionBy("barcode", "window").orderBy(*order)))
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("barcode").orderBy(*order)))
+    return r.withColumn("wanted", (F.col("reads") >= min_reads) | (F.col("pos") <= top_per_window))
+
+
+def select_bins(bins: DataFrame, hits: DataFrame, sampled: DataFrame, min_reads: int = 500, top_per_window: int = 5, max_per_barcode: int = 40,
+                share: float = P.SATELLITE_SHARE) -> DataFrame:
+    """Bin choice with its reason (WIN-07). bins: (barcode, bin, window, reads), one row per bin of a barcode.
+
+    Satellites of bins chosen before (``settle_satellites``) are left out and don't use up the ceiling. Nothing is chosen once a barcode is
+    full, so the ceiling can't change what is settled before it and is applied to the settled order.
+    """
+    r = cut_lineage(wanted_bins(bins, min_reads, top_per_window))
+    settled = settle_satellites(r.where("wanted").select("barcode", "bin", "place"), hits, sampled, share)
+    r = r.join(settled, ["barcode", "bin"], "left").withColumn("satellite", F.coalesce("satellite", F.lit(False)))
+    taken = F.when(F.col("wanted") & ~F.col("satellite"), 1).otherwise(0)
+    before = Window.partitionBy("barcode").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("before", F.coalesce(F.sum(taken).over(before), F.lit(0)))
-    full = F.col("before") >= max_per_barcode
-    reason = (F.when(full, "ceiling").when(wanted & F.col("satellite"), "satellite")
+    reason = (F.when(F.col("before") >= max_per_barcode, "ceiling").when(F.col("satellite"), "satellite")
               .when(F.col("reads") >= min_reads, "reads").when(F.col("pos") <= top_per_window, "top_of_window")
               .otherwise("too_few"))
-    return r.withColumn("reason", reason).withColumn("chosen", reason.isin("reads", "top_of_window")).drop("before")
+    return r.withColumn("reason", reason).withColumn("chosen", reason.isin("reads", "top_of_window")).drop("before", "place", "wanted")
 
 
 def length_peaks(lengths: DataFrame, keys: list[str], min_share: float = 0.03, max_peaks: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import consensus as C
 from ..operators import graph as G
 from ..operators import kmers as K
 from ..operators import ranking as R
+from ..operators import splitting as SP
 from .binding import READS, reads, sql_kmers, table
 from .registry import query
 
@@ -73,20 +74,64 @@ def satellite_parent(spark, sf):
     return B.satellite_parent(h, n, share=0.08)
 
 
-@query("bin_selection", "WIN-07",
-       f"""WITH {READS}, b AS (SELECT library AS barcode, bin, CASE WHEN length(bin) > 4 THEN 'long' ELSE 'full' END AS "window", count(*) AS reads,
-  bin IN ('src3', 'src12') AS satellite FROM reads GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY barcode, "window" ORDER BY reads DESC, bin) AS pos FROM b),
-w AS (SELECT *, reads >= 30 OR pos <= 3 AS wanted FROM r),
-t AS (SELECT *, coalesce(sum(CASE WHEN wanted AND NOT satellite THEN 1 ELSE 0 END) OVER (PARTITION BY barcode ORDER BY reads DESC, bin
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
-SELECT barcode, bin, reads, pos, CASE WHEN before >= 8 THEN 'ceiling' WHEN wanted AND satellite THEN 'satellite' WHEN reads >= 30 THEN 'reads'
-  WHEN pos <= 3 THEN 'top_of_window' ELSE 'too_few' END AS reason FROM t""")
+#: Reads of a bin of a barcode against the centres of other bins.
+BIN_HITS = """bh AS (SELECT barcode, bin, q, centre, max(identity) AS identity FROM (SELECT (['de', 'en', 'es', 'fr'])[q % 4 + 1] AS barcode, 'src' || (q // 4 % 20) AS bin, q,
+  'src' || ((t + 10 * (q % 2)) % 20) AS centre, identity FROM hits WHERE identity >= 0.97 AND te - ts >= 0.8 * tlen) GROUP BY ALL),
+bn AS (SELECT (['de', 'en', 'es', 'fr'])[q % 4 + 1] AS barcode, 'src' || (q // 4 % 20) AS bin, count(DISTINCT q) AS sampled FROM hits GROUP BY ALL)"""
+
+
+def bin_hits(spark, sf):
+    """(hits, sampled) as ``B.select_bins`` takes them."""
+    bar = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("q") % 4 + 1).cast("int"))
+    h = hits(spark, sf).select(bar.alias("barcode"), F.concat(F.lit("src"), F.floor(F.col("q") / 4) % 20).alias("bin"), "q", F.concat(F.lit("src"), (F.col("t") + 10 * (F.col("q") % 2)) % 20).alias("centre"),
+                               "identity", "te", "ts", "tlen")
+    good = h.where((F.col("identity") >= 0.97) & (F.col("te") - F.col("ts") >= 0.8 * F.col("tlen")))
+    return (good.groupBy("barcode", "bin", "q", "centre").agg(F.max("identity").alias("identity")),
+            h.groupBy("barcode", "bin").agg(F.countDistinct("q").alias("sampled")))
+
+
+@query("bin_selection", "WIN-07 GRF-04",
+       f"""WITH RECURSIVE {READS}, {HITS}, {BIN_HITS}, b AS (SELECT library AS barcode, bin, CASE WHEN length(bin) > 4 THEN 'long' ELSE 'full' END AS "window", count(*) AS reads FROM reads GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY barcode, "window" ORDER BY reads DESC, bin) AS pos, row_number() OVER (PARTITION BY barcode ORDER BY reads DESC, bin) AS place FROM b),
+w AS (SELECT *, reads >= 10 OR pos <= 3 AS wanted FROM r),
+hl AS (SELECT barcode, bin, list(c) AS per_read FROM (SELECT barcode, bin, q, list({{'i': -identity, 'c': centre}} ORDER BY identity DESC, centre) AS c FROM bh GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT barcode, 0::BIGINT AS place, []::VARCHAR[] AS chosen, NULL::VARCHAR AS bin, false AS satellite, 0::BIGINT AS before FROM (SELECT DISTINCT barcode FROM w)
+  UNION ALL
+  SELECT barcode, place, CASE WHEN wanted AND NOT satellite AND len(chosen) < 8 THEN list_append(chosen, bin) ELSE chosen END, bin, satellite, len(chosen) FROM (
+    SELECT s.barcode, w.place, s.chosen, w.bin, w.wanted, coalesce(list_max(map_values(histogram_of)), 0) >= 0.12 * bn.sampled AND w.wanted IS TRUE AS satellite FROM (
+      SELECT s.*, CASE WHEN hl.per_read IS NULL THEN MAP {{}} ELSE list_histogram([list_filter(x, lambda y: list_contains(s.chosen, y.c))[1].c for x in hl.per_read]) END AS histogram_of
+      FROM s LEFT JOIN w ON w.barcode = s.barcode AND w.place = s.place + 1 LEFT JOIN hl ON hl.barcode = w.barcode AND hl.bin = w.bin) s
+    JOIN w ON w.barcode = s.barcode AND w.place = s.place + 1 LEFT JOIN bn ON bn.barcode = w.barcode AND bn.bin = w.bin))
+SELECT barcode, w.bin, reads, pos, CASE WHEN before >= 8 THEN 'ceiling' WHEN coalesce(satellite, false) THEN 'satellite' WHEN reads >= 10 THEN 'reads'
+  WHEN pos <= 3 THEN 'top_of_window' ELSE 'too_few' END AS reason FROM w JOIN s USING (barcode, place)""")
 def bin_selection(spark, sf):
     b = reads(spark, sf).groupBy(F.col("library").alias("barcode"), "bin").agg(F.count(F.lit(1)).alias("reads"))
-    b = b.withColumn("window", F.when(F.length("bin") > 4, "long").otherwise("full")).withColumn(
-        "satellite", F.col("bin").isin("src3", "src12"))
-    return B.select_bins(b, 30, 3, 8).select("barcode", "bin", "reads", "pos", "reason")
+    b = b.withColumn("window", F.when(F.length("bin") > 4, "long").otherwise("full"))
+    return B.select_bins(b, *bin_hits(spark, sf), 10, 3, 8, share=0.12).select("barcode", "bin", "reads", "pos", "reason")
+
+
+#: Suppliers of a nation as members of a group; a part number serves a supplier that sold 48 or more of it at once.
+SUPPORTS = """mem AS (SELECT s_nationkey AS grp, s_suppkey AS member FROM supplier),
+sup AS (SELECT DISTINCT s_nationkey AS grp, l_partkey % 60 AS pair, l_suppkey AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 48)"""
+
+
+@query("split_groups", "GRF-07",
+       f"""WITH RECURSIVE {SUPPORTS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY member) AS no FROM mem),
+l AS (SELECT grp, list(lacks ORDER BY pair) AS lacking FROM (SELECT p.grp, pair, list(o.no ORDER BY o.no) FILTER (s.grp IS NULL) AS lacks FROM (SELECT DISTINCT grp, pair FROM sup) p
+  JOIN o USING (grp) LEFT JOIN (SELECT sup.grp, pair, no FROM sup JOIN o USING (grp, member)) s USING (grp, pair, no) GROUP BY ALL) GROUP BY 1),
+z AS (SELECT grp, 0 AS step, 1 AS set_no, list(no ORDER BY no) AS cur, []::BIGINT[] AS gone, NULL::VARCHAR AS verdict, []::BIGINT[] AS placed, 0::BIGINT AS pairs, false AS ended FROM o GROUP BY 1
+  UNION ALL
+  SELECT grp, step + 1, CASE WHEN v = 'set' THEN set_no + 1 ELSE set_no END, CASE v WHEN 'set' THEN gone WHEN 'on' THEN list_filter(cur, lambda x: x <> worst) ELSE [] END,
+    CASE v WHEN 'on' THEN list_append(gone, worst) ELSE [] END, v, CASE v WHEN 'set' THEN cur WHEN 'rest' THEN cur || gone ELSE [] END, CASE WHEN v = 'set' THEN ok ELSE 0 END, v = 'rest' OR v = 'set' AND len(gone) = 0 FROM (
+    SELECT *, CASE WHEN len(cur) < 2 THEN 'rest' WHEN ok > 0 THEN 'set' WHEN worst IS NULL THEN 'rest' ELSE 'on' END AS v FROM (
+      SELECT *, len(list_filter(blamed, lambda x: x IS NULL)) AS ok,
+        list_sort([{{'k': -len(list_filter(blamed, lambda y: y = x)), 'no': x}} for x in list_distinct(blamed)])[1].no AS worst FROM (
+        SELECT z.*, [list_filter(coalesce(x, []), lambda y: list_contains(cur, y))[1] for x in coalesce(lacking, [])] AS blamed FROM z LEFT JOIN l USING (grp) WHERE NOT ended))))
+SELECT z.grp, o.member, CASE WHEN verdict = 'set' THEN set_no - 1 END AS set_no, pairs FROM (SELECT *, unnest(placed) AS no FROM z) z JOIN o USING (grp, no)""")
+def split_groups(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("member"))
+    li = table(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_suppkey").alias("member"), (F.col("l_partkey") % 60).alias("pair"))
+    return SP.split_groups(s, li.join(s, "member").select("grp", "pair", "member").distinct())
 
 
 @query("length_histogram", "AGG-08 AGG-25 OPT-07",
