@@ -98,7 +98,7 @@ hl AS (SELECT barcode, bin, list(c) AS per_read FROM (SELECT barcode, bin, q, li
 s AS (SELECT barcode, 0::BIGINT AS place, []::VARCHAR[] AS chosen, NULL::VARCHAR AS bin, false AS satellite, 0::BIGINT AS before FROM (SELECT DISTINCT barcode FROM w)
   UNION ALL
   SELECT barcode, place, CASE WHEN wanted AND NOT satellite AND len(chosen) < 8 THEN list_append(chosen, bin) ELSE chosen END, bin, satellite, len(chosen) FROM (
-    SELECT s.barcode, w.place, s.chosen, w.bin, w.wanted, coalesce(list_max(map_values(histogram_of)), 0) >= 0.12 * bn.sampled AND w.wanted IS TRUE AS satellite FROM (
+    SELECT s.barcode, w.place, s.chosen, w.bin, w.wanted, coalesce(list_max(map_values(histogram_of)), 0) >= 0.10 * bn.sampled AND w.wanted IS TRUE AS satellite FROM (
       SELECT s.*, CASE WHEN hl.per_read IS NULL THEN MAP {{}} ELSE list_histogram([list_filter(x, lambda y: list_contains(s.chosen, y.c))[1].c for x in hl.per_read]) END AS histogram_of
       FROM s LEFT JOIN w ON w.barcode = s.barcode AND w.place = s.place + 1 LEFT JOIN hl ON hl.barcode = w.barcode AND hl.bin = w.bin) s
     JOIN w ON w.barcode = s.barcode AND w.place = s.place + 1 LEFT JOIN bn ON bn.barcode = w.barcode AND bn.bin = w.bin))
@@ -107,7 +107,7 @@ SELECT barcode, w.bin, reads, pos, CASE WHEN before >= 8 THEN 'ceiling' WHEN coa
 def bin_selection(spark, sf):
     b = reads(spark, sf).groupBy(F.col("library").alias("barcode"), "bin").agg(F.count(F.lit(1)).alias("reads"))
     b = b.withColumn("window", F.when(F.length("bin") > 4, "long").otherwise("full"))
-    return B.select_bins(b, *bin_hits(spark, sf), 10, 3, 8, share=0.12).select("barcode", "bin", "reads", "pos", "reason")
+    return B.select_bins(b, *bin_hits(spark, sf), 10, 3, 8, share=0.10).select("barcode", "bin", "reads", "pos", "reason")
 
 
 #: Suppliers of a nation as members of a group; a part number serves a supplier that sold 48 or more of it at once.

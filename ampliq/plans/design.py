@@ -12,6 +12,7 @@ from ..functions import seq as S
 from ..functions import thermo as T
 from ..operators import design as D
 from ..operators import group_design as G
+from ..operators import search as Q
 from ..operators import sites
 from .binding import FAMILIES, PANEL, READS, REFS, families, panel, reads, references, sql_kmers, sql_rc, table
 from .panel import BASE
@@ -249,3 +250,57 @@ FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY penalty, f_pos, r_p
 @query("group_primers", "OPT-04", _GROUP_SQL)
 def group_primers(spark, sf):
     return G.group_pairs(families(spark, sf), _RULES).select("grp", "fwd", "rev", "f_pos", "r_end", "members", "bp_min", "bp_max", "penalty", "orphan", "rank")
+
+
+#: Nations as targets, part numbers as candidates; a line is a read, and a candidate hits the lines whose quantity is above it.
+_RACE = """rd AS (SELECT s_nationkey AS target, l_orderkey * 10 + l_linenumber AS read_id, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+cd AS (SELECT DISTINCT s_nationkey AS target, l_partkey % 50 AS cand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def _wilson(sign: str, z: float) -> str:
+    return (f"greatest(0.0, least(1.0, (k / n + {z * z} / (2 * n) {sign} {z} * sqrt((k / n) * (1 - k / n) / n + {z * z} / (4.0 * n * n))) / (1 + {z * z} / n)))")
+
+
+@query("candidate_race", "OPT-06",
+       f"""WITH {_RACE},
+sm AS (SELECT target, read_id, q FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('0:' || read_id), read_id) AS rn FROM rd) WHERE rn <= 300),
+qk AS (SELECT *, {_wilson('-', 3.0)} AS low, {_wilson('+', 3.0)} AS high FROM (SELECT target, cand, count(*) FILTER (q > cand) AS k, count(*)::DOUBLE AS n FROM sm JOIN cd USING (target) GROUP BY ALL)),
+bs AS (SELECT target, max(low) AS best_low, sum(n) AS quick_rows, count(*) AS raced FROM qk GROUP BY 1),
+fl AS (SELECT *, {_wilson('-', 1.96)} AS low FROM (SELECT target, cand, count(*) FILTER (q > cand) AS k, count(*)::DOUBLE AS n FROM rd JOIN (
+  SELECT target, cand FROM qk JOIN bs USING (target) WHERE high >= best_low) USING (target) GROUP BY ALL)),
+fr AS (SELECT target, sum(n) AS full_rows, count(*) AS kept, max(n) AS depth FROM fl GROUP BY 1)
+SELECT target, cand, k, n::BIGINT AS n, round(low, 9) AS low, raced, kept, (quick_rows + full_rows)::BIGINT AS rows_read, (raced * depth)::BIGINT AS rows_in_full
+FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY low DESC, k / n DESC, cand) AS rn FROM fl) JOIN bs USING (target) JOIN fr USING (target) WHERE rn = 1""")
+def candidate_race(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("target"), F.col("s_suppkey").alias("l_suppkey"))
+    li = table(spark, sf, "lineitem").join(s, "l_suppkey")
+    rd = li.select("target", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), F.col("l_quantity").alias("q"))
+    cd = li.select("target", (F.col("l_partkey") % 50).alias("cand")).distinct()
+
+    def measure(reads, candidates):
+        # reads collapse to (target, quantity) counts before they meet the candidates
+        c = reads.groupBy("target", "q").agg(F.count(F.lit(1)).alias("c"))
+        return c.join(candidates, "target").groupBy("target", "cand").agg(F.sum(F.when(F.col("q") > F.col("cand"), F.col("c")).otherwise(0)).alias("k"), F.sum("c").alias("n"))
+
+    return Q.race(rd, cd, measure, depth=300, z=3.0)
+
+
+@query("plate_assignment", "OPT-05",
+       f"""WITH {REFS}, tg AS (SELECT ref_id AS target, 60 + length(seq) % 340 AS bp, 57.0 + length(regexp_replace(seq, '[^GC]', '', 'g')) % 60 / 10.0 AS tm_min, ref_id % 4 AS plate FROM refs),
+pl(plate, ta) AS (VALUES (0, 54.0), (1, 55.0), (2, 56.5), (3, 58.0)),
+ml AS (SELECT t.target, list(p.plate ORDER BY p.plate) AS may FROM tg t JOIN pl p ON p.ta <= t.tm_min - 3.0 + 0.6 GROUP BY 1),
+mt AS (SELECT target, bp, plate, coalesce(may, [plate]) AS may FROM tg LEFT JOIN ml USING (target)),
+tr AS (SELECT target, bp, seed, may[('0x' || substr(md5(seed || ':' || target), 1, 8))::BIGINT % len(may) + 1] AS plate FROM mt, (SELECT unnest(range(0, 300)) AS seed)),
+al AS (SELECT -1 AS seed, target, bp, plate FROM mt UNION ALL SELECT seed, target, bp, plate FROM tr),
+nr AS (SELECT seed, plate, count(*) OVER (PARTITION BY seed, plate ORDER BY bp RANGE BETWEEN 9 PRECEDING AND 9 FOLLOWING) - 1 AS near FROM al),
+ps AS (SELECT seed, sum(c) AS c, count(*) AS used, min(size) AS least, max(size) AS most FROM (SELECT seed, plate, sum(near) // 2 AS c, count(*) AS size FROM nr GROUP BY ALL) GROUP BY 1),
+b4 AS (SELECT c AS before FROM ps WHERE seed = -1),
+bt AS (SELECT seed, c FROM ps, b4 WHERE seed >= 0 AND used = 4 AND least >= 2 AND most <= (SELECT count(*) FROM tg) // 2 + 2 AND c < before ORDER BY c, seed LIMIT 1)
+SELECT mt.target, mt.plate, coalesce(tr.plate, mt.plate)::BIGINT AS proposed, bt.seed::INTEGER AS seed, b4.before::BIGINT AS before, coalesce(bt.c, b4.before)::BIGINT AS after
+FROM mt CROSS JOIN b4 LEFT JOIN bt ON true LEFT JOIN tr ON tr.seed = bt.seed AND tr.target = mt.target""")
+def plate_assignment(spark, sf):
+    r = references(spark, sf)
+    gc = F.length(F.regexp_replace("seq", "[^GC]", ""))
+    t = r.select(F.col("ref_id").alias("target"), (F.length("seq") % 340 + 60).alias("bp"), (F.lit(57.0) + gc % 60 / 10.0).alias("tm_min"), (F.col("ref_id") % 4).alias("plate"))
+    plates = spark.createDataFrame([(0, 54.0), (1, 55.0), (2, 56.5), (3, 58.0)], "plate long, ta double")
+    return Q.assign_plates(t, plates, trials=300)
