@@ -170,15 +170,6 @@ def oligo_bindings(reads: DataFrame, oligos: DataFrame, total_mm: int = 3, tail:
     return inside.unionByName(over).distinct()
 
 
-def collect_patterns(panel: DataFrame, bound: int = 20_000) -> list[tuple[str, str, str, str]]:
-    """Patterns of a panel small enough to travel with every task; larger panels are refused
-    and belong to the seeded plan."""
-    rows = patterns(panel).take(bound + 1)
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} patterns: use seeded_sites")
-    return [(x["pair"], x["strand"], x["side"], x["pattern"]) for x in rows]
-
-
 _CODE = np.zeros(256, dtype=np.uint8)
 for _c, _m in ab.MASK.items():
     _CODE[ord(_c)] = _m
@@ -203,35 +194,74 @@ def _pattern_hits(template: np.ndarray, pattern: str, max_mm: int, tail: slice |
     return at, mm[at].astype(np.int64)
 
 
-def scan_sites(reads: DataFrame, pats: list[tuple[str, str, str, str]], max_mm: int,
-               exact_tail: int = 2) -> DataFrame:
-    """Seedless scan for a bounded list of (pair, strand, side, pattern).
-
-    The list is the caller's own panel, sent with the task; reads are spread by Spark and
-    scanned batch by batch as one zero-padded vector.
+def primer_hits(seq: str, primer: str, max_mm: int, exact_tail: int = 2) -> list[tuple[str, int, int]]:
+    """(strand, start, mm) of one primer on one sequence, both strands."""
+    template = _TEMPLATE[np.frombuffer(seq.encode(), dtype=np.uint8)]
+    out = []
+    for strand, pattern, tail in (("+", primer, slice(-exact_tail, None)), ("-", primer.translate(str.maketrans(ab.COMPLEMENT_FROM, ab.COMPLEMENT_TO))[::-1], slice(0, exact_tail))):
+        at, mm = _pattern_hits(template, pattern, max_mm, tail if exact_tail else None)
+        out += [(strand, int(a), int(m)) for a, m in zip(at, mm, strict=True)]
+    return out
+
+
+def _scan(pdf: pd.DataFrame, pats: list[tuple[str, str, str, str]], max_mm: int, exact_tail: int) -> pd.DataFrame:
+    """Sites of all patterns on a batch of reads, scanned as one zero-padded vector."""
+    seqs = [s.encode() for s in pdf["seq"]]
+    lens = np.array([len(s) for s in seqs], dtype=np.int64)
+    template = _TEMPLATE[np.frombuffer(b"N".join(seqs) + b"N", dtype=np.uint8)]
+    starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]) if len(seqs) else np.empty(0, np.int64)
+    ids = pdf["read_id"].to_numpy()
+    out = [pd.DataFrame({"read_id": ids[:0], "pair": pd.Series([], dtype=object), "strand": pd.Series([], dtype=object), "side": pd.Series([], dtype=object),
+                         "start": np.empty(0, "int32"), "site_len": np.empty(0, "int32"), "mm": np.empty(0, np.int64)})]
+    for pair, strand, side, pattern in pats:
+        tail = None
+        if exact_tail:
+            tail = slice(-exact_tail, None) if side == "L" else slice(0, exact_tail)
+        at, mm = _pattern_hits(template, pattern, max_mm, tail)
+        if not at.size:
+            continue
+        owner = np.searchsorted(starts, at, side="right") - 1
+        rel = at - starts[owner]
+        inside = rel + len(pattern) <= lens[owner]
+        if inside.any():
+            out.append(pd.DataFrame({
+                "read_id": ids[owner[inside]], "pair": pair, "strand": strand, "side": side,
+                "start": rel[inside].astype("int32"), "site_len": len(pattern), "mm": mm[inside]}))
+    return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
+
+
+#: Patterns that travel with a task; a larger panel is dealt over a grid of read shares and blocks of so many patterns.
+BLOCK = 20_000
+#: Reads of a share of that grid.
+SHARE = 20_000
+
+
+def scan_sites(reads: DataFrame, pats: DataFrame, max_mm: int, exact_tail: int = 2, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """Seedless scan for patterns (pair, strand, side, pattern), any number of them.
+
+    One block of patterns goes with the tasks, and reads stay where they are. A larger panel is a block-nested scan: reads are
+    dealt by hash over shares of about ``share``, patterns over blocks of about ``block``; each (share, block) is scanned by one task of bounded size. A read is
+    repeated once per block, a pattern once per share, and no pair of them is ever a row.
     """
+    def list_of(pdf) -> list[tuple[str, str, str, str]]:
+        return list(pdf[["pair", "strand", "side", "pattern"]].itertuples(index=False, name=None))
+
+    n = pats.count()
+    reads = reads.select("read_id", "seq")
+    if n <= block:
+        few = [(x["pair"], x["strand"], x["side"], x["pattern"]) for x in pats.collect()]  # n is block at most
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _scan(pdf, few, max_mm, exact_tail)
+
+        return reads.mapInPandas(kernel, SITE_SCHEMA)
+    blocks, shares = -(-n // block), max(1, -(-reads.count() // share))
+    left = reads.withColumn("s", F.pmod(F.xxhash64("read_id"), F.lit(shares))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = (pats.select("pair", "strand", "side", "pattern").withColumn("b", F.pmod(F.xxhash64("pair", "strand", "side", "pattern"), F.lit(blocks)).cast("int"))
+             .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("s", F.col("s").cast("long")))
+
+    def meet(rows: pd.DataFrame, panel: pd.DataFrame) -> pd.DataFrame:
+        return _scan(rows, list_of(panel), max_mm, exact_tail)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seqs = [s.encode() for s in pdf["seq"]]
-            lens = np.array([len(s) for s in seqs], dtype=np.int64)
-            template = _TEMPLATE[np.frombuffer(b"N".join(seqs) + b"N", dtype=np.uint8)]
-            starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]) if len(seqs) else np.empty(0, np.int64)
-            ids = pdf["read_id"].to_numpy()
-            out = []
-            for pair, strand, side, pattern in pats:
-                tail = None
-                if exact_tail:
-                    tail = slice(-exact_tail, None) if side == "L" else slice(0, exact_tail)
-                at, mm = _pattern_hits(template, pattern, max_mm, tail)
-                owner = np.searchsorted(starts, at, side="right") - 1
-                rel = at - starts[owner] if at.size else at
-                inside = rel + len(pattern) <= lens[owner] if at.size else np.zeros(0, bool)
-                if inside.any():
-                    out.append(pd.DataFrame({
-                        "read_id": ids[owner[inside]], "pair": pair, "strand": strand, "side": side,
-                        "start": rel[inside].astype("int32"), "site_len": len(pattern), "mm": mm[inside]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return reads.select("read_id", "seq").mapInPandas(kernel, SITE_SCHEMA)
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(meet, SITE_SCHEMA)

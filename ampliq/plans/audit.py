@@ -231,10 +231,9 @@ def audit_access(spark, sf):
 def audit_engines_agree(spark, sf):
     """Seeded plan and seedless scan counted side by side; the panel is one row per reference."""
     r, p = reads(spark, sf), panel(spark, sf)
-    pats = sites.collect_patterns(p)
     keys = ["pair", "strand", "side"]
     a = sites.seeded_sites(r, p, 1, shortest=20, longest=20).groupBy(*keys).agg(F.count(F.lit(1)).alias("seeded"))
-    b = sites.scan_sites(r, pats, 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("scanned"))
+    b = sites.scan_sites(r, sites.patterns(p), 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("scanned"))
     return a.join(b, keys, "full_outer")
 
 

@@ -11,6 +11,7 @@ from ..functions import predicates as X
 from ..functions import seq as S
 from ..functions import thermo as T
 from ..operators import design as D
+from ..operators import funnel as FU
 from ..operators import group_design as G
 from ..operators import search as Q
 from ..operators import sites
@@ -178,7 +179,7 @@ SELECT *, coalesce(member <= 1 AND rival_any IS NOT NULL AND (rival_exact IS NUL
 def discriminating_base(spark, sf):
     refs = references(spark, sf).select(F.col("ref_id").alias("read_id"), "seq")
     p = panel(spark, sf).select("pair", "fwd", F.col("fwd").alias("rev"))
-    s = sites.scan_sites(refs, [x for x in sites.collect_patterns(p) if x[1] == "+"], 4, exact_tail=0)
+    s = sites.scan_sites(refs, sites.patterns(p).where("strand = '+'"), 4, exact_tail=0)
     # the 3' base of the oligo: the last base of a forward site, the first of a reverse one
     end = F.when(F.col("side") == "L", F.substring(F.col("seq"), F.col("start") + F.col("site_len"), F.lit(1))).otherwise(
         S.revcomp(F.substring(F.col("seq"), F.col("start") + 1, F.lit(1))))
@@ -304,3 +305,39 @@ def plate_assignment(spark, sf):
     t = r.select(F.col("ref_id").alias("target"), (F.length("seq") % 340 + 60).alias("bp"), (F.lit(57.0) + gc % 60 / 10.0).alias("tm_min"), (F.col("ref_id") % 4).alias("plate"))
     plates = spark.createDataFrame([(0, 54.0), (1, 55.0), (2, 56.5), (3, 58.0)], "plate long, ta double")
     return Q.assign_plates(t, plates, trials=300)
+
+
+_FUNNEL_SQL = f"""WITH {READS}, {REFS},
+wins AS (SELECT ref_id, pos, 20 AS len, dir, CASE dir WHEN 'F' THEN w ELSE {sql_rc('w')} END AS oligo FROM (
+  SELECT ref_id, pos, substr(seq, pos + 1, 20) AS w FROM (SELECT ref_id, seq, unnest(range(0, length(seq) - 19)) AS pos FROM refs WHERE length(seq) >= 20)), (VALUES ('F'), ('R')) d(dir)),
+{TM_SQL}, {MASK_SQL}, co(st, pi, ui, ord) AS (VALUES {_ORDER}),
+s AS (SELECT p.target, f_pos, r_end, fwd, rev, bp, min(ord) AS ord FROM pairs p JOIN co ON (pm >> co.pi) & 1 = 1 JOIN uc ON uc.ui = co.ui AND bp BETWEEN b1 AND b2 GROUP BY ALL),
+r AS (SELECT target, pi * 10 + ui AS cell, st AS strictness, f_pos, r_end, fwd, rev, bp, row_number() OVER (PARTITION BY target, pi * 10 + ui ORDER BY abs(bp - 105), f_pos, r_end, fwd, rev) AS turn FROM s JOIN co USING (ord)),
+rp AS (SELECT * FROM r WHERE turn <= 4),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, strictness, cell) AS pick FROM rp) WHERE pick <= 12),
+{sql_kmers(20)},
+o AS (SELECT fwd AS oligo FROM pk UNION SELECT rev FROM pk),
+site AS (SELECT oligo, read_id, '+' AS strand, pos AS start FROM kmers JOIN o ON kmer = oligo
+  UNION ALL SELECT oligo, read_id, '-', pos FROM kmers JOIN (SELECT oligo, {sql_rc('oligo')} AS back FROM o) ON kmer = back),
+am AS (SELECT target, f_pos, r_end, fwd, rev, strictness, count(DISTINCT read_id) AS reads FROM (
+  SELECT pk.*, s.read_id, CASE WHEN s.strand = '+' THEN t.start + 20 - s.start ELSE s.start + 20 - t.start END AS b
+  FROM pk JOIN site s ON s.oligo = fwd JOIN site t ON t.oligo = rev AND t.read_id = s.read_id AND t.strand <> s.strand) WHERE b BETWEEN 60 AND 400 GROUP BY ALL),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY reads DESC, strictness, f_pos, r_end, fwd, rev) AS rank FROM am) WHERE rank <= 3)"""
+
+
+def _funnel(spark, sf):
+    return FU.design_funnel(backbones(spark, sf), reads(spark, sf), _RULES, per_cell=4, to_sample=12, keep=3)
+
+
+@query("funnel_pairs", "OPT-01", f"{_FUNNEL_SQL} SELECT target, fwd, rev, reads, rank FROM kp")
+def funnel_pairs(spark, sf):
+    return _funnel(spark, sf)[0].select("target", "fwd", "rev", "reads", "rank")
+
+
+@query("funnel_stages", "OPT-01", f"""{_FUNNEL_SQL},
+n AS (SELECT 0 AS step, 'windows' AS stage, count(*) AS n FROM wins UNION ALL SELECT 1, 'rules', count(*) FROM cand UNION ALL SELECT 2, 'grid cells', count(*) FROM cm
+  UNION ALL SELECT 3, 'pairs', count(*) FROM pairs UNION ALL SELECT 4, 'representatives', count(*) FROM rp UNION ALL SELECT 5, 'picked for the sample', count(*) FROM pk
+  UNION ALL SELECT 6, 'amplify in the sample', count(*) FROM am UNION ALL SELECT 7, 'kept', count(*) FROM kp)
+SELECT step, stage, lag(n) OVER (ORDER BY step) AS rows_in, n AS rows_out, lag(n) OVER (ORDER BY step) - n AS cut FROM n""")
+def funnel_stages(spark, sf):
+    return _funnel(spark, sf)[1].table(spark)

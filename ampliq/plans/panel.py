@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import stats as M
+from ..functions import tables
 from ..operators import measure, products, sites
 from .binding import MEMBERSHIP, PANEL, READS, REFS, membership, panel, reads, sql_rc
 from .registry import query
@@ -224,7 +225,17 @@ def product_excision(spark, sf):
 def global_scan(spark, sf):
     """Seedless: at five mismatches a block seed is too short to select."""
     r = reads(spark, sf)
-    s = sites.scan_sites(r, sites.collect_patterns(panel(spark, sf)), P.GLOBAL_MAX_MM, exact_tail=0)
+    s = sites.scan_sites(r, sites.patterns(panel(spark, sf)), P.GLOBAL_MAX_MM, exact_tail=0)
     cls = r.select("read_id", F.when(F.col("library") == "en", "in").when(F.col("library") == "es", "unknown")
                    .when(F.col("library") == "fr", "same_domain").otherwise("other_domain").alias("class"))
     return products.global_scan(s, cls, LO, HI, P.GLOBAL_MAX_MM)[0]
+
+
+@query("sites_in_sql", "JOIN-01",
+       f"""{BASE} SELECT read_id, pair, strand, start, mm FROM sites WHERE (strand = '+' AND side = 'L') OR (strand = '-' AND side = 'R')""")
+def sites_in_sql(spark, sf):
+    """Forward primers on every read that any of their pair's primers bind, by the table function ``sites`` called from SQL."""
+    tables.register(spark)
+    met = _sites(spark, sf).select("read_id", "pair").distinct()
+    asked = met.join(reads(spark, sf).select("read_id", "seq"), "read_id").join(panel(spark, sf).select("pair", "fwd"), "pair")
+    return spark.sql("SELECT a.read_id, a.pair, s.strand, s.start, s.mm FROM {asked} a, LATERAL sites(a.seq, a.fwd, 1) s", asked=asked)

@@ -1,10 +1,14 @@
-"""Recovery routes, funnel and acceptance queries."""
+"""Recovery routes and acceptance of what is written."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import recovery as RC
+from ..session import shared_folder
+from ..sources import sinks
 from .binding import table
 from .registry import query
 
@@ -72,3 +76,12 @@ def recovery_routes(spark, sf):
     pairs = m.join(m.withColumnRenamed("a", "b"), "target").where("a < b")
     near = F.when(F.col("target") % 3 == 0, 98.0).when((F.col("a") % 4 < 3) & (F.col("b") % 4 < 3), 99.5).otherwise(97.0)
     return RC.recover(tg.select("target", "universal"), rates, roles, pairs.withColumn("identity", near))
+
+
+@query("accepted_orders", "AUD-06", """SELECT o_orderpriority AS priority, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1""")
+def accepted_orders(spark, sf):
+    """Orders written and accepted by what the write observed, read back from the accepted run."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/accepted-{uuid.uuid4().hex}"
+    sinks.write_accepted(table(spark, sf, "orders"), path, min_rows=1, required=["o_orderkey", "o_custkey"], rules={"price": "o_totalprice > 0"})
+    o = sinks.read_accepted(spark, path)
+    return o.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))

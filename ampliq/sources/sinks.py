@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +38,34 @@ def write_long(tables: dict[str, DataFrame], path: str) -> None:
     """Presentation exports as long tables: one folder per sheet (stands in for SNK-04)."""
     for name, df in tables.items():
         df.write.mode("overwrite").csv(f"{path}/{name}", sep="\t", header=True)
+
+
+class Refused(ValueError):
+    """An output that was written, looked at, and not accepted."""
+
+
+def write_accepted(df: DataFrame, path: str, min_rows: int = 1, required: list[str] = (), rules: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` and accept it only if it holds what is asked (AUD-06): one row (run, rows, bad, accepted).
+
+    The numbers are observed by the job that writes: rows, and per rule the rows that break it (``required`` columns are not null, ``rules`` are SQL
+    conditions by name). A run has its own folder; accepting it is one row of the manifest beside them, so readers never see a refused or
+    half-written run, and the run before stays in place. Raises ``Refused`` otherwise.
+    """
+    spark = df.sparkSession
+    broken = {f"null_{c}": f"`{c}` IS NULL" for c in required} | {n: f"NOT coalesce({r}, false)" for n, r in (rules or {}).items()}
+    seen, run = Observation(), uuid.uuid4().hex
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.expr(c)).alias(n) for n, c in broken.items()]]
+    df.observe(seen, *counts).write.parquet(f"{path}/runs/{run}")
+    got = seen.get
+    bad = {n: got[n] for n in broken if got[n]}
+    if got["rows"] < min_rows or bad:
+        raise Refused(f"{got['rows']} rows, {min_rows} asked; broken: {bad or 'nothing'}")
+    entry = spark.range(1).select(F.lit(run).alias("run"), F.lit(got["rows"]).cast("long").alias("rows"), F.current_timestamp().alias("at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/accepted")
+    return entry.select("run", "rows")
+
+
+def read_accepted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last accepted run."""
+    last = spark.read.parquet(f"{path}/accepted").agg(F.max_by("run", "at")).first()[0]
+    return spark.read.parquet(f"{path}/runs/{last}")

@@ -22,15 +22,19 @@ def presence_increments(batch: DataFrame, panel: DataFrame, lo: int, hi: int, ma
 
 
 def start_presence(stream: DataFrame, panel: DataFrame, out: str, checkpoint: str, lo: int = 60, hi: int = 400,
-                   max_mm: int = 1, lengths: tuple[int, int] = (18, 25)):
-    """Append increments, one folder per batch: re-running a batch overwrites its own folder,
-    so a restart counts nothing twice."""
+                   max_mm: int = 1, lengths: tuple[int, int] = (18, 25), event_time: str | None = None, late: str = "1 day"):
+    """Append increments, one folder per batch: re-running a batch overwrites its own folder, so a restart counts nothing twice.
+
+    A read_id counts once, whichever batches it comes in: ids are stream state, kept in the checkpoint. With ``event_time`` (a timestamp column)
+    an id is kept for ``late`` after the watermark only, so state has a bound where copies come that close together; without one it is
+    kept for good and grows with the ids.
+    """
+    once = stream.dropDuplicates(["read_id"]) if event_time is None else stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["read_id"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        presence_increments(batch.dropDuplicates(["read_id"]), panel, lo, hi, max_mm, lengths).write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}")
+        presence_increments(batch, panel, lo, hi, max_mm, lengths).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def totals(spark: SparkSession, out: str) -> DataFrame:

@@ -50,8 +50,8 @@ def test_seeded_scan_and_brute_agree(spark, max_mm):
     reads = make_reads(rng, primers=[x for p in prim for x in p[1:]])
     r = spark.createDataFrame(reads, "read_id long, seq string")
     p = spark.createDataFrame(prim, "pair string, fwd string, rev string")
-    pats = sites.collect_patterns(p)
-    want = brute(reads, pats, max_mm, 2)
+    pats = sites.patterns(p)
+    want = brute(reads, [(x["pair"], x["strand"], x["side"], x["pattern"]) for x in pats.collect()], max_mm, 2)
     keys = ["read_id", "pair", "strand", "side", "start", "mm"]
     seeded = {tuple(x) for x in sites.seeded_sites(r, p, max_mm).select(*keys).collect()}
     scanned = {tuple(x) for x in sites.scan_sites(r, pats, max_mm).select(*keys).collect()}
@@ -171,7 +171,7 @@ def test_global_scan_counts_each_record_once(spark):
     rd = spark.createDataFrame(reads, "read_id long, seq string")
     p = spark.createDataFrame([("x", f, r)], "pair string, fwd string, rev string")
     cls = spark.createDataFrame([(1, "in"), (2, "same_domain"), (3, "unknown"), (4, "in")], "read_id long, class string")
-    s = sites.scan_sites(rd, sites.collect_patterns(p), 5, exact_tail=0)
+    s = sites.scan_sites(rd, sites.patterns(p), 5, exact_tail=0)
     counts, rows = products.global_scan(s, cls, 60, 400, 5)
     got = counts.first()
     assert (got["n_in"], got["n_same"], got["n_unknown"], got["off_clade"]) == (1, 1, 1, 1)
