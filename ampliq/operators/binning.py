@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -87,25 +87,22 @@ def settle_satellites(bins: DataFrame, hits: DataFrame, sampled: DataFrame, shar
     before = bins.select("barcode", F.col("bin").alias("centre"), F.col("place").alias("at"))
     hits = cut_lineage(hits.join(bins, ["barcode", "bin"]).join(before, ["barcode", "centre"]).where("at < place").select("barcode", "bin", "q", "centre", "identity"))
     edges = cut_lineage(hits.select("barcode", "bin", "centre").distinct())
-    open_bins, done = bins.select("barcode", "bin"), None
+    state = cut_lineage(bins.select("barcode", "bin", F.lit(None).cast("boolean").alias("satellite")))
     for _ in range(max_rounds):
+        open_bins = state.where("satellite is null").select("barcode", "bin")
         waiting = edges.join(open_bins.withColumnRenamed("bin", "centre"), ["barcode", "centre"], "left_semi").select("barcode", "bin").distinct()
         ready = open_bins.join(waiting, ["barcode", "bin"], "left_anti")
-        if done is None:
-            found = ready.withColumn("satellite", F.lit(False))
-        else:
-            chosen = done.where("not satellite").select("barcode", F.col("bin").alias("centre"))
-            h = hits.join(ready, ["barcode", "bin"], "left_semi").join(chosen, ["barcode", "centre"], "left_semi")
-            best = h.groupBy("barcode", "bin", "q").agg(F.min(F.struct((-F.col("identity")).alias("neg"), F.col("centre"))).alias("b"))
-            n = best.groupBy("barcode", "bin", F.col("b.centre").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
-            top = n.groupBy("barcode", "bin").agg(F.max("n").alias("n")).join(sampled, ["barcode", "bin"])
-            found = ready.join(top, ["barcode", "bin"], "left").select("barcode", "bin", F.coalesce(F.col("n") >= share * F.col("sampled"), F.lit(False)).alias("satellite"))
-        found = cut_lineage(found)
-        done = found if done is None else cut_lineage(done.unionByName(found))
-        open_bins = cut_lineage(open_bins.join(found, ["barcode", "bin"], "left_anti"))
-        edges = cut_lineage(edges.join(found, ["barcode", "bin"], "left_anti"))
-        if open_bins.isEmpty():
-            return done
+        chosen = state.where("not satellite").select("barcode", F.col("bin").alias("centre"))
+        h = hits.join(ready, ["barcode", "bin"], "left_semi").join(chosen, ["barcode", "centre"], "left_semi")
+        best = h.groupBy("barcode", "bin", "q").agg(F.min(F.struct((-F.col("identity")).alias("neg"), F.col("centre"))).alias("b"))
+        n = best.groupBy("barcode", "bin", F.col("b.centre").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
+        top = n.groupBy("barcode", "bin").agg(F.max("n").alias("n")).join(sampled, ["barcode", "bin"])
+        found = ready.join(top, ["barcode", "bin"], "left").select("barcode", "bin", F.coalesce(F.col("n") >= share * F.col("sampled"), F.lit(False)).alias("now"))
+        left = Observation()  # counted by the job that writes the round
+        state = state.join(found, ["barcode", "bin"], "left").select("barcode", "bin", F.coalesce("satellite", "now").alias("satellite"))
+        state = cut_lineage(state.observe(left, F.count_if(F.col("satellite").isNull()).alias("n")))
+        if not left.get["n"]:
+            return state
     raise RuntimeError("satellites did not settle")
 
 
