@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..session import cut_lineage
+
+#: Codes of the four bases in alphabetical order, so that packed k-mers sort like their text; anything else is no base.
+_BASE = np.full(256, 4, dtype=np.int64)
+_BASE[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
 
 
 def positions(df: DataFrame, k: int, step: int = 1, seq: str = "seq", keep=()) -> DataFrame:
@@ -19,6 +28,88 @@ def positions(df: DataFrame, k: int, step: int = 1, seq: str = "seq", keep=()) -
         *cols, "pos", F.substring("_b", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
 
 
+def pack(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers of a sequence in order, two bits a base (k up to 31), and their reverse complements; those with other letters are left out.
+
+    Words of doubling length are put together, so it takes log2(k) passes over the sequence, not k.
+    """
+    code = _BASE[np.frombuffer(seq, dtype=np.uint8)]
+    n = code.size - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def roll(word: np.ndarray, later_first: bool) -> np.ndarray:
+        out, have, size, at = np.zeros(n, np.int64), 0, 1, word
+        while have < k:
+            if k & size:  # the next ``size`` bases of the k-mer
+                part = at[have:have + n]
+                out = out | (part << (2 * have)) if later_first else (out << (2 * size)) | part
+                have += size
+            if have < k:
+                nxt = at[size:]
+                at = (nxt << (2 * size)) | at[:nxt.size] if later_first else (at[:nxt.size] << (2 * size)) | nxt
+                size *= 2
+        return out
+
+    known = code < 4
+    plain = np.where(known, code, 0)
+    away = np.concatenate([[0], np.cumsum(~known)])
+    ok = away[k:] == away[:-k]
+    return roll(plain, False)[ok], roll(3 - plain, True)[ok]
+
+
+def packed(reads: DataFrame, k: int, key: str = "read_id", extra: str | None = None) -> DataFrame:
+    """(key, kmer, n_kmers): the distinct k-mers of every read as BIGINT, with how many distinct ones it has; made distinct where the read lies."""
+    cols = [key, *([extra] if extra else [])]
+    schema = ", ".join(f"{c} long" for c in cols) + ", kmer long, n_kmers int"
+
+    def expand(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            seqs = batch.column(len(cols))
+            kinds = [np.unique(pack(s.as_buffer().to_pybytes(), k)[0]) if s.is_valid else np.empty(0, np.int64) for s in seqs]
+            n = np.array([x.size for x in kinds], dtype=np.int64)
+            if not n.sum():
+                continue
+            held = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n)) for i in range(len(cols))]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(np.concatenate(kinds)), pa.array(np.repeat(n, n).astype(np.int32))], [*cols, "kmer", "n_kmers"])
+
+    return reads.where(F.col(key).isNotNull()).select(*cols, F.col("seq").cast("string")).mapInArrow(expand, schema)
+
+
+def profile(reads: DataFrame, k: int, key: str = "read_id") -> DataFrame:
+    """(key, n_kmers, distinct_kmers, canonical_kmers) of every read with a k-mer (SEQ-10); nothing is shuffled."""
+    def count(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            out = []
+            for s in batch.column(1):
+                fwd, rev = pack(s.as_buffer().to_pybytes(), k) if s.is_valid else (np.empty(0, np.int64), np.empty(0, np.int64))
+                out.append((fwd.size, np.unique(fwd).size, np.unique(np.minimum(fwd, rev)).size))
+            n = np.array(out, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(n[:, i]) for i in range(3)]], [key, "n_kmers", "distinct_kmers", "canonical_kmers"]).filter(pa.array(n[:, 0] > 0))
+
+    return reads.select(key, F.col("seq").cast("string")).mapInArrow(count, f"{key} long, n_kmers long, distinct_kmers long, canonical_kmers long")
+
+
+def assign_by_markers(reads: DataFrame, k: int, grp: str, min_share: float = 0.30) -> DataFrame:
+    """(read_id, grp, share): the group whose own k-mers a read has most of (AGG-11): shared / min(|markers|, |read's k-mers|).
+
+    A marker is a k-mer of one group only: the smallest and largest group code seen with it are equal. So the markers in a read are all of
+    its own group. Packed k-mers are dealt once by value and sorted; each run of one k-mer tells owner and size, and what is left is counted per
+    read and size: a marker in n reads is n rows of size n, which gives the number of markers too. Two groups with one code stop the job.
+    """
+    code = F.xxhash64(grp)
+    names = reads.groupBy(code.alias("g")).agg(F.min(grp).alias("grp"), F.max(grp).alias("top"))
+    names = names.select("g", F.when(F.col("grp").eqNullSafe(F.col("top")), F.col("grp")).otherwise(F.raise_error(F.lit("two groups share a code")).cast("string")).alias("grp"))
+    run = Window.partitionBy("kmer")
+    rk = packed(reads.withColumn("g", code), k, extra="g").select(
+        "read_id", "g", "n_kmers", F.min("g").over(run).alias("lo"), F.max("g").over(run).alias("hi"), F.count(F.lit(1)).over(run).alias("size")).where("lo = hi")
+    n = cut_lineage(rk.groupBy("read_id", "g", "n_kmers", "size").agg(F.count(F.lit(1)).alias("n")))
+    markers = n.groupBy("g", "size").agg(F.sum("n").alias("n")).groupBy("g").agg(F.sum(F.expr("n div size")).alias("markers"))
+    c = n.groupBy("read_id", "g", "n_kmers").agg(F.sum("n").alias("c"))
+    s = c.join(markers, "g").withColumn("share", F.col("c") / F.least(F.col("markers"), F.col("n_kmers"))).where(F.col("share") >= min_share)
+    return s.join(names, "g").select("read_id", "grp", "share")
+
+
 def kmer_set(df: DataFrame, k: int, keep, canonical: bool = False, seq: str = "seq") -> DataFrame:
     """Distinct k-mers without N per key."""
     p = positions(df, k, keep=keep, seq=seq).where(~F.col("kmer").contains("N")).drop("pos")

@@ -89,12 +89,7 @@ def oligo_composition(spark, sf):
        f"""WITH {READS}, {sql_kmers(21)} SELECT read_id, count(*) AS n_kmers, count(DISTINCT kmer) AS distinct_kmers,
   count(DISTINCT least(kmer, {sql_rc('kmer')})) AS canonical_kmers FROM kmers GROUP BY 1""")
 def kmer_profile(spark, sf):
-    p = K.positions(reads(spark, sf), 21, keep=["read_id"])
-    # one pre-aggregated row per distinct k-mer instead of two distinct expansions
-    d = p.groupBy("read_id", "kmer").agg(F.count(F.lit(1)).alias("n")).withColumn("canon", S.canonical("kmer"))
-    c = d.groupBy("read_id", "canon").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return c.groupBy("read_id").agg(F.sum("n").alias("n_kmers"), F.sum("k").alias("distinct_kmers"),
-                                    F.count(F.lit(1)).alias("canonical_kmers"))
+    return K.profile(reads(spark, sf), 21)
 
 
 @query("strided_seeds", "SEQ-11",

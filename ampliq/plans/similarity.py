@@ -131,9 +131,7 @@ c AS (SELECT read_id, grp, count(*) AS c FROM rk JOIN own USING (kmer) GROUP BY
 s AS (SELECT read_id, grp, c / least(ng, nr) AS share FROM c JOIN ng USING (grp) JOIN nr USING (read_id))
 SELECT read_id, grp, round(share, 8) AS share FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY share DESC, grp) AS rn FROM s WHERE share >= 0.3) WHERE rn = 1""")
 def discriminating_kmers(spark, sf):
-    r = reads(spark, sf)
-    own = K.kmer_set(r, 21, ["read_id"])
-    return K.assign_by_kmers(own, K.discriminating(r, 21, "library")).withColumn("share", F.round("share", 8))
+    return K.assign_by_markers(reads(spark, sf), 21, "library").withColumn("share", F.round("share", 8))
 
 
 @query("consensus_read_support", "AGG-14 SRC-18",
