@@ -154,14 +154,14 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 press = zstandard.ZstdDecompressor(dict_data=dictionary)
             at += 8 + size
         elif magic == FRAME_MAGIC:
-            one, raw = press.decompressobj(), b""
+            one, pieces = press.decompressobj(), []
             while not one.eof:
                 if at >= len(data):
                     raise ValueError("the archive ends within a frame")
-                raw += one.decompress(view[at:at + STEP])
+                pieces.append(one.decompress(view[at:at + STEP]))
                 at = min(at + STEP, len(data))
             at -= len(one.unused_data)
-            head, _, rest = raw.partition(b"\r\n\r\n")
+            head, _, rest = b"".join(pieces).partition(b"\r\n\r\n")
             headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
             yield headers, rest[:int(headers["Content-Length"])]
         else:
@@ -176,17 +176,21 @@ def _read_part(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for h, block in parse_archive(data.as_py()):
                 payload = block.partition(b"\r\n\r\n")[2]
-                digest, stored = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "response"
-                fine = len(payload) == int(h["X-Payload-Length"]) and hashlib.sha1(payload).hexdigest() == digest if stored else True
-                rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, int(h["X-Payload-Length"]), digest, h["WARC-Type"],
-                             int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h.get("WARC-Target-URI", ""), fine))
+                size, digest, stored = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "response"
+                if stored:  # what is told about a stored payload is what was read
+                    read = (len(payload), hashlib.sha1(payload).hexdigest())
+                    if read != (size, digest):
+                        raise ValueError(f"record {h.get('WARC-Record-ID', '')}: payload read as {read}, written as {(size, digest)}")
+                rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, size, digest, h["WARC-Type"],
+                             int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h.get("WARC-Target-URI", ""), stored))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified of each record in the archives of a folder.
 
-    ``verified``: a stored payload has the length and digest that its header names. An empty folder gives no rows.
+    Length and digest of every stored payload are computed from what was read; a record whose header says otherwise stops the job.
+    ``verified`` is true for these, false for a revisit, which stores no payload and repeats its response's. An empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInArrow(_read_part, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, verified boolean")

@@ -109,7 +109,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "clash") for r in table], "page_id long, url string, html string, payload_digest string").repartition(3)
     path = warc.write_archives(warc.page_records(pages), f"file://{tmp_path}/w")
     got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
-    assert len(got) == len(table) and all(r.verified for r in got.values())
+    assert len(got) == len(table) and all(r.verified == (r.record_type == "response") for r in got.values())
     for i, _, html in table:
         raw = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
@@ -117,6 +117,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_records(pages.limit(0)).count() == 0
 
 
+def test_damaged_archives_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>some text</p>")], "page_id long, url string, html string")
+    bad = warc.page_records(pages).withColumn("payload_digest", F.lit("0" * 40))
+    path = warc.write_archives(bad, f"file://{tmp_path}/w")
+    with pytest.raises(Exception, match="payload read as"):
+        warc.read_archives(spark, path).collect()
+
+
 def test_warc_frames_begin_with_their_dictionary():
     records = [warc.record_bytes(i, f"http://h/{i}", f"<html>page {i} {'shared words of every page ' * 20}</html>".encode(), "d" * 40, None) for i in range(300)]
     made = list(warc.frames(iter(records)))
