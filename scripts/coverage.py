@@ -20,7 +20,7 @@ LIBRARY = {
 OUT_OF_SCOPE = {
     "SRC-15": "network sources", "SRC-17": "external specificity tools", "ALN-04": "external aligner; PAF and SAM tables are accepted",
     "ALN-17": "external polishing tools; AGG-06 is the in-engine substitute", "THR-04": "folding energies are accepted as columns, not simulated",
-    "ORC-01": "stage runners belong to a scheduler; ORC-02 decides what is stale", "OPT-05": "gel clashes are found; the random plate search is left out",
+    "ORC-01": "stage runners belong to a scheduler; ORC-02 decides what is stale",
 }
 
 
