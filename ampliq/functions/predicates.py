@@ -57,17 +57,6 @@ def invariant_oligo_ok(oligo) -> Column:
     return oligo_length_ok(o) & ~S.is_degenerate(o) & ~S.has_run_of_four(o)
 
 
-def grid_cell_ok(oligo, gc, tm, gc_range, tm_range, need_end_gc, need_last5) -> Column:
-    """Primer rules of one grid cell (FLT-03)."""
-    o = col(oligo)
-    ok = col(gc).between(*gc_range) & col(tm).between(*tm_range)
-    if need_end_gc:
-        ok = ok & S.last_base(o).isin("G", "C")
-    if need_last5:
-        ok = ok & (S.gc_in_last5(o) <= 3)
-    return ok
-
-
 def composition_reason(oligo, gc_min=40.0, gc_max=60.0, max_run=4, max_last5_gc=3) -> Column:
     """First composition rule an oligo breaks, NULL when none (FLT-04)."""
     o = col(oligo)

@@ -154,35 +154,6 @@ def containment(left: DataFrame, right: DataFrame, min_share: float) -> DataFram
     return s.withColumn("containment", F.col("shared") / F.least("na", "nb")).where(F.col("containment") >= min_share)
 
 
-def discriminating(seqs: DataFrame, k: int, grp: str = "grp") -> DataFrame:
-    """K-mers owned by exactly one group of sequences (AGG-11). seqs: (grp, seq).
-
-    One owner means the smallest and largest group of a k-mer are equal: a single hash
-    aggregation over integer group codes. Two groups with one code stop the job.
-    """
-    code = F.xxhash64(grp)
-    names = seqs.select(F.col(grp).alias("grp"), code.alias("_g")).distinct()
-    clash = names.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"), F.min("grp").alias("grp"))
-    names = clash.select("_g", F.when(F.col("_c") == 1, F.col("grp")).otherwise(
-        F.raise_error(F.lit("two groups share a code")).cast("string")).alias("grp"))
-    km = positions(seqs.withColumn("_g", code), k, keep=["_g"]).where(~F.col("kmer").contains("N"))
-    own = km.groupBy("kmer").agg(F.min("_g").alias("_g"), F.max("_g").alias("_top")).where(F.col("_g") == F.col("_top"))
-    return own.join(names, "_g").select("grp", "kmer")
-
-
-def assign_by_kmers(read_kmers: DataFrame, markers: DataFrame, min_share: float = 0.30) -> DataFrame:
-    """Group of each read by share of marker k-mers: shared / min(|markers|, |read|)."""
-    size_g = markers.groupBy("grp").agg(F.count(F.lit(1)).alias("ng"))
-    size_r = read_kmers.groupBy("read_id").agg(F.count(F.lit(1)).alias("nr"))
-    # both sides are exploded k-mers, far larger than the files Spark estimates them from,
-    # so the sorted join is asked for instead of a broadcast chosen on that estimate
-    c = read_kmers.join(markers.hint("merge"), "kmer").groupBy("read_id", "grp").agg(F.count(F.lit(1)).alias("c"))
-    s = c.join(size_g, "grp").join(size_r, "read_id").withColumn("share", F.col("c") / F.least("ng", "nr"))
-    best = s.where(F.col("share") >= min_share).groupBy("read_id").agg(
-        F.min(F.struct((-F.col("share")).alias("s"), F.col("grp"))).alias("m"))
-    return best.select("read_id", "m.grp", (-F.col("m.s")).alias("share"))
-
-
 def read_support(candidates: DataFrame, sample: DataFrame, k: int = 21) -> DataFrame:
     """Share of a candidate's k-mers seen in its bin's sampled reads, on either strand (AGG-14).
 
