@@ -253,3 +253,43 @@ def test_panels_of_any_size(spark):
     grid = sites.scan_sites(r, pats, 1, block=4_000, share=5).select(*keys)
     got = sorted(map(tuple, grid.collect()))
     assert got == sorted(map(tuple, whole.collect())) and {x[1] for x in got} >= {f"q{i}-5" for i, _ in reads}
+
+
+def test_packed_kmers_are_the_kmers():
+    from ampliq.operators import kmers
+    rng = random.Random(11)
+    code = {c: i for i, c in enumerate("ACGT")}
+
+    def number(word):
+        n = 0
+        for c in word:
+            n = n * 4 + code[c]
+        return n
+
+    for k in (1, 2, 3, 7, 15, 16, 21, 31):
+        for n in (0, k - 1, k, k + 1, 90):
+            s = "".join(rng.choice("ACGTACGTACGTACGTACGTN") for _ in range(n))
+            words = [s[i:i + k] for i in range(n - k + 1) if "N" not in s[i:i + k]]
+            fwd, rev = kmers.pack(s.encode(), k)
+            assert fwd.tolist() == [number(w) for w in words] and rev.tolist() == [number(rc(w)) for w in words], (k, s)
+
+
+def test_profile_and_markers_on_odd_reads(spark):
+    from ampliq.operators import kmers
+    rows = [(1, "a", "ACGTACGTACGG"), (2, "a", "ACGTACGTTTTT"), (3, "b", "TTTTTTTTGCAA"), (4, "b", None), (5, "b", "ACG"), (6, None, "GGGGGGGGGGGG")]
+    d = spark.createDataFrame(rows, "read_id long, library string, seq string")
+    want = {}
+    for i, _, s in rows:
+        words = [s[j:j + 5] for j in range(len(s) - 4)] if s else []
+        if words:
+            want[i] = (len(words), len(set(words)), len({min(w, rc(w)) for w in words}))
+    assert {r.read_id: (r.n_kmers, r.distinct_kmers, r.canonical_kmers) for r in kmers.profile(d, 5).collect()} == want
+    sets = {i: {s[j:j + 5] for j in range(len(s) - 4)} if s else set() for i, _, s in rows}
+    owners = {}
+    for i, g, _ in rows:
+        for w in sets[i]:
+            owners.setdefault(w, set()).add(g)
+    marks = {g: {w for w, o in owners.items() if o == {g}} for g in ("a", "b", None)}
+    best = {i: len(sets[i] & marks[g]) / min(len(marks[g]), len(sets[i])) for i, g, _ in rows if sets[i] and marks[g]}
+    got = {r.read_id: (r.grp, round(r.share, 9)) for r in kmers.assign_by_markers(d, 5, "library", 0.3).collect()}
+    assert got == {i: (g, round(best[i], 9)) for i, g, _ in rows if best.get(i, 0) >= 0.3}
