@@ -32,7 +32,7 @@ SHARD_BYTES, HELD = 8_000_000, 1_000_000
 #: Fixed values of HTML: elements that start a block, whose content is no text, and that are never main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object canvas audio video".split())
 CHROME = frozenset("nav header footer aside form menu dialog button select search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Whole class names, ids and roles that mark what isn't the article ("_" counts as "-").
@@ -49,31 +49,45 @@ SIBLINGS = {name: (frozenset(ends.split()), frozenset(bounds.split())) for names
 #: Elements that an end tag inside of them doesn't close beyond, unless it is one of the table's own.
 CELLS = frozenset("td th caption table".split())
 TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
-TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: What an element's text is: loose, of an article, menus and the like, the same with an article still to be found in it, hidden.
-LOOSE, ARTICLE, CHROME_ONLY, MAY_HOLD, UNSEEN = range(5)
+LOOSE, ARTICLE, CHROME_ONLY, MAY_HOLD, UNSEEN, LIKELY = range(6)
+#: Articles are the main text if they have at least this share of what isn't menus and the like.
+ARTICLE_SHARE = 1 / 3
+#: Words within compound class names and ids ("post-comments") that likely mark the same, and those before them that deny it.
+PARTS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav navbar navigation newsletter "
+                  "pagination popup promo share sharing sidebar sponsor sponsored subscribe widget".split())
+DENY = frozenset("has no non not with without".split())
+
+
+def likely(name: str) -> bool:
+    """Whether a part of a compound name marks it, as in "sidebar-left" but not in "no-sidebar"."""
+    parts = name.split("-")
+    return any(p in PARTS and (k == 0 or parts[k - 1] not in DENY) for k, p in enumerate(parts))
 
 
 def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
     """Whether the page marks an article, and its blocks in page order as (zone, text): 2 article, 1 menus and the like, 0 loose.
 
     An element whose class, id or role marks it is no menu where it holds an article or main element that isn't inside
-    another one. Elements end with their end tag, that of an element around them, or a sibling that ends them.
+    another one. One that a part of a compound name marks is loose after all where such elements hold most of the loose
+    text. Articles with less than ARTICLE_SHARE of the text besides menus (teasers) mark nothing and are loose; a main
+    element always does. Elements end with their end tag, that of an element around them, or a sibling that ends them.
     """
     out: list[tuple[int, str]] = []
     held: list[str] = []
     opened: list[tuple[str, int]] = []  # elements around, outermost first, and what their text is
     names: dict[str, int] = {}  # how many of a name are open
-    marked = False
+    marked = firm = False
     at, end = 0, len(html)
 
     def close() -> None:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(((0, 2, 1, 1, 1)[opened[-1][1] if opened else LOOSE], text))
+            out.append(((0, 2, 1, 1, 1, 3)[opened[-1][1] if opened else LOOSE], text))
 
     def leave(size: int) -> None:
         if opened[size:] and opened[-1][1] != (opened[size - 1][1] if size else LOOSE):
@@ -103,7 +117,7 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
             continue
         closing = bool(m[1])
         if name in RAW and not closing:
-            if m[3].endswith("/"):
+            if name == "svg" and m[3].endswith("/"):  # elsewhere in HTML the slash means nothing
                 continue
             stop = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else end
@@ -134,19 +148,28 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
                 of.setdefault(x[1].lower(), next((v for v in x.groups()[1:] if v is not None), ""))
             if "hidden" in of or of.get("aria-hidden", "").lower() == "true" or UNSHOWN.search(unescape(of.get("style", ""))):
                 state = UNSEEN
-            elif around != CHROME_ONLY and not MARKED.isdisjoint(" ".join(of.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-").split()):
-                state = CHROME_ONLY if around == ARTICLE or name in CHROME or name in ("article", "main") else MAY_HOLD
+            elif around != CHROME_ONLY:
+                called = " ".join(of.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-").split()
+                if not MARKED.isdisjoint(called):
+                    state = CHROME_ONLY if around == ARTICLE or name in CHROME or name in ("article", "main") else MAY_HOLD
+                elif around in (LOOSE, ARTICLE) and name not in ("article", "main") and any(map(likely, called)):
+                    state = CHROME_ONLY if around == ARTICLE else LIKELY
         if state == around and state != UNSEEN:
             if name in CHROME and state != CHROME_ONLY:  # a form can be around a whole page
                 state = MAY_HOLD if name == "form" and state != ARTICLE else CHROME_ONLY
-            elif name in ("article", "main") and state in (LOOSE, MAY_HOLD):
-                state, marked = ARTICLE, True
+            elif name in ("article", "main") and state in (LOOSE, MAY_HOLD, LIKELY):
+                state, marked, firm = ARTICLE, True, firm or name == "main"
         if state != around:
             close()
         opened.append((name, state))
         names[name] = names.get(name, 0) + 1
     close()
-    return marked, out
+    weight = [sum(len(t) for z, t in out if z == k) for k in range(4)]
+    if marked and not firm and weight[2] < ARTICLE_SHARE * (weight[0] + weight[2]):
+        marked, weight[0] = False, weight[0] + weight[2]
+        out = [(0 if z == 2 else z, t) for z, t in out]
+    soft = 0 if not marked and weight[3] > weight[0] else 1
+    return marked, [(soft if z == 3 else z, t) for z, t in out]
 
 
 def repeated(streams: list[list[list[str]]], zones: list[list[int]], least: int = MIN_RUN) -> list[list[np.ndarray]]:
@@ -227,7 +250,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks are joined by two line ends. Pages with near copies of one main text count as one page (classes of the n-gram
     join, before anything is taken away), and a repeat is found wherever two other pages of a host have it: hashes of MIN_RUN tokens are dealt over shards, and the repeated ones go back to their pages. Repeated rows each give
-    a row; a null url is a host of its own, and a page without text gives an empty one.
+    a row; a page whose url is null or names no host is compared with none, and a page without text gives an empty one.
     """
     spark = pages.sparkSession
     short_batches(spark)
@@ -235,6 +258,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, r"^/*([^/?#]*)", 1), "^.*@", ""), r"^www\.|:[^:]*$", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("nonce", F.xxhash64("page_id", "url", "html"))
+    rows = rows.withColumn("host", F.when(F.col("host") == "", F.concat(F.lit("/"), F.col("nonce").cast("string"))).otherwise(F.col("host")))
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = max(2 * partitions(spark), -(-size // SHARD_BYTES))
 

@@ -320,7 +320,14 @@ def test_main_text(spark):
     ('<dl><dt>a<dd class=ad>no<dt>b</dl><table><tr><td class="ad">no<td>c<tr><td>d</table>e', "a|b|c|d|e"),
     ('<div><p>a <span class="ad">no</div>b', "a|b"),
     ('<div class="ad"><div>no</div>no<ul><li>no</ul></div>a', "a"),
-    ('<aside>no<article>no</article></aside><p>a', "a")])
+    ('<aside>no<article>no</article></aside><p>a', "a"),
+    ("<div><p>long story here</p></div><article class=card>teaser</article>", "long story here|teaser"),
+    ("<script src=https://x.com/>code()</script>a<script src=x />var a=1;</script>b<svg/>c", "a|b|c"),
+    ("<a title=it's>here</a><b x=\"a>b\" y='c>d'>there", "here there"),
+    ("<article><p>a <math><mi>x</mi></math> b</article>", "a x b"),
+    *((f"<p>story</p><div {mark}>no</div>", "story") for mark in ("class=post-comments", "class=sidebar-left", "id=ad_top", 'class="x cookie-popup"', "id=disqus_thread")),
+    ("<article>a<div class='post-comments'>no</div>b</article>", "a|b"),
+    ("<div class=menu-page><p>the story</div><p>x", "the story|x")])
 def test_cut_keeps_articles(html, text):
     marked, blocks = html_text.cut(html)
     assert "|".join(t for z, t in blocks if z == (2 if marked else 0)) == text
@@ -337,6 +344,13 @@ def test_host_repeats_leave_unique_runs(spark):
     assert got == Counter([*((k, f"{own[k]}\n\n{own[k]}") for k in range(3)), (7, base), (20, f"{shared}\n\nmine"), (21, f"{shared} more"), (21, f"{shared} more")])
 
 
+def test_pages_without_a_host_share_nothing(spark):
+    passage = " ".join(f"w{i}" for i in range(18))
+    pages = [(k, url, f"<p>own{k} {passage}</p>") for k, url in ((1, None), (2, None), (3, ""), (4, "file:///x"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own{k} {passage}" for k in range(1, 5)}
+
+
 def test_repeats_equal_brute_force():
     rng = random.Random(4)
     for _ in range(6):
