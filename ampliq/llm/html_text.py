@@ -1,11 +1,16 @@
-"""Main text of web pages, with repeats sought over all pages of a host.
-
-A page is cut into blocks: article blocks (inside an article or main element), menus and the like, and loose ones. Every
-stretch of MIN_RUN tokens of a block is hashed together with its host; equal hashes meet in one shard whatever the size
-of the host, and those that distinct pages have are repeats. In a page that marks an article, tokens of article blocks go if
-they lie in a repeat that other pages have outside of articles: passages that only articles share are no boilerplate.
-In a page that marks none, tokens of loose blocks go if they lie in any repeat. Pages whose main texts mostly coincide
-are one page, so what only copies share stays, and so do the unique runs.
+"""Main text of web pages, with repeats sought by a suffix array over all pages of a host.
+
+A page is cut into blocks: article blocks (inside an article or main element), menus and the like, and loose ones. In a
+page that marks an article, tokens of article blocks go if they lie in a run of MIN_RUN tokens or more that another page
+has outside of articles: passages that only articles share are no boilerplate. In a page that marks none, tokens of loose
+blocks go if they lie in a run that any other page has. Pages whose main texts mostly coincide are one page, so what only
+copies share stays, and so do the unique runs.
+
+A host may be of any size, so its suffix array is dealt over shards by prefix, and only where pages can share a run at
+all. In each stretch of MIN_RUN tokens the run of ANCHOR tokens with the least hash is its anchor: equal stretches have
+equal anchors. Anchors that distinct pages have (1) name the pages whose copies matter and (2) deal the tokens around
+them over shards; there the suffixes of all streams are sorted, neighbours with a common prefix of MIN_RUN tokens from
+distinct pages are repeats, and their places go back to the pages.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from .ngram_join import join, mix64, word_hashes
 
 #: Shortest repeat, in tokens; a power of two.
 MIN_RUN = 16
+#: Tokens of an anchor: one of the stretches of this size within MIN_RUN tokens, chosen by hash; a power of two.
+ANCHOR = 8
 #: Pages whose main texts are linked at this Jaccard similarity of five-word shingles are copies of one page.
 NEAR = 0.8
 #: Bytes of html per shard of hashes, about, and hashes that are dealt over the shards at once; neither decides over results.
@@ -172,207 +179,236 @@ def cut(html: str) -> tuple[bool, list[tuple[int, str]]]:
     return marked, [(soft if z == 3 else z, t) for z, t in out]
 
 
+def shared_starts(tokens: np.ndarray, sizes: np.ndarray, page: np.ndarray, other: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
+    """Where repeats begin in ``tokens``, streams of ``sizes`` one after another: at their first ``least`` tokens another
+    ``page`` has the same; a stretch that isn't ``other`` counts only if another page has it in a stream that is.
+
+    The suffixes of all streams are sorted by prefix doubling as far as ``least`` tokens (a power of two), which is as much
+    of the suffix array and its common-prefix lengths as decides this. Streams end in separators that equal nothing.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    stream = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(tokens)) + stream  # a separator after each stream before
+    n = len(tokens) + len(sizes)
+    if not len(tokens):
+        return np.empty(0, np.int64)
+    names, number = np.unique(tokens, return_inverse=True)
+    rank = np.full(n, -1, np.int64)
+    rank[at] = number.ravel()
+    stops = rank < 0
+    rank[stops] = len(names) + np.arange(len(sizes))
+    reach = 1
+    while reach < least:
+        after = np.full(n, -1, np.int64)
+        after[:-reach] = rank[reach:]
+        both = rank * (n + 2) + after + 1  # ranks are below n, so a pair is one number
+        order = np.argsort(both, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, both[order[1:]] != both[order[:-1]]])
+        reach *= 2
+    rank = rank[at]
+    order = np.argsort(rank, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(rank[order]) > 0])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    owner, free, ends = np.asarray(page)[stream[order]], np.asarray(other)[stream[order]], np.iinfo(np.int64)
+    several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+    # of the occurrences outside of articles: the smallest and largest page
+    low = np.minimum.reduceat(np.where(free, owner, ends.max), starts)[group]
+    high = np.maximum.reduceat(np.where(free, owner, ends.min), starts)[group]
+    wide = np.where(free, several[group], np.logical_or.reduceat(free, starts)[group] & ((low != owner) | (high != owner)))
+    return np.sort(order[wide])
+
+
+def covered(starts: np.ndarray, n: int, least: int = MIN_RUN) -> np.ndarray:
+    """Which of ``n`` tokens lie in a run of ``least`` that begins at one of ``starts``."""
+    starts = np.unique(starts)
+    return np.cumsum(np.bincount(starts, minlength=n + 1)[:n + 1] - np.bincount(np.minimum(starts + least, n), minlength=n + 1)[:n + 1])[:n] > 0
+
+
 def repeated(streams: list[list[list[str]]], zones: list[list[int]], least: int = MIN_RUN) -> list[list[np.ndarray]]:
     """For the blocks of each page, which tokens lie in a run of at least ``least`` tokens that another page has too; for
     tokens of article blocks (zone 2) it counts only if another page has it in a block of another zone.
 
-    This holds all pages at once, and is what extract() is held against. Suffixes are sorted by prefix doubling as far as ``least`` tokens, which is as much of the suffix array as decides
-    this; blocks end in separators that equal nothing. Pages with one and the same stream are one page.
+    One suffix array over all pages at once: extract() is held against it. Pages with one and the same stream are one page.
     """
     ids: dict[str, int] = {}
-    flat: list[int] = []
-    sizes, pages, kinds = [], [], []
-    same: dict[int, int] = {}
-    number = lambda t: ids.setdefault(t, len(ids))
-    for blocks, zone in zip(streams, zones, strict=True):
-        begin = len(flat)
-        for b, z in zip(blocks, zone, strict=True):
-            flat += map(number, b)
-            flat.append(-1)
-            sizes.append(len(b))
-            kinds.append(z)
-        key = same.setdefault(hash(tuple(flat[begin:])), len(same))
-        pages += [key] * len(blocks)
-    n = len(flat)
-    mask = np.zeros(n, bool)
-    if n:
-        lengths = np.array(sizes) + 1
-        page, kind = np.repeat(pages, lengths), np.repeat(kinds, lengths)
-        rank = np.array(flat, np.int64)
-        stops = rank < 0
-        rank[stops] = len(ids) + np.arange(int(stops.sum()))
-        reach = 1
-        while reach < least:
-            after = np.full(n, -1, np.int64)
-            after[:-reach] = rank[reach:]
-            both = rank * (n + 2) + after + 1  # ranks are below n, so a pair is one number
-            order = np.argsort(both, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[False, both[order[1:]] != both[order[:-1]]])
-            reach *= 2
-        order = np.argsort(rank, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(rank[order]) > 0])
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
-        owner, other = page[order], kind[order] != 2
-        least_page, most_page = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
-        # of the occurrences outside of articles: the smallest and largest page
-        low = np.minimum.reduceat(np.where(other, owner, n), starts)[group]
-        high = np.maximum.reduceat(np.where(other, owner, -1), starts)[group]
-        wide = np.where(other, (least_page != most_page)[group], (high >= 0) & ((low != owner) | (high != owner)))
-        hits = order[wide]
-        covered = np.bincount(hits, minlength=n + 1)[:n + 1] - np.bincount(np.minimum(hits + reach, n), minlength=n + 1)[:n + 1]
-        mask = np.cumsum(covered)[:n] > 0
-    ends = np.cumsum(np.array(sizes, np.int64) + 1)
-    cut_up = iter([mask[e - size - 1:e - 1] for e, size in zip(ends.tolist(), sizes, strict=True)])
-    return [[next(cut_up) for _ in blocks] for blocks in streams]
-
-
-def runs(blocks: list[list[str]], host: str, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all stretches of ``least`` tokens (a power of two) within a block: their hashes together with the host, where they
-    begin among the tokens of all blocks, and their blocks."""
+    same: dict[tuple, int] = {}
+    blocks = [b for page in streams for b in page]
+    pages = [k for page in streams for k in [same.setdefault(tuple(map(tuple, page)), len(same))] * len(page)]
     sizes = np.array([len(b) for b in blocks], np.int64)
-    tokens = word_hashes([t for b in blocks for t in b]) if len(blocks) else np.zeros(0, np.uint64)
-    at = np.arange(len(tokens))
+    tokens = np.array([ids.setdefault(t, len(ids)) for b in blocks for t in b], np.int64)
+    mask = covered(shared_starts(tokens, sizes, np.array(pages), np.array([z for zone in zones for z in zone]) != 2, least), len(tokens), least)
+    cut_up = iter(np.split(mask, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+    return [[next(cut_up) for _ in page] for page in streams]
+
+
+def _seed(host: str) -> np.uint64:
+    return np.uint64(int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def anchors(tokens: np.ndarray, sizes: np.ndarray, host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every stretch of MIN_RUN tokens within a block its anchor: hashes together with the host, places among ``tokens``
+    (hashes of the words of all blocks) and blocks; each place once, of equal hashes in a stretch the first."""
     block = np.repeat(np.arange(len(sizes)), sizes)
-    whole = at + least <= np.cumsum(sizes)[block]
-    reach = 1
-    while reach < least and len(tokens):
-        after = np.zeros_like(tokens)
-        after[:-reach] = tokens[reach:]
-        tokens = mix64(tokens * np.uint64(0x9E3779B97F4A7C15) + after)
+    begins = np.flatnonzero(np.arange(len(tokens)) + MIN_RUN <= np.cumsum(sizes)[block])
+    if not len(begins):
+        return np.empty(0, np.uint64), begins, begins
+    reach, run = 1, tokens
+    while reach < ANCHOR:
+        after = np.zeros_like(run)
+        after[:-reach] = run[reach:]
+        run = mix64(run * np.uint64(0x9E3779B97F4A7C15) + after)
         reach *= 2
-    seed = np.uint64(int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-    return mix64(tokens[whole] ^ seed), at[whole], block[whole]
+    places = np.unique(begins + np.lib.stride_tricks.sliding_window_view(run, MIN_RUN - ANCHOR + 1)[begins].argmin(axis=1))
+    return mix64(run[places] ^ _seed(host)), places, block[places]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page, from the whole html (null: empty).
+def tokens_of(html: str) -> tuple[bool, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+    """Of a page: whether it marks an article, zones, words, sizes and word hashes of its blocks."""
+    marked, found = cut(html)
+    words = [t.split(" ") for _, t in found]
+    hashes = word_hashes([w for ws in words for w in ws]) if words else np.empty(0, np.uint64)
+    return marked, np.array([z for z, _ in found], np.int64), words, np.array([len(w) for w in words], np.int64), hashes
 
-    Blocks are joined by two line ends. Pages with near copies of one main text count as one page (classes of the n-gram
-    join, before anything is taken away), and a repeat is found wherever two other pages of a host have it: hashes of MIN_RUN tokens are dealt over shards, and the repeated ones go back to their pages. Repeated rows each give
-    a row; a page whose url is null or names no host is compared with none, and a page without text gives an empty one.
-    """
-    spark = pages.sparkSession
-    short_batches(spark)
-    host = F.regexp_replace(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, r"^/*([^/?#]*)", 1), "^.*@", ""), r"^www\.|:[^:]*$", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("nonce", F.xxhash64("page_id", "url", "html"))
-    rows = rows.withColumn("host", F.when(F.col("host") == "", F.concat(F.lit("/"), F.col("nonce").cast("string"))).otherwise(F.col("host")))
-    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    shards = max(2 * partitions(spark), -(-size // SHARD_BYTES))
 
-    def texts(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in part:
-            main = [" ".join(t for z, t in found if z == (2 if marked else 0)) for marked, found in map(cut, batch.column("html").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("nonce"), pa.array(main, pa.string())], names=["nonce", "text"])
+def _kinds(marked: bool, zone: np.ndarray) -> np.ndarray:
+    """Bit 1: outside of articles; bit 2: main text."""
+    return ((zone != 2) + 2 * (zone == (2 if marked else 0))).astype(np.uint8)
 
-    alike = join(rows.select("nonce", "html").mapInArrow(texts, "nonce long, text string"), threshold=NEAR, id_col="nonce")
-    alike = written(alike.where("class_id <> doc_id").select(F.col("doc_id").alias("nonce"), "class_id").distinct(), "copies")
-    named = rows.join(bounded(alike), "nonce", "left").select("host", "nonce", F.coalesce("class_id", "nonce").alias("copy"), "html")
+
+def _packed(key: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row per value of ``key`` (first of ``names``) with its part of every column as bytes."""
+    order = np.argsort(key, kind="stable")
+    key, columns = key[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+    parts = [pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]].astype(np.int64)), *parts], names=names)
+
+
+def _shared_anchors(rows: DataFrame, shards: int) -> DataFrame:
+    """(nonce, keys): anchors of a page that another page of its host has too, where one has it as main text and one outside of articles."""
 
     def deal(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of all pages as (shard, hashes, pages and kinds of them): bit 1 outside of articles, bit 2 main text."""
         held: list[tuple[np.ndarray, ...]] = []
 
         def shipped() -> pa.RecordBatch:
-            keys, nonces, copies, kinds = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys, nonces, kinds = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            shard = (keys % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keys, nonces, copies, kinds, shard = keys[order], nonces[order], copies[order], kinds[order], shard[order]
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-            ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            tables, places = [], []
-            for a, b in ends:  # a page is named once per row
-                page, place = np.unique(np.stack([nonces[a:b], copies[a:b]]), axis=1, return_inverse=True)
-                tables.append(page.tobytes())
-                places.append(place.ravel().astype(np.uint32 if page.shape[1] > 2**16 else np.uint16).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in ends], pa.binary()), pa.array(tables, pa.binary()), pa.array(places, pa.binary()),
-                                               pa.array([kinds[a:b].tobytes() for a, b in ends], pa.binary())], names=["shard", "keys", "pages", "places", "kinds"])
+            return _packed((keys % np.uint64(shards)).astype(np.int64), [keys, nonces, kinds], ["shard", "keys", "nonces", "kinds"])
 
         for batch in part:
-            for h, nonce, copy, html in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "copy", "html")), strict=True):
-                marked, found = cut(html)
-                words, zone = [t.split(" ") for _, t in found], np.array([z for z, _ in found], np.int64)
-                keys, _, block = runs(words, h)
-                if not len(keys):
-                    continue
-                kind = (zone[block] != 2) + 2 * (zone[block] == (2 if marked else 0))
-                first = np.unique(np.stack([keys, kind.astype(np.uint64)]), axis=1)
-                n = first.shape[1]
-                held.append((first[0], np.full(n, nonce, np.int64), np.full(n, copy, np.int64), first[1].astype(np.uint8)))
+            for h, nonce, html in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "html")), strict=True):
+                marked, zone, _, sizes, tokens = tokens_of(html)
+                keys, _, block = anchors(tokens, sizes, h)
+                if len(keys):
+                    held.append((keys, np.full(len(keys), nonce, np.int64), _kinds(marked, zone)[block]))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield shipped()
         if held:
             yield shipped()
 
-    dealt = (named.mapInArrow(deal, "shard long, keys binary, pages binary, places binary, kinds binary")
-             .repartition(partitions(spark), "shard").sortWithinPartitions("shard"))
-
-    def repeats(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(nonce, hashes) of main text that a page has to give up."""
+    def meet(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(part, ["shard"]):
-            keys, kinds, nonces, copies = [], [], [], []
-            for k, p, a, z in zip(*(t.column(c).to_pylist() for c in ("keys", "pages", "places", "kinds")), strict=True):
-                page = np.frombuffer(p, np.int64).reshape(2, -1)
-                place = np.frombuffer(a, np.uint16 if 2 * (len(k) // 8) == len(a) else np.uint32)
-                keys.append(np.frombuffer(k, np.uint64))
-                kinds.append(np.frombuffer(z, np.uint8))
-                nonces.append(page[0][place])
-                copies.append(page[1][place])
-            key, kind, nonce, copy = map(np.concatenate, (keys, kinds, nonces, copies))
+            key, nonce, kind = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("keys", np.uint64), ("nonces", np.int64), ("kinds", np.uint8)))
             order = np.argsort(key, kind="stable")
-            key, kind, nonce, copy = key[order], kind[order], nonce[order], copy[order]
+            key, nonce, kind = key[order], nonce[order], kind[order]
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-            other, ends = (kind & 1) > 0, np.iinfo(np.int64)
-            several = np.minimum.reduceat(copy, starts) != np.maximum.reduceat(copy, starts)
-            # of the occurrences outside of articles: the smallest and largest page
-            low = np.minimum.reduceat(np.where(other, copy, ends.max), starts)[group]
-            high = np.maximum.reduceat(np.where(other, copy, ends.min), starts)[group]
-            wide = np.where(other, several[group], np.logical_or.reduceat(other, starts)[group] & ((low != copy) | (high != copy)))
-            at = np.flatnonzero(wide & ((kind & 2) > 0))
-            if not len(at):
-                continue
-            at = at[np.argsort(nonce[at], kind="stable")]
-            key, nonce = key[at], nonce[at]
-            cuts = np.flatnonzero(np.r_[True, nonce[1:] != nonce[:-1], True])
-            yield pa.RecordBatch.from_arrays([pa.array(nonce[cuts[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["nonce", "keys"])
+            met = (np.minimum.reduceat(nonce, starts) != np.maximum.reduceat(nonce, starts)) & (np.bitwise_or.reduceat(kind, starts) == 3)
+            at = np.flatnonzero(np.repeat(met, np.diff(np.r_[starts, len(key)])))
+            if len(at):
+                yield _packed(nonce[at], [key[at]], ["nonce", "keys"])
+
+    n = max(partitions(rows.sparkSession), shards // 4)
+    dealt = rows.select("host", "nonce", "html").mapInArrow(deal, "shard long, keys binary, nonces binary, kinds binary").repartition(n, "shard").sortWithinPartitions("shard")
+    return written(dealt.mapInArrow(meet, "nonce long, keys binary"), "anchors")
+
+
+def _repeats(rows: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """(nonce, starts): where repeats begin in the main text of a page, among the tokens of all its blocks."""
+    held_by = shared.groupBy("nonce").agg(F.collect_list("keys").alias("keys"))
+    around = rows.join(held_by, "nonce")
+
+    def deal(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens around shared anchors, from the first to the last that a stretch of MIN_RUN with this anchor can have."""
+        for batch in part:
+            out: list[list] = [[] for _ in range(6)]
+            for h, nonce, copy, html, keys in zip(*(batch.column(c).to_pylist() for c in ("host", "nonce", "copy", "html", "keys")), strict=True):
+                marked, zone, _, sizes, tokens = tokens_of(html)
+                key, place, block = anchors(tokens, sizes, h)
+                own = np.isin(key, np.frombuffer(b"".join(keys), np.uint64))
+                key, place, block = key[own], place[own], block[own]
+                begin = np.maximum(place - (MIN_RUN - ANCHOR), (np.cumsum(sizes) - sizes)[block])
+                end = np.minimum(place + MIN_RUN, np.cumsum(sizes)[block])
+                kind, brief = _kinds(marked, zone)[block], (tokens ^ _seed(h)).astype(np.uint32)  # hosts in one shard have no token in common
+                for column, value in zip(out, ((key % np.uint64(shards)).astype(np.int64).tolist(), [nonce] * len(key), [copy] * len(key), kind.tolist(), begin.tolist(),
+                                               [brief[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), strict=True):
+                    column += value
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True)],
+                                             names=["shard", "nonce", "copy", "kind", "begin", "tokens"])
+
+    def sort_suffixes(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(part, ["shard"]):
+            nonce, copy, kind, begin = (t.column(c).to_numpy() for c in ("nonce", "copy", "kind", "begin"))
+            streams = t.column("tokens").to_pylist()
+            sizes = np.array([len(x) // 4 for x in streams], np.int64)
+            starts = shared_starts(np.frombuffer(b"".join(streams), np.uint32), sizes, copy, (kind & 1) > 0)
+            stream = np.repeat(np.arange(len(sizes)), sizes)[starts]
+            starts, stream = starts[(kind[stream] & 2) > 0], stream[(kind[stream] & 2) > 0]
+            if len(starts):
+                yield _packed(nonce[stream], [begin[stream] + starts - (np.cumsum(sizes) - sizes)[stream]], ["nonce", "starts"])
+
+    dealt = around.select("host", "nonce", "copy", "html", "keys").mapInArrow(deal, "shard long, nonce long, copy long, kind byte, begin long, tokens binary")
+    dealt = dealt.repartition(max(partitions(rows.sparkSession), shards // 4), "shard").sortWithinPartitions("shard")
+    return written(dealt.mapInArrow(sort_suffixes, "nonce long, starts binary"), "repeats")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page, from the whole html (null: empty).
+
+    Blocks are joined by two line ends. Pages with near copies of one main text count as one page (classes of the n-gram
+    join, before anything is taken away, among pages that share an anchor), and a repeat is found wherever two other pages
+    of a host have it. Repeated rows each give a row; a page whose url is null or names no host is compared with none, and
+    a page without text gives an empty one.
+    """
+    spark = pages.sparkSession
+    short_batches(spark)
+    host = F.regexp_replace(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, r"^/*([^/?#]*)", 1), "^.*@", ""), r"^www\.|:[^:]*$", "")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("nonce", F.xxhash64("page_id", "url", "html"))
+    rows = rows.withColumn("host", F.when(F.col("host") == "", F.concat(F.lit("/"), F.col("nonce").cast("string"))).otherwise(F.col("host")))
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    shared = _shared_anchors(rows, max(2 * partitions(spark), -(-size // SHARD_BYTES)))
+    met = written(shared.select("nonce").distinct(), "met")
+    near = rows.join(bounded(met), "nonce", "left_semi")
 
-    def parse(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in part:
-            main = [[t for z, t in found if z == (2 if marked else 0)] for marked, found in map(cut, batch.column("html").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("nonce", "page_id", "url", "host")), pa.array(main, pa.list_(pa.string()))], names=["nonce", "page_id", "url", "host", "blocks"])
+            main = [" ".join(t for z, t in found if z == (2 if marked else 0)) for marked, found in map(cut, batch.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("nonce"), pa.array(main, pa.string())], names=["nonce", "text"])
 
-    shape = "nonce long, page_id long, url string, host string, blocks array<string>"
-    # what a page gives up comes before its rows
-    back = dealt.mapInArrow(repeats, "nonce long, keys binary").select("nonce", F.lit(0).alias("kind"), "keys", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in shape.split(", ")[1:]))
-    main = rows.select("nonce", "page_id", "url", "host", "html").mapInArrow(parse, shape)
-    main = main.select("nonce", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "page_id", "url", "host", "blocks")
-    both = back.unionByName(main).repartition(partitions(spark), "nonce").sortWithinPartitions("nonce", "kind")
+    alike = join(near.select("nonce", "html").mapInArrow(texts, "nonce long, text string"), threshold=NEAR, id_col="nonce")
+    alike = written(alike.where("class_id <> doc_id").select(F.col("doc_id").alias("nonce"), "class_id").distinct(), "copies")
+    near = near.join(bounded(alike), "nonce", "left").withColumn("copy", F.coalesce("class_id", "nonce"))
+    around = (shared.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8 * 4 * (2 * MIN_RUN - ANCHOR)
+    gone = _repeats(near, shared, max(2 * partitions(spark), -(-around // SHARD_BYTES)))
+    cut_from = bounded(written(gone.select("nonce").distinct(), "cut-from"))
 
     def judge(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, gone = None, []
         for batch in part:
-            out: tuple[list, list, list] = ([], [], [])
-            for r in batch.to_pylist():
-                if r["nonce"] != now:
-                    now, gone = r["nonce"], []
-                if r["kind"] == 0:
-                    gone.append(np.frombuffer(r["keys"], np.uint64))
-                    continue
-                kept = r["blocks"]
+            out = []
+            for html, gone in zip(batch.column("html").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+                marked, found = cut(html)
+                kept = [(z == (2 if marked else 0), t) for z, t in found]
                 if gone:
-                    words = [b.split(" ") for b in kept]
-                    keys, at, _ = runs(words, r["host"])
-                    hits = at[np.isin(keys, np.concatenate(gone))]
-                    n = sum(map(len, words))
-                    mask = np.cumsum(np.bincount(hits, minlength=n + 1) - np.bincount(hits + MIN_RUN, minlength=n + 1)) > 0
-                    stays = iter((~mask[:n]).tolist())
-                    kept = [" ".join([w for w in ws if next(stays)]) for ws in words]
-                for o, v in zip(out, (r["page_id"], r["url"], "\n\n".join(k for k in kept if k)), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["page_id", "url", "text"])
-
+                    words = [t.split(" ") for _, t in kept]
+                    stays = iter((~covered(np.frombuffer(b"".join(gone), np.int64), sum(map(len, words)))).tolist())
+                    kept = [(main, " ".join([w for w in ws if next(stays)])) for (main, _), ws in zip(kept, words, strict=True)]
+                out.append("\n\n".join(t for main, t in kept if main and t))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    whole = rows.join(cut_from, "nonce", "left_anti").withColumn("starts", F.lit(None).cast("array<binary>"))
+    parts = rows.join(cut_from, "nonce", "left_semi").join(gone.groupBy("nonce").agg(F.collect_list("starts").alias("starts")), "nonce")
+    columns = ("page_id", "url", "html", "starts")
+    both = whole.select(*columns).unionByName(parts.select(*columns))
     return both.mapInArrow(judge, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

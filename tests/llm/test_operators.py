@@ -322,8 +322,8 @@ def test_main_text(spark):
     ('<div class="ad"><div>no</div>no<ul><li>no</ul></div>a', "a"),
     ('<aside>no<article>no</article></aside><p>a', "a"),
     ("<div><p>long story here</p></div><article class=card>teaser</article>", "long story here|teaser"),
-    ("<script src=https://x.com/>code()</script>a<script src=x />var a=1;</script>b<svg/>c", "a|b|c"),
-    ("<a title=it's>here</a><b x=\"a>b\" y='c>d'>there", "here there"),
+    ("<script src=https://x.com/>code()</script>a<script src=x />var a=1;</script>b<svg/>c", "abc"),
+    ("<a title=it's>here</a> <b x=\"a>b\" y='c>d'>there", "here there"),
     ("<article><p>a <math><mi>x</mi></math> b</article>", "a x b"),
     *((f"<p>story</p><div {mark}>no</div>", "story") for mark in ("class=post-comments", "class=sidebar-left", "id=ad_top", 'class="x cookie-popup"', "id=disqus_thread")),
     ("<article>a<div class='post-comments'>no</div>b</article>", "a|b"),
@@ -371,6 +371,31 @@ def test_repeats_equal_brute_force():
                 assert (m == want).all()
 
 
+def test_extract_equals_one_suffix_array_per_host(spark):
+    rng = random.Random(9)
+    passages = [" ".join(f"s{rng.randrange(5)}" for _ in range(rng.choice((15, 16, 17, 24, 40)))) for _ in range(12)]
+    pages = []
+    for k in range(120):
+        def block(k=k):
+            words = [" ".join(f"k{k}w{rng.randrange(9**6)}" for _ in range(rng.randint(0, 30))) for _ in range(3)]
+            return " ".join(x for w in words for x in (w, rng.choice([*passages, ""])) if x)
+        kinds = ["nav", "div", "p", "article" if k % 3 else "section"]
+        tags = [rng.choice(kinds) for _ in range(rng.randint(1, 5))]
+        pages.append((k, f"http://h{k % 4}.net/{k}", "".join(f"<{t}>{block()}</{t}>" for t in tags)))
+    pages.append((999, "http://h1.net/long", "<p>" + " ".join(f"l{i}" for i in range(60_000)) + " " + passages[4] + " end"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    changed = 0
+    for h in range(4):
+        own = [(p, *html_text.cut(x)) for p, u, x in pages if u.startswith(f"http://h{h}.")]
+        # loose blocks of a page that marks an article are no main text, yet are outside of articles
+        masks = html_text.repeated([[t.split(" ") for _, t in found] for _, _, found in own], [[z for z, _ in found] for _, _, found in own])
+        for (page, marked, found), mask in zip(own, masks, strict=True):
+            kept = [" ".join(np.array(t.split(" "))[~m]) for (z, t), m in zip(found, mask, strict=True) if z == (2 if marked else 0)]
+            changed += any(m.any() for m in mask)
+            assert got[page] == "\n\n".join(t for t in kept if t), page
+    assert changed > 60 and len(got) == len(pages)
+
+
 def test_repeats_of_two_pages_of_a_large_host(spark):
     filler = [" ".join(f"p{k}w{i}" for i in range(400)) for k in range(900)]
     notice = [" ".join(f"notice{k % 450}n{i}" for i in range(20)) if k % 450 < 12 else "" for k in range(900)]  # each on two pages
