@@ -97,36 +97,58 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(mean, scale, *p)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """The share of positives among ``unlabelled``, from positives alone: of all thresholds that at least ``least`` of the
+    positives reach, the smallest ratio of unlabelled to positive rows above, as no negative need be there.
+
+    Scores rank rows by a fit to one half of both samples; the ratio is taken on the other half, with a margin for its size.
+    """
+    ranked = fit(positive[::2], unlabelled[::2], 0.5)
+    p, u = np.sort(ranked.logits(positive[1::2] if len(positive) > 1 else positive)), np.sort(ranked.logits(unlabelled[1::2] if len(unlabelled) > 1 else unlabelled))
+    cuts = p[:max(1, int(len(p) * (1 - least)) + 1)]
+    above = lambda x: 1 - np.searchsorted(x, cuts, side="left") / len(x)
+    margin = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
+    best = int(np.argmin((above(u) + margin) / above(p)))
+    return float(min(1.0, above(u)[best] / above(p)[best]))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose crc32(id as text) mod 3 is 1; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model from rows that are not held out. None without a usable positive: then every text scores 0.5."""
+    """A model from rows that are not held out. None without a usable positive: then every text scores 0.5.
+
+    Unlabelled rows are chosen by hash of id and text (about UNLABELLED), positives by hash of their id (about POSITIVES);
+    where repeated rows or ids bring more, twice as many stay at most. The prior is the share of 1 among the labels, or
+    estimated from the samples where no label is 0.
+    """
     short_batches(docs.sparkSession)
     seen = labels.select(F.col("doc_id").alias("_l"), F.col("quality").cast("int").alias("_q")).where("_q in (0, 1)").where(~held_out("_l"))
     share = seen.agg(F.avg("_q"), F.sum("_q")).first()
     if not share[1]:
         return None
-    prior = min(0.99, max(0.01, float(share[0])))
-    text, order = text_or_empty(text_col), F.xxhash64(F.col(id_col), F.lit(SEED))
+    text, order = text_or_empty(text_col), F.xxhash64(F.col(id_col), text_or_empty(text_col), F.lit(SEED))
 
     @F.arrow_udf("array<double>")
     def shape_features(text: pa.Array) -> pa.Array:
         return pa.array(list(matrix(text.to_pylist())), pa.list_(pa.float64()))
 
-    # ids are chosen by hash before their texts are touched; the cut keeps the samples at their bounds as the table grows
+    # rows are chosen by hash before their features are taken; the cut keeps the samples at their bounds as the table grows
     part = lambda col, most, n, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n)))
     good = seen.where("_q = 1").select("_l").distinct().where(part("_l", POSITIVES, share[1], SEED)).limit(2 * POSITIVES).withColumn("_p", F.lit(1))
     rows = docs.select(F.col(id_col).alias("_l"), text.alias("_t"), order.alias("_o"))
-    unlabelled = ~held_out("_l") & part(F.coalesce("_l", F.lit(0)), UNLABELLED, docs.count() * 2 / 3, SEED + 1)
+    unlabelled = ~held_out("_l") & part("_o", UNLABELLED, docs.count() * 2 / 3, SEED + 1)
     picked = (rows.join(F.broadcast(good), "_l", "left").withColumn("_u", F.when(unlabelled, 1).otherwise(0)).withColumn("_p", F.coalesce("_p", F.lit(0)))
               .where("_p + _u > 0").select("_o", "_p", "_u", shape_features("_t").alias("_f")))
-    got = sorted(map(tuple, picked.collect()))
-    pos = np.array([r[3] for r in got if r[1]])
-    unl = np.array([r[3] for r in got if r[2]])
-    return fit(pos, unl, prior) if len(pos) and len(unl) else None
+    # equal rows have equal hashes, so a bound by order ends what the cut can't thin out
+    take = lambda flag, most: np.array([r[0] for r in picked.where(F.col(flag) == 1).orderBy("_o", "_f").limit(2 * most).select("_f").collect()])
+    pos, unl = take("_p", POSITIVES), take("_u", UNLABELLED)
+    if not len(pos) or not len(unl):
+        return None
+    prior = float(share[0]) if share[0] < 1 else estimated_prior(pos, unl)
+    return fit(pos, unl, min(0.99, max(0.01, prior)))
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -148,6 +149,30 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_quality_prior_without_negatives():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.7):
+        positive = rng.normal(1.5, 1, (1500, 4))
+        unlabelled = np.where(rng.random((4000, 1)) < share, rng.normal(1.5, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4)))
+        assert abs(quality.estimated_prior(positive, unlabelled) - share) < 0.07
+    assert 0 <= quality.estimated_prior(positive[:1], unlabelled[:1]) <= 1
+
+
+def test_quality_samples_are_bounded(spark, monkeypatch):
+    sizes = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "POSITIVES", 40)
+    monkeypatch.setattr(quality, "UNLABELLED", 60)
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: (sizes.append((len(p), len(u))), real(p, u, prior))[1])
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    labels = spark.createDataFrame([(one, 1), (one, 1), (None, 1)], "doc_id long, quality int")
+    many = spark.range(3000).select(F.lit(one).cast("long").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    assert quality.train(many, labels) is not None
+    nulls = spark.range(3000).select(F.when(F.col("id") < 5, F.lit(one)).cast("long").alias("doc_id"), F.concat(F.lit("other words "), "id").alias("text"))
+    assert quality.train(nulls, labels) is not None
+    assert sizes and all(0 < p <= 80 and 0 < u <= 120 for p, u in sizes)
+
+
 def test_risk_is_never_negative_and_slopes_agree():
     rng = np.random.default_rng(2)
     p, u = rng.normal(0, 1, 20), rng.normal(0, 1, 30)
