@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..operators.lineage import parents_from_order
+from ..session import shared_folder
 from ..sources import readers as R
+from ..sources import statistics as ST
 from .binding import READS, table, reads
 from .registry import query
 
@@ -77,3 +81,12 @@ SELECT page_id, organism, count(*) AS n FROM l GROUP BY ALL""")
 def offtarget_report(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)">'), F.lit(1))).alias("organism"))
     return p.groupBy("page_id", "organism").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stored_lengths", "SRC-14",
+       """SELECT count(*) FILTER (length(text) > 0) AS records, coalesce(sum(length(text)), 0)::BIGINT AS bases, coalesce(avg(length(text)) FILTER (length(text) > 0), 1.0) AS mean FROM documents""")
+def stored_lengths(spark, sf):
+    """The mean text length from the store of this application; only files new to it are read."""
+    store = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/lengths-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    ST.refresh(spark, f"{sf}/documents.parquet", store, ST.column_lengths("text"))
+    return ST.mean_length(spark, store).drop("files")
