@@ -105,8 +105,7 @@ def strided_seeds(spark, sf):
        f"""WITH {READS}, {sql_kmers(15)}, u AS (SELECT read_id, kmer, min(pos) AS pos FROM kmers GROUP BY ALL HAVING count(*) = 1)
 SELECT read_id, count(*) AS unique_kmers, sum(pos)::BIGINT AS pos_sum FROM u GROUP BY 1""")
 def unique_kmer_index(spark, sf):
-    u = K.unique_positions(reads(spark, sf), 15, ["read_id"])
-    return u.groupBy("read_id").agg(F.count(F.lit(1)).alias("unique_kmers"), F.sum("pos").alias("pos_sum"))
+    return K.unique_profile(reads(spark, sf), 15)
 
 
 WIN_SQL = f"""wins AS (SELECT ref_id, pos, len, dir, CASE dir WHEN 'F' THEN w ELSE {sql_rc('w')} END AS oligo FROM (
