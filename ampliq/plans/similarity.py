@@ -86,8 +86,8 @@ na AS (SELECT a, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT b, count(*) AS
 SELECT a, b, count(*) AS shared, round(count(*) / least(any_value(na), any_value(nb)), 6) AS containment FROM a JOIN b USING (kmer)
 JOIN na USING (a) JOIN nb USING (b) GROUP BY ALL HAVING count(*) / least(any_value(na), any_value(nb)) >= 0.3""")
 def reference_containment(spark, sf):
-    a = K.kmer_set(references(spark, sf).withColumnRenamed("ref_id", "a"), 21, ["a"])
-    b = K.kmer_set(reads(spark, sf).withColumnRenamed("read_id", "b"), 21, ["b"])
+    a = K.packed_sets(references(spark, sf).withColumnRenamed("ref_id", "a"), 21, "a").withColumnRenamed("n", "na")
+    b = K.packed_sets(reads(spark, sf).select(F.col("read_id").alias("b"), "seq"), 21, "b").withColumnRenamed("n", "nb")
     return K.containment(a, b, 0.3).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
 
 

@@ -22,3 +22,23 @@ def test_unique_profile(spark):
             want[key] = (len(at), sum(at))
     df = K.unique_profile(spark.createDataFrame(rows, "read_id long, seq string"), 4)
     assert {r.read_id: (r.unique_kmers, r.pos_sum) for r in df.collect()} == want and {3, None} <= set(want)
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_containment_of_packed_sets(spark, monkeypatch, limit):
+    monkeypatch.setattr(K, "BROADCAST_KMERS", limit)
+    rng = random.Random(2)
+    a, b = sequences(rng, [1, 2, 3, None], 60), sequences(rng, [7, 8, 8, 9, 10, None], 300)
+    b += [(11, a[0][1] + "TTT"), (12, a[1][1][:30]), (12, a[2][1])]
+
+    def sets(rows):
+        out = {}
+        for i, s in rows:
+            out.setdefault(i, set()).update(s[p:p + 5] for p in range(len(s) - 4))
+        return {i: x for i, x in out.items() if i is not None and x}
+
+    want = {(i, j, len(x & y)) for i, x in sets(a).items() for j, y in sets(b).items() if x & y and len(x & y) / min(len(x), len(y)) >= 0.3}
+    left = K.packed_sets(spark.createDataFrame(a, "a long, seq string"), 5, "a").withColumnRenamed("n", "na")
+    right = K.packed_sets(spark.createDataFrame(b, "b long, seq string"), 5, "b").withColumnRenamed("n", "nb")
+    got = K.containment(left, right, 0.3)
+    assert {(r.a, r.b, r.shared) for r in got.collect()} == want and {11, 12} <= {j for _, j, _ in want}
