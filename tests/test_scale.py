@@ -3,9 +3,12 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 
+from ampliq.functions import alphabet as ab
 from ampliq.operators import kmers as K
+from ampliq.operators import sites
 
 
 def sequences(rng, ids, most=200, letters="ACGT"):
@@ -42,3 +45,37 @@ def test_containment_of_packed_sets(spark, monkeypatch, limit):
     right = K.packed_sets(spark.createDataFrame(b, "b long, seq string"), 5, "b").withColumnRenamed("n", "nb")
     got = K.containment(left, right, 0.3)
     assert {(r.a, r.b, r.shared) for r in got.collect()} == want and {11, 12} <= {j for _, j, _ in want}
+
+
+@pytest.mark.parametrize("max_mm", [0, 1, 2, 3, 5])
+def test_pattern_index_equals_loops(max_mm, monkeypatch):
+    rng = random.Random(max_mm)
+    for held in (64, 1 << 20):
+        monkeypatch.setattr(sites, "HELD", held)
+        pats = [(f"p{j}", rng.choice("+-"), rng.choice("LR"), "".join(rng.choice("ACGTACGTACGTR" if j % 4 == 0 else "ACGT") for _ in range(rng.choice([6, 18, 20, 25, 34])))) for j in range(12)]
+        reads = []
+        for i, s in sequences(rng, range(30), 120, "ACGTACGTACGTN"):
+            p = rng.choice(pats)[3].replace("R", "G")
+            for _ in range(rng.randint(0, max_mm)):
+                at = rng.randrange(len(p))
+                p = p[:at] + rng.choice("ACGTN") + p[at + 1:]
+            reads.append((i, s[:40] + p + s[40:]))
+        want = set()
+        for rid, s in reads:
+            for pair, strand, side, p in pats:
+                for i in range(len(s) - len(p) + 1):
+                    bad = [k for k in range(len(p)) if s[i + k] not in ab.IUPAC[p[k]]]
+                    edge = (len(p) - 2, len(p) - 1) if side == "L" else (0, 1)
+                    if len(bad) <= max_mm and not set(bad) & set(edge):
+                        want.add((rid, pair, strand, side, i, len(bad)))
+        got = sites._scan(pd.DataFrame(reads, columns=["read_id", "seq"]), sites.PatternIndex(pats, max_mm, 2))
+        rows = list(got[["read_id", "pair", "strand", "side", "start", "mm"]].itertuples(index=False, name=None))
+        assert set(rows) == want and len(rows) == len(want) and want
+
+
+def test_pattern_index_compares_few_windows(monkeypatch):
+    rng = random.Random(3)
+    pats = [(f"p{j}", "+", "L", "".join(rng.choice("ACGT") for _ in range(20))) for j in range(200)]
+    index = sites.PatternIndex(pats, 5, 0)
+    # of 4^10 words each half of a pattern is within two letters of 436
+    assert sum(ids.size for _, ids, _ in index.tables.values()) == 2 * 200 * 436
