@@ -276,6 +276,6 @@ def overhang_bindings(spark, sf):
 def tolerant_sites(spark, sf):
     p = panel(spark, sf).select("pair", "fwd", F.col("fwd").alias("rev"))
     pats = sites.patterns(p).where("strand = '+'")
-    s = sites.pattern_sites(reads(spark, sf), pats, 3, 2, 20, 20, keep_positions=True).where(sites.end_rule("from_3prime"))
+    s = sites.scan_sites(reads(spark, sf), pats, 3, 2, keep_positions=True).where(sites.end_rule("from_3prime"))
     return s.groupBy("read_id", F.col("pair").alias("oligo_id"), F.when(F.col("side") == "L", "+").otherwise("-").alias("orient")).agg(
         F.count(F.lit(1)).alias("n_sites"), F.min("mm").cast("long").alias("best_mm"))

@@ -79,3 +79,21 @@ def test_pattern_index_compares_few_windows(monkeypatch):
     index = sites.PatternIndex(pats, 5, 0)
     # of 4^10 words each half of a pattern is within two letters of 436
     assert sum(ids.size for _, ids, _ in index.tables.values()) == 2 * 200 * 436
+
+
+def test_tolerant_searches_join_no_seeds(spark):
+    oligo = "ACGTTGCATGGATCCATGCA"
+    reads = spark.createDataFrame([(1, "GG" + oligo + "AC"), (2, oligo[6:] + "TTTTTTTTTTTT"), (3, "GG" + oligo[:3] + "N" + oligo[4:])], "read_id long, seq string")
+    got = sites.oligo_bindings(reads, spark.createDataFrame([("o", oligo)], "oligo_id string, oligo string"))
+    assert {(r.read_id, r.orient, r.end3, r.mm) for r in got.collect()} >= {(1, "+", 21, 0), (2, "+", 13, 0), (3, "+", 21, 1)}
+    assert "Join" not in got._jdf.queryExecution().toString()
+    p = spark.createDataFrame([("o", "+", "L", oligo), ("r", "+", "R", oligo)], "pair string, strand string, side string, pattern string")
+    s = sites.scan_sites(reads, p, 3, 2, keep_positions=True).collect()
+    assert {(r.read_id, r.pair, r.start, r.seq_len, tuple(r.from_3prime)) for r in s} == {
+        (1, "o", 2, 24, ()), (1, "r", 2, 24, ()), (3, "o", 2, 22, (17,)), (3, "r", 2, 22, (4,))}
+
+
+def test_oligos_outside_bounds_are_refused(spark):
+    reads = spark.createDataFrame([(1, "ACGT" * 20)], "read_id long, seq string")
+    with pytest.raises(Exception, match="outside the declared bounds"):
+        sites.oligo_bindings(reads, spark.createDataFrame([("o", "ACGTACGTACGT")], "oligo_id string, oligo string")).collect()
