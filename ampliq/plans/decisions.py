@@ -50,7 +50,8 @@ def consensus_choice(spark, sf):
        """WITH c AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', 'N', 'g') AS seq, length(text) % 31 AS diverging FROM documents WHERE text <> '')
 SELECT doc_id, CASE WHEN 100.0 * length(regexp_replace(seq, '[^N]', '', 'g')) / length(seq) > 75 THEN 'too_many_n' WHEN diverging > 15 THEN 'methods_diverge' END AS reason FROM c""")
 def regenerated_gate(spark, sf):
-    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "N").alias("seq"), (F.length("text") % 31).alias("diverging"))
+    """One base per letter: upper() would make two of some, as SS of a sharp s."""
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), (F.length("text") % 31).alias("diverging"))
     return d.select("doc_id", C.quality_gate("seq", "diverging", max_n_percent=75.0).alias("reason"))
 
 

@@ -97,3 +97,10 @@ def test_oligos_outside_bounds_are_refused(spark):
     reads = spark.createDataFrame([(1, "ACGT" * 20)], "read_id long, seq string")
     with pytest.raises(Exception, match="outside the declared bounds"):
         sites.oligo_bindings(reads, spark.createDataFrame([("o", "ACGTACGTACGT")], "oligo_id string, oligo string")).collect()
+
+
+def test_regenerated_gate_keeps_one_base_per_letter(spark, tmp_path):
+    from ampliq.plans import REGISTRY
+    spark.createDataFrame([(1, "A\u00dfxx"), (2, "Axxxx"), (3, "aCgt"), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.reason for r in REGISTRY["regenerated_gate"].run(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: "too_many_n", 3: None}
