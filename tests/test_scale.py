@@ -104,3 +104,12 @@ def test_regenerated_gate_keeps_one_base_per_letter(spark, tmp_path):
     spark.createDataFrame([(1, "A\u00dfxx"), (2, "Axxxx"), (3, "aCgt"), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.reason for r in REGISTRY["regenerated_gate"].run(spark, str(tmp_path)).collect()}
     assert got == {1: None, 2: "too_many_n", 3: None}
+
+
+def test_systematic_sample_reads_one_set_of_bounds(spark):
+    from ampliq.operators import ranking
+    rows = [("k", i) for i in range(2000)] + [(None, i) for i in range(40)]
+    got = ranking.systematic_sample(spark.createDataFrame(rows, "key string, pos long"), ["key"], "pos", 10)
+    # the bounds depend on the order of merging: computed once for each use, they may differ
+    assert "percentile_approx" not in got._jdf.queryExecution().toString()
+    assert {(r.key, r.pos) for r in got.collect()} == {("k", i) for i in range(0, 2000, 200)} | {(None, i) for i in range(0, 40, 4)}
