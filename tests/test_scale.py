@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ampliq.functions import alphabet as ab
@@ -124,3 +125,11 @@ def test_small_groups_split_as_in_rounds(spark):
     rows = [sorted(tuple(r) for r in x.select("grp", "member", "set_no", "pairs").collect()) for x in (
         splitting.split_groups(*args), splitting.split_groups(*args, cells=0), splitting.split_in_rounds(*args))]
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(members)
+
+
+def test_kmer_rows_of_a_batch_are_held_in_parts(monkeypatch):
+    monkeypatch.setattr(K, "HELD", 100)
+    seqs = pa.array(["A" * 60, None, "C" * 60, "", "G" * 500, "T"])
+    runs = list(K._held(seqs))
+    assert [i for lo, hi in runs for i in range(lo, hi)] == list(range(6)) and len(runs) >= 3
+    assert all(hi == lo + 1 or sum(len(s.as_py() or "") for s in seqs.slice(lo, hi - lo)) <= 100 for lo, hi in runs)
