@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from ampliq.functions import alphabet as ab
+from ampliq.operators import group_design as G
 from ampliq.operators import kmers as K
 from ampliq.operators import sites
 
@@ -133,3 +134,23 @@ def test_kmer_rows_of_a_batch_are_held_in_parts(monkeypatch):
     runs = list(K._held(seqs))
     assert [i for lo, hi in runs for i in range(lo, hi)] == list(range(6)) and len(runs) >= 3
     assert all(hi == lo + 1 or sum(len(s.as_py() or "") for s in seqs.slice(lo, hi - lo)) <= 100 for lo, hi in runs)
+
+
+def test_word_sites_equal_loops(spark):
+    rng = random.Random(5)
+    reads = sequences(rng, [1, 2, 3, 4, 4], 300, "ACGT" * 20 + "N") + [(None, "ACCGTTGA" * 9), (7, "ACGTR" * 9), (8, None), (9, "")]
+    cut = [s[p:p + rng.choice([18, 20])] for _, s in reads if s and len(s) > 60 for p in (0, 7, 30, len(s) - 20)]
+    pats = [(f"p{j}", "+-"[j % 2], "LR"[j % 2], t) for j, t in enumerate(t for t in cut if "N" not in t)] + [("code", "+", "L", "ACGTAACGTRACGTAACGTA"), ("away", "+", "L", "A" * 20)]
+    want = Counter((i, pair, strand, side, a, len(t), 0) for i, s in reads if s for pair, strand, side, t in pats for a in range(len(s) - len(t) + 1)
+                   if all(ab.MASK[x] & (0 if y == "N" else ab.MASK[y]) for x, y in zip(t, s[a:a + len(t)])))
+    df = sites.word_sites(spark.createDataFrame(reads, "read_id long, seq string").where("seq is not null"), spark.createDataFrame(pats, "pair string, strand string, side string, pattern string"), (18, 25))
+    assert Counter(map(tuple, df.collect())) == want and {"code"} <= {k[1] for k in want} and {None, 7} <= {k[0] for k in want}
+
+
+def test_oligo_sites_never_make_a_row_of_every_position(spark):
+    rng = random.Random(6)
+    seqs = spark.createDataFrame([(i, i, "".join(rng.choice("ACGT") for _ in range(400))) for i in range(20)], "seq_id long, grp long, seq string")
+    oligos = seqs.where("seq_id < 3").selectExpr("substr(seq, 50, 20) oligo")
+    for mm in (0, 1):
+        found = G.oligo_sites(seqs, oligos, G.Rules(lengths=(20, 20), max_mm=mm))
+        assert "Generate explode_outer" not in found._jdf.queryExecution().optimizedPlan().toString() and {0, 1, 2} <= {r.seq_id for r in found.collect()}
