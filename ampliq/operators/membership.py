@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import seq as S
 from ..functions import stats as M
 from .ranking import top_n
 
@@ -22,9 +23,9 @@ def keyword_pool(records: DataFrame, keys: DataFrame, min_len: int) -> DataFrame
     """
     k = keys.select("class", F.lower("key").alias("key")).where("key <> ''").distinct()
     one = F.broadcast(k.agg(F.collect_list(F.struct("class", "key")).alias("keys")))
-    h = records.where(F.length("seq") >= min_len).select("rec_id", F.lower("header").alias("h")).crossJoin(one)
+    h = S.bind(records.where(F.length("seq") >= min_len).select("rec_id", "header"), h=F.lower("header")).select("rec_id", "h").crossJoin(one)
     found = F.array_distinct(F.transform(F.filter("keys", lambda x: F.contains(F.col("h"), x["key"])), lambda x: x["class"]))
-    return h.select(F.explode(found).alias("class"), "rec_id").distinct()
+    return S.bind(h, found=found).select(F.explode("found").alias("class"), "rec_id").distinct()
 
 
 def resolve_context(targets: DataFrame, explicit: DataFrame, alias: DataFrame, bins: DataFrame) -> DataFrame:
