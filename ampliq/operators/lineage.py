@@ -24,12 +24,13 @@ def rank_consensus(df: DataFrame, key: str, ranks: str, threshold: float) -> Dat
 
     The denominator is the number of rank lists of the key, not the lists that reach the rank.
     """
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    c = df.select(key, F.posexplode(ranks).alias("_pos", "_name")).groupBy(key, "_pos", "_name").agg(
-        F.count(F.lit(1)).alias("_k"))
+    # place 0 stands for the list itself, so one pass counts lists and names
+    listed = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(ranks, F.array().cast("array<string>")))
+    c = df.where(F.col(key).isNotNull()).select(key, F.posexplode(listed).alias("_pos", "_name")).groupBy(key, "_pos", "_name").agg(F.count(F.lit(1)).alias("_k"))
     best = c.groupBy(key, "_pos").agg(F.min(F.struct((-F.col("_k")).alias("neg"), F.col("_name").alias("name"))).alias("_m"))
-    g = best.join(n, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_pos").alias("pos"), F.col("_m.name").alias("name"), (-F.col("_m.neg") / F.col("_n")).alias("share")))).alias("steps"))
+    g = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_m.name").alias("name"), F.col("_m.neg").alias("neg")))).alias("steps"))
+    g = g.where(F.size("steps") > 1).select(key, F.get("steps.neg", F.lit(0)).alias("_n"), F.slice("steps", F.lit(2), F.size("steps")).alias("steps"))
+    g = g.select(key, F.transform("steps", lambda s: F.struct(s["name"].alias("name"), (s["neg"] / F.col("_n")).alias("share"))).alias("steps"))
     stop = F.array_position(F.transform("steps", lambda s: s["share"] < threshold), True)
     kept = F.when(stop == 0, F.col("steps")).otherwise(F.slice("steps", F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0))))
     return g.select(key, F.concat_ws(";", F.transform(kept, lambda s: s["name"])).alias("lineage"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import seq as S
 from ..operators import lineage as L
 from .binding import HEADERS, documents, headers, table
 from .registry import query
@@ -185,7 +186,7 @@ SELECT doc_id, idx, CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN CASE WHEN g
   WHEN len(hx) > 0 AND len(hy) > 0 THEN CASE WHEN list_has_any(hx, hy) THEN 'agree' ELSE 'disagree' END
   ELSE 'not comparable' END AS verdict FROM h""")
 def name_agreement(spark, sf):
-    n = headers(spark, sf).select("doc_id", "idx", N.organism("header").alias("x")).where("x IS NOT NULL")
+    n = S.bind(headers(spark, sf), x=N.organism("header")).select("doc_id", "idx", "x").where("x IS NOT NULL")
     nxt = n.select("doc_id", (F.col("idx") - 1).alias("idx"), F.col("x").alias("y"))
     return n.join(nxt, ["doc_id", "idx"], "left").select("doc_id", "idx", N.name_agreement("x", "y").alias("verdict"))
 
@@ -254,7 +255,7 @@ cut AS (SELECT doc_id, min(pos) FILTER (k::DOUBLE / n < 0.51) AS stop FROM best
 SELECT doc_id, coalesce(string_agg(name, ';' ORDER BY pos) FILTER (pos < coalesce(stop, 1000000)), '') AS lineage
 FROM best JOIN cut USING (doc_id) GROUP BY 1""")
 def lineage_consensus(spark, sf):
-    r = headers(spark, sf).select("doc_id", N.ranks(N.taxonomy_of("header", "database")).alias("ranks"))
+    r = S.bind(headers(spark, sf), ranks=N.ranks(N.taxonomy_of("header", "database"))).select("doc_id", "ranks")
     return L.rank_consensus(r.where(F.size("ranks") > 0), "doc_id", "ranks", 0.51)
 
 
@@ -272,7 +273,7 @@ d AS (SELECT doc_id, f AS dom FROM (SELECT *, row_number() OVER (PARTITION BY do
 m AS (SELECT doc_id, idx, dom, f, list_position([f[i] <> dom[i] FOR i IN range(1, least(len(f), len(dom)) + 1)], true) AS p FROM fl JOIN d USING (doc_id))
 SELECT doc_id, idx, array_to_string(dom, ';') AS dominant, CASE WHEN p > 0 THEN p - 1 ELSE least(len(f), len(dom)) END AS depth FROM m""")
 def dominant_lineage_depth(spark, sf):
-    f = headers(spark, sf).select("doc_id", "idx", N.lineage_fields("header").alias("f"))
+    f = S.bind(headers(spark, sf), f=N.lineage_fields("header")).select("doc_id", "idx", "f")
     dom = L.dominant_lineage(f, "doc_id", "f")
     return f.join(dom, "doc_id").select("doc_id", "idx", F.concat_ws(";", "dominant").alias("dominant"),
                                         N.common_depth("f", "dominant").cast("long").alias("depth"))
@@ -283,5 +284,5 @@ def dominant_lineage_depth(spark, sf):
 p AS (SELECT DISTINCT array_to_string(ranks[:i], ';') AS path, i AS depth FROM (SELECT ranks, unnest(range(1, len(ranks) + 1)) AS i FROM ranked))
 SELECT path, depth, CASE WHEN depth > 1 THEN regexp_replace(path, ';[^;]*$', '') END AS parent, regexp_extract(path, '[^;]*$') AS name FROM p""")
 def taxonomy_nodes(spark, sf):
-    r = headers(spark, sf).select(N.ranks(N.taxonomy_of("header", "database")).alias("ranks"))
+    r = S.bind(headers(spark, sf), ranks=N.ranks(N.taxonomy_of("header", "database"))).select("ranks")
     return L.path_nodes(r, "ranks").select("path", F.col("depth").cast("long").alias("depth"), "parent", "name")
