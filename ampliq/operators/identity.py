@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import cut_lineage
 
 # Identity thresholds per locus, alignment floors, margins, locus strength.
 SPECIES_FLOOR = {"SSU": 98.7, "LSU": 98.7, "LSU_FUNGAL": 99.8, "ITS": 99.6, "OPERON": 98.7, "MIXED": 98.7}
@@ -34,27 +35,30 @@ def dominant_category(df: DataFrame, keys: list[str], category: str) -> DataFram
 
 def named_hits(hits: DataFrame, header: str = "header") -> DataFrame:
     """Adds organism, genus and epithet; unnamed records get NULLs."""
-    h = hits.withColumn("_d", N.describe(header))
-    return h.select(*hits.columns, "_d.name", "_d.genus", "_d.epithet")
+    return hits.select(*hits.columns, F.inline(F.array(N.describe(header))))
 
 
 def species_margin_hits(hits: DataFrame, key: list[str]) -> DataFrame:
-    """Per key: the top hit, the first species-named hit within the margin of it, and the
-    nearest rival species. One aggregation pass and one join back of a single row per key.
+    """Per key: the best hit of any length (``any``: identity, aligned), the top hit, the first species-named hit
+    within the margin of it, and the nearest rival species. Hits are read once and counted down to one row per key and name.
 
     hits: (key, identity, aligned, header, record_len, name, genus, epithet).
     """
-    ok = hits.where(F.col("aligned") >= MIN_EVIDENCE)
+    ok = F.col("aligned") >= MIN_EVIDENCE
     order = F.struct((-F.col("identity")).alias("ni"), (-F.col("aligned")).alias("na"), F.col("header"))
     row = F.struct(order.alias("o"), F.col("identity"), F.col("aligned"), F.col("record_len"), F.col("name"), F.col("genus"), F.col("epithet"))
-    top = ok.groupBy(*key).agg(F.min(row).alias("top"), F.min(F.when(F.col("epithet").isNotNull(), row)).alias("sp"))
+    named = ok & F.col("epithet").isNotNull()
+    g = hits.groupBy(*key, "name").agg(F.max(F.struct("identity", "aligned")).alias("any"), F.min(F.when(ok, row)).alias("top"),
+                                       F.min(F.when(named, row)).alias("sp"), F.min(F.when(named, -F.col("identity"))).alias("ni"))
+    w = Window.partitionBy(*key)
+    top = g.select(*key, "name", "ni", F.max("any").over(w).alias("any"), F.min("top").over(w).alias("top"), F.min("sp").over(w).alias("sp"))
     near = (F.col("top.identity") - F.col("sp.identity")) < MARGIN
     use_sp = F.col("top.epithet").isNull() & F.col("sp").isNotNull() & near
     top = top.withColumn("pick", F.when(use_sp, F.col("sp")).otherwise(F.col("top"))).withColumn("skipped_top", use_sp)
-    j = ok.join(top.select(*key, F.col("pick.name").alias("pn"), F.col("pick.identity").alias("pi")), key)
-    rival = j.where(F.col("epithet").isNotNull() & (F.col("name") != F.col("pn")) & ((F.col("pi") - F.col("identity")) < MARGIN))
-    r = rival.groupBy(*key).agg(F.min(F.struct((-F.col("identity")).alias("ni"), F.col("name"))).alias("rv"))
-    return top.join(r, key, "left").select(*key, "pick", "skipped_top", F.col("rv.name").alias("rival"))
+    rival = (F.col("name") != F.col("pick.name")) & (F.col("pick.identity") + F.col("ni") < MARGIN)
+    r = top.groupBy(*key).agg(F.max("any").alias("any"), F.min("pick").alias("pick"), F.max("skipped_top").alias("skipped_top"),
+                              F.min(F.when(rival, F.struct("ni", "name"))).alias("rv"))
+    return r.select(*key, "any", "pick", "skipped_top", F.col("rv.name").alias("rival"))
 
 
 def locus_decision(hits: DataFrame, key: list[str], locus: Column) -> DataFrame:
@@ -63,9 +67,7 @@ def locus_decision(hits: DataFrame, key: list[str], locus: Column) -> DataFrame:
     ``locus`` is a column of the key columns. Levels: species, genus (with cf. when a rival
     species is inside the margin), none.
     """
-    h = named_hits(hits)
-    weak = h.groupBy(*key).agg(F.max(F.struct("identity", "aligned")).alias("any"))
-    d = weak.join(species_margin_hits(h, key), key, "left")
+    d = species_margin_hits(named_hits(hits), key)
     p = F.col("pick")
     te, ce, fl = by_locus(SPECIES_FLOOR, locus, 98.7), by_locus(GENUS_FLOOR, locus, 94.5), by_locus(ALIGNED_FLOOR, locus, 600)
     enough = (p["aligned"] >= fl) | (p["record_len"].isNotNull() & (p["aligned"] >= 0.90 * p["record_len"]))
@@ -93,6 +95,7 @@ def merge_loci(decisions: DataFrame, key: list[str]) -> DataFrame:
     then strongest locus, then longest alignment. A species is taken only from loci that can
     separate species; two different species become cf.
     """
+    decisions = cut_lineage(decisions)  # a row per key and locus, read by the vote, the pick and the list of keys
     use = decisions.where(F.col("genus").isNotNull())
     power = by_locus(LOCUS_STRENGTH, F.col("locus"), 0)
     use = use.withColumn("power", power)
@@ -128,20 +131,20 @@ def ladder_report(hits: DataFrame, key: list[str], ladder=LADDER) -> DataFrame:
     """
     h = named_hits(hits).where((F.col("aligned") >= MIN_EVIDENCE) & (F.col("identity") >= LADDER_IDENTITY) & F.col("epithet").isNotNull())
     row = F.struct((-F.col("identity")).alias("ni"), (-F.col("aligned")).alias("na"), F.col("header"), F.col("name"))
-    per = h.groupBy(*key, "locus").agg(F.min(row).alias("b"))
+    # one row per locus and name, so the second row of a locus is its runner-up; hits are read once
+    names = h.groupBy(*key, "locus", "name").agg(F.min(row).alias("b"))
+    place = F.row_number().over(Window.partitionBy(*key, "locus").orderBy("b"))
+    per = names.withColumn("place", place).where("place <= 2").groupBy(*key, "locus").agg(
+        F.min(F.when(F.col("place") == 1, F.col("b"))).alias("b"), F.min(F.when(F.col("place") == 2, F.col("b"))).alias("s"))
     rank = F.array_position(F.array(*map(F.lit, ladder)), F.col("locus"))
-    first = per.where(rank > 0).groupBy(*key).agg(F.min(F.struct(rank.alias("r"), F.col("locus"), F.col("b"))).alias("f"))
-    f = first.select(*key, F.col("f.locus").alias("locus"), F.col("f.b.name").alias("name"), (-F.col("f.b.ni")).alias("identity"),
-                     (-F.col("f.b.na")).alias("aligned"))
-    second = (h.join(f.select(*key, "locus", F.col("name").alias("fn")), [*key, "locus"]).where(F.col("name") != F.col("fn"))
-              .groupBy(*key).agg(F.min(row).alias("s")))
-    strong = per.where(F.col("locus").isin(*SPECIES_LOCI)).select(*key, F.col("locus").alias("ol"), F.col("b").alias("ob"))
-    flag = (f.where(F.col("locus").isin(*SPECIES_LOCI)).join(strong, key).where(
-        (F.col("ol") != F.col("locus")) & (-F.col("ob.ni") >= F.col("identity") + 2.0) & (-F.col("ob.na") >= 1.5 * F.col("aligned")))
-        .groupBy(*key).agg(F.min("ol").alias("stronger_locus")))
-    return f.join(second, key, "left").join(flag, key, "left").select(
-        *key, "locus", "name", "identity", "aligned", F.col("s.name").alias("runner_up"),
-        F.round(F.col("identity") + F.col("s.ni"), 6).alias("margin"), "stronger_locus")
+    first = F.min(F.when(rank > 0, F.struct(rank.alias("r"), F.col("locus"), F.col("b"), F.col("s")))).over(Window.partitionBy(*key))
+    f = per.select(*key, F.col("locus").alias("ol"), F.col("b").alias("ob"), first.alias("f")).where("f IS NOT NULL")
+    identity, aligned = -F.col("f.b.ni"), -F.col("f.b.na")
+    stronger = (F.col("f.locus").isin(*SPECIES_LOCI) & F.col("ol").isin(*SPECIES_LOCI) & (F.col("ol") != F.col("f.locus"))
+                & (-F.col("ob.ni") >= identity + 2.0) & (-F.col("ob.na") >= 1.5 * aligned))
+    return f.groupBy(*key).agg(F.min("f").alias("f"), F.min(F.when(stronger, F.col("ol"))).alias("stronger_locus")).select(
+        *key, "f.locus", "f.b.name", identity.alias("identity"), aligned.alias("aligned"), F.col("f.s.name").alias("runner_up"),
+        F.round(identity + F.col("f.s.ni"), 6).alias("margin"), "stronger_locus")
 
 
 def kingdom_gate(hits: DataFrame, key: list[str]) -> DataFrame:
@@ -202,8 +205,9 @@ def populations(best: DataFrame, bin_col: str, genus_floor: float) -> DataFrame:
     ok = best.where((F.col("identity") >= genus_floor) & F.col("genus").isNotNull())
     sp = F.when(F.col("epithet").isNotNull(), F.concat_ws(" ", "genus", "epithet"))
     g = ok.groupBy(bin_col, "genus", sp.alias("species")).agg(F.count(F.lit(1)).alias("n"))
-    total = g.groupBy(bin_col, "genus").agg(F.sum("n").alias("n")).withColumn("species", F.lit(None).cast("string"))
-    return total.unionByName(g.where("species IS NOT NULL"), allowMissingColumns=True).select(bin_col, "genus", "species", "n")
+    # a species counts for itself and, under null, for its genus
+    both = g.select(bin_col, "genus", F.explode(F.array_distinct(F.array(F.col("species"), F.lit(None).cast("string")))).alias("species"), "n")
+    return both.groupBy(bin_col, "genus", "species").agg(F.sum("n").alias("n"))
 
 
 def sub_populations(pop: DataFrame, bin_col: str, min_reads: int = 10, min_share: float = 0.15) -> DataFrame:
@@ -213,6 +217,7 @@ def sub_populations(pop: DataFrame, bin_col: str, min_reads: int = 10, min_share
     they are two at least; and the second genus, if it has enough reads and share of the bin.
     pop: as from ``populations``. Equal counts are ordered by name.
     """
+    pop = cut_lineage(pop)  # counted once, read for each of the steps
     g = pop.where("species IS NULL").select(bin_col, "genus", "n")
     w = Window.partitionBy(bin_col).orderBy(F.desc("n"), "genus")
     ranked = g.withColumn("rank", F.row_number().over(w)).where("rank <= 2").join(g.groupBy(bin_col).agg(F.sum("n").alias("total")), bin_col)
