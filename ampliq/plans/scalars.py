@@ -172,10 +172,9 @@ SELECT l_orderkey, l_linenumber, cigar, coalesce(sum(n) FILTER (op IN ('M','D','
   coalesce(sum(n) FILTER (op IN ('M','I','=','X')), 0)::BIGINT AS query_len,
   coalesce(max(n) FILTER (i = 1 AND op IN ('S','H')), 0)::BIGINT AS clip, count(*) AS ops FROM x GROUP BY rid, l_orderkey, l_linenumber, cigar""")
 def cigar_walk(spark, sf):
-    c = _cigars(spark, sf)
-    return c.select("l_orderkey", "l_linenumber", "cigar", S.cigar_reference_length("cigar").cast("long").alias("ref_len"),
-                    S.cigar_query_length("cigar").cast("long").alias("query_len"),
-                    S.cigar_clip_start("cigar").cast("long").alias("clip"), F.size(S.cigar_walk("cigar")).cast("long").alias("ops"))
+    c = S.bind(_cigars(spark, sf), m=S.cigar_measures("cigar"))
+    return c.select("l_orderkey", "l_linenumber", "cigar", *[F.col(f"m.{x}").cast("long").alias(x) for x in ("ref_len", "query_len", "clip")],
+                    F.size("m.walk").cast("long").alias("ops"))
 
 
 # ---- predicates ------------------------------------------------------------------------
