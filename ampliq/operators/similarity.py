@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import seq as S
+from ..session import cut_lineage
 from . import kmers as K
 from . import ranking as R
+from . import sites
 
 # Short-list parameters.
 SEED_LENGTH, SEED_STEP = 16, 25
@@ -27,6 +29,18 @@ def query_seeds(queries: DataFrame) -> DataFrame:
     return p.where(~F.col("kmer").contains("N")).select("query_id", "kmer").distinct()
 
 
+def seed_hits(records: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(query_id, rec_id, kmer): the distinct seeds that occur in each record. Of records over A, C, G, T and N only the words that are (nearly
+    all) seeds leave the tasks; those with other letters, or whose rec_id is no long, are cut into rows."""
+    words = F.lit(dict(records.dtypes)["rec_id"] == "bigint") & ~F.col("seq").rlike("[^ACGTN]")
+    pats = seeds.where(F.col("kmer").rlike("^[ACGT]+$")).select(F.col("kmer").alias("pair"), F.lit("+").alias("strand"), F.lit("L").alias("side"), F.col("kmer").alias("pattern")).distinct()
+    found = K.positions(records.where(~words), SEED_LENGTH, keep=["rec_id"]).drop("pos")
+    if dict(records.dtypes)["rec_id"] == "bigint":
+        found = found.unionByName(sites.word_sites(records.where(words).select(F.col("rec_id").alias("read_id"), "seq"), pats, (SEED_LENGTH, SEED_LENGTH)).select(
+            F.col("read_id").alias("rec_id"), F.col("pair").alias("kmer")))
+    return found.join(seeds, "kmer").select("query_id", "rec_id", "kmer").distinct()
+
+
 def shortlist(queries: DataFrame, records: DataFrame, top: int = SHORTLIST, guaranteed: Column | None = None) -> DataFrame:
     """Most promising records per query by weighted seed containment (JOIN-16).
 
@@ -35,14 +49,12 @@ def shortlist(queries: DataFrame, records: DataFrame, top: int = SHORTLIST, guar
     is scored; ``top`` is the size of the report. Records matching ``guaranteed`` are appended
     with the rank they would have had.
 
-    Record k-mers meet the seed table before anything is shuffled, so what moves is one row
-    per shared seed. A seed shared by many records is one hot join key with two shuffled
-    sides, which adaptive execution splits when the seed table is too large to broadcast.
+    Record k-mers meet the seeds before anything is shuffled (``seed_hits``). A seed shared by many records is one
+    hot join key with two shuffled sides, which adaptive execution splits when the seed table is too large to broadcast.
     """
     rec = records.where(F.length("seq") >= 100)
     stats = records.agg(F.count(F.when(F.length("seq") >= 100, 1)).alias("N"), F.avg(F.length("seq")).alias("mean_len"))
-    hits = (K.positions(rec, SEED_LENGTH, keep=["rec_id"]).drop("pos").join(query_seeds(queries), "kmer")
-            .select("query_id", "rec_id", "kmer").distinct())
+    hits = cut_lineage(seed_hits(rec, cut_lineage(query_seeds(queries))))
     df = hits.groupBy("query_id", "kmer").agg(F.count(F.lit(1)).alias("df"))
     meta = rec.select("rec_id", "header", F.length("seq").alias("len"))
     idf = F.log(F.greatest(F.col("N"), F.lit(2)) / (1.0 + F.col("df")))

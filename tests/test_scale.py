@@ -10,7 +10,9 @@ import pytest
 from ampliq.functions import alphabet as ab
 from ampliq.operators import group_design as G
 from ampliq.operators import kmers as K
+from ampliq.operators import similarity as A
 from ampliq.operators import sites
+from ampliq.plans import REGISTRY, recovery
 
 
 def sequences(rng, ids, most=200, letters="ACGT"):
@@ -154,3 +156,32 @@ def test_oligo_sites_never_make_a_row_of_every_position(spark):
     for mm in (0, 1):
         found = G.oligo_sites(seqs, oligos, G.Rules(lengths=(20, 20), max_mm=mm))
         assert "Generate explode_outer" not in found._jdf.queryExecution().optimizedPlan().toString() and {0, 1, 2} <= {r.seq_id for r in found.collect()}
+
+
+@pytest.mark.parametrize("name, times", [("keyword_pool", 1), ("name_agreement", 2), ("taxonomy_nodes", 1), ("lineage_consensus", 1), ("dominant_lineage_depth", 2),
+                                         ("single_locus_level", 1), ("locus_decisions", 1), ("multi_locus_name", 0), ("ladder_report", 1), ("nearest_organisms", 1),
+                                         ("population_split", 1), ("sub_populations", 0), ("cigar_walk", 1)])
+def test_long_expressions_run_once(spark, name, times):
+    """The sentence or CIGAR is taken apart once per read of the table; 0 where the rows come from a written table."""
+    plan = REGISTRY[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == times
+
+
+def test_recovery_pairs_members_with_the_first_of_their_class(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(recovery.RC, "recover", lambda targets, rates, roles, identities: seen.update(members=roles.where("role = 'member'").count(), pairs=identities.count()))
+    recovery.recovery_routes(spark, "/root/testdata/sf0.01")
+    assert seen["members"] // 2 <= seen["pairs"] <= seen["members"]
+
+
+def test_seed_hits_equal_loops(spark):
+    rng = random.Random(8)
+    rows = [(i, s) for i, s in sequences(rng, range(1, 9), 300, "ACGT" * 20 + "NR") if s] + [(9, "ACGTR" * 30), (9, "ACGTTGCA" * 9)]
+    seeds = {(i % 3, s[p:p + 16]) for i, s in rows for p in range(0, len(s) - 15, 25) if "N" not in s[p:p + 16]}
+    want = {(q, i, k) for i, s in rows for q, k in seeds if k in s}
+    records, asked = spark.createDataFrame(rows, "rec_id long, seq string"), spark.createDataFrame(sorted(seeds), "query_id long, kmer string")
+    for df in (records, records.withColumn("rec_id", records.rec_id.cast("string"))):
+        got = [(r.query_id, int(r.rec_id), r.kmer) for r in A.seed_hits(df, asked).collect()]
+        assert len(got) == len(want) and set(got) == want and any("R" in k for _, _, k in want)
+    # only words that are seeds are written by the tasks that hold the records
+    assert A.seed_hits(records, asked)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
