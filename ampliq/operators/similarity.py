@@ -36,7 +36,7 @@ def seed_hits(records: DataFrame, seeds: DataFrame) -> DataFrame:
     pats = seeds.where(F.col("kmer").rlike("^[ACGT]+$")).select(F.col("kmer").alias("pair"), F.lit("+").alias("strand"), F.lit("L").alias("side"), F.col("kmer").alias("pattern")).distinct()
     found = K.positions(records.where(~words), SEED_LENGTH, keep=["rec_id"]).drop("pos")
     if dict(records.dtypes)["rec_id"] == "bigint":
-        found = found.unionByName(sites.word_sites(records.where(words).select(F.col("rec_id").alias("read_id"), "seq"), pats, (SEED_LENGTH, SEED_LENGTH)).select(
+        found = found.unionByName(sites.word_sites(records.where(words).select(F.col("rec_id").alias("read_id"), "seq"), pats, (SEED_LENGTH, SEED_LENGTH), plain_reads=True).select(
             F.col("read_id").alias("rec_id"), F.col("pair").alias("kmer")))
     return found.join(seeds, "kmer").select("query_id", "rec_id", "kmer").distinct()
 
@@ -52,6 +52,7 @@ def shortlist(queries: DataFrame, records: DataFrame, top: int = SHORTLIST, guar
     Record k-mers meet the seeds before anything is shuffled (``seed_hits``). A seed shared by many records is one
     hot join key with two shuffled sides, which adaptive execution splits when the seed table is too large to broadcast.
     """
+    records = S.bind(records.select("rec_id", "header", F.col("seq").alias("_s")), seq=F.col("_s")).drop("_s")
     rec = records.where(F.length("seq") >= 100)
     stats = records.agg(F.count(F.when(F.length("seq") >= 100, 1)).alias("N"), F.avg(F.length("seq")).alias("mean_len"))
     hits = cut_lineage(seed_hits(rec, cut_lineage(query_seeds(queries))))
