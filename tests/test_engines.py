@@ -200,3 +200,18 @@ def test_alignment_goes_through_the_whole_short_list(spark, monkeypatch):
     monkeypatch.setattr(P.A, "discriminating_window", lambda best, q, r: seen.extend(x.rec_id for x in best.collect()))
     P.discriminating_window(spark, "")
     assert len(seen) == 8 and 999 in seen
+
+
+def test_only_positions_with_a_seed_leave_the_reads(spark):
+    rng = random.Random(13)
+    reads = [(str(i), "".join(rng.choice("ACGT" * 10 + "N") for _ in range(rng.randint(0, 300)))) for i in range(40)] + [("x", "AC\u00e9GT" * 30), ("y", ""), ("z", None), (None, "ACGTTGCATGGATCCATGCA" * 3)]
+    df = spark.createDataFrame(reads, "read_id string, seq string")
+    for k in (4, 10, 18):
+        kmers = sorted({s[p:p + k] for _, s in reads if s for p in range(0, len(s) - k + 1, 40)} - {""})
+        kmers = [w for w in kmers if set(w) <= set("ACGT")][:30]
+        seeds = spark.createDataFrame([(w,) for w in kmers], "kmer string").selectExpr("cast(conv(translate(kmer, 'ACGT', '0123'), 4, 10) AS long) word")
+        want = {(i, len(s), p, (("N" * 20 + s + "N" * 20)[p:p + 40]).replace("\u00e9", "N")) for i, s in reads if s for p in range(len(s) - k + 1) if s[p:p + k] in kmers}
+        rows = sites.seed_positions(df, seeds, k, 20, 20).collect()
+        assert {(r.read_id, r.seq_len, r.pos, r.context) for r in rows} == want and len(rows) == len(want) and want
+    p = spark.createDataFrame([("o", "ACGTTGCATGGATCCATGCA", "TGCATGGATCCATGCAACGT")], "pair string, fwd string, rev string")
+    assert "Generate explode_outer" not in sites.seeded_sites(df, p, 1)._jdf.queryExecution().optimizedPlan().toString()
