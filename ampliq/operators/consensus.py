@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as M
+from . import kmers as K
 
 SEGMENT = 64
 
@@ -124,13 +125,16 @@ def quality_gate(consensus, diverging, max_n_percent: float = 20.0, max_divergin
     return F.when(n_pct > max_n_percent, "too_many_n").when(F.col(diverging) > max_diverging, "methods_diverge")
 
 
-def anchored_diagonals(read_kmers: DataFrame, template_index: DataFrame, keys: list[str], top: int = 8,
-                       min_hits: int = 3) -> DataFrame:
+def anchored_diagonals(reads: DataFrame, templates: DataFrame, k: int, part: str, key: str, top: int = 8, min_hits: int = 3) -> DataFrame:
     """K-mer hits grouped by diagonal; the best diagonals become segments (ALN-03).
 
-    read_kmers: (keys, bin, kmer, pos); template_index: unique (bin, kmer, tpos).
+    reads: (part, key, seq); templates: (part, seq), whose k-mers of the bases A, C, G, T that occur once per part are the index. Only read
+    positions that hold one of them become rows; an index of up to ``K.BROADCAST_KMERS`` rows goes with the tasks, so they meet it where they are.
     """
-    hits = read_kmers.join(template_index.hint("merge"), ["bin", "kmer"]).withColumn("diag", F.col("tpos") - F.col("pos"))
+    keys = [part, key]
+    index = K.packed_index(templates, k, part).withColumnRenamed("pos", "tpos")
+    hits = K.indexed_positions(reads, index, k, part, [key])
+    hits = hits.join(F.broadcast(index) if index.count() <= K.BROADCAST_KMERS else index.hint("merge"), [part, "word"]).withColumn("diag", F.col("tpos") - F.col("pos"))
     d = hits.groupBy(*keys, "diag").agg(F.count(F.lit(1)).alias("hits"), F.min("tpos").alias("t_start"),
                                         F.max("tpos").alias("t_end")).where(F.col("hits") >= min_hits)
     w = Window.partitionBy(*keys).orderBy(F.desc("hits"), "diag")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import binning as B
 from ..operators import consensus as C
 from ..operators import graph as G
-from ..operators import kmers as K
 from ..operators import ranking as R
 from ..operators import splitting as SP
+from ..session import cut_lineage
 from .binding import READS, reads, sql_kmers, table
 from .registry import query
 
@@ -302,11 +302,8 @@ d AS (SELECT k.bin, read_id, tpos - pos AS diag, count(*) AS hits, min(tpos) AS
 SELECT bin, read_id, diag, hits, t_start, t_end FROM (SELECT *, row_number() OVER (PARTITION BY bin, read_id ORDER BY hits DESC, diag) AS rn FROM d) WHERE rn <= 8""")
 def anchored_diagonals(spark, sf):
     r = reads(spark, sf)
-    tpl = r.where(F.length("seq") >= 100).groupBy("bin").agg(F.min("read_id").alias("read_id"))
-    k = K.positions(r, 15, keep=["bin", "read_id"])
-    template = r.join(tpl, ["bin", "read_id"], "left_semi")
-    idx = K.unique_positions(template, 15, ["bin"]).withColumnRenamed("pos", "tpos")
-    return C.anchored_diagonals(k, idx, ["bin", "read_id"]).drop("rank")
+    tpl = cut_lineage(r.where(F.length("seq") >= 100).groupBy("bin").agg(F.min("read_id").alias("read_id")))
+    return C.anchored_diagonals(r, r.join(tpl, ["bin", "read_id"], "left_semi"), 15, "bin", "read_id").drop("rank")
 
 
 # ---- graphs and sets ---------------------------------------------------------------------

@@ -185,3 +185,29 @@ def test_seed_hits_equal_loops(spark):
         assert len(got) == len(want) and set(got) == want and any("R" in k for _, _, k in want)
     # only words that are seeds are written by the tasks that hold the records
     assert A.seed_hits(records, asked)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_anchored_diagonals_equal_loops(spark, monkeypatch):
+    from ampliq.operators import consensus as C
+    rng = random.Random(9)
+    tpl = {b: "".join(rng.choice("ACGT") for _ in range(200)) for b in ("a", "b", None)}
+    rows = [(b, i, (lambda s: s[rng.randrange(90):][:rng.randint(0, 110)])(tpl[b] if rng.random() < 0.7 else tpl["a"]) + rng.choice(["", "NACGR", "ACGTACGT"]) + tpl[b][:30])
+            for i, b in enumerate(rng.choice(["a", "b", None]) for _ in range(60))] + [("a", None, tpl["a"]), ("a", 70, None), ("c", 71, tpl["a"]), ("b", 0, tpl["b"][40:90])]
+    want = {}
+    for b in ("a", "b"):
+        n = Counter(tpl[b][p:p + 6] for p in range(195))
+        at = {tpl[b][p:p + 6]: p for p in range(195) if n[tpl[b][p:p + 6]] == 1}
+        for i in {i for c, i, _ in rows if c == b}:
+            d = {}
+            for c, j, s in rows:
+                for p in range(len(s or "") - 5):
+                    if (c, j) == (b, i) and s[p:p + 6] in at:
+                        d.setdefault(at[s[p:p + 6]] - p, []).append(at[s[p:p + 6]])
+            best = sorted(((-len(x), g, min(x), max(x)) for g, x in d.items() if len(x) >= 3))[:2]
+            want |= {(b, i, g): (-m, lo, hi) for m, g, lo, hi in best}
+    reads, t = spark.createDataFrame(rows, "bin string, read_id long, seq string"), spark.createDataFrame([(b, s) for b, s in tpl.items()], "bin string, seq string")
+    for limit in (0, 1_000_000):
+        monkeypatch.setattr(K, "BROADCAST_KMERS", limit)
+        df = C.anchored_diagonals(reads, t, 6, "bin", "read_id", top=2)
+        assert {(r.bin, r.read_id, r["diag"]): (r.hits, r.t_start, r.t_end) for r in df.collect()} == want and len(want) > 40
+    assert "explode_outer" not in df._jdf.queryExecution().optimizedPlan().toString()
