@@ -2,22 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..skew import salted_join
 
+#: Edges that a task joins up at once.
+HELD = 1 << 20
+
+
+def joined_up(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable over these edges) of every node but the smallest ones; roots hook to smaller neighbours until no edge is left between two."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:u.size], at[u.size:]
+    root = np.arange(nodes.size)
+    while (on := a != b).any():
+        a, b = np.minimum(a[on], b[on]), np.maximum(a[on], b[on])
+        np.minimum.at(root, b, a)
+        while not np.array_equal(root, far := root[root]):
+            root = far
+        a, b = root[a], root[b]
+    away = root != np.arange(nodes.size)
+    return nodes[away], nodes[root[away]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) of BIGINT nodes with the same components, but of every ``HELD`` of a task only a star per component: fewer than nodes."""
+    def contract(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in joined_up(u, v)], ["u", "v"])
+
+        rows, n = [], 0
+        for batch in part:
+            rows, n = [*rows, batch], n + batch.num_rows
+            if n >= HELD:
+                yield stars(rows)
+                rows, n = [], 0
+        if n:
+            yield stars(rows)
+
+    return edges.mapInArrow(contract, "u long, v long")
+
 
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60, task_rows: int | None = None) -> DataFrame:
     """(node, component): smallest node id reachable over (a, b) edges.
 
+    Edges of BIGINT nodes are first joined up where they lie, a bounded number at once (``contracted``). A node then has a label
+    from each of those parts; it keeps the smallest, and only the labels that meet in a node are left to be joined: by one task if they
+    are ``HELD`` at most, otherwise in rounds. Other nodes go by rounds from the start.
+    """
+    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
+    if {t for _, t in e.dtypes} != {"bigint"}:
+        roots = rounds(e.distinct(), max_rounds, task_rows)
+    else:
+        star = cut_lineage(contracted(e))
+        first = cut_lineage(star.groupBy("u").agg(F.min("v").alias("m")))
+        meet = star.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        above = first.join(star.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u", F.col("m").alias("v"))
+        rest = cut_lineage(contracted(meet.unionByName(above).distinct()))
+        few = rest.count() <= HELD
+        top = cut_lineage(contracted(rest.coalesce(1))) if few else rounds(rest.distinct(), max_rounds, task_rows)
+        label = first.unionByName(top.select("u", F.col("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
+        top = top.select(F.col("u").alias("m"), F.col("v").alias("top"))
+        found = label.join(F.broadcast(top), "m", "left") if few else salted_join(label, top, ["m"], "left")
+        roots = found.select("u", F.coalesce("top", "m").alias("v"))
+    return nodes.select("node").distinct().join(roots.withColumnRenamed("u", "node"), "node", "left").select(
+        "node", F.coalesce("v", "node").alias("component"))
+
+
+def rounds(e: DataFrame, max_rounds: int, task_rows: int | None = None) -> DataFrame:
+    """(u, v): the smallest node v reachable from every other node u over distinct (u, v) edges.
+
     Alternating large-star and small-star steps: rounds grow with the logarithm of the
     component size, not with its diameter. Neighbourhood minima are partially aggregated,
     and the join back to a hub's edges is salted, so one hub with a third of all edges
     does not become one task. Each round is written to the checkpoint folder.
     """
-    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct()
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def both_ways(e: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,14 +109,12 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60, task_ro
                           .alias("h")).first()
         if seen == mark:
             break
-        share = task_rows or max(10_000, (mark["n"] or 0) // (2 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        share = task_rows or max(10_000, (mark["n"] or 0) // (2 * tasks))
         seen, hub = mark, share if (mark["d"] or 0) > share else None
         e = cut_lineage(star(star(e, True, hub), False, hub))
     else:
         raise RuntimeError("components did not converge")
-    roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.select("node").distinct().join(roots, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"))
+    return e.groupBy("u").agg(F.min("v").alias("v"))
 
 
 def set_match(left: DataFrame, right: DataFrame, min_jaccard: float = 0.80, same: bool = False) -> DataFrame:

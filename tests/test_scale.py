@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -211,3 +212,32 @@ def test_anchored_diagonals_equal_loops(spark, monkeypatch):
         df = C.anchored_diagonals(reads, t, 6, "bin", "read_id", top=2)
         assert {(r.bin, r.read_id, r["diag"]): (r.hits, r.t_start, r.t_end) for r in df.collect()} == want and len(want) > 40
     assert "explode_outer" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_are_joined_up_where_they_lie(spark, monkeypatch):
+    from ampliq.operators import graph
+    rng = random.Random(10)
+    for nodes, n in ((1, 0), (40, 20), (400, 380), (400, 2000), (3000, 2999)):
+        edges = [(i, i + 1) for i in range(n)] if nodes == 3000 else [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)]
+        edges = [(a * 7 - 900, b * 7 - 900) for a, b in edges]
+        root = {a: a for e in edges for a in e}
+
+        def top(a, root=root):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in edges:
+            lo, hi = sorted((top(a), top(b)))
+            root[hi] = lo
+        u, v = graph.joined_up(*(np.array([e[i] for e in edges], dtype=np.int64) for i in range(2)))
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {a: top(a) for a in root if top(a) != a}
+        if nodes == 400:
+            df = spark.createDataFrame(edges + [(None, 5), (5, None)], "a long, b long").repartition(8)
+            want = {a: top(a) for a in root} | {10**9: 10**9}
+            for held in (50, 1 << 20):  # in parts and as a whole; the rounds join the parts
+                monkeypatch.setattr(graph, "HELD", held)
+                got = graph.components(df, spark.createDataFrame([(a,) for a in want], "node long"))
+                assert {r.node: r.component for r in got.collect()} == want
+    star = spark.range(20000).selectExpr("id % 100 a", "100 + id % 77 b").coalesce(1)
+    assert graph.contracted(star.toDF("u", "v")).count() == 176
