@@ -25,12 +25,12 @@ def bin_rates(hits: DataFrame, reads: DataFrame, pairs: DataFrame) -> DataFrame:
             .select("pair", "bin", F.coalesce("k", F.lit(0)).alias("k"), "n"))
 
 
-def separation(rates: DataFrame, membership: DataFrame, min_reads: int = P.MIN_COMPETITOR_READS) -> DataFrame:
+def separation(rates: DataFrame, membership: DataFrame | None, min_reads: int = P.MIN_COMPETITOR_READS) -> DataFrame:
     """Member lower bound against pooled and worst-single competitor upper bound (AGG-02).
 
-    Everything that was not measured stays NULL.
+    Everything that was not measured stays NULL. Without ``membership`` the rates have the role.
     """
-    r = rates.join(membership, "bin").where(F.col("n") > 0)
+    r = (rates if membership is None else rates.join(membership, "bin")).where(F.col("n") > 0)
     member, comp = F.col("role") == "member", F.col("role") == "competitor"
     covered = member & (F.col("k") / F.col("n") >= P.COVERAGE_SHARE)
     lo, hi = M.wilson_lower("k", "n"), M.wilson_upper("k", "n")

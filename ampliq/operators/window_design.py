@@ -4,22 +4,38 @@ A group has a backbone per length class. A pair counts if it binds every member;
 marked locus is asked only of the long members, and measured in the long bins alone. Which sequences an oligo binds are bits of mask
 words, so "every member" is one comparison per word and the competitors of a pair are bits of an AND. Each window keeps its best pairs,
 which are measured on the reads; the one with the highest worst fold wins the window.
+
+Without mismatches no such masks are made: a group's members are compared with its backbones where they meet, only windows that they share are
+measured, and pairs are ranked inside their window, so that a pair becomes a row only if it can be one of the best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import params as P
+from ..functions import thermo as T
 from ..session import cut_lineage
 from . import design as D
 from . import group_design as G
 from . import measure as M
+from . import sites
 from .ranking import top_n
 
+#: Bases of a group's members that one task compares with the backbones, windows of a backbone that are ranked at once, and sequences outside of
+#: the group that are listed per oligo; where more bind it, pairs that may be among the best are counted afterwards.
+PART, CHUNK, LISTED = 1 << 22, 64, 512
+#: Rivals of a pair whose primers both bind more than that, until they are counted; sequences that lists are compared over at once.
+MANY, HELD = 1 << 30, 4096
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -93,17 +109,282 @@ def shared_competitors(pairs: DataFrame, marks: DataFrame, need: DataFrame) -> D
     return j.groupBy("grp", "fwd", "rev").agg(F.sum(both).alias("rivals")).where("rivals > 0")
 
 
-def window_candidates(seqs: DataFrame, back: DataFrame, loci: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The best pairs of each window: grp, backbone, window, fwd, rev, f_pos, r_end, bp, base, rivals, rank.
+def _packed(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, words, known): the bases, the packed words of k bases at every position, and which of them hold A, C, G and T only."""
+    code = sites._PLAIN[np.frombuffer(seq.encode(), dtype=np.uint8)]
+    away = np.concatenate([[0], np.cumsum(code > 3)])
+    code = np.where(code > 3, 0, code)
+    return code, sites._words(code, k), (away[k:] == away[:-k]) if code.size >= k else np.empty(0, bool)
 
-    seqs: (seq_id, grp, long, seq), strands as given; back: ``backbones``; loci: (seq_id, lo, hi), the marked locus of a backbone (none: nothing
-    is outside).
+
+def _sizes(rules: Rules) -> range:
+    return range(max(rules.lengths[0], P.OLIGO_LENGTH[0]), min(rules.lengths[1], P.OLIGO_LENGTH[1]) + 1)
+
+
+def shared_windows(seqs: DataFrame, back: DataFrame, rules: Rules) -> DataFrame:
+    """(grp, seq_id, whole, long): which windows of a backbone all members of a part of its group have, and all long ones (null: there are none).
+
+    Both are bits, the shortest windows first. A group of more than ``PART`` bases has several parts, each of which meets the backbones.
+    """
+    m = seqs.where("grp is not null")
+    hot = m.groupBy("grp").agg(F.sum(F.length("seq")).alias("n")).where(F.col("n") > PART)
+    hot = F.broadcast(hot.select("grp", F.ceil(F.col("n") / PART).alias("parts")))  # one row for PART bases at most
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    m = m.join(hot, "grp", "left").select("grp", F.pmod(F.xxhash64("seq_id"), parts).alias("part"), "long", "seq")
+    b = back.join(hot, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "seq_id", "seq")
+    sizes = _sizes(rules)
+
+    def meet(members: pa.Table, own: pa.Table) -> pa.Table:
+        distinct: dict[str, bool] = {}
+        for seq, long in zip(members.column("seq").to_pylist(), members.column("long").to_pylist()):
+            distinct[seq] = distinct.get(seq, False) or bool(long)
+        seqs_of = own.column("seq").to_pylist()
+        whole, longs = [], []
+        for size in sizes if seqs_of else ():
+            backs = [_packed(seq, size)[1:] for seq in seqs_of]
+            sought, place = np.unique(np.concatenate([words for words, _ in backs]), return_inverse=True)
+            every = [np.ones(sought.size, bool), np.ones(sought.size, bool)]
+            for seq, long in distinct.items():
+                _, words, known = _packed(seq, size)
+                words = words[known]
+                at = np.minimum(np.searchsorted(sought, words), max(0, sought.size - 1))
+                hit = np.zeros(sought.size, bool)
+                if sought.size:
+                    hit[at[sought[at] == words]] = True
+                every[0] &= hit
+                if long:
+                    every[1] &= hit
+            cuts = np.cumsum([words.size for words, _ in backs])[:-1]
+            for kept, found in zip((whole, longs), every):
+                kept.append([f & known for f, (_, known) in zip(np.split(found[place], cuts), backs)])
+        any_long = any(distinct.values())
+        bits = [[np.packbits(np.concatenate(x)).tobytes() for x in zip(*of)] for of in (whole, longs)]
+        return pa.table({"grp": own.column("grp"), "seq_id": own.column("seq_id"), "whole": pa.array(bits[0], pa.binary()),
+                         "long": pa.array(bits[1] if any_long else [None] * len(seqs_of), pa.binary())})
+
+    kind = {c: back.schema[c].dataType.simpleString() for c in ("grp", "seq_id")}
+    # few bytes, much work: dealt by number, which isn't put together again by bytes
+    m = m.repartition(int(back.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "part")
+    return m.groupBy("grp", "part").cogroup(b.groupBy("grp", "part")).applyInArrow(meet, f"grp {kind['grp']}, seq_id {kind['seq_id']}, whole binary, long binary")
+
+
+def _grid_masks(code: np.ndarray, words: np.ndarray, back: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cells (``design.measures``) that the windows at ``at`` pass, read forward and as their reverse complements.
+
+    Sums run in the order of the oligo, as in ``thermo``; a rounded value lies in a range if it lies between the range's rounding limits.
     """
+    r = P.Reaction()
+    pair = code[:-1] * 4 + code[1:]
+    table = np.array([T.ALL_STACKS[x + y] for x in "ACGT" for y in "ACGT"])
+    strong = (code == 1) | (code == 2)
+    before = np.concatenate([[0], np.cumsum(strong)])
+    share = np.array([float(Decimal(repr(100.0 * i / size)).quantize(Decimal("0.1"), ROUND_HALF_UP)) for i in range(size + 1)])[before[at + size] - before[at]]
+    first, last = strong[at], strong[at + size - 1]
+    same = words[at] == back[at]
+    conc = T.GAS * np.log(np.where(same, r.oligo_nm * 1e-9, r.oligo_nm * 1e-9 / 4.0))
+    salt = 0.368 * np.log(T.monovalent_equivalent(r))
+    out = []
+    for steps, end, tail in ((range(size - 1), last, before[at + size] - before[at + size - 5]), (range(size - 2, -1, -1), first, before[at + 5] - before[at])):
+        h, s = np.zeros(at.size), np.zeros(at.size)
+        for i in steps:
+            p = pair[at + i]
+            h += table[p, 0]
+            s += table[p, 1]
+        h += np.where(first, T.END_GC[0], T.END_AT[0]) + np.where(last, T.END_GC[0], T.END_AT[0])
+        s += np.where(first, T.END_GC[1], T.END_AT[1]) + np.where(last, T.END_GC[1], T.END_AT[1])
+        s += np.where(same, T.SYMMETRY[1], 0.0)
+        tm = 1000.0 * h / (s + salt * (size - 1) + conc) - 273.15
+        mask = np.zeros(at.size, np.int64)
+        for i, (g, t, end_gc, last5) in enumerate(D.PRIMER_CELLS):
+            ok = (share >= g[0]) & (share <= g[1]) & (tm >= float(f"{t[0] - 0.005:.3f}")) & (tm < float(f"{t[1] + 0.005:.3f}"))
+            ok &= end if end_gc else True
+            ok &= (tail <= 3) if last5 else True
+            mask |= ok.astype(np.int64) << i
+        out.append(mask)
+    return out[0], out[1]
+
+
+def _windows(n: int, rules: Rules) -> list[tuple[int, int, int]]:
+    """(window, start, end) of a backbone of n bases, as ``design.locus_windows``."""
+    of = [(w, min(w * rules.step, max(0, n - rules.width))) for w in range(max(1, (n - rules.width) // rules.step + 2))]
+    return [(w, s, min(n, s + rules.width)) for w, s in of if min(n, s + rules.width) - s >= rules.shortest]
+
+
+def oligo_packs(back: DataFrame, shared: DataFrame, loci: DataFrame, rules: Rules) -> DataFrame:
+    """The shared windows of ``CHUNK`` windows of a backbone that make oligos, one row of arrays: grp, backbone, chunk, n, lo, hi, and per window
+    pos, len, base (1: in all members, 2: in all long ones), f and r (grid cells passed by it and by its reverse complement) and the packed word."""
+    of = shared.groupBy("grp", "seq_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("long").alias("long"))
+    limits = loci.select("seq_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    rows = back.join(of, ["grp", "seq_id"]).join(limits, "seq_id", "left").select("grp", F.col("seq_id").alias("backbone"), "lo", "hi", "seq", "whole", "long")
     # a backbone becomes thousands of oligos with temperatures: the few rows are dealt first, by bytes they would all be one task
+    rows = rows.repartition(int(back.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backbone")
+    sizes = _sizes(rules)
+    kinds = {"pos": pa.int32(), "len": pa.int32(), "base": pa.int32(), "f": pa.int64(), "r": pa.int64(), "word": pa.int64()}
+
+    def made(seq: str, whole: list[bytes], long: list[bytes]) -> dict[str, np.ndarray]:
+        total = sum(max(0, len(seq) - k + 1) for k in sizes)
+        every = [np.bitwise_and.reduce([np.unpackbits(np.frombuffer(b, np.uint8), count=total) for b in bits]) if bits else np.zeros(total, np.uint8)
+                 for bits in (whole, long)]
+        base, parts, done = every[0].astype(np.int32) + 2 * every[1], [], 0
+        for size in sizes:
+            code, words, known = _packed(seq, size)
+            _, turned, _ = _packed(seq[::-1].translate(_COMPLEMENT), size)
+            if not words.size:
+                continue
+            run = (code[:-3] == code[1:-2]) & (code[1:-2] == code[2:-1]) & (code[2:-1] == code[3:])
+            runs = np.concatenate([[0], np.cumsum(run)])
+            free = runs[size - 3:] == runs[:-(size - 3)]
+            own = base[done:done + words.size]
+            done += words.size
+            at = np.flatnonzero(known & free & (own > 0))
+            f, r = _grid_masks(code, words, turned[::-1], at, size)
+            use = (f | r) != 0
+            at = at[use]
+            parts.append((at, np.full(at.size, size), own[at], f[use], r[use], words[at]))
+        return dict(zip(kinds, (np.concatenate(x) for x in zip(*parts)))) if parts else {}
+
+    def deal(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            for i, row in enumerate(batch.select(["seq", "whole", "long"]).to_pylist()):
+                o, ws = made(**row), _windows(len(row["seq"]), rules)
+                keys = {}
+                for c in range(0, len(ws) if o else 0, CHUNK):
+                    some = ws[c:c + CHUNK]
+                    at = np.flatnonzero((o["pos"] >= some[0][1]) & (o["pos"] + o["len"] <= some[-1][2]))
+                    if at.size:
+                        keys = {k: batch.column(k).slice(i, 1) for k in ("grp", "backbone", "lo", "hi")}
+                        cols = {k: pa.array([o[k][at]], pa.list_(t)) for k, t in kinds.items()}
+                        extra = {"chunk": pa.array([c // CHUNK], pa.int32()), "n": pa.array([len(row["seq"])], pa.int32())}
+                        yield pa.RecordBatch.from_pydict(keys | extra | cols)
+
+    kind = {c: back.schema[c].dataType.simpleString() for c in ("grp", "seq_id")}
+    return rows.mapInArrow(deal, f"grp {kind['grp']}, backbone {kind['seq_id']}, lo long, hi long, chunk int, n int, "
+                                 "pos array<int>, len array<int>, base array<int>, f array<long>, r array<long>, word array<long>")
+
+
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def outside_lists(seqs: DataFrame, packs: DataFrame, rules: Rules) -> DataFrame:
+    """(grp, backbone, chunk, len, word, out): sequences outside of the group that have the word, null where they are more than ``LISTED``.
+
+    Of a word at most LISTED + 1 sequences of each group are kept and 2 * LISTED + 2 of all: a list that long leaves more than LISTED for every
+    group, a shorter one is whole up to groups that alone have more than LISTED.
+    """
+    key = ["site_len", "word"]
+    want = packs.select("grp", "backbone", "chunk", F.explode(F.arrays_zip(F.col("len").alias("site_len"), "word")).alias("o")).select("grp", "backbone", "chunk", "o.*")
+    have = sites.held_words(seqs.select("seq_id", F.col("grp").alias("home"), "seq"), sites.word_sketch(want), _sizes(rules), once=True).drop("start")
+    few = top_n(have, [*key, "home"], [F.col("seq_id")], LISTED + 1).drop("rank")
+    few = top_n(few, key, [F.col("seq_id")], 2 * LISTED + 2).drop("rank")
+    sets = few.groupBy(*key).agg(F.collect_list(F.struct("home", "seq_id")).alias("all"), F.min("home").alias("a"), F.max("home").alias("b"),
+                                 F.count("home").alias("n"), F.count(F.lit(1)).alias("m"))
+    sets = sets.where("a is null or a <> b or n < m").select(*key, "all")  # the rest is in one group alone
+    out = F.transform(F.filter("all", lambda x: ~x["home"].eqNullSafe(F.col("grp"))), lambda x: x["seq_id"])
+    got = want.join(sets, key).select("grp", "backbone", "chunk", F.col("site_len").alias("len"), "word", out.alias("out")).where("size(out) > 0")
+    return got.withColumn("out", F.when(F.size("out") <= LISTED, F.col("out")))
+
+
+def _turned(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Reverse complements of packed words."""
+    out, left = np.zeros_like(words), words.copy()
+    for i in range(int(lens.max(initial=0))):
+        out = np.where(i < lens, (out << 2) | (3 - (left & 3)), out)
+        left >>= 2
+    return out
+
+
+def _text(word: int, size: int) -> str:
+    return "".join("ACGT"[(word >> (2 * i)) & 3] for i in range(size - 1, -1, -1))
+
+
+def ranked_pairs(packs: DataFrame, out: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs of each window that can be among its best: grp, backbone, window, fwd, rev, f_pos, r_end, bp, base, rivals (null: between 0 and many).
+
+    A pair of which a primer binds nothing outside, or of which both are listed, is counted here. Another has bounds, and is kept if its lower one
+    comes before the last of the best by their upper ones; of two primers that a window has many times, the first places are kept.
+    """
+    key = ["grp", "backbone", "chunk"]
+
+    def best(pack: pa.Table, listed: pa.Table) -> pa.Table:
+        rows = []
+        lists = {(n, w): o for n, w, o in zip(*(listed.column(c).to_pylist() for c in ("len", "word", "out")))}
+        for row in pack.to_pylist():
+            pos, size, base, fm, rm, word = (np.array(row[c], dtype=np.int64) for c in ("pos", "len", "base", "f", "r", "word"))
+            back = _turned(word, size)
+            outs = [lists.get(k, ()) for k in zip(size.tolist(), word.tolist())]
+            n_out = np.array([LISTED + 1 if o is None else len(o) for o in outs], dtype=np.int64)
+            lo, hi = (none if row[c] is None else row[c] for c, none in (("lo", -np.inf), ("hi", np.inf)))
+            for window, start, end in _windows(row["n"], rules)[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK]:
+                inside = (pos >= start) & (pos + size <= end)
+                f, r = np.flatnonzero(inside & (fm != 0)), np.flatnonzero(inside & (rm != 0))
+                r_end = pos[r] + size[r]
+                bp = r_end[None, :] - pos[f][:, None]
+                need = np.where((pos[f] >= hi)[:, None] | (r_end <= lo)[None, :], 2, 1)
+                ok = ((bp >= rules.product[0]) & (bp <= rules.product[1]) & (pos[r][None, :] >= (pos[f] + size[f])[:, None])
+                      & ((fm[f][:, None] & rm[r][None, :]) != 0) & ((base[f][:, None] & base[r][None, :] & need) != 0))
+                i, j = np.nonzero(ok)
+                if not i.size:
+                    continue
+                bp, need = bp[i, j], need[i, j]
+                a, b = n_out[f[i]], n_out[r[j]]
+                sure = (a == 0) | (b == 0) | (np.maximum(a, b) <= LISTED)
+                low = _shared(outs, f, r)[i, j] if n_out[f].any() and n_out[r].any() else np.zeros(i.size, np.int64)
+                high = np.where(sure, low, np.where(np.minimum(a, b) > LISTED, MANY, np.minimum(a, b)))
+                if i.size > rules.keep:  # by rivals and length alone first: few pairs are left for the whole order
+                    short = ((bp > rules.short).astype(np.int64) << 31) | bp
+                    some = np.flatnonzero(((low << 32) | short) <= np.partition((high << 32) | short, rules.keep - 1)[rules.keep - 1])
+                    i, j, bp, need, sure, low, high = (x[some] for x in (i, j, bp, need, sure, low, high))
+                turn = np.empty(i.size, np.int64)
+                left = [x << (2 * (31 - n)) for x, n in ((word[f], size[f]), (back[r], size[r]))]
+                turn[np.lexsort((pos[f[i]], size[r[j]], left[1][j], size[f[i]], left[0][i], bp, bp > rules.short))] = np.arange(i.size)
+                last = np.lexsort((turn, high))[:rules.keep][-1]
+                can = np.flatnonzero((low < high[last]) | ((low == high[last]) & (turn <= turn[last]))) if i.size > rules.keep else np.arange(i.size)
+                # the same two primers at several places have the same rivals: only the first places can be among the best
+                can = can[np.lexsort((turn[can], word[r[j[can]]], size[r[j[can]]], word[f[i[can]]], size[f[i[can]]]))]
+                two = np.stack([word[f[i[can]]], size[f[i[can]]], word[r[j[can]]], size[r[j[can]]]])
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(two) != 0).any(axis=0)]))
+                for x in can[np.arange(can.size) - np.repeat(new, np.diff([*new, can.size])) < rules.keep]:
+                    p, q = f[i[x]], r[j[x]]
+                    rows.append((row["grp"], row["backbone"], window, _text(int(word[p]), int(size[p])), _text(int(back[q]), int(size[q])), int(pos[p]),
+                                 int(pos[q] + size[q]), int(bp[x]), "all" if need[x] == 1 else "long", int(low[x]) if sure[x] else None))
+        cols = list(zip(*rows)) or [()] * len(columns)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, columns.values())], names=list(columns))
+
+    columns = {"grp": None, "backbone": None, "window": pa.int32(), "fwd": pa.string(), "rev": pa.string(), "f_pos": pa.int32(), "r_end": pa.int32(),
+               "bp": pa.int32(), "base": pa.string(), "rivals": pa.int64()}
+    columns |= {c: to_arrow_type(packs.schema[c].dataType) for c in ("grp", "backbone")}
+    kind = {c: packs.schema[c].dataType.simpleString() for c in ("grp", "backbone")}
+    # few bytes, much work: dealt by number, which isn't put together again by bytes
+    packs = packs.repartition(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    out = out.select(*[F.col(c).alias(f"{c}_") for c in key], "len", "word", "out")
+    return packs.groupBy(*key).cogroup(out.groupBy(*[f"{c}_" for c in key])).applyInArrow(
+        best, f"grp {kind['grp']}, backbone {kind['backbone']}, window int, fwd string, rev string, f_pos int, r_end int, bp int, base string, rivals long")
+
+
+def _shared(outs: list, f: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many sequences the lists of f and r have in common, 0 where one of them has none or too many."""
+    lists = [[outs[x] or () for x in side] for side in (f, r)]
+    owner = [np.repeat(np.arange(len(side)), [len(o) for o in side]) for side in lists]
+    ids = [np.concatenate([np.asarray(o, dtype=np.int64) for o in side]) for side in lists]
+    common = np.intersect1d(*ids)
+    at = [np.minimum(np.searchsorted(common, x), max(0, common.size - 1)) for x in ids]
+    both = np.zeros((f.size, r.size), np.int64)
+    for start in range(0, common.size, HELD):  # a block of the sequences at a time
+        held = []
+        for side, x, place, own in zip(lists, ids, at, owner):
+            m = np.zeros((len(side), min(HELD, common.size - start)), np.float32)
+            use = (common[place] == x) & (place >= start) & (place < start + HELD)
+            m[own[use], place[use] - start] = 1
+            held.append(m)
+        both += (held[0] @ held[1].T).astype(np.int64)
+    return both
+
+
+def marked_pairs(seqs: DataFrame, back: DataFrame, loci: DataFrame, need: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(pairs, marks) where oligos bind with mismatches or sequences have other letters: all pairs of all windows, and what every oligo binds."""
     dealt = back.repartition(int(back.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
     cand = cut_lineage(D.candidates(dealt.select(F.col("seq_id").alias("target"), "seq"), rules.lengths).where("pm <> 0"))
     marks = cut_lineage(binding_masks(G.oligo_sites(seqs, cand.select("oligo").distinct(), rules)))
-    need = cut_lineage(member_masks(seqs))
     of = back.select("grp", F.col("seq_id").alias("target"))
     c = cand.join(of, "target").withColumn("strand", F.when(F.col("dir") == "F", "+").otherwise("-"))
     u = universal(c.select("grp", "oligo", "strand").distinct(), marks, need)
@@ -111,34 +392,60 @@ def window_candidates(seqs: DataFrame, back: DataFrame, loci: DataFrame, rules:
     pairs = D.pair_band(c, *rules.product).select("target.grp", "target.backbone", "target.base", "fwd", "rev", "f_pos", "r_end", "bp")
     pairs = pairs.join(loci.withColumnRenamed("seq_id", "backbone"), "backbone", "left")
     outside = F.coalesce((F.col("f_pos") >= F.col("hi")) | (F.col("r_end") <= F.col("lo")), F.lit(False))
-    pairs = cut_lineage(pairs.where(F.col("base") == F.when(outside, "long").otherwise("all")).drop("lo", "hi"))
-    pairs = pairs.join(shared_competitors(pairs, marks, need), ["grp", "fwd", "rev"], "left").withColumn("rivals", F.coalesce("rivals", F.lit(0).cast("long")))
+    pairs = pairs.where(F.col("base") == F.when(outside, "long").otherwise("all")).drop("lo", "hi")
     # a window stands in the few cells it covers, a pair in the one it starts in
     w = D.locus_windows(back, "seq_id", rules.width, rules.step, rules.shortest).select(F.col("seq_id").alias("backbone"), "window", "start", "end")
-    cells = F.sequence(F.floor(F.col("start") / rules.step), F.floor((F.col("end") - 1) / rules.step))
-    w = w.withColumn("cell", F.explode(cells))
+    w = w.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / rules.step), F.floor((F.col("end") - 1) / rules.step))))
     p = pairs.withColumn("cell", F.floor(F.col("f_pos") / rules.step)).join(w, ["backbone", "cell"]).where("f_pos >= start and r_end <= end")
+    return cut_lineage(p.drop("cell", "start", "end").withColumn("rivals", F.lit(None).cast("long"))), marks
+
+
+def window_candidates(seqs: DataFrame, back: DataFrame, loci: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The best pairs of each window: grp, backbone, window, fwd, rev, f_pos, r_end, bp, base, rivals, rank.
+
+    seqs: (seq_id, grp, long, seq), strands as given; back: ``backbones``; loci: (seq_id, lo, hi), the marked locus of a backbone (none: nothing
+    is outside).
+    """
+    need = member_masks(seqs)
+    if rules.max_mm or not seqs.where(F.col("seq").rlike("[^ACGTN]")).isEmpty():
+        need = cut_lineage(need)
+        pairs, marks = marked_pairs(seqs, back, loci, need, rules)
+        unsure = pairs
+    else:
+        packs = cut_lineage(oligo_packs(back, shared_windows(seqs, back, rules), loci, rules))
+        pairs = cut_lineage(ranked_pairs(packs, outside_lists(seqs, packs, rules), rules))
+        unsure, marks = pairs.where("rivals is null"), None
+    if marks is not None or not unsure.isEmpty():
+        if marks is None:
+            marks = cut_lineage(binding_masks(G.oligo_sites(seqs, unsure.select(F.explode(F.array("fwd", "rev")).alias("oligo")).distinct(), rules)))
+        counted = shared_competitors(unsure, marks, need).withColumnRenamed("rivals", "more")
+        pairs = pairs.join(counted, ["grp", "fwd", "rev"], "left").withColumn("rivals", F.coalesce("rivals", "more")).drop("more")
+    pairs = pairs.withColumn("rivals", F.coalesce("rivals", F.lit(0).cast("long")))
     order = [F.col("rivals"), F.col("bp") > rules.short, F.col("bp"), F.col("fwd"), F.col("rev"), F.col("f_pos")]
-    return top_n(p, ["grp", "backbone", "window"], order, rules.keep).drop("cell", "start", "end")
+    return top_n(pairs, ["grp", "backbone", "window"], order, rules.keep)
 
 
 def worst_folds(pairs: DataFrame, reads: DataFrame, roles: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(grp, fwd, rev, base, member_bins, covered_bins, fold): the members' lowest bound over the worst competitor bin's highest.
 
     pairs: (grp, fwd, rev, base); reads: (read_id, bin, seq); roles: (grp, bin, role, long). Pairs of base "long" see the long bins only.
+    Products are counted once for all groups that ask for a pair, and a group's bins come as one list.
     """
-    asked = cut_lineage(pairs.select("grp", "fwd", "rev", "base").distinct())
-    ids = asked.select("grp", "fwd", "rev", F.concat_ws("-", "fwd", "rev").alias("pair")).distinct()
-    oligos = ids.select(F.explode(F.array("fwd", "rev")).alias("oligo")).distinct()
+    asked = cut_lineage(pairs.select("grp", "fwd", "rev", "base").distinct().withColumn("id", F.monotonically_increasing_id()))
+    two = cut_lineage(asked.select("fwd", "rev").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    oligos = two.select(F.explode(F.array("fwd", "rev")).alias("oligo")).distinct()
     found = cut_lineage(G.oligo_sites(reads.withColumnRenamed("read_id", "seq_id"), oligos, rules))
-    made = G.pair_products(ids, found, *rules.product).select("grp", "pair", F.col("seq_id").alias("read_id"))
-    k = made.join(reads.select("read_id", "bin"), "read_id").groupBy("grp", "pair", "bin").agg(F.count(F.lit(1)).alias("k"))
+    made = G.pair_products(two.withColumn("grp", F.lit(0)), found, *rules.product).select("pair", F.col("seq_id").alias("read_id"))
+    k = made.join(reads.select("read_id", "bin").where("bin is not null"), "read_id").groupBy("pair", "bin").agg(F.count(F.lit(1)).alias("k"))
+    k = k.groupBy("pair").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("ks"))
     n = reads.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    frame = asked.withColumn("pair", F.concat_ws("-", "fwd", "rev")).join(roles, "grp").where("base = 'all' or long").join(n, "bin")
-    rates = frame.join(k, ["grp", "pair", "bin"], "left").select(
-        F.struct("grp", "fwd", "rev", "base").alias("pair"), F.struct("grp", "bin").alias("bin"), F.coalesce("k", F.lit(0)).alias("k"), "n")
-    sep = M.separation(rates, roles.select(F.struct("grp", "bin").alias("bin"), "role"), rules.min_reads)
-    return sep.select("pair.*", "member_bins", "covered_bins", F.col("fold_worst").alias("fold"))
+    bins = roles.join(n, "bin").groupBy("grp").agg(F.collect_list(F.struct("bin", "role", "long", "n")).alias("bins"))
+    asked_k = asked.join(two, ["fwd", "rev"]).select("grp", "base", "id", "pair").join(k, "pair", "left").join(bins, "grp")
+    seen = F.explode(F.filter("bins", lambda x: (F.col("base") == "all") | x["long"])).alias("b")
+    rates = asked_k.select(F.col("id").alias("pair"), "ks", seen).select(
+        "pair", "b.bin", F.coalesce(F.try_element_at("ks", F.col("b.bin")), F.lit(0)).alias("k"), "b.n", "b.role")
+    sep = M.separation(rates, None, rules.min_reads)
+    return asked.join(sep.select(F.col("pair").alias("id"), "member_bins", "covered_bins", F.col("fold_worst").alias("fold")), "id").drop("id")
 
 
 def window_designs(seqs: DataFrame, reads: DataFrame, roles: DataFrame, loci: DataFrame, rules: Rules = Rules()) -> DataFrame:

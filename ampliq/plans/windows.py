@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import window_design as W
-from .binding import FAMILIES, READS, families, reads, sql_kmers, sql_rc
+from ..session import cut_lineage
+from .binding import FAMILIES, READS, families, families_of, reads, sql_kmers, sql_rc
 from .design import MASK_SQL, TM_SQL
 from .panel import wilson_sql
 from .registry import query
@@ -63,10 +64,9 @@ SELECT wn.grp, wn.backbone, wn.win AS "window", s AS start, e AS "end", coalesce
 FROM wn LEFT JOIN wi ON wi.backbone = wn.backbone AND wi.win = wn.win WHERE e - s >= 120"""
 
 
-def _members(spark, sf):
-    r = reads(spark, sf).select(F.col("read_id").alias("seq_id"), "bin", "library")
+def _members(r):
     even = F.coalesce(F.right("bin", F.lit(1)).isin("0", "2", "4", "6", "8"), F.lit(False))
-    return families(spark, sf).join(r.withColumn("long", even), "seq_id")
+    return families_of(r, "bin", "library").withColumn("long", even)
 
 
 @query("backbones", "OPT-02", f"WITH RECURSIVE {_BACK} SELECT grp, ref_id AS seq_id, n FROM bk")
@@ -76,11 +76,12 @@ def backbones(spark, sf):
 
 @query("window_designs", "OPT-02", _SQL)
 def window_designs(spark, sf):
-    m = _members(spark, sf)
+    r = cut_lineage(reads(spark, sf))
+    m = cut_lineage(_members(r))
     own = m.where("grp is not null").select("grp", "library", "bin").distinct()
     bins = m.select("library", "bin", "long").distinct()
     roles = own.select("grp", "library").distinct().join(bins, "library").select("grp", "bin", "long").distinct()
     roles = roles.join(own.select("grp", "bin", F.lit("member").alias("role")).distinct(), ["grp", "bin"], "left").withColumn("role", F.coalesce("role", F.lit("competitor")))
     n = F.length("seq")
     loci = m.select("seq_id", F.floor(n / 4).alias("lo"), F.floor(n / 2).alias("hi"))
-    return W.window_designs(m.select("seq_id", "grp", "long", "seq"), reads(spark, sf).select("read_id", "bin", "seq"), roles, loci, _RULES).withColumn("fold", F.round("fold", 6))
+    return W.window_designs(m.select("seq_id", "grp", "long", "seq"), r.select("read_id", "bin", "seq"), roles, loci, _RULES).withColumn("fold", F.round("fold", 6))

@@ -2,6 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ampliq.operators import design as D
 from ampliq.operators import group_design as G
 from ampliq.operators import window_design as W
 from tests.test_search import bases, lengths, places
@@ -86,3 +91,65 @@ def test_no_members_no_windows(spark):
                            spark.createDataFrame([], "grp long, bin string, role string, long boolean"), spark.createDataFrame([], "seq_id long, lo int, hi int"))
     assert out.count() == 0
     assert G.WORD == 63
+
+
+def _families(rng):
+    """Two groups with copies, changed copies and a repeated passage, and sequences of no group that share parts of them."""
+    line = bases(rng, 90)
+    one, two = bases(rng, 500) + line * 4 + bases(rng, 500), bases(rng, 300) + line + bases(rng, 400)
+    seqs = [(1, 1, True, one), (2, 1, False, one[:1200] + bases(rng, 60)), (3, 1, True, one), (4, 2, True, two), (5, 2, False, "ACG" + two[3:600])]
+    seqs += [(10 + i, None, False, bases(rng, 40) + (one if i % 2 else two)[i * 30:] + line) for i in range(9)]
+    return seqs + [(30, None, False, "NNACG"), (31, 3, True, bases(rng, 90)), (32, 3, True, bases(rng, 130))]
+
+
+@pytest.mark.parametrize("lengths, listed", [((20, 20), 3), ((18, 20), 5)])
+def test_ranking_in_windows_equals_masks(spark, monkeypatch, lengths, listed):
+    """Groups in parts, backbones in several pieces and lists that are too short change nothing."""
+    monkeypatch.setattr(W, "LISTED", listed)
+    monkeypatch.setattr(W, "PART", 1000)
+    monkeypatch.setattr(W, "CHUNK", 2)
+    seqs = _families(random.Random(3))
+    rules = W.Rules(lengths=lengths, max_mm=0, width=400, step=150)
+    loci = spark.createDataFrame([(1, 200, 700), (4, None, 100)], "seq_id long, lo int, hi int")
+    got = []
+    for more in ([], [(99, None, False, "RYRYRY")]):  # a letter that packed words can't hold: the masks are used
+        df = spark.createDataFrame(seqs + more, SEQS)
+        rows = W.window_candidates(df, W.backbones(df), loci, rules).collect()
+        got.append(sorted(tuple(sorted(r.asDict().items())) for r in rows))
+    assert got[0] and got[0] == got[1]
+    assert any(dict(r)["rivals"] for r in got[0])
+
+
+def test_pairs_become_rows_only_if_they_can_be_among_the_best(spark, monkeypatch):
+    written = []
+
+    def cut(df, real=W.cut_lineage):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(W, "cut_lineage", cut)
+    rng = random.Random(8)
+    core, line = bases(rng, 2500), bases(rng, 90)
+    seqs = [(1, 1, True, core), (2, 1, True, core), (3, 2, True, line * 12), (4, 2, True, line * 12 + "A")] + [(9 + i, None, False, line + bases(rng, 9)) for i in range(3)]
+    rules = W.Rules(lengths=(20, 20), max_mm=0)
+    monkeypatch.setattr(W, "LISTED", 2, raising=False)
+    df = spark.createDataFrame(seqs, SEQS)
+    back = W.backbones(df)
+    written.clear()
+    best = W.window_candidates(df, back, spark.createDataFrame([], "seq_id long, lo int, hi int"), rules).count()
+    assert best and max(written) <= 1000  # all pairs are 12,000
+
+
+def test_grid_masks_equal_measures(spark):
+    rng = random.Random(2)
+    for size in (18, 20, 25):
+        seq = bases(rng, 3000) + "ACGTACGTACGTACGTACGTACGTAC" * 2
+        code, words, known = W._packed(seq, size)
+        at = np.flatnonzero(known)
+        turned = W._turned(words, np.full(words.size, size))
+        assert all(W._text(int(w), size) == seq[i:i + size] for i, w in enumerate(words[:50]))
+        f, r = W._grid_masks(code, words, turned, at, size)
+        rows = spark.createDataFrame([(i, W._text(int(words[i]), size), W._text(int(turned[i]), size)) for i in range(words.size)], "i int, f string, r string")
+        want = rows.select("i", D.measures(F.col("f"))["pm"].alias("f"), D.measures(F.col("r"))["pm"].alias("r")).orderBy("i").collect()
+        assert [x.f for x in want] == f.tolist() and [x.r for x in want] == r.tolist() and f.any()
