@@ -175,8 +175,8 @@ def centre_pick(members: DataFrame, cluster: str, name: str, length: str) -> Dat
 def backbone_clusters(lengths: Column, ratio: float = 1.5) -> Column:
     """Heads of length clusters: descending lengths, joined while head / length < ratio (WIN-13).
 
-    ``lengths`` is an array of the distinct candidate lengths of one bin.
+    ``lengths`` is an array (BIGINT) of the distinct candidate lengths of one bin; no head is near a length of 0, which is a head of its own.
     """
     ordered = F.reverse(F.array_sort(lengths))
-    return F.aggregate(ordered, F.array().cast("array<int>"), lambda heads, n: F.when(
-        F.exists(heads, lambda h: h / n < ratio), heads).otherwise(F.concat(heads, F.array(n.cast("int")))))
+    return F.aggregate(ordered, F.array().cast("array<bigint>"), lambda heads, n: F.when(
+        F.exists(heads, lambda h: F.try_divide(h, n) < ratio), heads).otherwise(F.concat(heads, F.array(n.cast("bigint")))))

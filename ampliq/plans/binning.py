@@ -206,7 +206,7 @@ f(bin, rn, heads) AS (SELECT DISTINCT bin, 0::BIGINT, []::BIGINT[] FROM l UNION
   FROM f JOIN l ON l.bin = f.bin AND l.rn = f.rn + 1)
 SELECT bin, array_to_string(arg_max(heads, rn), ',') AS heads FROM f GROUP BY 1""")
 def backbone_clusters(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("bin"), F.col("n_chars").cast("int").alias("len")).distinct()
+    d = table(spark, sf, "documents").select(F.col("source").alias("bin"), F.col("n_chars").cast("long").alias("len")).distinct()
     g = d.groupBy("bin").agg(F.collect_set("len").alias("lens"))
     return g.select("bin", F.concat_ws(",", F.transform(B.backbone_clusters(F.col("lens")), lambda x: x.cast("string"))).alias("heads"))
 
