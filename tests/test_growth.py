@@ -1,8 +1,14 @@
 """What queries do with rows that larger tables hold, and the plans that let them grow."""
 
+import random
+from collections import Counter
+
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
+from ampliq.operators import kmers as K
 from ampliq.plans import REGISTRY
 
 
@@ -14,3 +20,34 @@ def test_backbone_clusters_of_empty_and_huge_lengths(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(con.execute(oracle_sql()["backbone_clusters"]).fetchall())
     assert got == {"a": "9,4,0", "b": "0", "c": f"{1 << 40},3"}
+
+
+def test_markers_travel_as_stretches(spark, monkeypatch):
+    rng = random.Random(5)
+    common = "".join(rng.choice("ACGT") for _ in range(80))
+    rows = []
+    for i in range(60):
+        s = "".join(rng.choice("ACGT" * 20 + "N") for _ in range(rng.randint(0, 200))) + (common if i % 3 else "") + "A" * rng.randint(0, 40)
+        rows.append((i % 50, rng.choice(["a", "b", None]), s if i % 11 else None))
+    rows += [(7, *rows[7][1:]), (None, "c", common), (100, "c", common[:21] * 3), (101, "c", "ACG")]
+    d = spark.createDataFrame(rows, "read_id long, library string, seq string").repartition(3, "library")
+    for k in (11, 21, 31):
+        sets = [(i, g, {s[j:j + k] for j in range(len(s) - k + 1) if "N" not in s[j:j + k]} if s else set()) for i, g, s in rows if i is not None]
+        owners = {}
+        for _, g, words in sets:
+            for w in words:
+                owners.setdefault(w, set()).add(g)
+        want = Counter((i, len(words), sum(len(owners[w]) == 1 for w in words)) for i, _, words in sets if words)
+        n, markers = K.marker_counts(d.where("read_id is not null").withColumn("g", F.xxhash64("library")), k)
+        assert Counter((r.read_id, r.n_kmers, r.c) for r in n.collect()) == want
+        per = Counter(next(iter(o)) for o in owners.values() if len(o) == 1)
+        assert sorted(r.markers for r in markers.collect()) == sorted(per.values())
+
+    raw = np.frombuffer("".join(rng.choice("ACGT") for _ in range(1 << 16)).encode(), dtype=np.uint8)
+    start, size, word, _ = K._stretches(raw, 21)
+    owner, group = np.sort(np.arange(start.size) % 7), np.array([3, 3, 3, 4, 4, 5, 5])
+    assert len(K._block(np.unique(group, return_counts=True), 7, owner, size, word, 21)) < 2 * size.sum()
+    whole = K._marked(group, owner, size, word, 21)
+    monkeypatch.setattr(K, "SORTED", 5000)
+    parts = K._marked(group, owner, size, word, 21)
+    assert all((a == b).all() for a, b in zip(whole[:2], parts[:2])) and whole[2] == parts[2]
