@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -117,41 +117,48 @@ def rounds(e: DataFrame, max_rounds: int, task_rows: int | None = None) -> DataF
     return e.groupBy("u").agg(F.min("v").alias("v"))
 
 
+def _told(value) -> Column:
+    """24 letters that tell a text from any other: the first 144 bits of its SHA-256."""
+    return F.substring(F.base64(F.unhex(F.sha2(value, 256))), 1, 24)
+
+
 def set_match(left: DataFrame, right: DataFrame, min_jaccard: float = 0.80, same: bool = False) -> DataFrame:
     """Pairs of sets with Jaccard at or above the floor (GRF-05), between class representatives.
 
-    left: distinct (a, member); right: distinct (b, member); ``same`` compares one family of
-    sets with itself and returns a < b. Equal sets are one class, told by its smallest key, and
-    are not expanded: ``set_classes`` gives the membership. Two exact reductions come first: equal sets are
+    left: (a, member); right: (b, member), where repeated rows count once; ``same`` compares one family of
+    sets with itself (``left``) and returns a < b. Equal sets are one class, told by its smallest key, and
+    are not expanded: ``set_classes`` gives the membership. Members travel as digests, however long they are. Two exact reductions come first: equal sets are
     folded into one, and with members ordered from rare to common, a pair that reaches the
     floor must share one of the first n - ceil(t n) + 1 members of both, so a member held by
     a third of all sets is (almost) never joined on.
     """
-    def fold(df, key, sig):
-        s = df.groupBy(key).agg(F.array_sort(F.collect_set("member")).alias("members"))
-        s = s.withColumn(sig, F.sha2(F.to_json(F.struct("members")), 256))
-        return s.select(key, sig), s.groupBy(sig).agg(F.min_by("members", key).alias("members"))
-
-    ids_l, sets_l = fold(left, "a", "sa")
-    ids_r, sets_r = fold(right, "b", "sb")
-    rows_l = sets_l.select("sa", F.explode("members").alias("member"))
-    rows_r = sets_r.select("sb", F.explode("members").alias("member"))
-    freq = rows_l.select("member").union(rows_r.select("member")).groupBy("member").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(rows, sig):
-        g = rows.join(freq, "member").groupBy(sig).agg(F.array_sort(F.collect_list(F.struct("df", "member"))).alias("o"))
+    def fold(df, key):
+        s = df.select(key, _told(F.col("member").cast("string")).alias("member")).groupBy(key).agg(F.array_sort(F.collect_set("member")).alias("members"))
+        s = s.groupBy(_told(F.concat_ws("", "members")).alias("sig")).agg(F.min(key).alias("key"), F.min_by("members", key).alias("members"))
+        return cut_lineage(s.where("key is not null").select("key", "members"))
+
+    sets_l = fold(left, "a")
+    sets_r = sets_l if same else fold(right, "b")
+    rows = sets_l if same else sets_l.select("members").union(sets_r.select("members"))
+    freq = rows.select(F.explode("members").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+
+    def prefix(sets, key, size):
+        r = sets.select("key", F.explode("members").alias("member")).join(freq, "member", "left")
+        g = r.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1).cast("long")).alias("df"), "member"))).alias("o"))
         n = F.size("o")
         keep = n - F.ceil(n * min_jaccard - 1e-9).cast("int") + 1
-        return g.select(sig, F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(sig, F.col("p.member").alias("member"))
-
-    cand = prefix(rows_l, "sa").join(prefix(rows_r, "sb"), "member").select("sa", "sb").distinct()
-    full = (cand.join(sets_l.withColumnRenamed("members", "ma"), "sa").join(sets_r.withColumnRenamed("members", "mb"), "sb")
+        g = g.select(F.col("key").alias(key), n.alias(size), F.explode(F.slice("o", F.lit(1), keep)).alias("p"))
+        return g.where("p.df > 1").select(key, size, F.col("p.member").alias("member"))  # one set alone has the others
+
+    p = cut_lineage(prefix(sets_l, "a", "na"))
+    q = p.toDF("b", "nb", "member") if same else prefix(sets_r, "b", "nb")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * min_jaccard - 1e-9
+    cand = p.join(q, "member").where(near & (F.col("a") < F.col("b")) if same else near).select("a", "b").distinct()
+    return (cand.join(sets_l.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a")
+            .join(sets_r.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
             .withColumn("shared", F.size(F.array_intersect("ma", "mb")).cast("long"))
             .withColumn("jaccard", F.col("shared") / (F.size("ma") + F.size("mb") - F.col("shared")))
-            .where(F.col("jaccard") >= min_jaccard).select("sa", "sb", "shared", "jaccard"))
-    first_l, first_r = ids_l.groupBy("sa").agg(F.min("a").alias("a")), ids_r.groupBy("sb").agg(F.min("b").alias("b"))
-    out = full.join(first_l, "sa").join(first_r, "sb").select("a", "b", "shared", "jaccard")
-    return out.where("a < b") if same else out
+            .where(F.col("jaccard") >= min_jaccard).select("a", "b", "shared", "jaccard"))
 
 
 def set_classes(sets: DataFrame, key: str) -> DataFrame:

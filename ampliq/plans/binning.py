@@ -331,7 +331,7 @@ j AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.m = b
 SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM j JOIN n na ON na.k = a JOIN n nb ON nb.k = b
 WHERE shared / (na.n + nb.n - shared) >= 0.8""")
 def set_match(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("member")).distinct()
+    s = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("member"))
     m = G.set_match(s.withColumnRenamed("doc_id", "a"), s.withColumnRenamed("doc_id", "b"), same=True)
     return m.withColumn("jaccard", F.round("jaccard", 6))
 

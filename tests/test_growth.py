@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
+from ampliq.operators import graph as G
 from ampliq.operators import kmers as K
 from ampliq.plans import REGISTRY
 
@@ -51,3 +52,21 @@ def test_markers_travel_as_stretches(spark, monkeypatch):
     monkeypatch.setattr(K, "SORTED", 5000)
     parts = K._marked(group, owner, size, word, 21)
     assert all((a == b).all() for a, b in zip(whole[:2], parts[:2])) and whole[2] == parts[2]
+
+
+def test_members_of_sets_travel_as_digests(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = [f"line {i} " + "x" * 500 for i in range(14)]
+    sets = [{i: frozenset(rng.choice(lines[:n]) for _ in range(rng.randint(1, 9))) for i in range(50)} for n in (12, 14)]
+    rows = [[(i, m) for i, s in f.items() for m in s] * 2 + [(None, m) for m in lines[:3]] for f in sets]  # repeats count once, a key is missing
+    left, right = (spark.createDataFrame(r, f"{k} long, member string") for r, k in zip(rows, "ab"))
+    cut, written = G.cut_lineage, []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    reps = [{min(k for k in f if f[k] == s): s for s in f.values()} for f in sets]
+    likeness = lambda x, y: len(x & y) / len(x | y)
+    got = {(r.a, r.b): (r.shared, round(r.jaccard, 9)) for r in G.set_match(left, right).collect()}
+    want = {(a, b): (len(x & y), round(likeness(x, y), 9)) for a, x in reps[0].items() for b, y in reps[1].items() if likeness(x, y) >= 0.8}
+    assert got == want and want
+    got = {(r.a, r.b) for r in G.set_match(left, left.withColumnRenamed("a", "b"), same=True).collect()}
+    assert got == {(a, b) for a, x in reps[0].items() for b, y in reps[0].items() if a < b and likeness(x, y) >= 0.8}
+    assert "sha2(" in written[0].split("== Final Plan")[0].rsplit("Exchange", 1)[1]  # before anything is shuffled
