@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import params as P
-from ..functions import thermo as T
 from ..session import cut_lineage
 from . import design as D
 from . import group_design as G
 from . import measure as M
 from . import sites
+from .design import grid_masks as _grid_masks
+from .design import packed_words as _packed
 from .ranking import top_n
+from .sites import turned as _turned
 
 #: Bases of a group's members that one task compares with the backbones, windows of a backbone that are ranked at once, and sequences outside of
 #: the group that are listed per oligo; where more bind it, pairs that may be among the best are counted afterwards.
@@ -109,18 +110,6 @@ def shared_competitors(pairs: DataFrame, marks: DataFrame, need: DataFrame) -> D
     return j.groupBy("grp", "fwd", "rev").agg(F.sum(both).alias("rivals")).where("rivals > 0")
 
 
-def _packed(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, words, known): the bases, the packed words of k bases at every position, and which of them hold A, C, G and T only."""
-    code = sites._PLAIN[np.frombuffer(seq.encode(), dtype=np.uint8)]
-    away = np.concatenate([[0], np.cumsum(code > 3)])
-    code = np.where(code > 3, 0, code)
-    return code, sites._words(code, k), (away[k:] == away[:-k]) if code.size >= k else np.empty(0, bool)
-
-
-def _sizes(rules: Rules) -> range:
-    return range(max(rules.lengths[0], P.OLIGO_LENGTH[0]), min(rules.lengths[1], P.OLIGO_LENGTH[1]) + 1)
-
-
 def shared_windows(seqs: DataFrame, back: DataFrame, rules: Rules) -> DataFrame:
     """(grp, seq_id, whole, long): which windows of a backbone all members of a part of its group have, and all long ones (null: there are none).
 
@@ -132,7 +121,7 @@ def shared_windows(seqs: DataFrame, back: DataFrame, rules: Rules) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     m = m.join(hot, "grp", "left").select("grp", F.pmod(F.xxhash64("seq_id"), parts).alias("part"), "long", "seq")
     b = back.join(hot, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "seq_id", "seq")
-    sizes = _sizes(rules)
+    sizes = D.oligo_sizes(rules.lengths)
 
     def meet(members: pa.Table, own: pa.Table) -> pa.Table:
         distinct: dict[str, bool] = {}
@@ -168,42 +157,6 @@ def shared_windows(seqs: DataFrame, back: DataFrame, rules: Rules) -> DataFrame:
     return m.groupBy("grp", "part").cogroup(b.groupBy("grp", "part")).applyInArrow(meet, f"grp {kind['grp']}, seq_id {kind['seq_id']}, whole binary, long binary")
 
 
-def _grid_masks(code: np.ndarray, words: np.ndarray, back: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grid cells (``design.measures``) that the windows at ``at`` pass, read forward and as their reverse complements.
-
-    Sums run in the order of the oligo, as in ``thermo``; a rounded value lies in a range if it lies between the range's rounding limits.
-    """
-    r = P.Reaction()
-    pair = code[:-1] * 4 + code[1:]
-    table = np.array([T.ALL_STACKS[x + y] for x in "ACGT" for y in "ACGT"])
-    strong = (code == 1) | (code == 2)
-    before = np.concatenate([[0], np.cumsum(strong)])
-    share = np.array([float(Decimal(repr(100.0 * i / size)).quantize(Decimal("0.1"), ROUND_HALF_UP)) for i in range(size + 1)])[before[at + size] - before[at]]
-    first, last = strong[at], strong[at + size - 1]
-    same = words[at] == back[at]
-    conc = T.GAS * np.log(np.where(same, r.oligo_nm * 1e-9, r.oligo_nm * 1e-9 / 4.0))
-    salt = 0.368 * np.log(T.monovalent_equivalent(r))
-    out = []
-    for steps, end, tail in ((range(size - 1), last, before[at + size] - before[at + size - 5]), (range(size - 2, -1, -1), first, before[at + 5] - before[at])):
-        h, s = np.zeros(at.size), np.zeros(at.size)
-        for i in steps:
-            p = pair[at + i]
-            h += table[p, 0]
-            s += table[p, 1]
-        h += np.where(first, T.END_GC[0], T.END_AT[0]) + np.where(last, T.END_GC[0], T.END_AT[0])
-        s += np.where(first, T.END_GC[1], T.END_AT[1]) + np.where(last, T.END_GC[1], T.END_AT[1])
-        s += np.where(same, T.SYMMETRY[1], 0.0)
-        tm = 1000.0 * h / (s + salt * (size - 1) + conc) - 273.15
-        mask = np.zeros(at.size, np.int64)
-        for i, (g, t, end_gc, last5) in enumerate(D.PRIMER_CELLS):
-            ok = (share >= g[0]) & (share <= g[1]) & (tm >= float(f"{t[0] - 0.005:.3f}")) & (tm < float(f"{t[1] + 0.005:.3f}"))
-            ok &= end if end_gc else True
-            ok &= (tail <= 3) if last5 else True
-            mask |= ok.astype(np.int64) << i
-        out.append(mask)
-    return out[0], out[1]
-
-
 def _windows(n: int, rules: Rules) -> list[tuple[int, int, int]]:
     """(window, start, end) of a backbone of n bases, as ``design.locus_windows``."""
     of = [(w, min(w * rules.step, max(0, n - rules.width))) for w in range(max(1, (n - rules.width) // rules.step + 2))]
@@ -218,7 +171,7 @@ def oligo_packs(back: DataFrame, shared: DataFrame, loci: DataFrame, rules: Rule
     rows = back.join(of, ["grp", "seq_id"]).join(limits, "seq_id", "left").select("grp", F.col("seq_id").alias("backbone"), "lo", "hi", "seq", "whole", "long")
     # a backbone becomes thousands of oligos with temperatures: the few rows are dealt first, by bytes they would all be one task
     rows = rows.repartition(int(back.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backbone")
-    sizes = _sizes(rules)
+    sizes = D.oligo_sizes(rules.lengths)
     kinds = {"pos": pa.int32(), "len": pa.int32(), "base": pa.int32(), "f": pa.int64(), "r": pa.int64(), "word": pa.int64()}
 
     def made(seq: str, whole: list[bytes], long: list[bytes]) -> dict[str, np.ndarray]:
@@ -231,9 +184,7 @@ def oligo_packs(back: DataFrame, shared: DataFrame, loci: DataFrame, rules: Rule
             _, turned, _ = _packed(seq[::-1].translate(_COMPLEMENT), size)
             if not words.size:
                 continue
-            run = (code[:-3] == code[1:-2]) & (code[1:-2] == code[2:-1]) & (code[2:-1] == code[3:])
-            runs = np.concatenate([[0], np.cumsum(run)])
-            free = runs[size - 3:] == runs[:-(size - 3)]
+            free = D.free_of_runs(code, size)
             own = base[done:done + words.size]
             done += words.size
             at = np.flatnonzero(known & free & (own > 0))
@@ -273,7 +224,7 @@ def outside_lists(seqs: DataFrame, packs: DataFrame, rules: Rules) -> DataFrame:
     """
     key = ["site_len", "word"]
     want = packs.select("grp", "backbone", "chunk", F.explode(F.arrays_zip(F.col("len").alias("site_len"), "word")).alias("o")).select("grp", "backbone", "chunk", "o.*")
-    have = sites.held_words(seqs.select("seq_id", F.col("grp").alias("home"), "seq"), sites.word_sketch(want), _sizes(rules), once=True).drop("start")
+    have = sites.held_words(seqs.select("seq_id", F.col("grp").alias("home"), "seq"), sites.word_sketch(want), D.oligo_sizes(rules.lengths), once=True).drop("start")
     few = top_n(have, [*key, "home"], [F.col("seq_id")], LISTED + 1).drop("rank")
     few = top_n(few, key, [F.col("seq_id")], 2 * LISTED + 2).drop("rank")
     sets = few.groupBy(*key).agg(F.collect_list(F.struct("home", "seq_id")).alias("all"), F.min("home").alias("a"), F.max("home").alias("b"),
@@ -284,15 +235,6 @@ def outside_lists(seqs: DataFrame, packs: DataFrame, rules: Rules) -> DataFrame:
     return got.withColumn("out", F.when(F.size("out") <= LISTED, F.col("out")))
 
 
-def _turned(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Reverse complements of packed words."""
-    out, left = np.zeros_like(words), words.copy()
-    for i in range(int(lens.max(initial=0))):
-        out = np.where(i < lens, (out << 2) | (3 - (left & 3)), out)
-        left >>= 2
-    return out
-
-
 def _text(word: int, size: int) -> str:
     return "".join("ACGT"[(word >> (2 * i)) & 3] for i in range(size - 1, -1, -1))
 

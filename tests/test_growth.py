@@ -5,10 +5,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
+from ampliq.functions import thermo as T
+from ampliq.operators import design as D
 from ampliq.operators import graph as G
+from ampliq.operators import group_design as GD
 from ampliq.operators import kmers as K
 from ampliq.plans import REGISTRY
 
@@ -70,3 +74,43 @@ def test_members_of_sets_travel_as_digests(spark, monkeypatch):
     got = {(r.a, r.b) for r in G.set_match(left, left.withColumnRenamed("a", "b"), same=True).collect()}
     assert got == {(a, b) for a, x in reps[0].items() for b, y in reps[0].items() if a < b and likeness(x, y) >= 0.8}
     assert "sha2(" in written[0].split("== Final Plan")[0].rsplit("Exchange", 1)[1]  # before anything is shuffled
+
+
+@pytest.mark.parametrize("part", [None, 300])
+def test_exact_oligos_are_sought_after_their_group_is_asked(spark, monkeypatch, part):
+    rng = random.Random(9)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    line, rows = base(70), []
+    for grp in range(1, 7):
+        core = base(160) + line + base(90)
+        members = [base(30) + core + base(20), turn(base(10) + core), core[:100] + "N" + core[101:] + core[60:130], core]
+        rows += [(10 * grp + i, grp, m) for i, m in enumerate(members)]
+    rows += [(20, 2, rows[4][2]), (31, None, base(50)), (None, 4, rows[14][2]), (90, None, line + base(80)), (91, None, rows[0][2][40:110] + base(9)), (92, None, None), (13, 2, rows[5][2])]
+    asked, seek = [], GD.oligo_sites
+    monkeypatch.setattr(GD, "oligo_sites", lambda seqs, oligos, rules: asked.append(oligos.count()) or seek(seqs, oligos, rules))
+    if part:  # values that the workers' functions don't read
+        monkeypatch.setattr(GD, "PART", part)
+        monkeypatch.setattr(GD, "SHARE", 2)
+    rules = GD.Rules(lengths=(20, 21), max_mm=0, tm_best=(50, 70), dtm=6.0, slices=8, keep=50)
+    got = {}
+    for odd in (False, True):  # a letter outside of A, C, G, T and N: all candidates are sought
+        d = spark.createDataFrame(rows + [(99, None, "RRR")] * odd, "seq_id long, grp long, seq string")
+        got[odd] = [sorted(map(tuple, f.select(*sorted(f.columns)).collect())) for f in (GD.group_pairs(d, rules), GD.supports(d, rules))]
+    assert got[False] == got[True] and all(got[False])
+    assert max(asked[:2]) <= 6 * 2 * 8 < min(asked[2:]) / 4
+
+
+def test_window_temperatures_are_the_rounded_ones(spark):
+    rng = random.Random(10)
+    seq = "".join(rng.choice("ACGT") for _ in range(1500)) + "ACGTACGTACGTACGTACGT"
+    for size in (18, 20, 25):
+        code, words, known = D.packed_words(seq, size)
+        back = D.sites.turned(words, np.full(words.size, size))
+        at = np.arange(words.size)
+        texts = [seq[i:i + size] for i in at]
+        rows = [(int(i), w, t) for w, ts in (("F", texts), ("R", [t[::-1].translate(str.maketrans("ACGT", "TGCA")) for t in texts])) for i, t in zip(at, ts)]
+        want = {(r.i, r.way): (r.tm, r.m) for r in spark.createDataFrame(rows, "i int, way string, oligo string").select(
+            "i", "way", F.round(T.melting_temperature("oligo"), 2).alias("tm"), D.measures("oligo")["pm"].alias("m")).collect()}
+        for way, (mask, tm) in zip("FR", D.window_measures(code, words, back, at, size)):
+            assert [(t, int(m)) for t, m in zip(D.two_digits(tm), mask)] == [want[int(i), way] for i in at]
