@@ -11,6 +11,7 @@ measured, and pairs are ranked inside their window, so that a pair becomes a row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ from .sites import turned as _turned
 PART, CHUNK, LISTED = 1 << 22, 64, 512
 #: Rivals of a pair whose primers both bind more than that, until they are counted; sequences that lists are compared over at once.
 MANY, HELD = 1 << 30, 4096
+#: Mask words of a cell's primers that are compared at once.
+WORDS = 1024
 
 
 @dataclass(frozen=True)
@@ -100,14 +103,71 @@ def universal(asked: DataFrame, marks: DataFrame, need: DataFrame) -> DataFrame:
             .where("n = words").select("grp", "oligo", "strand", "base"))
 
 
+def _mask_rows(names: list, words: list, masks: list, of: dict, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of every name of ``of``, rows): masks over the words of a block; row 0 holds none, and stands for names without any there."""
+    row, rows = np.zeros(len(of), np.int64), [np.zeros(block.size, np.int64)]
+    for name, word, mask in zip(names, words, masks):
+        lo, hi = np.searchsorted(word, [block[0], block[-1] + 1])
+        if hi > lo:
+            if not row[of[name]]:
+                row[of[name]] = len(rows)
+                rows.append(np.zeros(block.size, np.int64))
+            rows[row[of[name]]][np.searchsorted(block, word[lo:hi])] |= mask[lo:hi]
+    return row, np.stack(rows)
+
+
 def shared_competitors(pairs: DataFrame, marks: DataFrame, need: DataFrame) -> DataFrame:
-    """(grp, fwd, rev, rivals): sequences outside of the group that both primers bind; no row where there are none."""
-    f = marks.where("strand = '+'").select(F.col("oligo").alias("fwd"), "word", F.col("mask").alias("f"))
-    r = marks.where("strand = '-'").select(F.col("oligo").alias("rev"), "word", F.col("mask").alias("r"))
-    own = need.where("base = 'all'").select("grp", "word", "whole")
-    j = pairs.select("grp", "fwd", "rev").distinct().join(f, "fwd").join(r, ["rev", "word"]).join(own, ["grp", "word"], "left")
-    both = F.bit_count(F.col("f").bitwiseAND(F.col("r")).bitwiseAND(F.bitwise_not(F.coalesce("whole", F.lit(0).cast("long")))))
-    return j.groupBy("grp", "fwd", "rev").agg(F.sum(both).alias("rivals")).where("rivals > 0")
+    """(grp, fwd, rev, rivals): sequences outside of the group that both primers bind; no row where there are none.
+
+    Pairs are dealt to the cells of a grid, by forward and by reverse primer, and the masks of a primer go to the cells that have it: about the square root
+    of the tasks, once each, however many pairs and groups ask for it. A cell counts ``WORDS`` mask words of its pairs at once.
+    """
+    side = max(1, math.isqrt(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cell = F.pmod(F.xxhash64("fwd"), F.lit(side)) * side + F.pmod(F.xxhash64("rev"), F.lit(side))
+    asked = cut_lineage(pairs.select("grp", "fwd", "rev").distinct().withColumn("cell", cell))
+    lists = F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("bits")
+    strands = {"+": "fwd", "-": "rev"}
+    own = need.where("base = 'all'").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("word", F.col("whole").alias("mask")))).alias("bits"))
+    held = asked.select("cell", "grp").distinct().join(own, "grp").select("cell", F.lit("grp").alias("kind"), F.lit(None).cast("string").alias("oligo"), "grp", "bits")
+    for strand, name in strands.items():
+        of = marks.where(F.col("strand") == strand).groupBy("oligo").agg(lists)
+        of = asked.select("cell", F.col(name).alias("oligo")).distinct().join(of, "oligo")
+        held = held.unionByName(of.select("cell", F.lit(name).alias("kind"), "oligo", F.lit(None).cast(need.schema["grp"].dataType).alias("grp"), "bits"))
+    held = held.select("cell", "kind", "oligo", "grp", "bits.word", "bits.mask")
+
+    def count(masks: pa.Table, of: pa.Table) -> pa.Table:
+        of = of.select(["grp_", "fwd_", "rev_"]).rename_columns(["grp", "fwd", "rev"])
+        columns = {c: of.column(c).to_pylist() for c in ("grp", "fwd", "rev")}
+        kind = np.array(masks.column("kind").to_pylist(), dtype=object)
+        words, bits = ([x.values.to_numpy(zero_copy_only=False) for x in masks.column(c)] for c in ("word", "mask"))
+        sides = []
+        for name, values in columns.items():
+            names = {x: i for i, x in enumerate(dict.fromkeys(values))}
+            at = np.flatnonzero(kind == name).tolist()
+            key = masks.column("grp" if name == "grp" else "oligo").to_pylist()
+            sides.append((names, np.array([names[x] for x in values], dtype=np.int64), [key[i] for i in at], [words[i] for i in at], [bits[i] for i in at]))
+        rivals = np.zeros(of.num_rows, np.int64)
+        every = np.unique(np.concatenate([x for s in sides[1:] for x in s[3]] or [np.empty(0, np.int64)]))
+        for start in range(0, every.size if of.num_rows else 0, WORDS):
+            block = every[start:start + WORDS]
+            parts = []
+            for names, which, key, word, mask in sides:
+                if names is sides[0][0]:  # of a group only the words that a primer has
+                    kept = [np.isin(x, block) for x in word]
+                    word, mask = [x[k] for x, k in zip(word, kept)], [x[k] for x, k in zip(mask, kept)]
+                row, rows = _mask_rows(key, word, mask, names, block)
+                parts.append((row[which], rows))
+            (g, whole), (f, left), (r, right) = parts
+            on = np.flatnonzero((f > 0) & (r > 0))
+            for lo in range(0, on.size, 1024):
+                i = on[lo:lo + 1024]
+                rivals[i] += np.bitwise_count(left[f[i]] & right[r[i]] & ~whole[g[i]]).sum(axis=1, dtype=np.int64)
+        return of.append_column("rivals", pa.array(rivals)).filter(pa.array(rivals > 0))
+
+    # few bytes, much work: dealt by number, which isn't put together again by bytes
+    held = held.repartition(side * side, "cell")
+    asked = asked.select(*[F.col(c).alias(f"{c}_") for c in asked.columns])
+    return held.groupBy("cell").cogroup(asked.groupBy("cell_")).applyInArrow(count, f"grp {need.schema['grp'].dataType.simpleString()}, fwd string, rev string, rivals long")
 
 
 def shared_windows(seqs: DataFrame, back: DataFrame, rules: Rules) -> DataFrame:

@@ -1,6 +1,7 @@
 """What queries do with rows that larger tables hold, and the plans that let them grow."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -14,6 +15,7 @@ from ampliq.operators import design as D
 from ampliq.operators import graph as G
 from ampliq.operators import group_design as GD
 from ampliq.operators import kmers as K
+from ampliq.operators import window_design as W
 from ampliq.plans import REGISTRY
 
 
@@ -114,3 +116,18 @@ def test_window_temperatures_are_the_rounded_ones(spark):
             "i", "way", F.round(T.melting_temperature("oligo"), 2).alias("tm"), D.measures("oligo")["pm"].alias("m")).collect()}
         for way, (mask, tm) in zip("FR", D.window_measures(code, words, back, at, size)):
             assert [(t, int(m)) for t, m in zip(D.two_digits(tm), mask)] == [want[int(i), way] for i in at]
+
+
+@pytest.mark.parametrize("words", [1024, 2])
+def test_competitors_of_pairs_meet_in_cells(spark, monkeypatch, words):
+    monkeypatch.setattr(W, "WORDS", words)
+    rng = random.Random(11)
+    home = {i: rng.choice([1, 2, 3, None]) for i in range(-70, 700, 3)}
+    binds = {(o, s): set(rng.sample(sorted(home), rng.choice([1, 5, 90]))) for o in "abcdefgh" for s in "+-" if o + s != "h-"}
+    found = spark.createDataFrame([(o, s, i) for (o, s), ids in binds.items() for i in ids], "oligo string, strand string, seq_id long")
+    pairs = [(g, f, r) for g in (1, 2, 3, 4) for f in "abcdefgh" for r in "abcdefghx" if rng.random() < 0.6]
+    need = W.member_masks(spark.createDataFrame([(i, g, bool(i % 2)) for i, g in home.items()], "seq_id long, grp long, long boolean"))
+    got = W.shared_competitors(spark.createDataFrame(pairs + pairs[:5], "grp long, fwd string, rev string"), W.binding_masks(found), need)
+    want = {(g, f, r): sum(home[i] != g for i in binds[f, "+"] & binds.get((r, "-"), set())) for g, f, r in pairs}
+    assert {tuple(x)[:3]: x.rivals for x in got.collect()} == {k: n for k, n in want.items() if n} and any(want.values())
+    assert not re.search(r"Join .*word#", got._jdf.queryExecution().optimizedPlan().toString())  # no row of a pair and a mask word
