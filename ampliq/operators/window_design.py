@@ -289,9 +289,10 @@ def outside_lists(seqs: DataFrame, packs: DataFrame, rules: Rules) -> DataFrame:
     few = top_n(few, key, [F.col("seq_id")], 2 * LISTED + 2).drop("rank")
     sets = few.groupBy(*key).agg(F.collect_list(F.struct("home", "seq_id")).alias("all"), F.min("home").alias("a"), F.max("home").alias("b"),
                                  F.count("home").alias("n"), F.count(F.lit(1)).alias("m"))
-    sets = sets.where("a is null or a <> b or n < m").select(*key, "all")  # the rest is in one group alone
+    sets = sets.where("a is null or a <> b or n < m")  # the rest is in one group alone
+    sets = sets.select(*key, F.when(F.col("m") < 2 * LISTED + 2, F.col("all")).alias("all"))  # a list that long needn't travel
     out = F.transform(F.filter("all", lambda x: ~x["home"].eqNullSafe(F.col("grp"))), lambda x: x["seq_id"])
-    got = want.join(sets, key).select("grp", "backbone", "chunk", F.col("site_len").alias("len"), "word", out.alias("out")).where("size(out) > 0")
+    got = want.join(sets, key).select("grp", "backbone", "chunk", F.col("site_len").alias("len"), "word", out.alias("out")).where("out is null or size(out) > 0")
     return got.withColumn("out", F.when(F.size("out") <= LISTED, F.col("out")))
 
 
@@ -309,13 +310,15 @@ def ranked_pairs(packs: DataFrame, out: DataFrame, rules: Rules) -> DataFrame:
 
     def best(pack: pa.Table, listed: pa.Table) -> pa.Table:
         rows = []
-        lists = {(n, w): o for n, w, o in zip(*(listed.column(c).to_pylist() for c in ("len", "word", "out")))}
+        none = np.empty(0, np.int64)
+        every = [x if x.is_valid else None for x in listed.column("out")]  # numbers stay in their buffers
+        lists = {(n, w): None if o is None else o.values.to_numpy(zero_copy_only=False) for n, w, o in zip(listed.column("len").to_pylist(), listed.column("word").to_pylist(), every)}
         for row in pack.to_pylist():
             pos, size, base, fm, rm, word = (np.array(row[c], dtype=np.int64) for c in ("pos", "len", "base", "f", "r", "word"))
             back = _turned(word, size)
-            outs = [lists.get(k, ()) for k in zip(size.tolist(), word.tolist())]
+            outs = [lists.get(k, none) for k in zip(size.tolist(), word.tolist())]
             n_out = np.array([LISTED + 1 if o is None else len(o) for o in outs], dtype=np.int64)
-            lo, hi = (none if row[c] is None else row[c] for c, none in (("lo", -np.inf), ("hi", np.inf)))
+            lo, hi = (far if row[c] is None else row[c] for c, far in (("lo", -np.inf), ("hi", np.inf)))
             for window, start, end in _windows(row["n"], rules)[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK]:
                 inside = (pos >= start) & (pos + size <= end)
                 f, r = np.flatnonzero(inside & (fm != 0)), np.flatnonzero(inside & (rm != 0))
@@ -365,9 +368,10 @@ def ranked_pairs(packs: DataFrame, out: DataFrame, rules: Rules) -> DataFrame:
 
 def _shared(outs: list, f: np.ndarray, r: np.ndarray) -> np.ndarray:
     """How many sequences the lists of f and r have in common, 0 where one of them has none or too many."""
-    lists = [[outs[x] or () for x in side] for side in (f, r)]
+    none = np.empty(0, np.int64)
+    lists = [[none if outs[x] is None else outs[x] for x in side] for side in (f, r)]
     owner = [np.repeat(np.arange(len(side)), [len(o) for o in side]) for side in lists]
-    ids = [np.concatenate([np.asarray(o, dtype=np.int64) for o in side]) for side in lists]
+    ids = [np.concatenate([none, *side]) for side in lists]
     common = np.intersect1d(*ids)
     at = [np.minimum(np.searchsorted(common, x), max(0, common.size - 1)) for x in ids]
     both = np.zeros((f.size, r.size), np.int64)
